@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality
+from . import bpe, langid, lm_score, quality, secrets, simhash
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -21,13 +21,36 @@ def op1_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(_table(spark, sf_dir, "documents"))
+
+
+def op6_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels")
+    return lm_score.cross_entropy_difference(_table(spark, sf_dir, "documents"), labels.where("quality = 1").select("doc_id"))
+
+
+def op10_langid_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out("doc_id"))
+    model = langid.fit(docs.where("NOT held_out"))
+    return langid.classify(docs, model, keep=["held_out"]).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_llr": op1_quality_llr,
+    "op4_secret_trigrams": op4_secret_trigrams,
+    "op6_simhash_anchors": op6_simhash_anchors,
     "op8_bpe_trie": op8_bpe_trie,
+    "op9_cross_entropy": op9_cross_entropy,
+    "op10_langid_centroids": op10_langid_centroids,
 }
 
 #: DuckDB SQL for the same rows, where SQL can express them on whole tables.
