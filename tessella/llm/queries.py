@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, lm_score, quality, secrets, simhash
+from . import bpe, html_text, langid, lm_score, mtree, quality, secrets, simhash
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -21,6 +21,10 @@ def op1_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,10 @@ def op6_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -46,8 +54,10 @@ def op10_langid_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_quality_llr": op1_quality_llr,
+    "op2_mtree_topk": op2_mtree_topk,
     "op4_secret_trigrams": op4_secret_trigrams,
     "op6_simhash_anchors": op6_simhash_anchors,
+    "op7_html_blocks": op7_html_blocks,
     "op8_bpe_trie": op8_bpe_trie,
     "op9_cross_entropy": op9_cross_entropy,
     "op10_langid_centroids": op10_langid_centroids,
