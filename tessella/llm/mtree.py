@@ -30,11 +30,11 @@ class TreeParams:
     k: int = 20
     scale: int = 64
     shard_rows: int = 16_384
-    page_rows: int = 256
-    fanout: int = 12
+    page_rows: int = 1_024
+    fanout: int = 32
     block_queries: int = 512
     #: Rows that give a first bound.
-    bound_rows: int = 2_048
+    bound_rows: int = 4_096
 
 
 def _exact(x: np.ndarray) -> np.ndarray:
@@ -54,7 +54,8 @@ def _ordered(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 class MTree:
-    """Nodes are (routing row, radius, children or None, first row, end row, distances of the entries to the routing object)."""
+    """Nodes are (routing point, radius, None or (points, radii, numbers) of the children, first row, end row, distances of the entries to
+    the routing point)."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, p: TreeParams):
         order = np.argsort(ids, kind="stable")
@@ -68,10 +69,14 @@ class MTree:
         rows = np.array(self.rows, dtype=np.int64)
         self.ids, self.x, self.points = self.ids[rows], self.x[rows], self.points[rows]
 
-    def _far(self, rows: np.ndarray, point: np.ndarray) -> np.ndarray:
-        d = self.points[rows] - point
+    @staticmethod
+    def _gap(points: np.ndarray, point: np.ndarray) -> np.ndarray:
+        d = points - point
         return np.sqrt(np.einsum("ij,ij->i", d, d))
 
+    def _far(self, rows: np.ndarray, point: np.ndarray) -> np.ndarray:
+        return self._gap(self.points[rows], point)
+
     def _build(self, rows: np.ndarray) -> int:
         route = self.points[rows].mean(axis=0)
         far = self._far(rows, route)
@@ -82,19 +87,14 @@ class MTree:
             self.rows.extend(rows.tolist())
             self.nodes.append((route, far.max(initial=0.0), None, first, len(self.rows), far))
             return len(self.nodes) - 1
-        chosen = [int(np.argmax(far))]
-        near = self._far(rows, self.points[rows[chosen[0]]])
-        owner = np.zeros(len(rows), dtype=np.int64)
-        while len(chosen) < self.p.fanout and near.max() > 0:
-            chosen.append(int(np.argmax(near)))
-            d = self._far(rows, self.points[rows[chosen[-1]]])
-            owner[d < near] = len(chosen) - 1
-            near = np.minimum(near, d)
-        if len(chosen) == 1:  # copies of one point fill pages evenly
+        spread = np.unique(np.linspace(0, len(rows) - 1, min(self.p.fanout, 2 * -(-len(rows) // self.p.page_rows))).astype(np.int64))
+        apart = np.stack([self._far(rows, self.points[rows[k]]) for k in spread])
+        owner = np.argmin(apart, axis=0)
+        if len(np.unique(owner)) == 1:  # copies of one point fill pages evenly
             owner = np.arange(len(rows)) * self.p.fanout // len(rows)
         children = [self._build(rows[owner == k]) for k in np.unique(owner)]
-        up = np.array([np.linalg.norm(self.nodes[c][0] - route) for c in children])
-        self.nodes.append((route, far.max(initial=0.0), np.array(children), 0, 0, up))
+        below = np.stack([self.nodes[c][0] for c in children]), np.array([self.nodes[c][1] for c in children]), np.array(children)
+        self.nodes.append((route, far.max(initial=0.0), below, 0, 0, self._gap(below[0], route)))
         return len(self.nodes) - 1
 
     def search(self, q: np.ndarray, own: int, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -117,19 +117,19 @@ class MTree:
                 break
             _, _, children, first, end, up = self.nodes[at]
             if children is not None:
-                for child, parent in zip(children.tolist(), up.tolist()):
-                    route, radius = self.nodes[child][:2]
-                    if abs(away - parent) - radius <= limit:
-                        d = route - point
-                        d = float(np.sqrt(d @ d))
-                        if d - radius <= limit:
-                            heapq.heappush(heap, (max(0.0, d - radius), child, d))
+                routes, radii, numbers = children
+                near = np.flatnonzero(np.abs(up - away) - radii <= limit)
+                d = self._gap(routes[near], point)
+                bounds = d - radii[near]
+                for c in np.flatnonzero(bounds <= limit).tolist():
+                    heapq.heappush(heap, (max(0.0, float(bounds[c])), int(numbers[near[c]]), float(d[c])))
                 continue
-            use = np.flatnonzero(np.abs(up - away) <= limit) + first
-            score = self.x[use] @ q
-            good = (self.ids[use] != own) & (score >= least)
-            if good.any():
-                ids, scores = np.concatenate([ids, self.ids[use[good]]]), np.concatenate([scores, score[good]])
+            use = np.flatnonzero(np.abs(up - away) <= limit)
+            score = (self.x[first:end] @ q)[use] if 2 * len(use) > end - first else self.x[first + use] @ q
+            good = np.flatnonzero(score >= least)
+            good = good[self.ids[first + use[good]] != own]
+            if len(good):
+                ids, scores = np.concatenate([ids, self.ids[first + use[good]]]), np.concatenate([scores, score[good]])
                 best = _ordered(scores, ids, k)
                 ids, scores = ids[best], scores[best]
                 if len(ids) == k:
@@ -189,10 +189,11 @@ def top_k(vectors: DataFrame, every: int = 20, p: TreeParams = TreeParams(), id_
         least = np.full(len(ids), -np.inf)
         known, sample = seeds.get(key[1].as_py(), (np.zeros(0, np.int64), None))
         if len(known) > 2 * p.k:
-            for k, (i, q) in enumerate(zip(ids, x)):
-                score = (sample @ q)[known != i]
-                if len(score) >= p.k:
-                    least[k] = float(np.sort(score)[-p.k])
+            # one more than k, as the query itself can be among them; repeats of its id only lower the bound
+            score = sample @ x.T
+            again = max(1, int(np.unique(known, return_counts=True)[1].max()))
+            if len(known) > p.k + again:
+                least = np.sort(score, axis=0)[-p.k - again].astype(np.float64)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "dims": pa.array([key[1].as_py()], pa.int32()), "asked": pa.array([pickle.dumps((ids, x, least))], pa.binary())})
 
     def search(batches):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, langid, lm_score, mtree, quality, secrets, simhash
+from . import bpe, html_text, langid, lm_score, mtree, packing, quality, secrets, simhash, suffix_dedup
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -25,10 +25,18 @@ def op2_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mtree.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op4_secret_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(_table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op6_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -55,7 +63,9 @@ def op10_langid_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_llr": op1_quality_llr,
     "op2_mtree_topk": op2_mtree_topk,
+    "op3_suffix_repeats": op3_suffix_repeats,
     "op4_secret_trigrams": op4_secret_trigrams,
+    "op5_packing": op5_packing,
     "op6_simhash_anchors": op6_simhash_anchors,
     "op7_html_blocks": op7_html_blocks,
     "op8_bpe_trie": op8_bpe_trie,
