@@ -104,6 +104,11 @@ class Chunk:
         down = _power_table("down", len(self.data) + 1)
         return mix((self.sums[end] - self.sums[start]) * down[start] + (end - start).astype(np.uint64))
 
+    def rolling(self, size: int) -> np.ndarray:
+        """Hashes of the ``size`` bytes from each position, not finalised: only their upper bits are mixed well."""
+        n = len(self.data) - size + 1
+        return (self.sums[size:] - self.sums[:n]) * _power_table("down", n)
+
     def row_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.at, at, side="right") - 1
 

@@ -29,7 +29,7 @@ from .graph import ensure_checkpoint_dir
 class PackParams:
     sequence: int = 4096
     #: Tokens in one step of the length histogram.
-    unit: int = 8
+    unit: int = 16
     end_id: int = 2
     max_columns: int = 4000
     #: Tokens that a task packs at a time.

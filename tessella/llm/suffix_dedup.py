@@ -2,15 +2,15 @@
 
 A byte goes if a string of ``width`` bytes that covers it also starts earlier. Sorting the suffix at every byte would exchange the text
 a hundredfold, so the suffixes are chosen by content: in each window of ``width`` bytes the gram with the least hash is its anchor, equal
-windows have equal anchors, and consecutive windows with one anchor form a span. One suffix stands for each span, and three passes decide:
+windows have equal anchors, and consecutive windows with one anchor form a span. One suffix stands for each span, and these passes decide:
 
 1. *Filter.* Blocks (ranges of ids, so that block order is document order) send fingerprints of their anchors and spans. The answer tells for each
    span whether its anchor and its whole content occur elsewhere. Spans with an anchor found nowhere else are done: nothing in them repeats.
 2. *Merge sort.* Each block sorts the suffixes of its repeated spans, front-codes the run (length of the common prefix with the one before, and
    the rest), and cuts it into shards. A shard merges its runs with a loser tree that keeps, for every waiting suffix, the prefix that it
    shares with the last winner, so known prefixes are never compared again. Equal neighbours are repeats; the one of the first block stays.
-   Where an anchor occurs with different surroundings, windows can repeat while their spans do not. For these spans, each window is
-   sorted and merged in the same way, as a 128-bit digest of its suffix instead of the bytes.
+   Where an anchor occurs with different surroundings, windows can repeat while their spans do not. Of these spans, the windows whose
+   fingerprints occur twice (a second filter) are sorted and merged in the same way, as 128-bit digests of their suffixes.
 3. *Removal.* Blocks mark what the answers say and cut the text.
 
 Blocks and shards have bounded size, and a block sends equal strings once, so frequent passages do not gather anywhere.
@@ -33,6 +33,10 @@ from .arrowtext import Chunk, chunks, column, mix, raw
 from .lm_score import pack, pack_sorted, unpack, unpack_sorted
 
 
+#: Bytes of text whose windows are hashed at a time; the arrays then stay in a core's cache.
+_SPAN_CHUNK = 1 << 16
+
+
 @dataclass(frozen=True)
 class RepeatParams:
     width: int = 100
@@ -162,7 +166,7 @@ class Spans:
 
     def __init__(self, texts: pa.Array, p: RepeatParams):
         self.data, self.at = raw(texts)
-        parts = [self._of(Chunk(self.data, self.at, lo, hi), int(self.at[lo]), p) for lo, hi in chunks(self.at)]
+        parts = [self._of(Chunk(self.data, self.at, lo, hi), int(self.at[lo]), p) for lo, hi in chunks(self.at, _SPAN_CHUNK)]
         parts.append((np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2)
         self.first, self.last, gram, content = (np.concatenate(x) for x in zip(*parts))
         self.gram, self.content = gram >> np.uint64(24), content >> np.uint64(8)
@@ -179,77 +183,86 @@ class Spans:
         windows, w = len(c.data) - p.width + 1, p.width - p.gram + 1
         if windows <= 0:
             return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
-        place = np.arange(len(c.data) - p.gram + 1)
-        gram = c.hashes(place, place + p.gram)
-        bits = np.uint64(max(21, len(c.data).bit_length()))
-        key = ((gram >> bits) << bits) | place.astype(np.uint64)
-        pad = -len(key) % w
-        table = np.concatenate([key, np.full(pad, np.uint64(2**64 - 1))]).reshape(-1, w)
-        ahead = np.minimum.accumulate(table, axis=1).ravel()
-        back = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = np.minimum(back[:windows], ahead[w - 1 : w - 1 + windows])
+        bits = np.uint64(max(18, len(c.data).bit_length()))
+        key = c.rolling(p.gram)
+        key >>= bits
+        key <<= bits
+        key |= np.arange(len(key), dtype=np.uint64)  # equal grams: the first one
+        least, span = key, 1
+        while 2 * span <= w:
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        least = np.minimum(least[: len(least) - (w - span)], least[w - span :])
         anchor = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        row = np.repeat(np.arange(c.rows), np.diff(c.at))
-        start = np.flatnonzero(row[:windows] == row[p.width - 1 :])
-        if not len(start):
-            return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
-        a = anchor[start]
-        new = np.ones(len(start), dtype=bool)
-        new[1:] = (a[1:] != a[:-1]) | (start[1:] != start[:-1] + 1)
-        edge = np.flatnonzero(new)
-        first, last = start[edge], start[np.append(edge[1:], len(start)) - 1]
-        own = a[edge]
+        whole = np.ones(windows, dtype=bool)
+        for a, b in zip(c.at.tolist(), c.at[1:].tolist()):
+            whole[max(a, b - p.width + 1) : b] = False
+        change = np.ones(windows, dtype=bool)
+        change[1:] = (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])
+        edge = np.flatnonzero(change)
+        last = np.append(edge[1:], windows) - 1
+        kept = whole[edge]
+        first, last = edge[kept], last[kept]
+        own = anchor[first]
         content = mix(c.hashes(first, last + p.width) + (own - first).astype(np.uint64))
-        return first + base, last + base, gram[own], content
+        return first + base, last + base, c.hashes(own, own + p.gram), content
 
 
 def _cuts(keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, np.array([(k << bits) // shards for k in range(1, shards)], dtype=np.uint64)), [len(keys)]])
 
 
-@dataclass
-class Sent:
-    """What a block sends to the merge: sorted distinct strings by shard, and the window starts that each stands for."""
-
-    spans: list[list[bytes]]
-    span_of: list[list[int]]
-    windows: list[list[bytes]]
-    starts_of: list[list[list[int]]]
-
-
-def _strings(s: Spans, code: np.ndarray, shards: int, p: RepeatParams) -> Sent:
+class Windows:
+    """The distinct windows of the spans with ``code & 2``, in the order of their hashes, and the starts of their repeats in the block."""
+
+    def __init__(self, s: Spans, code: np.ndarray, p: RepeatParams):
+        spans = np.sort(s.lead[(code & 2) > 0])
+        many = s.last[spans] - s.first[spans] + 1
+        start = np.repeat(s.first[spans] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        parts = []
+        for lo, hi in chunks(s.at):
+            own = start[np.searchsorted(start, s.at[lo]) : np.searchsorted(start, s.at[hi])] - s.at[lo]
+            if len(own):
+                parts.append(Chunk(s.data, s.at, lo, hi).hashes(own, own + p.width))
+        h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = h[1:] != h[:-1]
+        self.hash, self.start, self.again = h[new], start[order[new]], start[order[~new]]
+        self.mark = self.hash >> np.uint64(24)
+
+
+def _span_strings(s: Spans, code: np.ndarray, shards: int, p: RepeatParams) -> tuple[list[list[bytes]], list[list[int]]]:
+    """Sorted suffixes of the spans with ``code & 1`` by shard, and the span of each."""
     body = s.data.tobytes()
-    spans: list[list[tuple[bytes, int]]] = [[] for _ in range(shards)]
-    windows: list[dict[bytes, list[int]]] = [{} for _ in range(shards)]
+    found: list[list[tuple[bytes, int]]] = [[] for _ in range(shards)]
     whole = s.lead[(code & 1) > 0]
     shard = s.content[whole] % np.uint64(shards)
     for k, h, a, b in zip(whole.tolist(), shard.tolist(), s.first[whole].tolist(), s.last[whole].tolist()):
-        spans[h].append((body[a : b + p.width], k))
-    apart = np.sort(s.lead[(code & 2) > 0])
-    digest = hashlib.blake2b
-    for a, b in zip(s.first[apart].tolist(), s.last[apart].tolist()):
-        for k in range(a, b + 1):
-            d = digest(body[k : k + p.width], digest_size=16).digest()
-            windows[int.from_bytes(d[-4:], "little") % shards].setdefault(d, []).append(k)
-    out = Sent([], [], [], [])
-    for h in range(shards):
-        # two spans with the same bytes would differ only in their anchors, which the bytes fix
-        spans[h].sort()
-        out.spans.append([x for x, _ in spans[h]])
-        out.span_of.append([k for _, k in spans[h]])
-        pairs = sorted(windows[h].items())
-        out.windows.append([x for x, _ in pairs])
-        out.starts_of.append([y for _, y in pairs])
-    return out
-
-
-def _codes(s: Spans, answers: pa.Table) -> np.ndarray:
-    answers = answers.sort_by("shard")
-    parts = [unpack(x, np.uint8) for x in column(answers, "code").to_pylist()]
-    return np.concatenate(parts) if parts else np.zeros(len(s.lead), np.uint8)
-
-
-def removed_bytes(s: Spans, code: np.ndarray, flags: pa.Table, shards: int, p: RepeatParams) -> np.ndarray:
+        found[h].append((body[a : b + p.width], k))
+    for x in found:
+        x.sort()  # two spans with the same bytes would differ only in their anchors, which the bytes fix
+    return [[x for x, _ in f] for f in found], [[k for _, k in f] for f in found]
+
+
+def _window_strings(s: Spans, w: Windows, repeated: np.ndarray, shards: int, p: RepeatParams) -> list[list[bytes]]:
+    """128-bit digests of the repeated windows by shard, sorted as their hashes are."""
+    body, digest = s.data.tobytes(), hashlib.blake2b
+    use = np.flatnonzero(repeated)
+    head = w.hash[use].astype(">u8").tobytes()
+    out = [head[8 * k : 8 * k + 8] + digest(body[a : a + p.width], digest_size=8).digest() for k, a in enumerate(w.start[use].tolist())]
+    cuts = np.searchsorted(use, _cuts(w.mark, 40, shards)).tolist()
+    return [out[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _joined(answers: pa.Table, name: str) -> np.ndarray:
+    """A block's codes from all shards, in order."""
+    parts = [unpack(x, np.uint8) for x in column(answers.sort_by("shard"), name).to_pylist()]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+
+
+def removed_bytes(s: Spans, flags: pa.Table, shards: int, p: RepeatParams) -> np.ndarray:
     """Which bytes of the block's rows go."""
     edge = np.zeros(len(s.data) + 1, dtype=np.int64)
 
@@ -257,17 +270,17 @@ def removed_bytes(s: Spans, code: np.ndarray, flags: pa.Table, shards: int, p: R
         np.add.at(edge, first, 1)
         np.add.at(edge, last + p.width, -1)
 
+    flags = flags.sort_by("shard")
+    code = _joined(flags, "code")
     drop(s.first[s.repeats], s.last[s.repeats])
-    sent = _strings(s, code, shards, p)
-    spans, windows = [], []
-    for row in flags.to_pylist():
-        h = row["shard"]
-        spans += [k for k, f in zip(sent.span_of[h], row["span_flags"]) if f]
-        for starts, f in zip(sent.starts_of[h], row["window_flags"]):
-            windows += starts if f else starts[1:]
-    spans, windows = np.array(spans, dtype=np.int64), np.array(windows, dtype=np.int64)
-    drop(s.first[spans], s.last[spans])
-    drop(windows, windows)
+    told = np.frombuffer(b"".join(column(flags, "span_flags").to_pylist()), np.uint8) > 0
+    order = np.array([k for x in _span_strings(s, code, shards, p)[1] for k in x], dtype=np.int64)[told]
+    drop(s.first[order], s.last[order])
+    w = Windows(s, code, p)
+    drop(w.again, w.again)
+    told = np.frombuffer(b"".join(column(flags, "window_flags").to_pylist()), np.uint8) > 0
+    start = w.start[_joined(flags, "window_code") > 0][told]
+    drop(start, start)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -338,18 +351,42 @@ def remove_repeats(docs: DataFrame, output: Callable[[pa.Table, pa.Array, np.nda
         out = [pack(code[a:b]) for a, b in zip(at, at[1:])]
         return pa.table({"_block": table.column("_block"), "shard": table.column("shard"), "code": pa.array(out, pa.binary())})
 
+    def nothing(*binary: str) -> pa.Table:
+        return pa.table({"shard": pa.array([], pa.int32()), "_block": pa.array([], pa.int32())} | {x: pa.array([], pa.binary()) for x in binary})
+
+    def suspect(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        if not len(texts):
+            return nothing("code", "marks")
+        s = Spans(column(_ordered(texts, id_col, text_col), text_col), p)
+        answers = answers.sort_by("shard")
+        w = Windows(s, _joined(answers, "code"), p)
+        cuts = _cuts(w.mark, 40, shards)
+        marks = [pack_sorted(w.mark[a:b]) for a, b in zip(cuts, cuts[1:])]
+        return pa.table({"shard": answers.column("shard"), "_block": answers.column("_block"), "code": answers.column("code"), "marks": pa.array(marks, pa.binary())})
+
+    def compare(table: pa.Table) -> pa.Table:
+        marks = [unpack_sorted(x) for x in column(table, "marks").to_pylist()]
+        at = np.concatenate([[0], np.cumsum([len(m) for m in marks])])
+        _, which, count = np.unique(np.concatenate(marks), return_inverse=True, return_counts=True)
+        repeated = (count[which] > 1).astype(np.uint8)
+        out = [pack(repeated[a:b]) for a, b in zip(at, at[1:])]
+        return pa.table({"_block": table.column("_block"), "shard": table.column("shard"), "code": table.column("code"), "window_code": pa.array(out, pa.binary())})
+
     def send(texts: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(texts):
-            return pa.table({"shard": pa.array([], pa.int32()), "_block": pa.array([], pa.int32()), "code": pa.array([], pa.binary()), "spans": pa.array([], pa.binary()), "windows": pa.array([], pa.binary())})
+            return nothing("code", "window_code", "spans", "windows")
         s = Spans(column(_ordered(texts, id_col, text_col), text_col), p)
-        sent = _strings(s, _codes(s, answers), shards, p)
+        answers = answers.sort_by("shard")
+        code = _joined(answers, "code")
+        windows = _window_strings(s, Windows(s, code, p), _joined(answers, "window_code"), shards, p)
         return pa.table(
             {
-                "shard": pa.array(range(shards), pa.int32()),
-                "_block": pa.array([column(texts, "_block")[0].as_py()] * shards, pa.int32()),
-                "code": column(answers.sort_by("shard"), "code").cast(pa.binary()),
-                "spans": pa.array([front_code(x) for x in sent.spans], pa.binary()),
-                "windows": pa.array([front_code(x) for x in sent.windows], pa.binary()),
+                "shard": answers.column("shard"),
+                "_block": answers.column("_block"),
+                "code": answers.column("code"),
+                "window_code": answers.column("window_code"),
+                "spans": pa.array([front_code(x) for x in _span_strings(s, code, shards, p)[0]], pa.binary()),
+                "windows": pa.array([front_code(x) for x in windows], pa.binary()),
             }
         )
 
@@ -361,6 +398,7 @@ def remove_repeats(docs: DataFrame, output: Callable[[pa.Table, pa.Array, np.nda
                 "_block": table.column("_block"),
                 "shard": table.column("shard"),
                 "code": table.column("code"),
+                "window_code": table.column("window_code"),
                 "span_flags": pa.array(flags["spans"], pa.binary()),
                 "window_flags": pa.array(flags["windows"], pa.binary()),
             }
@@ -372,13 +410,15 @@ def remove_repeats(docs: DataFrame, output: Callable[[pa.Table, pa.Array, np.nda
         if not len(texts):
             return output(texts.select(names), body, np.zeros(1, np.int64), np.zeros(0, bool))
         s = Spans(body, p)
-        gone = removed_bytes(s, _codes(s, flags), flags, shards, p)
+        gone = removed_bytes(s, flags, shards, p)
         return output(texts.select(names), body, s.at, gone)
 
     proposed = dealt.groupBy("_block").applyInArrow(propose, "shard int, _block int, grams binary, contents binary")
     judged = proposed.groupBy("shard").applyInArrow(judge, "_block int, shard int, code binary")
-    sent = dealt.groupBy("_block").cogroup(judged.groupBy("_block")).applyInArrow(send, "shard int, _block int, code binary, spans binary, windows binary")
-    merged = sent.groupBy("shard").applyInArrow(merge, "_block int, shard int, code binary, span_flags binary, window_flags binary")
+    suspected = dealt.groupBy("_block").cogroup(judged.groupBy("_block")).applyInArrow(suspect, "shard int, _block int, code binary, marks binary")
+    compared = suspected.groupBy("shard").applyInArrow(compare, "_block int, shard int, code binary, window_code binary")
+    sent = dealt.groupBy("_block").cogroup(compared.groupBy("_block")).applyInArrow(send, "shard int, _block int, code binary, window_code binary, spans binary, windows binary")
+    merged = sent.groupBy("shard").applyInArrow(merge, "_block int, shard int, code binary, window_code binary, span_flags binary, window_flags binary")
     return dealt.groupBy("_block").cogroup(merged.groupBy("_block")).applyInArrow(cut, schema)
 
 
