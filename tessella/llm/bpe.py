@@ -30,7 +30,7 @@ from .arrowtext import Chunk, chunks, column, raw
 #: whatever their neighbours are and are lower-cased alike everywhere, but for U+0130; four control characters are white space to some.
 _PLAIN_BELOW = 0x240
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 700_000
 _CHUNK_BYTES = 2 << 20
 
 
@@ -278,7 +278,9 @@ class TrieEncoder:
             words, which, at = list(number), np.concatenate(runs), np.concatenate([[0], np.cumsum([len(x) for x in runs])])
         cache = self.cache
         if len(cache) > _CACHED_WORDS:
+            kept = {w: cache[w] for w in words if w in cache}
             cache.clear()
+            cache.update(kept)
         new = [w for w in words if w not in cache]
         specials = {k.encode(): i for k, i in self.special.items()}
         for word, ids in self.encode_words([w for w in new if w not in specials]).items():
