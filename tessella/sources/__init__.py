@@ -1 +1,27 @@
-"""Sources of the library."""
+"""Views of the given tables in the shapes that the operators take."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, t in days since the start of 2024, x): the events of each user as a series."""
+    t = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) / 86400000000.0D")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("series_id"), t.alias("t"), F.col("value").alias("x"))
+
+
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, win_id, start_s, end_s, intensity): each event as an interval as long as its value says."""
+    t = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts) / 86400000000.0D")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("series_id"), F.col("event_id").alias("win_id"), t.alias("start_s"), (t + F.col("value") / 1000.0).alias("end_s"), F.col("value").alias("intensity"))
+
+
+def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, seq, text): the turns of each conversation."""
+    return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("series_id"), F.col("turn").alias("seq"), "text")
