@@ -6,6 +6,7 @@ row where that row alone is longer.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +50,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def release() -> None:
+    """Give freed memory back, so that a worker which lives on does not hold the largest of its tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def column(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
     """One column as a single array; a text column has its nulls replaced by the empty text."""
     out = batch.column(name)

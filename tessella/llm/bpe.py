@@ -15,7 +15,6 @@ import gc
 import hashlib
 import json
 import re
-import struct
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
@@ -30,7 +29,7 @@ from .arrowtext import Chunk, chunks, column, raw
 #: whatever their neighbours are and are lower-cased alike everywhere, but for U+0130; four control characters are white space to some.
 _PLAIN_BELOW = 0x240
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
-_CACHED_WORDS = 700_000
+_CACHED_WORDS = 1_500_000
 _CHUNK_BYTES = 2 << 20
 
 
@@ -126,7 +125,7 @@ class TrieEncoder:
         self._stable: dict[tuple[int, int], bool] = {}
         self._starts = {t[:k] for t in self.vocab for k in range(1, len(t) + 1)}
         self._steps: dict[str, dict] = {}
-        self.cache: dict[bytes, bytes] = {}
+        self._forget()
 
     # -- words of a text ---------------------------------------------------------------------------------------
 
@@ -210,7 +209,9 @@ class TrieEncoder:
         root: dict = {}
         deepest, end = 0, self.end
         for word in sorted(words):  # neighbours in memory are then neighbours in the trie
-            text = word.decode("latin-1").translate(self._symbols)
+            text = word.decode("latin-1")
+            if not (word.isascii() and text.isprintable()):
+                text = text.translate(self._symbols)
             node = root
             for symbol in text[:-1]:
                 below = node.get(symbol)
@@ -260,7 +261,7 @@ class TrieEncoder:
     # -- texts -------------------------------------------------------------------------------------------------
 
     def encode(self, texts: pa.Array) -> "Encoded":
-        """Encode some rows of text without nulls."""
+        """Encode some rows of text without nulls. Words are told apart by 64-bit hashes."""
         source = Chunk(*raw(texts), 0, len(texts))
         odd = _odd_rows(source)
         for special in self.special:
@@ -268,34 +269,62 @@ class TrieEncoder:
         plain = pc.if_else(pa.array(odd), "", texts) if odd.any() else texts
         c = Chunk(*raw(pc.utf8_lower(plain)), 0, len(texts))
         start, end, row = split_words(c)
-        keys, first, which = np.unique(c.hashes(start, end), return_index=True, return_inverse=True)
-        body = c.data.tobytes()
-        words = [body[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
+        hashes, body = c.hashes(start, end), c.data.tobytes()
         at = np.searchsorted(row, np.arange(len(texts) + 1))
         if odd.any():
-            number = {w: k for k, w in enumerate(words)}
-            runs = [which[at[k] : at[k + 1]] if not odd[k] else np.array([number.setdefault(w, len(number)) for w in self._odd_words(texts[k].as_py())], dtype=np.int64) for k in range(len(texts))]
-            words, which, at = list(number), np.concatenate(runs), np.concatenate([[0], np.cumsum([len(x) for x in runs])])
-        cache = self.cache
-        if len(cache) > _CACHED_WORDS:
-            kept = {w: cache[w] for w in words if w in cache}
-            cache.clear()
-            cache.update(kept)
-        new = [w for w in words if w not in cache]
-        specials = {k.encode(): i for k, i in self.special.items()}
-        for word, ids in self.encode_words([w for w in new if w not in specials]).items():
-            cache[word] = struct.pack(f"<{len(ids)}I", *ids)
-        cache.update({w: struct.pack("<I", specials[w]) for w in new if w in specials})
-        return Encoded([cache[w] for w in words], which, at)
+            found = {k: self._odd_words(texts[k].as_py()) for k in np.flatnonzero(odd).tolist()}
+            more = [w for k in sorted(found) for w in found[k]]
+            ends = np.cumsum([len(w) for w in more], dtype=np.int64)
+            begins = ends - np.array([len(w) for w in more], dtype=np.int64)
+            extra = np.frombuffer(b"".join(more), np.uint8)
+            count = np.diff(at)
+            count[list(found)] = [len(found[k]) for k in found]
+            place = np.repeat(odd, count)
+            joined = [np.zeros(len(place), x.dtype) for x in (hashes, start, end)]
+            other = Chunk(extra, np.array([0, len(extra)]), 0, 1).hashes(begins, ends), begins + len(body), ends + len(body)
+            for whole, usual, special in zip(joined, (hashes, start, end), other):
+                whole[~place], whole[place] = usual, special
+            hashes, start, end = joined
+            body += extra.tobytes()
+            at = np.concatenate([[0], np.cumsum(count)])
+        keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        self._learn(keys, first, start, end, body)
+        k = np.searchsorted(self._keys, keys)
+        begin, size = self._begin[k], self._size[k]
+        ends = np.cumsum(size)
+        flat = self._ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
+        return Encoded(flat, size, which, at)
+
+    def _learn(self, keys: np.ndarray, first: np.ndarray, start: np.ndarray, end: np.ndarray, body: bytes) -> None:
+        """Encode the words that are not known yet."""
+        if len(self._keys) > _CACHED_WORDS:
+            self._forget()
+        k = np.searchsorted(self._keys, keys)
+        missing = np.flatnonzero(self._keys[np.minimum(k, len(self._keys) - 1)] != keys) if len(self._keys) else np.arange(len(keys))
+        if not len(missing):
+            return
+        words = [body[a:b] for a, b in zip(start[first[missing]].tolist(), end[first[missing]].tolist())]
+        special = {k.encode(): (i,) for k, i in self.special.items()}
+        ids = self.encode_words([w for w in words if w not in special]) | special
+        new = [ids[w] for w in words]
+        size = np.array([len(x) for x in new], dtype=np.int64)
+        begin = len(self._ids) + np.cumsum(size) - size
+        self._ids = np.concatenate([self._ids, np.array([i for x in new for i in x], dtype=np.uint32)])
+        keys = np.concatenate([self._keys, keys[missing]])
+        order = np.argsort(keys, kind="stable")
+        self._keys, self._begin, self._size = keys[order], np.concatenate([self._begin, begin])[order], np.concatenate([self._size, size])[order]
+
+    def _forget(self) -> None:
+        self._keys = np.zeros(0, np.uint64)
+        self._begin, self._size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._ids = np.zeros(0, np.uint32)
 
 
 class Encoded:
-    """Token ids of some rows: the ids of their distinct words, and which word stands where."""
+    """Token ids of some rows: the ids of their distinct words, how many each has, and which word stands where."""
 
-    def __init__(self, word_ids: list[bytes], which: np.ndarray, at: np.ndarray):
-        self.word_ids, self.which, self.at = word_ids, which, at
-        self._flat = np.frombuffer(b"".join(word_ids), dtype="<u4")
-        self._size = np.array([len(x) // 4 for x in word_ids], dtype=np.int64)
+    def __init__(self, flat: np.ndarray, size: np.ndarray, which: np.ndarray, at: np.ndarray):
+        self._flat, self._size, self.which, self.at = flat, size, which, at
 
     def ids(self) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the n + 1 offsets of the rows among them."""

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import Chunk, chunks, column, mix, raw
+from .arrowtext import Chunk, chunks, column, mix, raw, release
 
 UNKNOWN = "und"
 
@@ -173,5 +173,6 @@ def accepted(docs: DataFrame, model: LangModel, text_col: str = "text") -> DataF
                 for lo, counts in _counts(texts, model.params):
                     best[lo : lo + len(counts)] = (_vectors(counts, model.idf) @ model.centroids.T).max(axis=1)
             yield batch.filter(pa.array(good & (best >= model.params.least_cosine)))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

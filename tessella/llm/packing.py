@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import column
+from .arrowtext import column, release
 from .bpe import encoded
 from .graph import ensure_checkpoint_dir
 
@@ -170,6 +170,7 @@ def tokenised(docs: DataFrame, tokenizer: str, p: PackParams = PackParams(), id_
             ids = ids.astype(kind)
             body = [ids[a:b].tobytes() + end for a, b in zip(at.tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([keys, pa.array(np.diff(at) + 1), pa.array(body, pa.binary()), pa.array([wide] * len(body))], [id_col, "n", "ids", "wide"])
+        release()
 
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, n long, ids binary, wide boolean")
 
@@ -218,5 +219,6 @@ def pack(docs: DataFrame, tokenizer: str, p: PackParams = PackParams(), id_col:
                     keys, arrays, held = [], [], 0
         if keys:
             yield flush(keys, arrays)
+        release()
 
     return tokens.mapInArrow(run, f"{id_col} long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

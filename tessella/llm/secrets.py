@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import Chunk, chunks, column, raw
+from .arrowtext import Chunk, chunks, column, raw, release
 
 #: ("all",) is satisfied by every text; ("and" | "or", parts) combine; a string is a trigram.
 Query = tuple | str
@@ -181,6 +181,7 @@ def find_spans(rules: tuple[Rule, ...], batches: Iterator[pa.RecordBatch], text_
             for s in spans:
                 s.sort()
             yield batch, lo, spans
+    release()
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .arrowtext import Chunk, chunks, column, mix, raw
+from .arrowtext import Chunk, chunks, column, mix, raw, release
 from .lm_score import pack, pack_sorted, unpack, unpack_sorted
 
 
@@ -41,7 +41,7 @@ _SPAN_CHUNK = 1 << 16
 class RepeatParams:
     width: int = 100
     gram: int = 32
-    block_bytes: int = 8 << 20
+    block_bytes: int = 4 << 20
     #: Bytes of text whose spans meet in one shard, about.
     shard_bytes: int = 32 << 20
 
@@ -165,6 +165,7 @@ class Spans:
     """The spans of some rows in order: first and last window start, row, and 64-bit hashes of anchor and content."""
 
     def __init__(self, texts: pa.Array, p: RepeatParams):
+        release()
         self.data, self.at = raw(texts)
         parts = [self._of(Chunk(self.data, self.at, lo, hi), int(self.at[lo]), p) for lo, hi in chunks(self.at, _SPAN_CHUNK)]
         parts.append((np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2)
@@ -391,6 +392,7 @@ def remove_repeats(docs: DataFrame, output: Callable[[pa.Table, pa.Array, np.nda
         )
 
     def merge(table: pa.Table) -> pa.Table:
+        release()
         table = table.sort_by("_block")
         flags = {name: [bytes(x) for x in merge_runs([front_decode(x) for x in column(table, name).to_pylist()])] for name in ("spans", "windows")}
         return pa.table(
