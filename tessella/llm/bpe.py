@@ -29,7 +29,7 @@ from .arrowtext import Chunk, chunks, column, raw
 #: whatever their neighbours are and are lower-cased alike everywhere, but for U+0130; four control characters are white space to some.
 _PLAIN_BELOW = 0x240
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
-_CACHED_WORDS = 1_500_000
+_CACHED_WORDS = 1_000_000
 _CHUNK_BYTES = 2 << 20
 
 
@@ -146,7 +146,7 @@ class TrieEncoder:
         """Whether the two tokens, encoded together, stay these two."""
         known = self._stable.get((left, right))
         if known is None:
-            if len(self._stable) > 4_000_000:
+            if len(self._stable) > 400_000:
                 self._stable.clear()
             known = self._stable[left, right] = self._border_holds(left, right, 1 << 62)
         return known
@@ -290,7 +290,7 @@ class TrieEncoder:
         keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         self._learn(keys, first, start, end, body)
         k = np.searchsorted(self._keys, keys)
-        begin, size = self._begin[k], self._size[k]
+        begin, size = self._begin[k].astype(np.int64), self._size[k].astype(np.int64)
         ends = np.cumsum(size)
         flat = self._ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
         return Encoded(flat, size, which, at)
@@ -312,11 +312,11 @@ class TrieEncoder:
         self._ids = np.concatenate([self._ids, np.array([i for x in new for i in x], dtype=np.uint32)])
         keys = np.concatenate([self._keys, keys[missing]])
         order = np.argsort(keys, kind="stable")
-        self._keys, self._begin, self._size = keys[order], np.concatenate([self._begin, begin])[order], np.concatenate([self._size, size])[order]
+        self._keys, self._begin, self._size = keys[order], np.concatenate([self._begin, begin.astype(np.int32)])[order], np.concatenate([self._size, size.astype(np.int32)])[order]
 
     def _forget(self) -> None:
         self._keys = np.zeros(0, np.uint64)
-        self._begin, self._size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._begin, self._size = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self._ids = np.zeros(0, np.uint32)
 
 
