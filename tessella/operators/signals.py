@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,16 +14,16 @@ def rounded(x: Column, digits: int = 3) -> Column:
     return F.floor(x * scale + 0.5) / F.lit(float(scale))
 
 
-def upper_median(x: Column) -> Column:
-    """The middle value, or the upper of the two middle ones; never their mean."""
-    values = F.sort_array(F.collect_list(x))
-    return F.element_at(values, F.floor(F.size(values) / 2).cast("int") + 1)
+def upper_median(x: str) -> Column:
+    """The middle value of a column, or the upper of the two middle ones; never their mean. It is merged from counts of distinct
+    values, so partial results leave the map side and no list of a whole series is held."""
+    return F.expr(f"percentile_disc(0.5D) WITHIN GROUP (ORDER BY {x} DESC)")
 
 
 def robust_stats(samples: DataFrame, floor: float) -> DataFrame:
     """(series_id, n, med, mad): upper median and upper median of absolute deviations, at least ``floor``."""
-    med = samples.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), upper_median(F.col("x")).alias("med"))
-    spread = samples.join(med, "series_id").groupBy("series_id").agg(upper_median(F.abs(F.col("x") - F.col("med"))).alias("raw_mad"))
+    med = samples.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), upper_median("x").alias("med"))
+    spread = samples.join(med, "series_id").withColumn("off", F.abs(F.col("x") - F.col("med"))).groupBy("series_id").agg(upper_median("off").alias("raw_mad"))
     return med.join(spread, "series_id").select("series_id", "n", "med", F.greatest("raw_mad", F.lit(floor)).alias("mad"))
 
 
@@ -92,3 +94,55 @@ def decimate(samples: DataFrame, most: int = 60) -> DataFrame:
     sized = samples.withColumns({"pos": rn, "n": F.count(F.lit(1)).over(Window.partitionBy("series_id"))})
     step = F.greatest(F.lit(1), F.floor(F.col("n") / float(most)).cast("int"))
     return sized.withColumn("step", step).where("pos % step = 0").where(F.col("pos") / F.col("step") < most).select("series_id", "t", "x", "n")
+
+
+def colour_outliers(frames: DataFrame, most: int = 50) -> DataFrame:
+    """(series_id, t, distance): frames (series_id, t, brightness, saturation, u, v) whose colour is far from their series' middle.
+
+    Brightness and saturation are measured in MADs (1 at least) and joined as a length; hue, where every frame has chroma, along the
+    shorter arc in MADs (0.02 at least). Over 1.8 in length or 2 in hue counts. Series of under eight frames have none; the ``most``
+    farthest of a series stay, the earliest of equals.
+    """
+    valid = frames.where("saturation IS NOT NULL AND brightness IS NOT NULL").withColumn("hue", F.atan2("v", "u"))
+    arc = lambda d: F.least(d, 2 * math.pi - d)
+    away = {"saturation": F.abs(F.col("saturation") - F.col("mid_saturation")), "brightness": F.abs(F.col("brightness") - F.col("mid_brightness")), "hue": arc(F.abs(F.col("hue") - F.col("mid_hue")))}
+    mids = valid.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("hue").isNotNull()).alias("hued"), *(upper_median(c).alias(f"mid_{c}") for c in away)).where("n >= 8")
+    far = valid.join(mids, "series_id").withColumns({f"off_{c}": x for c, x in away.items()})
+    floors = {"saturation": 1.0, "brightness": 1.0, "hue": 0.02}
+    spread = far.groupBy("series_id").agg(*(F.greatest(upper_median(f"off_{c}"), F.lit(floors[c])).alias(f"mad_{c}") for c in away))
+    part = lambda c: F.col(f"off_{c}") / F.col(f"mad_{c}")
+    length = F.sqrt(part("saturation") * part("saturation") + part("brightness") * part("brightness"))
+    turn = F.when(F.col("hued"), part("hue")).otherwise(0.0)
+    found = far.join(spread, "series_id").withColumns({"length": length, "turn": turn}).where("length > 1.8D OR turn > 2.0D").withColumn("distance", rounded(F.greatest("length", "turn"), 1))
+    place = F.row_number().over(Window.partitionBy("series_id").orderBy(F.desc("distance"), "t"))
+    return found.withColumn("place", place).where(F.col("place") <= most).select("series_id", "t", "distance")
+
+
+def merge_series(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two series (series_id, t, ...) side by side, rows of either kept; of a series' rows at one time the last by their values counts."""
+    last = lambda df: df.groupBy("series_id", "t").agg(*(F.max(c).alias(c) for c in df.columns if c not in ("series_id", "t")))
+    return last(left).join(last(right), ["series_id", "t"], "full")
+
+
+def tail_median(samples: DataFrame, share: float = 0.8) -> DataFrame:
+    """(series_id, n, med): upper median of what follows the first ``share`` of each series."""
+    number = F.row_number().over(Window.partitionBy("series_id").orderBy("t"))
+    sized = samples.withColumns({"rn": number, "n": F.count(F.lit(1)).over(Window.partitionBy("series_id"))})
+    return sized.where(F.col("rn") > F.floor(F.col("n") * share)).groupBy("series_id").agg(F.first("n").alias("n"), upper_median("x").alias("med"))
+
+
+def cached_lookup(targets: DataFrame, cached: DataFrame, tolerance: float = 0.05) -> DataFrame:
+    """For each (series_id, t) the cached frame (series_id, t, resolution, file) at that time, else the nearest within ``tolerance``;
+    the highest resolution that has one wins, null where none has."""
+    a, b = targets.alias("a"), cached.alias("b")
+    off = F.abs(F.col("b.t") - F.col("a.t"))
+    pairs = a.join(b, (F.col("a.series_id") == F.col("b.series_id")) & (off <= tolerance), "left").select("a.series_id", F.col("a.t").alias("t"), F.col("b.t").alias("found_t"), "b.resolution", "b.file", off.alias("off"))
+    best = F.max_by(F.struct("found_t", "resolution", "file"), F.struct("resolution", -F.col("off"), -F.col("found_t")))
+    return pairs.groupBy("series_id", "t").agg(best.alias("best")).select("series_id", "t", "best.found_t", "best.resolution", "best.file")
+
+
+def new_labels(arriving: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows (series_id, label, arrival, ...) whose label their series does not have yet; of equals the first to arrive."""
+    first = F.row_number().over(Window.partitionBy("series_id", "label").orderBy("arrival"))
+    fresh = arriving.join(kept.select("series_id", "label"), ["series_id", "label"], "left_anti")
+    return fresh.withColumn("nth", first).where("nth = 1").drop("nth")

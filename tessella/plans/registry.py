@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella import sources
 from tessella.functions import text
 from tessella.operators import intervals, planning, signals
+from tessella.plans.base import ORACLE_SQL, QUERIES
+from tessella.plans.base import register as _register
 
 _T = "(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 86400000000.0"
 _SAMPLES = f"samples AS (SELECT user_id AS series_id, {_T} AS t, value AS x FROM events)"
@@ -21,19 +21,6 @@ _MERGED = """opened AS (SELECT *, CASE WHEN start_s <= max(end_s) OVER (PARTITIO
 numbered AS (SELECT *, sum(opens) OVER (PARTITION BY series_id ORDER BY start_s, end_s ROWS UNBOUNDED PRECEDING) AS seg FROM opened),
 merged AS (SELECT series_id, CAST(seg AS BIGINT) AS seg, min(start_s) AS start_s, max(end_s) AS end_s, max(intensity) AS intensity FROM numbered GROUP BY 1, 2)"""
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def _register(sql: str) -> Callable[[Query], Query]:
-    def add(query: Query) -> Query:
-        QUERIES[query.__name__], ORACLE_SQL[query.__name__] = query, sql
-        return query
-
-    return add
-
-
 @_register(f"WITH {_SAMPLES}, {_STATS.format(floor='1.0')} SELECT series_id, n, med, mad FROM stats")
 def robust_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.robust_stats(sources.samples(spark, sf_dir), 1.0)
@@ -246,3 +233,8 @@ def clock_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host, regexp_matches(url, '^https?://') AS is_web FROM pages")
 def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.table(spark, sf_dir, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("PROTOCOL")).isin("http", "https").alias("is_web"))
+
+
+from tessella.plans import document_queries, log_queries, plan_queries, rule_queries  # noqa: E402, F401
+
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,3 +27,47 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series_id, seq, text): the turns of each conversation."""
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("series_id"), F.col("turn").alias("seq"), "text")
+
+
+def media_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, content): for each event a log text in the shapes that ``logs`` reads, its numbers taken from the event."""
+    row = table(spark, sf_dir, "events").select(F.col("event_id").alias("series_id"), F.floor("value").alias("k"), (F.col("event_id") % 7).alias("j"))
+    lines = (
+        "lavfi.scd.score={k}.5 lavfi.scd.time={j}.25",
+        "lavfi.scd.score={k+3}.5 lavfi.scd.time={j+2}.75",
+        "black_start:{j} black_end:{j+2}.5 black_duration:2.5",
+        "silence_start: {j}.5",
+        "silence_end: {j+1}.75 | silence_duration: 1.25",
+        "silence_start: {j+4}.125",
+        "freeze_start: {j+1}",
+        "freeze_duration: 2.5",
+        "crop={k+100}:{j+200}:{j}:{k}",
+        "crop={k+50}:{j+150}:{j+1}:{k}",
+        "I: -{k}.5 LUFS",
+        "LRA: {j}.5 LU",
+        "# frame:0 pts_time:{j}.5",
+        "lavfi.blur={k}.25",
+        "lavfi.siti.si={k}.5",
+        "lavfi.siti.ti={j}.5",
+        "lavfi.scd.score={j}",
+        "lavfi.signalstats.YAVG={k}",
+        "lavfi.signalstats.UAVG={j+120}",
+        "lavfi.signalstats.VAVG=125",
+        "frame:1 pts_time:{j+1}.5",
+        "lavfi.blur={k+1}.25",
+        "lavfi.siti.si={k+1}.5",
+        "lavfi.siti.ti={j+1}.5",
+        "lavfi.signalstats.YAVG={k+1}",
+    )
+    parts = [F.expr(p) if i % 2 else F.lit(p) for i, p in enumerate(re.split(r"[{}]", "\n".join(lines)))]
+    return row.select("series_id", F.concat(*parts).alias("content"))
+
+
+def subtitle_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, content): two subtitle blocks for each event, and one without a text."""
+    e = "CAST(event_id % 50 AS STRING)"
+    pad = f"lpad({e}, 2, '0')"
+    content = F.expr(
+        f"concat('1\r\n00:', {pad}, ':01,500 --> 00:', {pad}, ':03,250\r\n<i>', event_type, '</i> &amp;lt;\r\n  ', {e}, '\r\n\r\n2\r\n', {pad}, ':05.000 --> ', {pad}, ':09.900\r\n&quot;', {e}, '&quot;\r\n\r\n3\r\n00:00:01,000 --> 00:00:02,000\r\n<b></b>')"
+    )
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("series_id"), content.alias("content"))
