@@ -107,7 +107,7 @@ def crop_box(logs: DataFrame, frame_w: int, frame_h: int, nearly: float = 0.95,
     read = logs.select("series_id", *(F.regexp_extract_all("content", F.lit(pattern), k + 1).cast("array<int>").alias(n) for k, n in enumerate(names)))
     first = F.floor(F.size("w") * 0.8).cast("int") + 1
     tail = lambda n: F.sort_array(F.slice(n, first, F.size(n)))
-    middle = [F.element_at(tail(n), F.floor(F.size(tail(n)) / 2).cast("int") + 1).alias(n) for n in names]
+    middle = [F.get(tail(n), F.floor(F.size(tail(n)) / 2).cast("int")).alias(n) for n in names]
     boxes = read.where(F.size("w") > 0).select("series_id", *middle)
     kept = boxes.where(~((F.col("w") >= frame_w * nearly) & (F.col("h") >= frame_h * nearly)) & (F.col("w") >= least) & (F.col("h") >= least))
     return kept.select("series_id", "x", "y", "w", "h", (F.floor(F.col("w") * F.col("h") / float(frame_w * frame_h) * 1000 + 0.5) / 10.0).alias("area_pct"))
@@ -125,8 +125,8 @@ def subtitles(logs: DataFrame) -> DataFrame:
     blocks = logs.select("series_id", F.posexplode(F.split(F.regexp_replace("content", "\r", ""), r"\n{2,}")).alias("seq", "block"))
     lines = F.filter(F.transform(F.split("block", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     placed = blocks.select("series_id", "seq", lines.alias("lines")).withColumn("at", F.array_position(F.transform("lines", lambda x: F.contains(x, F.lit("-->"))), True).cast("int")).where("at > 0")
-    times = F.split(F.element_at("lines", F.col("at")), "-->")
-    rows = placed.select("series_id", "seq", F.trim(times[0]).alias("a"), F.trim(times[1]).alias("b"), plain_text(F.array_join(F.slice("lines", F.col("at") + 1, F.size("lines")), " ")).alias("text"))
+    times = F.split(F.get("lines", F.col("at") - 1), "-->")
+    rows = placed.select("series_id", "seq", F.trim(F.get(times, 0)).alias("a"), F.trim(F.get(times, 1)).alias("b"), plain_text(F.array_join(F.slice("lines", F.col("at") + 1, F.size("lines")), " ")).alias("text"))
     return rows.where("a <> '' AND b <> '' AND text <> ''").select("series_id", "seq", _subtitle_seconds(F.col("a")).alias("start_s"), _subtitle_seconds(F.col("b")).alias("end_s"), "text")
 
 
