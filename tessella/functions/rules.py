@@ -126,16 +126,16 @@ def centre_box(frame_w: Column, frame_h: Column, share: float = 0.6) -> Column:
 
 
 def transcript_doubts(segments: DataFrame, context: DataFrame) -> DataFrame:
-    """(series_id, doubts): what speaks against transcripts (series_id, seq, start_s, end_s, text), given (series_id, duration_s).
+    """(series_id, doubts): what speaks against transcripts (series_id, seq, start_s, end_s, text), given (series_id, duration_s, loudness).
 
-    ``lone``: one segment of four words at most on less than five seconds. ``overrun``: the last segment ends over thirty seconds
+    ``quiet``: a loudness below -28; null says nothing. ``lone``: one segment of four words at most on less than five seconds. ``overrun``: the last segment ends over thirty seconds
     after the asset. Repeats and made-up phrases are ``text.transcript_verdict``'s part. Series without segments have no row.
     """
     last = segments.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.max_by("text", "seq").alias("text"), F.max_by("end_s", "seq").alias("last_end"))
     words = F.size(F.split(F.regexp_replace(F.trim("text"), r"^\s+|\s+$", ""), r"\s+"))
     lone = (F.col("n") == 1) & (F.col("duration_s") < 5) & (words <= 4)
     overrun = (F.col("duration_s") > 0) & (F.col("last_end") > F.col("duration_s") + 30)
-    named = F.array_compact(F.array(F.when(lone, F.lit("lone")), F.when(overrun, F.lit("overrun"))))
+    named = F.array_compact(F.array(F.when(F.col("loudness") < -28, F.lit("quiet")), F.when(lone, F.lit("lone")), F.when(overrun, F.lit("overrun"))))
     return last.join(context, "series_id").select("series_id", F.array_join(named, ",").alias("doubts"))
 
 

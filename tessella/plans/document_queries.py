@@ -94,14 +94,14 @@ def tail_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"""WITH s AS (SELECT user_id AS series_id, event_id, {_T} AS t FROM events), a AS (SELECT DISTINCT series_id, t FROM s WHERE event_id % 2 = 0), b AS (SELECT series_id, t, CASE event_id % 3 WHEN 0 THEN 384 WHEN 1 THEN 512 ELSE 1024 END AS resolution, event_id AS file FROM s WHERE event_id % 5 <> 0),
+    f"""WITH s AS (SELECT user_id AS series_id, event_id, {_T} AS t FROM events), a AS (SELECT DISTINCT series_id, t FROM s WHERE event_id % 2 = 0), b AS (SELECT series_id, t, CASE event_id % 3 WHEN 0 THEN 384 WHEN 1 THEN 512 ELSE 1024 END AS resolution, event_id AS file FROM s WHERE event_id % 2 = 1),
 p AS (SELECT a.series_id, a.t, b.t AS found_t, resolution, file, row_number() OVER (PARTITION BY a.series_id, a.t ORDER BY resolution DESC, abs(b.t - a.t), b.t) AS place FROM a LEFT JOIN b ON a.series_id = b.series_id AND abs(b.t - a.t) <= 0.05)
 SELECT series_id, t, found_t, resolution, file FROM p WHERE place = 1"""
 )
 def cached_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sources.windows(spark, sf_dir).select("series_id", "win_id", F.col("start_s").alias("t"))
     resolution = F.expr("CASE win_id % 3 WHEN 0 THEN 384 WHEN 1 THEN 512 ELSE 1024 END")
-    cached = rows.where("win_id % 5 <> 0").select("series_id", "t", resolution.alias("resolution"), F.col("win_id").alias("file"))
+    cached = rows.where("win_id % 2 = 1").select("series_id", "t", resolution.alias("resolution"), F.col("win_id").alias("file"))
     return signals.cached_lookup(rows.where("win_id % 2 = 0").select("series_id", "t").distinct(), cached)
 
 

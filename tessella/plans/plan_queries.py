@@ -10,7 +10,7 @@ from tessella.operators import planning
 from tessella.plans.base import register
 
 _T = "(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 86400000000.0"
-_SEGMENTS = f"""windows AS (SELECT user_id AS series_id, {_T} AS start_s, {_T} + value / 1000.0 AS end_s, value AS intensity FROM events WHERE user_id % 3 <> 1 OR value > 300),
+_SEGMENTS = f"""windows AS (SELECT user_id AS series_id, {_T} AS start_s, {_T} + value / 1000.0 AS end_s, value AS intensity FROM events),
 req AS (SELECT DISTINCT user_id AS series_id, CAST(CASE WHEN user_id % 3 = 1 THEN 4 ELSE 40 END AS BIGINT) AS budget FROM events),
 cl AS (SELECT series_id, greatest(start_s, 0.0) AS start_s, least(end_s, 31.0) AS end_s, intensity FROM windows WHERE least(end_s, 31.0) > greatest(start_s, 0.0) + 0.2),
 op AS (SELECT *, CASE WHEN start_s <= max(end_s) OVER (PARTITION BY series_id ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM cl),
@@ -31,7 +31,7 @@ segments AS (SELECT series_id, start_s, end_s, kind, greatest(CASE WHEN kind = '
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    windows = sources.windows(spark, sf_dir).where("series_id % 3 <> 1 OR intensity > 300").select("series_id", "start_s", "end_s", "intensity")
+    windows = sources.windows(spark, sf_dir).select("series_id", "start_s", "end_s", "intensity")
     users = sources.table(spark, sf_dir, "events").select(F.col("user_id").alias("series_id")).distinct()
     requests = users.select("series_id", F.lit(0.0).alias("start0"), F.lit(31.0).alias("end0"), F.when(F.col("series_id") % 3 == 1, 4).otherwise(40).cast("long").alias("budget"))
     return planning.adaptive_segments(windows, requests)

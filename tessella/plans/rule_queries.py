@@ -88,21 +88,21 @@ def centre_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("confidence", rules.crop_confidence(F.col("area_pct")))
 
 
-_SEGMENTS = "s AS (SELECT conv_id AS series_id, turn AS seq, turn * 10.0e0 AS start_s, turn * 10.0e0 + 8 AS end_s, text FROM conversations WHERE conv_id % 3 > 0 OR turn = 0)"
+_SEGMENTS = "s AS (SELECT conv_id AS series_id, turn AS seq, turn * 10.0e0 AS start_s, turn * 10.0e0 + 8 AS end_s, text FROM conversations)"
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sources.table(spark, sf_dir, "conversations").where("conv_id % 3 > 0 OR turn = 0")
+    rows = sources.table(spark, sf_dir, "conversations")
     return rows.select(F.col("conv_id").alias("series_id"), F.col("turn").alias("seq"), (F.col("turn") * 10.0).alias("start_s"), (F.col("turn") * 10.0 + 8).alias("end_s"), "text")
 
 
 @register(
     f"""WITH {_SEGMENTS}, l AS (SELECT series_id, count(*) AS n, arg_max(text, seq) AS text, arg_max(end_s, seq) AS e, CAST(series_id % 7 AS DOUBLE) AS d FROM s GROUP BY series_id)
-SELECT series_id, concat_ws(',', CASE WHEN n = 1 AND d < 5 AND len(regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) <= 4 THEN 'lone' END, CASE WHEN d > 0 AND e > d + 30 THEN 'overrun' END) AS doubts FROM l"""
+SELECT series_id, concat_ws(',', CASE WHEN series_id % 5 = 3 THEN 'quiet' END, CASE WHEN n = 1 AND d < 5 AND len(regexp_split_to_array(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) <= 4 THEN 'lone' END, CASE WHEN d > 0 AND e > d + 30 THEN 'overrun' END) AS doubts FROM l"""
 )
 def transcript_doubts(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments = _segments(spark, sf_dir)
-    context = segments.select("series_id").distinct().withColumn("duration_s", (F.col("series_id") % 7).cast("double"))
+    context = segments.select("series_id").distinct().withColumns({"duration_s": (F.col("series_id") % 7).cast("double"), "loudness": F.when(F.col("series_id") % 5 < 4, -14.0 * (F.col("series_id") % 5))})
     return rules.transcript_doubts(segments, context)
 
 
