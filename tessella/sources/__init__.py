@@ -71,3 +71,15 @@ def subtitle_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"concat('1\r\n00:', {pad}, ':01,500 --> 00:', {pad}, ':03,250\r\n<i>', event_type, '</i> &amp;lt;\r\n  ', {e}, '\r\n\r\n2\r\n', {pad}, ':05.000 --> ', {pad}, ':09.900\r\n&quot;', {e}, '&quot;\r\n\r\n3\r\n00:00:01,000 --> 00:00:02,000\r\n<b></b>')"
     )
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("series_id"), content.alias("content"))
+
+
+def mask_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, frame, x, y) on a grid of 160 x 90: each event lights one pixel of one of its user's 24 frames."""
+    x, y = F.floor(F.col("value") / 8).cast("int") + 40, (F.col("event_id") % 30).cast("int") + 20
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("series_id"), (F.col("event_id") % 24).cast("int").alias("frame"), x.alias("x"), y.alias("y")).distinct()
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, manifest): a session for each event, created at its time; some manifests are missing or broken."""
+    text = F.expr("CASE WHEN event_id % 13 = 0 THEN NULL WHEN event_id % 11 = 0 THEN concat('{', props) ELSE concat('{\"created_at\": \"', date_format(ts, 'yyyy-MM-dd HH:mm:ss'), '\"}') END")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("series_id"), text.alias("manifest"))
