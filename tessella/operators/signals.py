@@ -37,16 +37,33 @@ def session_clusters(scenes: DataFrame, gap: float) -> DataFrame:
     return numbered.withColumns({"place": best, "n_rows": size}).where("place = 1").select("series_id", "cluster", "t", "score", "n_rows")
 
 
+def _centred_means(samples: DataFrame, half: int) -> DataFrame:
+    """The samples with rn, dur and sm, the mean over each row's window, as a difference of running sums; a window with a value that is not finite has NaN."""
+    whole, by_time = Window.partitionBy("series_id"), Window.partitionBy("series_id").orderBy("t")
+    so_far = by_time.rowsBetween(Window.unboundedPreceding, 0)
+    finite = F.abs("x") < float("inf")  # false for NaN, which is the largest
+    sums = {"rs": F.sum(F.when(finite, F.col("x")).otherwise(0.0)), "rc": F.count("x"), "rb": F.sum(F.when(finite | F.col("x").isNull(), 0).otherwise(1))}
+    numbered = samples.withColumns({"rn": F.row_number().over(by_time), "dur": F.max("t").over(whole), "n_": F.count(F.lit(1)).over(whole), **{k: f.over(so_far) for k, f in sums.items()}})
+    width = F.greatest(F.lit(half), F.floor(F.col("n_") / F.greatest(F.lit(1.0), F.col("dur")) / 2 + 0.5))
+    out = numbered.withColumns({"hi": F.least(F.col("rn") + width, F.col("n_")), "lo": F.col("rn") - width - 1})
+    for at, how in (("hi", "inner"), ("lo", "left")):
+        ends = numbered.select("series_id", F.col("rn").cast("long").alias(at), *(F.col(k).alias(f"{at}_{k}") for k in sums))
+        out = out.join(ends, ["series_id", at], how)
+    part = {k: F.col(f"hi_{k}") - F.coalesce(F.col(f"lo_{k}"), F.lit(0)) for k in sums}
+    mean = F.when(part["rb"] > 0, F.lit(float("nan"))).when(part["rc"] > 0, part["rs"] / part["rc"])
+    return out.select(*samples.columns, "rn", mean.alias("sm"), "dur")
+
+
 def motion_windows(samples: DataFrame, min_rows: int = 8, k: float = 1.5, mad_floor: float = 0.5, half: int = 2, join_gap: float = 1.0, min_length: float = 0.4, pad: float = 0.1, tail: float = 0.5) -> DataFrame:
     """(series_id, win_id, start_s, end_s, intensity): runs where the centred rolling mean exceeds median + k * MAD of the raw series.
 
-    Series with fewer than ``min_rows`` samples have none. Runs no more than ``join_gap`` apart join; windows shorter than
+    The mean takes max(``half``, round(n / max(1, duration) / 2)) samples on either side: one unit of time in dense series. Series with fewer than ``min_rows`` samples have none. Runs no more than ``join_gap`` apart join; windows shorter than
     ``min_length`` go, the others are padded and clamped to [0, duration - tail]. intensity is the mean of the smoothed values over
     all rows of the joined window.
     """
     by_time = Window.partitionBy("series_id").orderBy("t")
     stats = robust_stats(samples, mad_floor).where(F.col("n") >= min_rows)
-    smooth = samples.withColumns({"rn": F.row_number().over(by_time), "sm": F.avg("x").over(by_time.rowsBetween(-half, half)), "dur": F.max("t").over(Window.partitionBy("series_id"))})
+    smooth = _centred_means(samples, half)
     marked = smooth.join(stats, "series_id").withColumn("hot", F.col("sm") > F.col("med") + k * F.col("mad"))
     hot = marked.where("hot").withColumn("before", F.lag("t").over(by_time)).withColumn("rn_before", F.lag("rn").over(by_time))
     joined = hot.withColumn("opens", F.when((F.col("rn") == F.col("rn_before") + 1) | (F.col("t") - F.col("before") <= join_gap), 0).otherwise(1))

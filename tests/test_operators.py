@@ -1,5 +1,7 @@
 """Hand-computed cases of operators outside ``llm``."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +73,37 @@ def test_classes(spark):
     ]
     got = {r.series_id: r.content_class for r in rules.classify(spark.createDataFrame(cases, columns)).collect()}
     assert got == {1: "ui-screen", 2: "animation", 3: "talking-head", 4: "nature", 5: "real-world", 6: "nature", 7: "generic"}
+
+
+def brute_motion(xs: list[tuple[float, float]]) -> list[tuple[float, float, float]]:
+    n, dur = len(xs), max(t for t, _ in xs)
+    middle = lambda v: sorted(v)[len(v) // 2]
+    med = middle([x for _, x in xs])
+    mad = max(0.5, middle([abs(x - med) for _, x in xs]))
+    half = max(2, int(n / max(1, dur) / 2 + 0.5))
+    frames = [[x for _, x in xs[max(0, i - half) : i + half + 1]] for i in range(n)]
+    smooth = [sum(f) / len(f) for f in frames]
+    runs = []
+    for i in (i for i in range(n) if smooth[i] > med + 1.5 * mad):
+        if runs and (i == runs[-1][1] + 1 or xs[i][0] - xs[runs[-1][1]][0] <= 1.0):
+            runs[-1][1] = i
+        else:
+            runs.append([i, i])
+    cut = [(max(0, xs[a][0] - 0.1), min(max(0, dur - 0.5), xs[b][0] + 0.1), sum(smooth[a : b + 1]) / (b + 1 - a)) for a, b in runs if xs[b][0] - xs[a][0] >= 0.4]
+    return [(s, e, m) for s, e, m in cut if e - s >= 0.4]
+
+
+def test_dense_motion_is_smoothed_over_one_unit_of_time(spark):
+    r = random.Random(4)
+    dense = [(k / 24, r.uniform(0, 10) + (25 if 100 < k < 160 or k in (300, 301, 302, 303, 304) or 400 < k < 430 else 0)) for k in range(600)]
+    short = [(k / 40, 30.0 if 8 < k < 34 else 1.0) for k in range(60)]
+    sparse = [(k / 2, 40.0 if 20 < k < 30 else r.uniform(0, 10)) for k in range(80)]
+    series = {1: dense, 2: short, 3: sparse, 4: dense[:7]}
+    rows = [(s, t, x) for s, xs in series.items() for t, x in xs]
+    got = signals.motion_windows(spark.createDataFrame(rows, "series_id INT, t DOUBLE, x DOUBLE")).orderBy("series_id", "win_id").collect()
+    for s, xs in series.items():
+        mine = [(w.start_s, w.end_s, w.intensity) for w in got if w.series_id == s]
+        want = brute_motion(xs) if len(xs) >= 8 else []
+        assert len(mine) == len(want) and bool(want) == (s < 4), s
+        for a, b in zip(mine, want):
+            assert a == pytest.approx(b, abs=0.0501)
