@@ -63,3 +63,16 @@ def test_near_copies_of_five_words_and_four_fifths(spark):
     kept = corpus_pipeline.near_duplicates(spark, docs, "")
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({want.index(w) for w in want})
     assert near_copies.labelled(docs.where("false")).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    long = " ".join(f"w{k}" for k in range(80))
+    other, third, fourth = (long.replace("w", x) for x in "xyz")
+    near = long.replace("w40 ", "changed ")
+    rows = [(None, other, "a"), (None, third, "b"), (5, long, "c"), (5, long, "c"), (5, long, "c"), (3, fourth, "d"), (3, near, "e"), (None, long, "f"), (3, fourth, "z"), (None, other, "a"), (8, None, "g"), (7, "", "h")]
+    docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows], SCHEMA)
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert len(got) == 5
+    by_text = {r.text: r for r in got}
+    assert by_text[near].doc_id == 3 and by_text[other].doc_id is None and by_text[third].doc_id is None
+    assert by_text[fourth].doc_id == 3 and by_text[""].doc_id == 7
