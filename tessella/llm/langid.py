@@ -4,6 +4,10 @@ Texts become normalised TF-IDF vectors of hashed byte n-grams (letters lower-cas
 has a few centroids, clustered from its training texts; a text takes the language of the most similar centroid by cosine and is rejected
 where even that one is too far.
 
+Cosines grow with length, so how far is too far depends on language and length: the limit is a share of a low quantile of the
+cosines that all training rows of that length class have to their own language. Length classes double in n-grams; a class with few
+rows takes its neighbours' in. Texts under ``LangParams.short_ngrams`` are too short to tell by distance and are not rejected for it.
+
 Document frequencies are counted over all training rows. Clustering uses a bounded sample for each language, chosen by
 hash of the id; the bound is ``LangParams.sample_rows``.
 """
@@ -32,8 +36,13 @@ class LangParams:
     rounds: int = 8
     #: Training texts for each language that are clustered, about.
     sample_rows: int = 1500
-    #: Texts whose best cosine is lower are rejected.
-    least_cosine: float = 0.04
+    #: Texts whose best cosine is under this share of this quantile of its language and length class are rejected.
+    limit_share: float = 0.7
+    limit_quantile: float = 0.01
+    #: Rows that a quantile is taken of, at least, where there are as many.
+    limit_rows: int = 50
+    #: Shorter texts are not rejected for their distance.
+    short_ngrams: int = 31
 
 
 @dataclass(frozen=True)
@@ -44,6 +53,8 @@ class LangModel:
     centroids: np.ndarray
     idf: np.ndarray
     params: LangParams
+    #: The least cosine by language and length class.
+    limits: np.ndarray
 
 
 def held_out(id_col: str) -> Column:
@@ -100,6 +111,24 @@ def _cluster(x: np.ndarray, p: LangParams) -> np.ndarray:
     return centre
 
 
+_CLASSES, _BINS = 32, 1000
+
+
+def _length_class(ngrams: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(ngrams + 1).astype(np.int64), _CLASSES - 1)
+
+
+def limits_of(rows: np.ndarray, p: LangParams) -> np.ndarray:
+    """The limits by language and length class, from counts of rows by language, length class and cosine in thousandths."""
+    out = np.zeros(rows.shape[:2])
+    for lang in range(len(rows)):
+        for c in range(_CLASSES):
+            d = next((d for d in range(_CLASSES) if rows[lang, max(0, c - d) : c + d + 1].sum() >= p.limit_rows), _CLASSES)
+            below = np.cumsum(rows[lang, max(0, c - d) : c + d + 1].sum(axis=0))
+            out[lang, c] = p.limit_share * np.searchsorted(below, p.limit_quantile * below[-1], side="right") / _BINS if below[-1] else 0
+    return out
+
+
 def fit(train: DataFrame, p: LangParams = LangParams(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LangModel:
     """Centroids from the rows with text and language. Without any, the model has no language and ``classify`` rejects all."""
     train = train.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(id_col, text_col, lang_col)
@@ -119,7 +148,7 @@ def fit(train: DataFrame, p: LangParams = LangParams(), id_col: str = "doc_id",
     df[found["bucket"]] = found["df"]
     idf = (np.log((1 + sum(rows.values())) / (1 + df)) + 1).astype(np.float32)
     if not langs:
-        return LangModel([], np.zeros(0, np.int64), np.zeros((0, p.buckets), np.float32), idf, p)
+        return LangModel([], np.zeros(0, np.int64), np.zeros((0, p.buckets), np.float32), idf, p, np.zeros((0, _CLASSES)))
 
     def centroids(table: pa.Table) -> pa.Table:
         table = table.sort_by([(id_col, "ascending"), (text_col, "ascending")])
@@ -130,7 +159,42 @@ def fit(train: DataFrame, p: LangParams = LangParams(), id_col: str = "doc_id",
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int((1 << 30) * min(1.0, p.sample_rows / rows[lang])))])
     sample = train.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share[F.col(lang_col)])
     parts = sorted(sample.groupBy(lang_col).applyInArrow(centroids, "lang string, k long, centroid binary").collect())
-    return LangModel(langs, np.array([langs.index(r[0]) for r in parts], dtype=np.int64), np.array([np.frombuffer(r[2], np.float32) for r in parts], dtype=np.float32).reshape(len(parts), p.buckets), idf, p)
+    lang_of = np.array([langs.index(r[0]) for r in parts], dtype=np.int64)
+    centre = np.array([np.frombuffer(r[2], np.float32) for r in parts], dtype=np.float32).reshape(len(parts), p.buckets)
+
+    def own_cosines(batches):
+        rows = np.zeros(len(langs) * _CLASSES * _BINS, dtype=np.int64)
+        for batch in batches:
+            own = np.array([langs.index(x) for x in column(batch, lang_col).to_pylist()], dtype=np.int64)
+            for lo, counts in _counts(column(batch, text_col), p):
+                lang = own[lo : lo + len(counts)]
+                cosine = np.where(lang_of == lang[:, None], _vectors(counts, idf) @ centre.T, 0).max(axis=1, initial=0)
+                at = (lang * _CLASSES + _length_class(counts.sum(axis=1))) * _BINS + np.minimum((cosine * _BINS).astype(np.int64), _BINS - 1)
+                rows += np.bincount(at, minlength=len(rows))
+        some = np.flatnonzero(rows)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(rows[some])], ["at", "n"])
+
+    seen = train.select(text_col, lang_col).mapInArrow(own_cosines, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    rows = np.zeros(len(langs) * _CLASSES * _BINS, dtype=np.int64)
+    rows[seen["at"]] = seen["n"]
+    return LangModel(langs, lang_of, centre, idf, p, limits_of(rows.reshape(len(langs), _CLASSES, _BINS), p))
+
+
+def _judge(texts: pa.Array, model: LangModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position of the language or -1, best cosine, whether rejected) of each text."""
+    letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
+    pred, score, far = np.full(len(texts), -1, dtype=np.int64), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
+    if len(model.lang_of):
+        for lo, counts in _counts(texts, model.params):
+            cosine = _vectors(counts, model.idf) @ model.centroids.T
+            best = np.argmax(cosine, axis=1)
+            ngrams = counts.sum(axis=1)
+            here = slice(lo, lo + len(best))
+            pred[here] = model.lang_of[best]
+            score[here] = np.clip(cosine[np.arange(len(best)), best], 0, 1)
+            far[here] = (ngrams >= model.params.short_ngrams) & (score[here] < model.limits[pred[here], _length_class(ngrams)])
+    pred[~letters], score[~letters] = -1, 0
+    return pred, score, far | (pred < 0)
 
 
 def classify(docs: DataFrame, model: LangModel, keep: list[str] | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -142,18 +206,9 @@ def classify(docs: DataFrame, model: LangModel, keep: list[str] | None = None, t
 
     def run(batches):
         for batch in batches:
-            texts = column(batch, text_col)
-            letters = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
-            pred, score = np.full(len(texts), -1, dtype=np.int64), np.zeros(len(texts))
-            if len(model.lang_of):
-                for lo, counts in _counts(texts, model.params):
-                    cosine = _vectors(counts, model.idf) @ model.centroids.T
-                    best = np.argmax(cosine, axis=1)
-                    pred[lo : lo + len(best)] = model.lang_of[best]
-                    score[lo : lo + len(best)] = np.clip(cosine[np.arange(len(best)), best], 0, 1)
-            pred[~letters], score[~letters] = -1, 0
+            pred, score, rejected = _judge(column(batch, text_col), model)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in keep), pa.array([UNKNOWN if k < 0 else model.langs[k] for k in pred.tolist()], pa.string()), pa.array(score), pa.array((pred < 0) | (score < model.params.least_cosine))],
+                [*(batch.column(k) for k in keep), pa.array([UNKNOWN if k < 0 else model.langs[k] for k in pred.tolist()], pa.string()), pa.array(score), pa.array(rejected)],
                 [*keep, "lang_pred", "score", "rejected"],
             )
 
@@ -166,13 +221,7 @@ def accepted(docs: DataFrame, model: LangModel, text_col: str = "text") -> DataF
 
     def run(batches):
         for batch in batches:
-            texts = column(batch, text_col)
-            good = pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
-            best = np.zeros(len(texts))
-            if len(model.lang_of):
-                for lo, counts in _counts(texts, model.params):
-                    best[lo : lo + len(counts)] = (_vectors(counts, model.idf) @ model.centroids.T).max(axis=1)
-            yield batch.filter(pa.array(good & (best >= model.params.least_cosine)))
+            yield batch.filter(pa.array(~_judge(column(batch, text_col), model)[2]))
         release()
 
     return docs.mapInArrow(run, docs.schema)

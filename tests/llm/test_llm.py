@@ -278,3 +278,17 @@ def test_language_id(spark):
     assert langid.accepted(table, model).count() == 300
     nothing = langid.fit(table.where("false"))
     assert {x.lang_pred for x in langid.classify(table, nothing).collect()} == {"und"}
+
+
+def test_far_texts_are_rejected_and_short_ones_kept(spark):
+    r = random.Random(3)
+    stock = {"aa": "katu mira solen dova pelu", "bb": "grosz tchwik przad szklo wprad", "cc": "huiaa oeea aaio uoae ieou"}
+    rows = [(k, " ".join(r.choices(stock[lang].split(), k=r.choice((2, 8, 30, 300)))), lang) for k in range(900) for lang in [("aa", "bb", "cc")[k % 3]]]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(table.where(~langid.held_out("doc_id")))
+    noise = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=n)) for n in (200, 2000, 20000)]
+    foreign = [" ".join(r.choices("quick brown fox jumped over lazy dogs because weather".split(), k=n)) for n in (20, 200, 2000)]
+    mixed = spark.createDataFrame([(k, t, None) for k, t in enumerate([*noise, *foreign, "ok", "dova", "mira pelu"])], table.schema)
+    assert {x.doc_id for x in langid.classify(mixed, model).collect() if x.rejected} == set(range(6))
+    assert {x.doc_id for x in langid.accepted(mixed, model).collect()} == {6, 7, 8}
+    assert langid.accepted(table, model).count() == 900
