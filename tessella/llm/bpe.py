@@ -52,6 +52,7 @@ _ODD_LEAD[[*range(0x1C, 0x20), *range(0xC9, 256)]] = True
 def _odd_rows(c: Chunk) -> np.ndarray:
     odd = _ODD_LEAD[c.data]
     odd[:-1] |= (c.data[:-1] == 0xC4) & (c.data[1:] == 0xB0)
+    odd[:-1] |= (c.data[:-1] == 0xC8) & ((c.data[1:] == 0xBA) | (c.data[1:] == 0xBE))
     return c.per_row(odd) > 0
 
 

@@ -292,3 +292,14 @@ def test_far_texts_are_rejected_and_short_ones_kept(spark):
     assert {x.doc_id for x in langid.classify(mixed, model).collect() if x.rejected} == set(range(6))
     assert {x.doc_id for x in langid.accepted(mixed, model).collect()} == {6, 7, 8}
     assert langid.accepted(table, model).count() == 900
+
+
+def test_letters_that_grow_in_lower_case_stay_in_their_words(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["a\u023ab", "\u023e", "x \u023e\u023a y \u023b\u0241 \u0130"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: list(r.ids) for r in bpe.encode_decode(table, "word_bpe_49k.json").collect()}
+    assert got == {k: library.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts)}
