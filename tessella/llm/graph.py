@@ -28,7 +28,7 @@ def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (u, v); the component is its least node.
 
     Nodes without an edge are not returned. Each round halves the distance to the least node at least; it stops when a
@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ensure_checkpoint_dir(edges.sparkSession)
     edges = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
     before = None
-    for _ in range(max_rounds):
+    while True:
         edges = _stars(_stars(edges, True), False).checkpoint()
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
