@@ -70,6 +70,23 @@ def column(batch: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
     return out
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches that are sorted by ``key``, a whole number without nulls: no more is held than one batch
+    and one group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if len(batch) and held and batch.column(key)[len(batch) - 1] != held[0].column(key)[0]:
+            table = pa.Table.from_batches([*held, batch])
+            keys = column(table, key).to_numpy(zero_copy_only=False)
+            cut = int(np.flatnonzero(keys[1:] != keys[:-1])[-1]) + 1
+            yield table.slice(0, cut)
+            held = [b for b in table.slice(cut).to_batches() if len(b)]
+        elif len(batch):
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def raw(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a text array without nulls and its n + 1 offsets, starting at 0."""
     kind = np.int64 if pa.types.is_large_string(values.type) or pa.types.is_large_binary(values.type) else np.int32

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from tessella.llm import near_copies
 
@@ -47,6 +49,12 @@ def near_texts() -> list:
     out += [" ".join(base[:k] + [r.choice(stock)] + base[k + 1 :]) for k in range(60) for _ in range(3)]
     line = text(12)  # one line in many texts
     out += [" ".join(line + text(25)) for _ in range(60)]
+    loose = text(200)  # a group around the limit: some are linked, some are not
+    for _ in range(50):
+        copy = list(loose)
+        for k in r.sample(range(200), r.randint(2, 9)):
+            copy[k] = r.choice(stock)
+        out.append(" ".join(copy))
     return out
 
 
@@ -54,7 +62,11 @@ def same_parts(a: list, b: list) -> bool:
     return len(set(zip(a, b))) == len(set(a)) == len(set(b))
 
 
-def test_near_copies_of_five_words_and_four_fifths(spark):
+@pytest.mark.parametrize("blocks", [None, ((3, 500), (5, 900))])
+def test_near_copies_of_five_words_and_four_fifths(spark, monkeypatch, blocks):
+    if blocks:
+        monkeypatch.setattr(near_copies, "BLOCK_OUT", blocks[0])
+        monkeypatch.setattr(near_copies, "BLOCK_IN", blocks[1])
     texts = near_texts()
     docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], SCHEMA)
     got = {r.id: r.component for r in near_copies.labelled(docs).collect()}
