@@ -1,131 +1,91 @@
 """Main text of web pages from flat text blocks.
 
 A page becomes a flat list of text blocks. Each has its word count and link density, those of the blocks before and after
-it, and what encloses it. A decision tree, trained on the small labelled table below, tells text from boilerplate.
+it, and where it stands: within a landmark of the page's frame, under a name that advertisements, menus or comments have, inside or outside
+of the element that holds the page's text. A decision tree, trained on the blocks of the labelled layouts in ``html_layouts``, tells text
+from boilerplate; no single feature decides but as the tree says.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrowtext import column
+from .html_layouts import LAYOUTS, SCALES
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+(?:>|\Z)|[^<]++|<",
-    re.S,
-)
-_RAW = frozenset("script style noscript template svg math iframe object textarea select head title".split())
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>|<[!?][^>]*+(?:>|\Z)|[^<]++|<", re.S)
+_RAW = frozenset("script style noscript template svg math iframe object textarea select title".split())
+#: Those that run to the end of the page where their end tag is missing.
+_RAW_TO_END = frozenset("script style textarea title".split())
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr head html body".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
-_AROUND = frozenset("nav footer aside form button dialog menu".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
-_ATTRIBUTE = re.compile(r"(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscri\w*|sidebar|side|menu|nav|navbar|navigation|footer|"
-    r"header|masthead|topbar|breadcrumbs?|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|reply|replies|widget|login|signup|pagination|pager|toc|skip)(?:$|[\s_-])",
-    re.I,
-)
+#: Elements that an element of the same kind ends.
+_SIBLINGS = frozenset("p li dt dd tr td th option".split())
+_FRAME = frozenset("nav footer aside button dialog menu".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-
-#: words, link density, words and link density of the block before and of the block after (-1: none), enclosed by boilerplate,
-#: enclosed by an article, 1 for text. A small labelled table; edit it to retrain.
-LABELLED: tuple[tuple[float, ...], ...] = (
-    (1, 1.0, -1, -1, 1, 1.0, 1, 0, 0),
-    (2, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0),
-    (9, 0.0, 1, 1.0, 8, 0.0, 1, 0, 0),
-    (40, 0.1, 60, 0.0, 30, 0.0, 1, 0, 0),
-    (25, 0.0, 120, 0.0, -1, -1, 1, 0, 0),
-    (6, 0.2, 80, 0.0, -1, -1, 1, 0, 0),
-    (12, 0.0, 40, 0.0, 15, 0.0, 1, 1, 0),
-    (3, 1.0, 50, 0.0, 3, 1.0, 1, 1, 0),
-    (60, 0.0, 50, 0.0, 70, 0.0, 1, 1, 0),
-    (8, 0.0, 9, 0.0, 60, 0.0, 0, 1, 1),
-    (1, 0.0, 70, 0.0, 1, 0.0, 0, 1, 1),
-    (1, 0.0, 1, 0.0, 80, 0.0, 0, 1, 1),
-    (90, 0.0, 8, 0.0, 45, 0.0, 0, 1, 1),
-    (30, 0.1, 1, 0.0, 4, 0.0, 0, 1, 1),
-    (4, 0.0, 30, 0.1, 12, 0.0, 0, 1, 1),
-    (5, 0.6, 30, 0.0, 25, 0.0, 0, 1, 1),
-    (2, 1.0, 30, 0.0, 40, 0.0, 0, 1, 1),
-    (150, 0.0, 20, 0.0, -1, -1, 0, 1, 1),
-    (35, 0.0, 50, 0.0, 45, 0.0, 0, 0, 1),
-    (80, 0.05, 30, 0.0, 60, 0.0, 0, 0, 1),
-    (20, 0.0, -1, -1, 40, 0.0, 0, 0, 1),
-    (120, 0.1, 2, 1.0, 3, 1.0, 0, 0, 1),
-    (6, 0.0, 40, 0.0, 50, 0.0, 0, 0, 1),
-    (3, 0.0, 30, 0.0, 60, 0.0, 0, 0, 1),
-    (7, 0.0, 3, 0.0, 60, 0.0, 0, 0, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0),
-    (3, 0.9, 2, 1.0, 2, 1.0, 0, 0, 0),
-    (12, 0.8, 5, 0.9, 4, 1.0, 0, 0, 0),
-    (30, 0.7, 10, 0.9, 10, 0.9, 0, 0, 0),
-    (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0),
-    (2, 0.0, 1, 1.0, 2, 0.9, 0, 0, 0),
-    (2, 1.0, 60, 0.0, 2, 1.0, 0, 0, 0),
+#: Names of boxes: as a whole class or id, as its first part, as its last part.
+_NAMED = frozenset(
+    "ad ads advert advertisement banner promo sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe sidebar menu nav navbar navigation footer header masthead topbar "
+    "breadcrumb breadcrumbs share sharing social related recommended comment comments commentlist respond replies reply widget login signup pagination pager toc skip".split()
 )
-
+_FIRST = frozenset("ad ads advert sponsored cookie cookies consent gdpr comment comments commentlist disqus newsletter sidebar nav navbar menu breadcrumb breadcrumbs popup modal related share".split())
+_LAST = frozenset("ad ads advert footer nav navbar menu comment comments newsletter breadcrumbs banner".split())
+_HEADINGS = frozenset("h2 h3 h4 h5 h6".split())
+#: Headings of reader comments.
+_COMMENTS = re.compile(r"\W*\d*\s*(?:reader |user )?(?:comments?|replies|responses|kommentare?|antworten|commentaires?|réponses|comentarios?|respuestas|comentários?|commenti)\s*(?:\(?\d+\)?)?\W*", re.I)
+
+#: (text, words, link density, frame, named, level); frame is 1 in a form, 2 in other landmarks; level 1 within a main, 2 within an article.
+Block = tuple[str, int, float, int, bool, int]
 Tree = tuple | int
 
 
-def train_tree(rows: tuple[tuple[float, ...], ...] = LABELLED, depth: int = 6) -> Tree:
-    """A decision tree by Gini impurity: (feature, limit, tree for values up to the limit, tree above) or a class."""
-    labels = [int(r[-1]) for r in rows]
-    ones = sum(labels)
-    if depth == 0 or ones in (0, len(rows)):
-        return int(2 * ones >= len(rows))
-    best = None
-    # enclosure first among equally good splits: it holds for pages of any size
-    for f in sorted(range(len(rows[0]) - 1), reverse=True):
-        values = sorted({r[f] for r in rows})
-        for a, b in zip(values, values[1:]):
-            left = [r[-1] for r in rows if r[f] <= (a + b) / 2]
-            right = [r[-1] for r in rows if r[f] > (a + b) / 2]
-            impurity = sum(2 * sum(x) * (len(x) - sum(x)) / len(x) for x in (left, right))
-            if best is None or impurity < best[0] - 1e-12:
-                best = impurity, f, (a + b) / 2
-    if best is None:
-        return int(2 * ones >= len(rows))
-    _, f, limit = best
-    return f, limit, train_tree(tuple(r for r in rows if r[f] <= limit), depth - 1), train_tree(tuple(r for r in rows if r[f] > limit), depth - 1)
-
-
-def _is_text(tree: Tree, x: tuple[float, ...]) -> bool:
-    while not isinstance(tree, int):
-        tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
-    return bool(tree)
+def _named(value: str) -> bool:
+    for name in value.lower().split():
+        parts = name.replace("_", "-").split("-")
+        if name in _NAMED or len(parts) > 1 and (parts[0] in _FIRST or parts[-1] in _LAST):
+            return True
+    return False
 
 
-def _surrounds(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element marks what it encloses as boilerplate."""
-    if tag in _AROUND or tag == "header" and not in_article:
-        return True
+def _place(tag: str, attributes: str, level: int) -> tuple[int, bool]:
+    """(frame, named) that an element gives to what it encloses."""
+    frame, named = 2 if tag in _FRAME or tag == "header" and not level else int(tag == "form"), False
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and tag not in ("body", "html", "article", "main") and _NAMES.search(value):
-            return True
-        if name == "role" and value.lower() in _ROLES or name == "style" and _HIDDEN.search(value) or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-    return False
+        if name in ("class", "id"):
+            named = named or _named(value)
+        elif name == "role" and value.lower() in _ROLES or name == "style" and _HIDDEN.search(value) or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            frame = 2
+    return frame, named
 
 
-def blocks(html: str) -> list[tuple[str, int, float, bool, bool]]:
-    """The page's text blocks in order: text, words, link density, enclosed by boilerplate, enclosed by an article."""
-    out: list[tuple[str, int, float, bool, bool]] = []
+def blocks(html: str) -> list[Block]:
+    """The page's text blocks in order."""
+    out: list[Block] = []
     text: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]  # tag, within boilerplate, within an article
-    links = 0
+    # tag, frame, named, level
+    stack: list[list] = [["", 0, False, 0]]
+    link = 0  # depth of the stack where the open link began
+    unclosed: set[str] = set()
 
     def close() -> None:
         body = " ".join(unescape("".join(text)).split()) if text else ""
         if body:
+            tag, frame, named, level = stack[-1]
             words = body.count(" ") + 1
-            out.append((body, words, min(1.0, len(unescape("".join(linked)).split()) / words), stack[-1][1], stack[-1][2]))
+            if tag in _HEADINGS and _COMMENTS.fullmatch(body):  # what follows in the element around it are comments
+                stack[-1][2] = stack[-2][2] = named = True
+            out.append((body, words, min(1.0, len(unescape("".join(linked)).split()) / words), frame, named, level))
         text.clear()
         linked.clear()
 
@@ -138,59 +98,138 @@ def blocks(html: str) -> list[tuple[str, int, float, bool, bool]]:
             piece = m[0]
             if piece[0] != "<" or piece == "<":
                 text.append(piece)
-                if links:
+                if link:
                     linked.append(piece)
             continue
-        tag = tag.lower()
-        if not m[1] and tag in _RAW and not m[3].endswith("/"):
-            found = re.compile(rf"</{tag}\s*[^>]*>" if tag != "head" else r"</head\s*>|(?=<body[\s>])", re.I).search(html, at)
-            at = found.end() if found else end
-            if tag not in _INLINE:
-                text.append(" ")
+        tag, closes = tag.lower(), bool(m[1])
+        if not closes and tag in _RAW and not m[3].endswith("/"):
+            found = None if tag in unclosed else re.compile(rf"</{tag}(?![\w:-])[^>]*>", re.I).search(html, at)
+            if found:
+                at = found.end()
+            elif tag in _RAW_TO_END:
+                at = end
+            else:
+                unclosed.add(tag)
+            text.append(" ")
             continue
         if tag in _INLINE:
             if tag == "a":
-                links = max(0, links + (-1 if m[1] else 1))
+                link = 0 if closes else len(stack)
             elif tag == "br":
                 text.append(" ")
-            if tag in ("span", "label", "a") and not m[1] and _surrounds(tag, m[3], stack[-1][2]) or m[1] and len(stack) > 1 and stack[-1][0] == tag:
+            if not closes and tag in ("span", "label", "a") and any(_place(tag, m[3], stack[-1][3])):
+                frame, named = _place(tag, m[3], stack[-1][3])
                 close()
-                if m[1]:
-                    stack.pop()
-                else:
-                    stack.append((tag, True, stack[-1][2]))
+                stack.append([tag, max(frame, stack[-1][1]), named or stack[-1][2], stack[-1][3]])
+            elif closes and stack[-1][0] == tag and len(stack) > 1:
+                close()
+                stack.pop()
             continue
         close()
         if tag in _VOID:
             continue
-        if m[1]:
+        if closes:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
                     break
-            links = 0
-        elif tag != "p" or m[3]:
-            inside = stack[-1][2] or tag in ("article", "main")
-            stack.append((tag, stack[-1][1] or _surrounds(tag, m[3], inside), inside))
+        else:
+            while len(stack) > 1 and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in _SIBLINGS or stack[-1][0] in ("td", "th") and tag in ("td", "th", "tr")):
+                stack.pop()
+            if tag == "h1" and not stack[-1][3]:
+                for x in stack:  # what holds the page's heading is no box
+                    x[2] = False
+            _, frame, named, level = stack[-1]
+            if tag in ("article", "main"):
+                frame, named, level = (2 if frame == 2 else 0), False, max(level, 2 if tag == "article" else 1)
+            own_frame, own_named = _place(tag, m[3], level)
+            stack.append([tag, max(frame, own_frame), named or own_named, level])
+        if link > len(stack):
+            link = 0
     close()
     return out
 
 
+def features(found: list[Block]) -> np.ndarray:
+    """For each block: words and link density of its own, of the one before and of the one after (-1: none), frame, named, and place: 1 in
+    the articles, or else the main element, that hold three tenths of the page's plain words; -1 outside of them; 0 where neither does."""
+    n = len(found)
+    out = np.full((n, 9), -1.0)
+    if n:
+        out[:, 0], out[:, 1] = [b[1] for b in found], [b[2] for b in found]
+        out[1:, 2:4], out[:-1, 4:6] = out[:-1, :2], out[1:, :2]
+        out[:, 6], out[:, 7] = [b[3] for b in found], [b[4] for b in found]
+        level = np.array([b[5] for b in found])
+        plain = out[:, 0] * (1 - out[:, 1]) * (out[:, 6] < 2) * (out[:, 7] == 0)
+        held = [level >= k for k in (2, 1) if (level >= k).any() and 10 * plain[level >= k].sum() >= 3 * plain.sum()]
+        out[:, 8] = np.where(held[0], 1, -1) if held else 0
+    return out
+
+
+def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
+    """(features, 1 for text) of the blocks of all layouts."""
+    rows, labels = [], []
+    for long, short in SCALES:
+        for layout in LAYOUTS:
+
+            def words(m: re.Match) -> str:
+                return " ".join([f"{m[1]}word"] * max(1, round(int(m[2]) * (long if m[1] == "t" else short))))
+
+            found = blocks(re.sub(r"\b([tb])(\d+)\b", words, layout))
+            rows.append(features(found))
+            labels += [int(b[0].startswith("tword")) for b in found]
+    return np.concatenate(rows), np.array(labels)
+
+
+def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Tree:
+    """A decision tree by Gini impurity: (feature, limit, tree for values up to the limit, tree above) or a class. Of equally good
+    splits the last feature's least limit is taken."""
+    ones = int(y.sum())
+    if depth == 0 or ones in (0, len(y)):
+        return int(2 * ones >= len(y))
+    best = None
+    for f in range(x.shape[1] - 1, -1, -1):
+        order = np.argsort(x[:, f], kind="stable")
+        v, hit = x[order, f], np.cumsum(y[order])
+        cut = np.flatnonzero(v[1:] > v[:-1])
+        if not len(cut):
+            continue
+        n, left = cut + 1.0, hit[cut].astype(float)
+        impurity = left * (n - left) / n + (ones - left) * (len(y) - n - ones + left) / (len(y) - n)
+        k = int(np.argmin(impurity))
+        if best is None or impurity[k] < best[0] - 1e-9:
+            best = impurity[k], f, float(v[cut[k]] + v[cut[k] + 1]) / 2
+    if best is None:
+        return int(2 * ones >= len(y))
+    _, f, limit = best
+    low = x[:, f] <= limit
+    return f, limit, train_tree(x[low], y[low], depth - 1), train_tree(x[~low], y[~low], depth - 1)
+
+
+@cache
+def default_tree() -> Tree:
+    return train_tree(*labelled_blocks())
+
+
+def is_text(tree: Tree, x: np.ndarray) -> bool:
+    while not isinstance(tree, int):
+        tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
+    return bool(tree)
+
+
 def main_text(html: str, tree: Tree) -> str:
     """The blocks that the tree takes for text, joined by newlines."""
     found = blocks(html)
-    none = ("", -1, -1.0, False, False)
-    kept = []
-    for k, (body, words, density, around, article) in enumerate(found):
-        before, after = found[k - 1] if k else none, found[k + 1] if k + 1 < len(found) else none
-        if _is_text(tree, (words, density, before[1], before[2], after[1], after[2], int(around), int(article))):
-            kept.append(body)
-    return "\n".join(kept)
+    return "\n".join(b[0] for b, x in zip(found, features(found).tolist()) if is_text(tree, x))
 
 
 def extract(pages: DataFrame, tree: Tree | None = None, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
-    """(id, kept columns, text, n_chars in code points) of every page; null html gives an empty text."""
-    tree = train_tree() if tree is None else tree
+    """(id, kept columns, text, n_chars in code points) of every page.
+
+    Null and empty html give an empty text. Null and repeated ids and repeated rows are rows like others, each answered for itself; columns
+    not kept are ignored. Memory is a few times the longest page.
+    """
+    tree = default_tree() if tree is None else tree
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
