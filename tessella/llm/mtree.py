@@ -5,16 +5,14 @@ covering radius and the distance of every entry to the routing object above it.
 (x, sqrt(M^2 - |x|^2)) and a query q as (q, 0): their squared distance is |q|^2 + M^2 - 2 q.x, so nearer means a larger
 inner product, and the triangle inequality holds.
 
-Queries go in blocks to every shard. Each query visits nodes by their lower bound and stops where no node can beat its k-th best; entries
-whose stored distance to the routing object excludes them are not computed. The first bound comes from a fixed number of
-rows chosen by hash: their k-th score is one that k rows reach, so no result is lost by it. Each shard returns
-k rows a query at most, and Spark ranks them.
+Queries go in waves of bounded size to every shard; a task builds the tree of its shard and asks it all queries of one wave, so no tree
+is sent anywhere. Each query visits nodes by their lower bound and stops where no node can beat its k-th best; entries
+whose stored distance to the routing object excludes them are not computed. Each shard returns k rows a query at most, and Spark ranks them.
 """
 
 from __future__ import annotations
 
 import heapq
-import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,18 +27,23 @@ from .arrowtext import column
 class TreeParams:
     k: int = 20
     scale: int = 64
-    shard_rows: int = 16_384
+    #: Rows in a shard: at most, and at least where there are not ``least_shards`` such shards.
+    shard_rows: int = 65_536
+    small_shard_rows: int = 4_096
+    least_shards: int = 32
     page_rows: int = 1_024
     fanout: int = 32
-    block_queries: int = 512
-    #: Rows that give a first bound.
-    bound_rows: int = 4_096
+    #: Queries that one task asks its tree.
+    wave_queries: int = 32_768
+
+    def shards(self, rows: int) -> int:
+        return max(1, -(-rows // self.shard_rows), min(self.least_shards, -(-rows // self.small_shard_rows)))
 
 
 def _exact(x: np.ndarray) -> np.ndarray:
-    """As floats where every inner product is then exact, else as Python integers."""
+    """Whole numbers as floats where every inner product is then exact, else as Python integers."""
     top = float(np.abs(x).max(initial=0))
-    return x.astype(np.float64) if top * top * max(1, x.shape[1]) < 2**52 else x.astype(object)
+    return x.astype(np.float64) if top * top * max(1, x.shape[1]) < 2**52 else np.array([[int(v) for v in r] for r in x], dtype=object)
 
 
 def _ordered(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -66,6 +69,8 @@ class MTree:
         self.rows: list[int] = []
         self.nodes: list[tuple] = []
         self.root = self._build(np.arange(len(ids)))
+        #: Inner products computed so far.
+        self.computed = 0
         rows = np.array(self.rows, dtype=np.int64)
         self.ids, self.x, self.points = self.ids[rows], self.x[rows], self.points[rows]
 
@@ -97,18 +102,18 @@ class MTree:
         self.nodes.append((route, far.max(initial=0.0), below, 0, 0, self._gap(below[0], route)))
         return len(self.nodes) - 1
 
-    def search(self, q: np.ndarray, own: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of at most k rows but the query's own: all those of the k best whose score is ``least`` or more."""
+    def search(self, q: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k best rows, without one row that is the query itself (its id and its vector)."""
         k = self.p.k
         point = np.append(q.astype(np.float64), 0.0)
         square = float(point @ point) + self.top
         slack = 1e-9 * square + 1e-9
         ids, scores = np.zeros(0, np.int64), np.zeros(0, self.x.dtype)
+        least, limit, met = -np.inf, np.inf, False
 
         def reach(score: float) -> float:
             return np.sqrt(max(0.0, square - 2 * score) + slack)
 
-        limit = reach(least) if least > -np.inf else np.inf
         away = float(np.linalg.norm(self.nodes[self.root][0] - point))
         heap = [(max(0.0, away - self.nodes[self.root][1]), self.root, away)]
         while heap:
@@ -125,90 +130,86 @@ class MTree:
                     heapq.heappush(heap, (max(0.0, float(bounds[c])), int(numbers[near[c]]), float(d[c])))
                 continue
             use = np.flatnonzero(np.abs(up - away) <= limit)
-            score = (self.x[first:end] @ q)[use] if 2 * len(use) > end - first else self.x[first + use] @ q
+            self.computed += len(use)
+            score = self.x[first:end] @ q if len(use) == end - first else self.x[first + use] @ q
             good = np.flatnonzero(score >= least)
-            good = good[self.ids[first + use[good]] != own]
+            if not met:
+                same = [g for g in good[self.ids[first + use[good]] == own] if (self.x[first + use[g]] == q).all()]
+                if same:
+                    good, met = good[good != same[0]], True
             if len(good):
                 ids, scores = np.concatenate([ids, self.ids[first + use[good]]]), np.concatenate([scores, score[good]])
                 best = _ordered(scores, ids, k)
                 ids, scores = ids[best], scores[best]
                 if len(ids) == k:
-                    least = max(least, float(scores[-1]))
-                    limit = reach(least)
+                    least = scores[-1]
+                    limit = reach(float(least))
         return ids, scores
 
 
 def quantised(vectors: DataFrame, p: TreeParams = TreeParams(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, dims, q): floor(scale * component) as packed 64-bit numbers. Null ids, null or empty vectors and those with null or
-    non-finite components are left out."""
+    """(vec_id, dims, q): floor(scale * component) as packed whole numbers, of 2 bytes where they fit, else of 4, else as floats.
+
+    Null ids, null or empty vectors and those with null or non-finite components are left out; so are those with a component
+    whose square a double cannot hold (over 1e150 when scaled), which only a column of doubles can have.
+    """
 
     def run(batches):
         for batch in batches:
             ids, lists = batch.column(id_col), batch.column(vector_col)
-            keep_ids, dims, packed = [], [], []
-            flat = lists.flatten()
-            values = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)
+            flat = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+            with np.errstate(over="ignore", invalid="ignore"):
+                values = np.floor(p.scale * flat)
             at = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
-            bad = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
-            for k, i in enumerate(ids.to_pylist()):
-                a, b = at[k], at[k + 1]
-                if i is not None and b > a and bad[b] == bad[a]:
-                    keep_ids.append(i)
-                    dims.append(int(b - a))
-                    packed.append(np.floor(p.scale * values[a:b]).astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keep_ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(packed, pa.binary())], ["vec_id", "dims", "q"])
+            bad = np.concatenate([[0], np.cumsum(~(np.abs(values) <= 1e150))])
+            use = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False) & (at[1:] > at[:-1]) & (bad[at[1:]] == bad[at[:-1]]))
+            packed = []
+            for k in use.tolist():
+                v = values[at[k] : at[k + 1]]
+                top = np.abs(v).max()
+                packed.append(v.astype("<i2" if top < 2**15 else "<i4" if top < 2**31 else "<f8").tobytes())
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(use)).cast(pa.int64()), pa.array(np.diff(at)[use], pa.int32()), pa.array(packed, pa.binary())], ["vec_id", "dims", "q"])
 
     return vectors.select(id_col, vector_col).mapInArrow(run, "vec_id long, dims int, q binary")
 
 
-def _matrix(packed: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(packed), "<i8").reshape(len(packed), -1) if packed else np.zeros((0, 0), np.int64)
+def _matrix(packed: list[bytes], dims: int) -> np.ndarray:
+    if len({len(b) for b in packed}) == 1:
+        return np.frombuffer(b"".join(packed), f"<{'f' if len(packed[0]) == 8 * dims else 'i'}{len(packed[0]) // dims}").reshape(len(packed), dims)
+    return np.array([np.frombuffer(b, f"<{'f' if len(b) == 8 * dims else 'i'}{len(b) // dims}").astype(float) for b in packed]).reshape(len(packed), dims)
+
+
+_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("wide", pa.float64())])
 
 
 def top_k(vectors: DataFrame, every: int = 20, p: TreeParams = TreeParams(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, the k other rows with the largest inner products.
 
     Ties go to the smaller id. Rows compare with rows of their own length only. Of rows that repeat a query's id one asks (the
-    first by vector); no row with that id is among its answers.
+    first by packed vector); the others are candidates like any row. A score that a long cannot hold is given as the nearest long, and
+    such scores rank as doubles.
     """
     rows = quantised(vectors, p, id_col, vector_col)
-    shards = -(-vectors.count() // p.shard_rows) or 1
-    asking = rows.where(F.col("vec_id") % every == 0)
-    blocks = -(-vectors.where(F.col(id_col) % every == 0).count() // p.block_queries) or 1
-    seed = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "q").limit(p.bound_rows).toPandas()
-    seeds = {d: (g["vec_id"].to_numpy(), _exact(_matrix(g["q"].tolist()))) for d, g in seed.groupby("dims")}
-
-    def build(key, table):
-        ids, x = column(table, "vec_id").to_numpy(), _matrix(column(table, "q").to_pylist())
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "dims": pa.array([key[1].as_py()], pa.int32()), "tree": pa.array([pickle.dumps(MTree(ids, x, p))], pa.binary())})
-
-    def ask(key, table):
-        pairs = sorted(zip(column(table, "vec_id").to_pylist(), column(table, "q").to_pylist()))
-        pairs = [x for k, x in enumerate(pairs) if not k or pairs[k - 1][0] != x[0]]
-        ids, x = np.array([i for i, _ in pairs]), _exact(_matrix([q for _, q in pairs]))
-        least = np.full(len(ids), -np.inf)
-        known, sample = seeds.get(key[1].as_py(), (np.zeros(0, np.int64), None))
-        if len(known) > 2 * p.k:
-            # one more than k, as the query itself can be among them; repeats of its id only lower the bound
-            score = sample @ x.T
-            again = max(1, int(np.unique(known, return_counts=True)[1].max()))
-            if len(known) > p.k + again:
-                least = np.sort(score, axis=0)[-p.k - again].astype(np.float64)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "dims": pa.array([key[1].as_py()], pa.int32()), "asked": pa.array([pickle.dumps((ids, x, least))], pa.binary())})
-
-    def search(batches):
-        for batch in batches:
-            for tree, asked in zip(batch.column("tree"), batch.column("asked")):
-                tree, (own, x, least) = pickle.loads(tree.as_py()), pickle.loads(asked.as_py())
-                found = [tree.search(q, i, s) for q, i, s in zip(x, own.tolist(), least.tolist())]
-                query = np.repeat(own, [len(f[0]) for f in found])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(query, pa.int64()), pa.array(np.concatenate([f[0] for f in found]), pa.int64()), pa.array([int(s) for f in found for s in f[1]], pa.int64())], ["query_id", "vec_id", "score"]
-                )
-
-    trees = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "q"), F.lit(shards))).groupBy("shard", "dims").applyInArrow(build, "shard long, dims int, tree binary")
-    asked = asking.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("block", "dims").applyInArrow(ask, "block long, dims int, asked binary")
-    routed = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    found = trees.join(routed.hint("shuffle_hash"), ["shard", "dims"]).repartition("shard", "block").select("tree", "asked").mapInArrow(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    n, asked = vectors.agg(F.count(F.lit(1)), F.count_if(F.col(id_col) % every == 0)).first()
+    shards, waves = p.shards(n), max(1, -(-asked // p.wave_queries))
+
+    def search(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        parts = []
+        if len(rows) and len(asked):
+            dims = column(rows, "dims")[0].as_py()
+            tree = MTree(column(rows, "vec_id").to_numpy(), _matrix(column(rows, "q").to_pylist(), dims), p)
+            pairs = sorted(zip(column(asked, "vec_id").to_pylist(), column(asked, "q").to_pylist()))
+            pairs = [x for k, x in enumerate(pairs) if not k or pairs[k - 1][0] != x[0]]
+            own, x = [i for i, _ in pairs], _exact(_matrix([q for _, q in pairs], dims))
+            for i, q in zip(own, x):
+                ids, scores = tree.search(q, i)
+                parts.append((np.full(len(ids), i), ids, np.array([min(max(int(v), -(2**63)), 2**63 - 1) for v in scores], np.int64), scores.astype(float)))
+        return pa.table([np.concatenate([x[k] for x in parts]) if parts else np.zeros(0) for k in range(4)], schema=_FOUND)
+
+    numbers = lambda many: F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
+    keys = ["shard", "wave", "dims"]
+    held = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "q"), F.lit(shards)).cast("int")).withColumn("wave", numbers(waves))
+    asking = rows.where(F.col("vec_id") % every == 0).withColumn("wave", F.pmod(F.xxhash64("vec_id"), F.lit(waves)).cast("int")).withColumn("shard", numbers(shards))
+    found = held.groupBy(keys).cogroup(asking.groupBy(keys)).applyInArrow(search, "query_id long, vec_id long, score long, wide double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("wide"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= p.k).select("query_id", "rank", "vec_id", "score")

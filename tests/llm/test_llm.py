@@ -86,7 +86,7 @@ def test_top_k(spark):
     rows = [(i, [float(v) for v in x[i]], 1) for i in range(900)]
     rows += [(1000, None, 1), (1001, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1), (1020, [float("nan")] * 6, 1), (1040, [], 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score int")
-    p = mtree.TreeParams(k=20, shard_rows=300, page_rows=16, fanout=4, block_queries=10, bound_rows=100)
+    p = mtree.TreeParams(k=20, shard_rows=300, small_shard_rows=200, page_rows=16, fanout=4, wave_queries=17)
     got = {}
     for row in mtree.top_k(table, p=p).collect():
         got.setdefault(row.query_id, {})[row["rank"]] = (row.vec_id, row.score)
@@ -100,6 +100,27 @@ def test_top_k(spark):
     assert mtree.top_k(table.where("false")).count() == 0
 
 
+def test_top_k_of_huge_numbers_and_repeated_ids(spark):
+    rows = [(20, [1.0, 2.0]), (20, [1.0, 2.0]), (20, [1.0, 0.0]), (3, [1e30, 1.0]), (4, [-3e18, 1.0]), (5, [3e18, 2.5]), (6, [1e306, 1.0]), (7, [1e140, 0.0]), (None, [9.0, 9.0]), (8, [1.0, 2.0, 3.0]), (9, [600.0, 0.1])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in mtree.top_k(table).orderBy("query_id", "rank").collect()]
+    top = 2**63 - 1  # the two beyond a long, then exact numbers; the first row with id 20 in order of its packed vector asks
+    assert [g[:3] for g in got] == [(20, 1, 7), (20, 2, 3), (20, 3, 5), (20, 4, 9), (20, 5, 20), (20, 6, 20), (20, 7, 4)]
+    assert [g[3] for g in got] == [top, top, top, 64 * 38400, 4096, 4096, -(2**63)]
+
+
+def test_tree_avoids_products_where_vectors_cluster():
+    r = np.random.default_rng(4)
+    centre = r.normal(size=(60, 16))
+    x = np.floor(64 * (centre / np.linalg.norm(centre, axis=1, keepdims=True))[r.integers(0, 60, 6000)] + r.normal(size=(6000, 16)))
+    tree = mtree.MTree(np.arange(6000), x, mtree.TreeParams())
+    for i in range(0, 6000, 100):
+        ids, scores = tree.search(tree.x[i], int(tree.ids[i]))
+        order = np.lexsort((tree.ids, -(tree.x @ tree.x[i])))
+        assert ids.tolist() == [k for k in tree.ids[order] if k != tree.ids[i]][:20] and (np.diff(scores) <= 0).all()
+    assert tree.computed < 0.5 * 60 * 6000
+
+
 def brute_removed(texts: dict) -> dict:
     seen, out = set(), {}
     for k in sorted(texts):
