@@ -266,23 +266,41 @@ def test_bpe_matches_library(docs, empty):
 
 @pytest.mark.parametrize("size", [2000, 1 << 20])
 def test_cross_entropy(spark, docs, empty, size):
-    target = spark.createDataFrame([(6,), (7,), (None,)], "doc_id long")
-    got = {r.doc_id: r for r in lm_score.cross_entropy_difference(docs, target, lm_score.LmParams(block_bytes=size, shard_keys=size // 8)).collect()}
-    own = {k: words(t.lower()) for k, t in texts_of(docs).items()}
+    target = spark.createDataFrame([(6,), (7,), (6,), (12,), (-1,), (None,)], "doc_id long")
+    p = lm_score.LmParams(block_bytes=size, most_block_bytes=size, spread=3)
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    rows += [(7, rows[7][1]), (7, "gamma again and again"), (None, "alpha beta gamma"), (None, None), (2**60 + 1, "beta"), (2**60, "beta")]
+    table = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, score int")
+    got = sorted(lm_score.cross_entropy_difference(table, target, p).collect(), key=lambda r: (str(r.doc_id), r.background_loss, r.target_loss))
+    own = [words((t or "").lower()) for _, t in rows]
+    aimed = [i in (6, 7, 12) for i, _ in rows]
     uni, pair = (Counter(), Counter()), (Counter(), Counter())
-    for k, w in own.items():
-        for m in (0, 1) if k in (6, 7) else (0,):
+    for w, a in zip(own, aimed):
+        for m in (0, 1)[: 1 + a]:
             uni[m].update(w + ["^"] * bool(w))
             pair[m].update(zip(["^", *w], w))
-    vocabulary = len(set(uni[0]) - {"^"})
-    for k, w in own.items():
-        for m, name in ((0, "background_loss"), (1, "target_loss")):
-            tokens, loss = sum(c for x, c in uni[m].items() if x != "^"), 0.0
-            for a, b in zip(["^", *w], w):
-                one, c = (uni[m][b] + 1) / (tokens + vocabulary), uni[m][a]
-                loss -= math.log(0.6 * pair[m][a, b] / c + 0.4 * one if c else one)
-            assert math.isclose(got[k][name], loss / max(1, len(w)), rel_tol=1e-9, abs_tol=1e-12), (k, name)
+    vocabulary, want = len(set(uni[0]) - {"^"}), []
+    for (i, _), w, a in zip(rows, own, aimed):
+        losses = []
+        for m in (0, 1):
+            less = m == 0 or a
+            u, v = Counter(w + ["^"] * bool(w)), Counter(zip(["^", *w], w))
+            tokens, loss = sum(c for x, c in uni[m].items() if x != "^") - less * len(w), 0.0
+            for x, y in zip(["^", *w], w):
+                one, c = (uni[m][y] - less * u[y] + 1) / (tokens + vocabulary), uni[m][x] - less * u[x]
+                loss -= math.log(0.6 * (pair[m][x, y] - less * v[x, y]) / c + 0.4 * one if c else one)
+            losses.append(loss / max(1, len(w)))
+        want.append((i, len(w), losses[1], losses[0], a))
+    want.sort(key=lambda r: (str(r[0]), r[3], r[2]))
+    means = [np.mean([r[2] - r[3] for r in want if r[1] and r[4] == hit]) for hit in (True, False)]
+    assert len(got) == len(want)
+    for r, (i, n, aim, rest, a) in zip(got, want):
+        assert (r.doc_id, r.n_tokens, r.in_target) == (i, n, a)
+        assert math.isclose(r.target_loss, aim, rel_tol=1e-9, abs_tol=1e-12) and math.isclose(r.background_loss, rest, rel_tol=1e-9, abs_tol=1e-12)
+        assert r.selected == (n > 0 and aim - rest <= sum(means) / 2)
+    assert any(r.selected for r in got) and not all(r.selected for r in got)
     assert lm_score.cross_entropy_difference(empty, target).count() == 0
+    assert not any(r.selected for r in lm_score.cross_entropy_difference(table, target.where("false"), p).collect())
 
 
 def test_language_id(spark):
