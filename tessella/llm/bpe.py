@@ -23,14 +23,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .arrowtext import Chunk, chunks, column, raw
+from .arrowtext import Chunk, chunks, column, raw, release
 
 #: Rows with other characters than these go through the library's own normaliser and splitter: code points below U+0240 are in NFC
 #: whatever their neighbours are and are lower-cased alike everywhere, but for U+0130; four control characters are white space to some.
 _PLAIN_BELOW = 0x240
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 _CACHED_WORDS = 1_000_000
-_CHUNK_BYTES = 2 << 20
+#: Words in one trie; its nodes are small dicts, of which memory would hold millions.
+_TRIE_WORDS = 16_384
+_CHUNK_BYTES = 1 << 20
 
 
 def _classes() -> np.ndarray:
@@ -197,19 +199,22 @@ class TrieEncoder:
         return path, ending
 
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """Ids of distinct words, by one depth-first walk over their trie."""
+        """Ids of distinct words, by depth-first walks over tries of neighbours in their order."""
         collecting = gc.isenabled()
         gc.disable()  # the trie's many small dicts hold no cycles
         try:
-            return self._walk(words)
+            ordered, out = sorted(words), {}
+            for lo in range(0, len(ordered), _TRIE_WORDS):
+                out |= self._walk(ordered[lo : lo + _TRIE_WORDS])
+            return out
         finally:
             if collecting:
                 gc.enable()
 
-    def _walk(self, words: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
+    def _walk(self, words: list[bytes]) -> dict[bytes, tuple[int, ...]]:
         root: dict = {}
         deepest, end = 0, self.end
-        for word in sorted(words):  # neighbours in memory are then neighbours in the trie
+        for word in words:
             text = word.decode("latin-1")
             if not (word.isascii() and text.isprintable()):
                 text = text.translate(self._symbols)
@@ -366,6 +371,7 @@ def encoded(batches: Iterable[pa.RecordBatch], tokenizer: str, id_col: str, text
         ids, texts = column(batch, id_col).cast(pa.int64()), column(batch, text_col)
         for lo, hi in chunks(raw(texts)[1], _CHUNK_BYTES):
             yield ids[lo:hi], coder.encode(texts[lo:hi])
+            release()
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

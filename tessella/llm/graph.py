@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark) -> None:
-    """Keep the cluster's checkpoint folder; set one only where there is none, as in tests on one machine."""
+    """Keep the cluster's checkpoint folder; set one only where there is none and all runs on this machine, as in tests."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or "/tmp/checkpoints")
 
 
 def _stars(edges: DataFrame, both_ways: bool) -> DataFrame:

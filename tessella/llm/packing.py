@@ -10,6 +10,7 @@ powers of two, which need no padding.
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -67,7 +68,7 @@ def _knapsack(value: np.ndarray, classes: np.ndarray, room: int) -> tuple[float,
 def solve_patterns(demand: dict[int, int], p: PackParams = PackParams()) -> list[Pattern]:
     """Patterns that use the fewest sequences for the pieces of each class, fractions allowed, the most used first.
 
-    The basis stays feasible in each step, so stopping after ``max_columns`` still gives a valid, less tight, plan.
+    The basis stays feasible in each step, so stopping after ``max_columns`` still gives a valid, less tight, plan; a warning tells of it.
     """
     room = p.sequence // p.unit
     classes = np.array(sorted(c for c, n in demand.items() if n > 0), dtype=np.int64)
@@ -97,6 +98,8 @@ def solve_patterns(demand: dict[int, int], p: PackParams = PackParams()) -> list
         inverse -= np.outer(step, row)
         inverse[out] = row
         columns[out] = pieces
+    else:
+        warnings.warn(f"no optimum after {p.max_columns} columns: the plan is valid but may leave more padding", stacklevel=2)
     plans = [(tuple((int(classes[k]), n) for k, n in sorted(c.items())), float(v)) for c, v in zip(columns, x) if v > 1e-9]
     return sorted(plans, key=lambda plan: (-plan[1], plan[0]))
 
