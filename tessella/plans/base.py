@@ -21,3 +21,11 @@ def register(sql: str | None = None) -> Callable[[Query], Query]:
         return query
 
     return add
+
+
+def over(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    """Rows of a statement that both engines read, on the given tables."""
+    sql = sql.replace("{", "{{").replace("}", "}}")
+    for name in names:
+        sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}")
+    return spark.sql(sql, **{name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names})
