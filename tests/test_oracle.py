@@ -15,7 +15,7 @@ def plain(value):
     return ("nan" if math.isnan(value) else round(value, 6)) if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for file in os.listdir(DATA):
