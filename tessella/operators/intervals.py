@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,20 +23,34 @@ def complement(merged: DataFrame, bounds: DataFrame, tolerance: float = 0.05) ->
     return inner.unionByName(tail).where(F.col("end_s") - F.col("start_s") > tolerance)
 
 
-def first_overlap(segments: DataFrame, windows: DataFrame) -> DataFrame:
-    """For each segment (series_id, seg_id, start_s, end_s) the first window, by win_id, that overlaps it strictly; null where none does."""
-    a, b = segments.alias("a"), windows.alias("b")
-    hit = (F.col("a.series_id") == F.col("b.series_id")) & (F.col("a.start_s") < F.col("b.end_s")) & (F.col("a.end_s") > F.col("b.start_s"))
-    joined = a.join(b, hit, "left").groupBy("a.series_id", "a.seg_id").agg(F.min("b.win_id").alias("win_id"))
-    return joined.select("series_id", "seg_id", "win_id")
+def slots(start: Column, end: Column, length: float) -> Column:
+    """The slots of a length that an interval touches, as rows."""
+    return F.explode(F.sequence(F.floor(start / length), F.floor(end / length)))
+
+
+def first_overlap(segments: DataFrame, windows: DataFrame, slot: float = 10.0) -> DataFrame:
+    """For each segment (series_id, seg_id, start_s, end_s) the first window, by win_id, that overlaps it strictly; null where none does.
+
+    Both lie in each time slot that they touch and meet by series and slot, so that a long series costs no square of its rows.
+    """
+    valid = "end_s >= start_s"
+    a = segments.where(valid).select("series_id", "seg_id", F.col("start_s").alias("a0"), F.col("end_s").alias("a1"), slots(F.col("start_s"), F.col("end_s"), slot).alias("slot_"))
+    b = windows.where(valid).select("series_id", F.col("win_id"), F.col("start_s").alias("b0"), F.col("end_s").alias("b1"), slots(F.col("start_s"), F.col("end_s"), slot).alias("slot_"))
+    hits = a.join(b, ["series_id", "slot_"]).where("a0 < b1 AND a1 > b0").groupBy("series_id", "seg_id").agg(F.min("win_id").alias("win_id"))
+    return segments.select("series_id", "seg_id").distinct().join(hits, ["series_id", "seg_id"], "left")
 
 
 def nearest_within(targets: DataFrame, points: DataFrame, tolerance: float) -> DataFrame:
-    """For each target (series_id, k, goal) the nearest point (series_id, t) within ``tolerance``, the earlier of equals; null where there is none."""
-    a, b = targets.alias("a"), points.alias("b")
-    near = (F.col("a.series_id") == F.col("b.series_id")) & (F.abs(F.col("b.t") - F.col("a.goal")) <= tolerance)
-    pairs = a.join(b, near, "left").select("a.series_id", "a.k", "a.goal", "b.t")
-    return pairs.groupBy("series_id", "k", "goal").agg(F.min_by("t", F.struct(F.abs(F.col("t") - F.col("goal")), "t")).alias("t"))
+    """For each target (series_id, k, goal) the nearest point (series_id, t) within ``tolerance``, the earlier of equals; null where there is none.
+
+    Points lie in slots of twice the tolerance; a target meets those that its range touches, two at most.
+    """
+    length = 2 * tolerance
+    a = targets.select("series_id", "k", "goal", slots(F.col("goal") - tolerance, F.col("goal") + tolerance, length).alias("slot_"))
+    b = points.select("series_id", "t", F.floor(F.col("t") / length).alias("slot_"))
+    hits = a.join(b, ["series_id", "slot_"]).where(F.abs(F.col("t") - F.col("goal")) <= tolerance)
+    best = hits.groupBy("series_id", "k", "goal").agg(F.min_by("t", F.struct(F.abs(F.col("t") - F.col("goal")), "t")).alias("t"))
+    return targets.select("series_id", "k", "goal").distinct().join(best, ["series_id", "k", "goal"], "left")
 
 
 def overlap_audit(scenes: DataFrame) -> DataFrame:

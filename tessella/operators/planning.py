@@ -167,17 +167,18 @@ def recommend_tier(costs: DataFrame, current: str = "high") -> DataFrame:
     return costs.where(F.col("rank") <= rank).groupBy("series_id").agg(F.coalesce(F.max(fits)["mode"], F.lit("low")).alias("mode"))
 
 
-def trim_frames(frames: DataFrame, cap: int = 88000, target: int = 76000, per_frame: int = 50, per_token: float = 3.5) -> DataFrame:
-    """Frames (series_id, t, n_chars, moving) whose transport fits a token cap.
+def trim_frames(frames: DataFrame, cap: int = 88000, texts: int = 12000, per_frame: int = 50, per_token: float = 3.5) -> DataFrame:
+    """Frames (series_id, t, n_chars, moving) whose transport fits a token cap, by one choice from their mean size.
 
     A series of over two frames whose estimate exceeds ``cap`` keeps as many as its mean size lets fit: moving frames first, then
-    still ones, evenly spaced. The reference figure is the mean: larger frames among those kept may leave the sum above ``cap``.
+    still ones, evenly spaced. Larger frames among those kept may leave the sum above ``cap``; ``delivery.trimmed`` measures again until it
+    fits. ``texts`` are the tokens of a response beside its frames.
     """
     series = Window.partitionBy("series_id")
     n, chars = F.count(F.lit(1)).over(series), F.sum("n_chars").over(series)
     sized = frames.withColumns({"n": n, "chars": chars, "n_moving": F.count_if("moving").over(series)})
-    estimate = F.ceil(F.col("chars") / per_token) + F.col("n") * per_frame
-    keep = F.greatest(F.lit(2), F.floor(target / (F.col("chars") / F.col("n") / per_token + per_frame)))
+    estimate = F.ceil(F.col("chars") / per_token) + F.col("n") * per_frame + texts
+    keep = F.greatest(F.lit(2), F.floor((cap - texts) / (F.col("chars") / F.col("n") / per_token + per_frame)))
     over = (F.col("n") > 2) & (estimate > cap) & (keep < F.col("n"))
     pos = F.row_number().over(Window.partitionBy("series_id", "moving").orderBy("t")) - 1
     marked = sized.withColumns({"over": over, "keep": keep, "pos": pos})

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators import intervals
+
 
 def rounded(x: Column, digits: int = 3) -> Column:
     """Half-up rounding by floor, the same in every engine."""
@@ -14,16 +16,25 @@ def rounded(x: Column, digits: int = 3) -> Column:
     return F.floor(x * scale + 0.5) / F.lit(float(scale))
 
 
-def upper_median(x: str) -> Column:
-    """The middle value of a column, or the upper of the two middle ones; never their mean. It is merged from counts of distinct
-    values, so partial results leave the map side and no list of a whole series is held."""
-    return F.expr(f"percentile_disc(0.5D) WITHIN GROUP (ORDER BY {x} DESC)")
+def upper_medians(rows: DataFrame, *columns: str) -> DataFrame:
+    """(series_id, one column for each of ``columns``): the middle value, or the upper of the two middle ones, never their mean; nulls do not count.
+
+    Values are counted first, with partial counts before the shuffle; running counts over the distinct values of a series then tell its
+    middle one. Nothing of a series is held in memory: its distinct values stream, sorted, through one task.
+    """
+    values = rows.select("series_id", F.inline(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns)))).where("v IS NOT NULL")
+    counted = values.groupBy("series_id", "name", "v").agg(F.count(F.lit(1)).alias("c"))
+    whole = Window.partitionBy("series_id", "name")
+    ranked = counted.withColumns({"upto": F.sum("c").over(whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(whole)})
+    middle = F.floor(F.col("n") / 2) + 1
+    found = ranked.where((F.col("upto") >= middle) & (F.col("upto") - F.col("c") < middle))
+    return found.groupBy("series_id").agg(*(F.max(F.when(F.col("name") == c, F.col("v"))).alias(c) for c in columns))
 
 
 def robust_stats(samples: DataFrame, floor: float) -> DataFrame:
     """(series_id, n, med, mad): upper median and upper median of absolute deviations, at least ``floor``."""
-    med = samples.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), upper_median("x").alias("med"))
-    spread = samples.join(med, "series_id").withColumn("off", F.abs(F.col("x") - F.col("med"))).groupBy("series_id").agg(upper_median("off").alias("raw_mad"))
+    med = samples.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).join(upper_medians(samples, "x").withColumnRenamed("x", "med"), "series_id")
+    spread = upper_medians(samples.join(med, "series_id").select("series_id", F.abs(F.col("x") - F.col("med")).alias("raw_mad")), "raw_mad")
     return med.join(spread, "series_id").select("series_id", "n", "med", F.greatest("raw_mad", F.lit(floor)).alias("mad"))
 
 
@@ -64,13 +75,19 @@ def motion_windows(samples: DataFrame, min_rows: int = 8, k: float = 1.5, mad_fl
     by_time = Window.partitionBy("series_id").orderBy("t")
     stats = robust_stats(samples, mad_floor).where(F.col("n") >= min_rows)
     smooth = _centred_means(samples, half)
+    finite = F.abs("sm") < float("inf")
+    so_far = by_time.rowsBetween(Window.unboundedPreceding, 0)
+    sums = {"cs": F.sum(F.when(finite, F.col("sm")).otherwise(0.0)), "cc": F.count("sm"), "cb": F.sum(F.when(finite | F.col("sm").isNull(), 0).otherwise(1))}
+    smooth = smooth.withColumns({k: f.over(so_far) for k, f in sums.items()})
     marked = smooth.join(stats, "series_id").withColumn("hot", F.col("sm") > F.col("med") + k * F.col("mad"))
     hot = marked.where("hot").withColumn("before", F.lag("t").over(by_time)).withColumn("rn_before", F.lag("rn").over(by_time))
     joined = hot.withColumn("opens", F.when((F.col("rn") == F.col("rn_before") + 1) | (F.col("t") - F.col("before") <= join_gap), 0).otherwise(1))
     grouped = joined.withColumn("g", F.sum("opens").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = grouped.groupBy("series_id", "g").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.min("rn").alias("ra"), F.max("rn").alias("rb"), F.first("dur").alias("dur")).where(F.col("b") - F.col("a") >= min_length)
-    values = spans.join(smooth.select("series_id", "rn", "sm"), "series_id").where("rn BETWEEN ra AND rb")
-    means = values.groupBy("series_id", "g", "a", "b", "dur").agg(F.avg("sm").alias("mean"))
+    own = {"cs": F.when(finite, F.col("sm")).otherwise(0.0), "cc": F.when(F.col("sm").isNull(), 0).otherwise(1), "cb": F.when(finite | F.col("sm").isNull(), 0).otherwise(1)}
+    ends = [x for k in sums for x in (F.min_by(F.col(k) - own[k], "rn").alias(f"{k}0"), F.max_by(k, "rn").alias(f"{k}1"))]
+    spans = grouped.groupBy("series_id", "g").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.first("dur").alias("dur"), *ends).where(F.col("b") - F.col("a") >= min_length)
+    mean = F.when(F.col("cb1") > F.col("cb0"), F.lit(float("nan"))).when(F.col("cc1") > F.col("cc0"), (F.col("cs1") - F.col("cs0")) / (F.col("cc1") - F.col("cc0")))
+    means = spans.withColumn("mean", mean)
     start = F.greatest(F.lit(0.0), F.col("a") - pad)
     end = F.least(F.greatest(F.lit(0.0), F.col("dur") - tail), F.col("b") + pad)
     out = means.select("series_id", start.alias("s"), end.alias("e"), "mean").where(F.col("e") - F.col("s") >= min_length)
@@ -123,10 +140,11 @@ def colour_outliers(frames: DataFrame, most: int = 50) -> DataFrame:
     valid = frames.where("saturation IS NOT NULL AND brightness IS NOT NULL").withColumn("hue", F.atan2("v", "u"))
     arc = lambda d: F.least(d, 2 * math.pi - d)
     away = {"saturation": F.abs(F.col("saturation") - F.col("mid_saturation")), "brightness": F.abs(F.col("brightness") - F.col("mid_brightness")), "hue": arc(F.abs(F.col("hue") - F.col("mid_hue")))}
-    mids = valid.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("hue").isNotNull()).alias("hued"), *(upper_median(c).alias(f"mid_{c}") for c in away)).where("n >= 8")
+    sizes = valid.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("hue").isNotNull()).alias("hued")).where("n >= 8")
+    mids = sizes.join(upper_medians(valid, *away).select("series_id", *(F.col(c).alias(f"mid_{c}") for c in away)), "series_id")
     far = valid.join(mids, "series_id").withColumns({f"off_{c}": x for c, x in away.items()})
     floors = {"saturation": 1.0, "brightness": 1.0, "hue": 0.02}
-    spread = far.groupBy("series_id").agg(*(F.greatest(upper_median(f"off_{c}"), F.lit(floors[c])).alias(f"mad_{c}") for c in away))
+    spread = upper_medians(far, *(f"off_{c}" for c in away)).select("series_id", *(F.greatest(f"off_{c}", F.lit(floors[c])).alias(f"mad_{c}") for c in away))
     part = lambda c: F.col(f"off_{c}") / F.col(f"mad_{c}")
     length = F.sqrt(part("saturation") * part("saturation") + part("brightness") * part("brightness"))
     turn = F.when(F.col("hued"), part("hue")).otherwise(0.0)
@@ -135,9 +153,13 @@ def colour_outliers(frames: DataFrame, most: int = 50) -> DataFrame:
     return found.withColumn("place", place).where(F.col("place") <= most).select("series_id", "t", "distance")
 
 
-def merge_series(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Two series (series_id, t, ...) side by side, rows of either kept; of a series' rows at one time the last by their values counts."""
-    last = lambda df: df.groupBy("series_id", "t").agg(*(F.max(c).alias(c) for c in df.columns if c not in ("series_id", "t")))
+def merge_series(left: DataFrame, right: DataFrame, order: str = "arrival") -> DataFrame:
+    """Two series (series_id, t, order, ...) side by side, rows of either kept; of a series' rows at one time the last by ``order`` counts, as a whole."""
+
+    def last(df: DataFrame) -> DataFrame:
+        rest = [c for c in df.columns if c not in ("series_id", "t", order)]
+        return df.groupBy("series_id", "t").agg(F.max_by(F.struct(*rest), order).alias("v")).select("series_id", "t", "v.*")
+
     return last(left).join(last(right), ["series_id", "t"], "full")
 
 
@@ -145,17 +167,23 @@ def tail_median(samples: DataFrame, share: float = 0.8) -> DataFrame:
     """(series_id, n, med): upper median of what follows the first ``share`` of each series."""
     number = F.row_number().over(Window.partitionBy("series_id").orderBy("t"))
     sized = samples.withColumns({"rn": number, "n": F.count(F.lit(1)).over(Window.partitionBy("series_id"))})
-    return sized.where(F.col("rn") > F.floor(F.col("n") * share)).groupBy("series_id").agg(F.first("n").alias("n"), upper_median("x").alias("med"))
+    tail = sized.where(F.col("rn") > F.floor(F.col("n") * share))
+    return tail.groupBy("series_id").agg(F.first("n").alias("n")).join(upper_medians(tail, "x").withColumnRenamed("x", "med"), "series_id", "left")
 
 
 def cached_lookup(targets: DataFrame, cached: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """For each (series_id, t) the cached frame (series_id, t, resolution, file) at that time, else the nearest within ``tolerance``;
-    the highest resolution that has one wins, null where none has."""
-    a, b = targets.alias("a"), cached.alias("b")
-    off = F.abs(F.col("b.t") - F.col("a.t"))
-    pairs = a.join(b, (F.col("a.series_id") == F.col("b.series_id")) & (off <= tolerance), "left").select("a.series_id", F.col("a.t").alias("t"), F.col("b.t").alias("found_t"), "b.resolution", "b.file", off.alias("off"))
+    """For each (series_id, bucket, t) the cached frame (series_id, bucket, t, resolution, file) at that time, else the nearest within ``tolerance``;
+    the highest resolution that has one wins, null where none has. ``bucket`` stands for format and crop: frames of another one never match.
+
+    Frames lie in time slots of twice the tolerance; a target meets those that its range touches, two at most.
+    """
+    length = 2 * tolerance
+    a = targets.select("series_id", "bucket", F.col("t"), intervals.slots(F.col("t") - tolerance, F.col("t") + tolerance, length).alias("slot_"))
+    b = cached.select("series_id", "bucket", F.col("t").alias("found_t"), "resolution", "file", F.floor(F.col("t") / length).alias("slot_"))
+    pairs = a.join(b, ["series_id", "bucket", "slot_"]).withColumn("off", F.abs(F.col("found_t") - F.col("t"))).where(F.col("off") <= tolerance)
     best = F.max_by(F.struct("found_t", "resolution", "file"), F.struct("resolution", -F.col("off"), -F.col("found_t")))
-    return pairs.groupBy("series_id", "t").agg(best.alias("best")).select("series_id", "t", "best.found_t", "best.resolution", "best.file")
+    found = pairs.groupBy("series_id", "bucket", "t").agg(best.alias("best"))
+    return targets.select("series_id", "bucket", "t").distinct().join(found, ["series_id", "bucket", "t"], "left").select("series_id", "bucket", "t", "best.found_t", "best.resolution", "best.file")
 
 
 def new_labels(arriving: DataFrame, kept: DataFrame) -> DataFrame:

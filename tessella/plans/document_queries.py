@@ -71,13 +71,13 @@ _DAY = "CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT)"
 
 
 @register(
-    f"""WITH e AS (SELECT user_id AS series_id, {_DAY} AS t, event_type, value FROM events)
-SELECT series_id, t, blur, colour FROM (SELECT series_id, t, max(value) AS blur FROM e WHERE event_type = 'click' GROUP BY 1, 2) FULL JOIN (SELECT series_id, t, max(value) AS colour FROM e WHERE event_type = 'error' GROUP BY 1, 2) USING (series_id, t)"""
+    f"""WITH e AS (SELECT user_id AS series_id, {_DAY} AS t, event_id, event_type, value FROM events)
+SELECT series_id, t, blur, colour FROM (SELECT series_id, t, arg_max(value, event_id) AS blur FROM e WHERE event_type = 'click' GROUP BY 1, 2) FULL JOIN (SELECT series_id, t, arg_max(value, event_id) AS colour FROM e WHERE event_type = 'error' GROUP BY 1, 2) USING (series_id, t)"""
 )
 def merged_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
-    rows = sources.table(spark, sf_dir, "events").select(F.col("user_id").alias("series_id"), day.alias("t"), "event_type", "value")
-    of = lambda kind, name: rows.where(F.col("event_type") == kind).select("series_id", "t", F.col("value").alias(name))
+    rows = sources.table(spark, sf_dir, "events").select(F.col("user_id").alias("series_id"), day.alias("t"), F.col("event_id").alias("arrival"), "event_type", "value")
+    of = lambda kind, name: rows.where(F.col("event_type") == kind).select("series_id", "t", "arrival", F.col("value").alias(name))
     return signals.merge_series(of("click", "blur"), of("error", "colour"))
 
 
@@ -94,15 +94,16 @@ def tail_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    f"""WITH s AS (SELECT user_id AS series_id, event_id, {_T} AS t FROM events), a AS (SELECT DISTINCT series_id, t FROM s WHERE event_id % 2 = 0), b AS (SELECT series_id, t, CASE event_id % 3 WHEN 0 THEN 384 WHEN 1 THEN 512 ELSE 1024 END AS resolution, event_id AS file FROM s WHERE event_id % 2 = 1),
-p AS (SELECT a.series_id, a.t, b.t AS found_t, resolution, file, row_number() OVER (PARTITION BY a.series_id, a.t ORDER BY resolution DESC, abs(b.t - a.t), b.t) AS place FROM a LEFT JOIN b ON a.series_id = b.series_id AND abs(b.t - a.t) <= 0.05)
-SELECT series_id, t, found_t, resolution, file FROM p WHERE place = 1"""
+    f"""WITH s AS (SELECT user_id AS series_id, event_id, {_T} AS t, CASE event_id % 5 WHEN 0 THEN 'png' ELSE 'jpeg' END AS bucket FROM events), a AS (SELECT DISTINCT series_id, bucket, t FROM s WHERE event_id % 2 = 0), b AS (SELECT series_id, bucket, t, CASE event_id % 3 WHEN 0 THEN 384 WHEN 1 THEN 512 ELSE 1024 END AS resolution, event_id AS file FROM s WHERE event_id % 2 = 1),
+p AS (SELECT a.series_id, a.bucket, a.t, b.t AS found_t, resolution, file, row_number() OVER (PARTITION BY a.series_id, a.bucket, a.t ORDER BY resolution DESC, abs(b.t - a.t), b.t) AS place FROM a LEFT JOIN b ON a.series_id = b.series_id AND a.bucket = b.bucket AND abs(b.t - a.t) <= 0.05)
+SELECT series_id, bucket, t, found_t, resolution, file FROM p WHERE place = 1"""
 )
 def cached_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sources.windows(spark, sf_dir).select("series_id", "win_id", F.col("start_s").alias("t"))
+    bucket = F.when(F.col("win_id") % 5 == 0, "png").otherwise("jpeg")
+    rows = sources.windows(spark, sf_dir).select("series_id", "win_id", bucket.alias("bucket"), F.col("start_s").alias("t"))
     resolution = F.expr("CASE win_id % 3 WHEN 0 THEN 384 WHEN 1 THEN 512 ELSE 1024 END")
-    cached = rows.where("win_id % 2 = 1").select("series_id", "t", resolution.alias("resolution"), F.col("win_id").alias("file"))
-    return signals.cached_lookup(rows.where("win_id % 2 = 0").select("series_id", "t").distinct(), cached)
+    cached = rows.where("win_id % 2 = 1").select("series_id", "bucket", "t", resolution.alias("resolution"), F.col("win_id").alias("file"))
+    return signals.cached_lookup(rows.where("win_id % 2 = 0").select("series_id", "bucket", "t").distinct(), cached)
 
 
 @register(

@@ -94,7 +94,7 @@ def recommended_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     """WITH f AS (SELECT user_id AS series_id, event_id AS t, CAST(floor(value) * 40 AS BIGINT) AS n_chars, event_type = 'click' AS moving FROM events),
 z AS (SELECT *, count(*) OVER s AS n, sum(n_chars) OVER s AS chars, count_if(moving) OVER s AS nm, row_number() OVER (PARTITION BY series_id, moving ORDER BY t) - 1 AS pos FROM f WINDOW s AS (PARTITION BY series_id)),
-k AS (SELECT *, greatest(2, CAST(floor(76000 / (chars / n / 3.5e0 + 50)) AS BIGINT)) AS keep, ceil(chars / 3.5e0) + n * 50 AS est, CASE WHEN moving THEN nm ELSE n - nm END AS size FROM z),
+k AS (SELECT *, greatest(2, CAST(floor(76000 / (chars / n / 3.5e0 + 50)) AS BIGINT)) AS keep, ceil(chars / 3.5e0) + n * 50 + 12000 AS est, CASE WHEN moving THEN nm ELSE n - nm END AS size FROM z),
 q AS (SELECT *, n > 2 AND est > 88000 AND keep < n AS over_, CASE WHEN nm = 0 THEN keep WHEN moving THEN least(keep, nm) ELSE greatest(0, least(keep - nm, n - nm)) END AS quota FROM k),
 w AS (SELECT DISTINCT series_id, moving, CASE WHEN quota = 1 THEN 0 ELSE CAST(floor(i * (size - 1) / CAST(quota - 1 AS DOUBLE) + 0.5) AS BIGINT) END AS pos FROM (SELECT DISTINCT series_id, moving, size, quota, unnest(range(CAST(quota AS BIGINT))) AS i FROM q WHERE over_ AND quota < size))
 SELECT series_id, t, n_chars, moving FROM q WHERE NOT over_ OR quota >= size UNION ALL SELECT series_id, t, n_chars, moving FROM q JOIN w USING (series_id, moving, pos) WHERE over_ AND quota < size"""
