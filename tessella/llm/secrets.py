@@ -66,12 +66,13 @@ def _either(parts: list[Query]) -> Query:
 
 
 def _trigrams(words: set[str]) -> Query:
-    """What a text holds if it holds one of the words."""
+    """What a text holds if it holds one of the words. Only trigrams of ASCII characters are indexed; others ask for nothing."""
     found = []
     for w in sorted(words):
         query = EVERY
         for k in range(len(w) - 2):
-            query = _both(query, w[k : k + 3])
+            if w[k : k + 3].isascii():
+                query = _both(query, w[k : k + 3])
         found.append(query)
     return _either(found) if found else EVERY
 

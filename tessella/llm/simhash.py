@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import column
+from .arrowtext import column, whole_groups
 from .graph import connected_components, ensure_checkpoint_dir
 
 _SEED = 42
@@ -127,13 +127,11 @@ def link_distinct(distinct: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(some[index].view(np.int64))], ["anchor", "fp"])
 
     def compare(batches):
-        parts = [(column(b, "anchor").to_numpy(zero_copy_only=False), column(b, "fp").to_numpy(zero_copy_only=False)) for b in batches]
-        if parts:
-            anchor, fp = (np.concatenate(x).view(np.uint64) for x in zip(*parts))
-            u, v = links_at_anchors(anchor, fp)
+        for table in whole_groups(batches, "anchor"):
+            u, v = links_at_anchors(*(column(table, k).to_numpy(zero_copy_only=False).view(np.uint64) for k in ("anchor", "fp")))
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    return distinct.mapInArrow(replicate, "anchor long, fp long").repartition("anchor").mapInArrow(compare, "u long, v long")
+    return distinct.mapInArrow(replicate, "anchor long, fp long").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
