@@ -4,8 +4,9 @@ A byte goes if a string of ``width`` bytes that covers it also starts earlier. S
 a hundredfold, so the suffixes are chosen by content: in each window of ``width`` bytes the gram with the least hash is its anchor, equal
 windows have equal anchors, and consecutive windows with one anchor form a span. One suffix stands for each span, and these passes decide:
 
-1. *Filter.* Blocks (ranges of ids, so that block order is document order) send fingerprints of their anchors and spans. The answer tells for each
-   span whether its anchor and its whole content occur elsewhere. Spans with an anchor found nowhere else are done: nothing in them repeats.
+1. *Filter.* Blocks (ranges of ids, so that block order is document order) send fingerprints of their spans, and of their anchors with two
+   spans for each at most. The answers tell for each span whether its content occurs in other blocks, and whether its anchor has
+   other surroundings. Spans with neither are done: nothing in them repeats. An anchor that is everywhere sends two entries a block.
 2. *Merge sort.* Each block sorts the suffixes of its repeated spans, front-codes the run (length of the common prefix with the one before, and
    the rest), and cuts it into shards. A shard merges its runs with a loser tree that keeps, for every waiting suffix, the prefix that it
    shares with the last winner, so known prefixes are never compared again. Equal neighbours are repeats; the one of the first block stays.
@@ -13,7 +14,8 @@ windows have equal anchors, and consecutive windows with one anchor form a span.
    fingerprints occur twice (a second filter) are sorted and merged in the same way, as 128-bit digests of their suffixes.
 3. *Removal.* Blocks mark what the answers say and cut the text.
 
-Blocks and shards have bounded size, and a block sends equal strings once, so frequent passages do not gather anywhere.
+Repeats inside a block are found by fingerprint and confirmed by their bytes. Blocks and shards have bounded size, and a block sends equal strings
+once, so frequent passages do not gather anywhere. The rows of one id, or of none, are spread over blocks by a hash of their text.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,9 +44,12 @@ _SPAN_CHUNK = 1 << 16
 class RepeatParams:
     width: int = 100
     gram: int = 32
+    #: Bytes of text in a block: at least, and at most. Between them it grows with the root of the input, so that blocks times shards grow
+    #: no faster than the input.
     block_bytes: int = 4 << 20
-    #: Bytes of text whose spans meet in one shard, about.
-    shard_bytes: int = 32 << 20
+    most_block_bytes: int = 16 << 20
+    #: Blocks whose text the spans of a shard come from, about.
+    shard_blocks: int = 8
 
 
 # -- strings in order --------------------------------------------------------------------------------------------
@@ -175,6 +181,10 @@ class Spans:
         g, c = self.gram[order], self.content[order]
         new = np.ones(len(order), dtype=bool)
         new[1:] = (g[1:] != g[:-1]) | (c[1:] != c[:-1])
+        lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        body, again = self.data.tobytes(), np.flatnonzero(~new)
+        a, b, c, d = (x.tolist() for x in (self.first[order[again]], self.last[order[again]] + p.width, self.first[lead[again]], self.last[lead[again]] + p.width))
+        new[again[[body[i:j] != body[k:m] for i, j, k, m in zip(a, b, c, d)]]] = True  # equal fingerprints of other bytes
         #: The span of each class's first occurrence; the order is that of the classes' hashes.
         self.lead = order[new]
         self.repeats = order[~new]
@@ -227,13 +237,39 @@ class Windows:
                 parts.append(Chunk(s.data, s.at, lo, hi).hashes(own, own + p.width))
         h = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
-        h = h[order]
+        h, start = h[order], start[order]
         new = np.ones(len(h), dtype=bool)
         new[1:] = h[1:] != h[:-1]
-        self.hash, self.start, self.again = h[new], start[order[new]], start[order[~new]]
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        again, step = np.flatnonzero(~new), np.arange(p.width)
+        for lo in range(0, len(again), 8192):
+            some = again[lo : lo + 8192]
+            new[some[(s.data[start[some, None] + step] != s.data[start[lead[some], None] + step]).any(axis=1)]] = True
+        self.hash, self.start, self.again = h[new], start[new], start[~new]
         self.mark = self.hash >> np.uint64(24)
 
 
+def _anchors(s: Spans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct anchors of a block in order, with the least and the greatest content of their spans."""
+    gram, content = s.gram[s.lead], s.content[s.lead]  # by anchor, then by content
+    if not len(gram):
+        return gram, content, content
+    new = np.ones(len(gram), dtype=bool)
+    new[1:] = gram[1:] != gram[:-1]
+    start = np.flatnonzero(new)
+    return gram[start], content[start], content[np.append(start[1:], len(gram)) - 1]
+
+
+def _lead_codes(s: Spans, content_code: np.ndarray, gram_code: np.ndarray) -> np.ndarray:
+    """For each lead span: 1 if other blocks have its content; 2 if its block is the first that has it and its anchor has others."""
+    content, gram = s.content[s.lead], s.gram[s.lead]
+    back = np.empty(len(content), dtype=np.int64)
+    back[np.argsort(content, kind="stable")] = np.arange(len(content))
+    own = content_code[back] if len(content) else content_code
+    mixed = gram_code[np.searchsorted(_anchors(s)[0], gram)] if len(gram) else gram_code
+    return (own & 1) | (((own >> 1) & mixed) << 1)
+
+
 def _span_strings(s: Spans, code: np.ndarray, shards: int, p: RepeatParams) -> tuple[list[list[bytes]], list[list[int]]]:
     """Sorted suffixes of the spans with ``code & 1`` by shard, and the span of each."""
     body = s.data.tobytes()
@@ -288,69 +324,119 @@ def removed_bytes(s: Spans, flags: pa.Table, shards: int, p: RepeatParams) -> np
 # -- the distributed passes --------------------------------------------------------------------------------------
 
 
-def _block_of(id_col: str, bounds: list[float]) -> Column:
-    """The number of bounds up to the id, by binary search."""
+def _array(values: list[int], suffix: str = "") -> str:
+    return f"array({','.join(f'{v}{suffix}' for v in values)})"
+
+
+def _range_of(id_col: str, bounds: list[int]) -> Column:
+    """The number of bounds up to the id, by binary search; 0 for a null id."""
     if not bounds:
         return F.lit(0)
     steps = [1 << b for b in range(len(bounds).bit_length() - 1, -1, -1)]
-    array = ",".join(f"{int(b)}L" for b in bounds)
     return F.expr(
-        f"aggregate(array({','.join(map(str, steps))}), 0, (lo, step) -> if(lo + step <= {len(bounds)} and array({array})[lo + step - 1] <= coalesce(`{id_col}`, {-(1 << 62)}L), lo + step, lo))"
+        f"aggregate({_array(steps)}, 0, (lo, step) -> if(lo + step <= {len(bounds)} and {_array(bounds, 'L')}[lo + step - 1] <= coalesce(`{id_col}`, {-(1 << 63) + 1}L), lo + step, lo))"
     )
 
 
+def _dealt(docs: DataFrame, p: RepeatParams, block_bytes: int, blocks: int, id_col: str, text_col: str) -> DataFrame:
+    """The rows with their block, whose numbers are in document order, and a hash that orders rows with one id.
+
+    Ranges of ids come from quantiles over rows, and neighbouring ranges make a block by their bytes. Where the rows with a range's least id, or those
+    without an id, are more than a block, ranges of the hash spread them over several.
+    """
+    bounds: list[int] = []
+    if blocks > 1:
+        found = docs.select(F.col(id_col).cast("double").alias("id")).approxQuantile("id", [k / (2 * blocks) for k in range(1, 2 * blocks)], 0.1 / blocks)
+        bounds = sorted({int(x) for x in found})
+    ranged = docs.withColumn("_range", _range_of(id_col, bounds).cast("int")).withColumn("_order", F.xxhash64(text_col))
+    least = F.when(F.col("_range") > 0, F.expr(f"{_array(bounds, 'L')}[_range - 1]")) if bounds else F.lit(None).cast("long")
+    own, size = F.col(id_col).cast("long").eqNullSafe(least), F.coalesce(F.octet_length(text_col), F.lit(0))
+    sums = {r["_range"]: (r["own"], r["all"]) for r in ranged.groupBy("_range").agg(F.sum(F.when(own, size).otherwise(0)).alias("own"), F.sum(size).alias("all")).collect()}
+    number, hot, last, held = [], {}, -1, 2 * block_bytes
+    for k in range(len(bounds) + 1):
+        alone, every = sums.get(k, (0, 0))
+        if alone > block_bytes:
+            hot[k] = last + 1, -(-alone // block_bytes)
+            last, held, every = last + hot[k][1], 2 * block_bytes, every - alone
+        if held + every > block_bytes * 5 // 4:
+            last, held = last + 1, 0
+        number.append(last)
+        held += every
+    block = F.expr(f"{_array(number)}[_range]") if bounds else F.lit(number[0])
+    share = F.shiftrightunsigned("_order", 33) / float(1 << 31)
+    for k, (first, many) in hot.items():
+        block = F.when((F.col("_range") == k) & own, first + F.floor(share * many)).otherwise(block)
+    return ranged.withColumn("_block", block.cast("int")).drop("_range")
+
+
 def _ordered(table: pa.Table, id_col: str, text_col: str) -> pa.Table:
-    return table.sort_by([(id_col, "ascending"), (text_col, "ascending")])
+    top = pc.shift_right(table.column("_order").cast(pa.uint64(), safe=False), pa.scalar(33, pa.uint64()))
+    keys = pa.table([table.column(id_col), top, table.column(text_col)], names=["id", "top", "text"])
+    return table.take(pc.sort_indices(keys, sort_keys=[(k, "ascending") for k in keys.column_names], null_placement="at_start"))
 
 
 def remove_repeats(docs: DataFrame, output: Callable[[pa.Table, pa.Array, np.ndarray, np.ndarray], pa.Table], schema: StructType | str, p: RepeatParams = RepeatParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``output(rows, texts, offsets of the texts' bytes, removed flag of each byte)`` for blocks of rows.
 
-    Order is that of ids, and of texts where ids repeat; null ids come last within the first block. Null text is empty.
+    Order is that of ids; rows without an id come first, and a hash of the text orders rows with one id. Null text is empty.
     """
-    size, rows = docs.agg(F.sum(F.octet_length(text_col)), F.count(id_col)).first()
+    clash = {"_block", "_order", "_range"} & set(docs.columns)
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} are needed here")
+    size, rows = docs.agg(F.sum(F.octet_length(text_col)), F.count(F.lit(1))).first()
     size = size or 0
-    blocks, shards = max(1, min(-(-size // p.block_bytes), rows or 1)), -(-size // p.shard_bytes) or 1
-    bounds: list[float] = []
-    if blocks > 1:
-        found = docs.select(F.col(id_col).cast("double").alias("id")).approxQuantile("id", [k / blocks for k in range(1, blocks)], 0.2 / blocks)
-        bounds = sorted(set(found))
+    block_bytes = max(p.block_bytes, min(p.most_block_bytes, int(64 * size**0.5)))
+    blocks = max(1, min(-(-size // block_bytes), rows))
+    shards = -(-size // (p.shard_blocks * block_bytes)) or 1
     names = docs.columns
-    dealt = docs.withColumn("_block", _block_of(id_col, bounds).cast("int"))
+    dealt = _dealt(docs, p, block_bytes, blocks, id_col, text_col)
 
     def propose(table: pa.Table) -> pa.Table:
         block = column(table, "_block")[0].as_py()
         s = Spans(column(_ordered(table, id_col, text_col), text_col), p)
-        gram, content, cuts = s.gram[s.lead], s.content[s.lead], _cuts(s.gram[s.lead], 40, shards)
-        parts = [slice(a, b) for a, b in zip(cuts, cuts[1:])]
+        content, (gram, low, high) = np.sort(s.content[s.lead]), _anchors(s)
+        cuts, gram_cuts = _cuts(content, 56, shards), _cuts(gram, 40, shards)
+        parts, gram_parts = ([slice(a, b) for a, b in zip(x, x[1:])] for x in (cuts, gram_cuts))
+        several = low != high
         return pa.table(
             {
                 "shard": pa.array(range(shards), pa.int32()),
                 "_block": pa.array([block] * shards, pa.int32()),
-                "grams": pa.array([pack_sorted(gram[x]) for x in parts], pa.binary()),
-                "contents": pa.array([pack(content[x]) for x in parts], pa.binary()),
+                "contents": pa.array([pack_sorted(content[x]) for x in parts], pa.binary()),
+                "grams": pa.array([pack_sorted(gram[x]) for x in gram_parts], pa.binary()),
+                "lows": pa.array([pack(low[x]) for x in gram_parts], pa.binary()),
+                "severals": pa.array([pack(several[x].astype(np.uint8)) for x in gram_parts], pa.binary()),
             }
         )
 
     def judge(table: pa.Table) -> pa.Table:
+        """For each content whether other blocks have it, and whether this is the first that does; for each anchor whether it has several contents."""
         table = table.sort_by("_block")
+        out = {}
+        contents = [unpack_sorted(x) for x in column(table, "contents").to_pylist()]
+        at, c = np.concatenate([[0], np.cumsum([len(x) for x in contents])]), np.concatenate(contents)
+        order = np.argsort(c, kind="stable")  # blocks stay in order
+        c, code = c[order], np.zeros(len(c), dtype=np.uint8)
+        new = np.ones(len(c), dtype=bool)
+        new[1:] = c[1:] != c[:-1]
+        kind = np.cumsum(new) - 1
+        code[order] = (np.bincount(kind)[kind] > 1).astype(np.uint8) | (new.astype(np.uint8) << 1) if len(c) else code
+        out["content_code"] = [pack(code[a:b]) for a, b in zip(at, at[1:])]
         grams = [unpack_sorted(x) for x in column(table, "grams").to_pylist()]
-        at = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
-        g = np.concatenate(grams)
-        c = np.concatenate([unpack(x, np.uint64) for x in column(table, "contents").to_pylist()])
-        order = np.lexsort((c, g))  # stable: blocks stay in order
-        g, c = g[order], c[order]
-        code = np.zeros(len(g), dtype=np.uint8)
+        at, g = np.concatenate([[0], np.cumsum([len(x) for x in grams])]), np.concatenate(grams)
+        low = np.concatenate([unpack(x, np.uint64) for x in column(table, "lows").to_pylist()])
+        several = np.concatenate([unpack(x, np.uint8) for x in column(table, "severals").to_pylist()]) > 0
+        order = np.argsort(g, kind="stable")
+        g, low = g[order], low[order]
+        mixed = np.zeros(len(g), dtype=np.uint8)
         if len(g):
-            gram_new, new = np.ones(len(g), dtype=bool), np.ones(len(g), dtype=bool)
-            gram_new[1:] = g[1:] != g[:-1]
-            new[1:] = gram_new[1:] | (c[1:] != c[:-1])
-            kind, group = np.cumsum(new) - 1, np.cumsum(gram_new) - 1
-            several = np.bincount(kind)[kind] > 1
-            kinds = np.bincount(group[new])
-            code[order] = several.astype(np.uint8) | (((kinds[group] > 1) & new).astype(np.uint8) << 1)
-        out = [pack(code[a:b]) for a, b in zip(at, at[1:])]
-        return pa.table({"_block": table.column("_block"), "shard": table.column("shard"), "code": pa.array(out, pa.binary())})
+            new = np.ones(len(g), dtype=bool)
+            new[1:] = g[1:] != g[:-1]
+            start, group = np.flatnonzero(new), np.cumsum(new) - 1
+            differs = np.logical_or.reduceat(several[order], start) | (np.minimum.reduceat(low, start) != np.maximum.reduceat(low, start))
+            mixed[order] = differs[group]
+        out["gram_code"] = [pack(mixed[a:b]) for a, b in zip(at, at[1:])]
+        return pa.table({"_block": table.column("_block"), "shard": table.column("shard")} | {k: pa.array(v, pa.binary()) for k, v in out.items()})
 
     def nothing(*binary: str) -> pa.Table:
         return pa.table({"shard": pa.array([], pa.int32()), "_block": pa.array([], pa.int32())} | {x: pa.array([], pa.binary()) for x in binary})
@@ -360,10 +446,12 @@ def remove_repeats(docs: DataFrame, output: Callable[[pa.Table, pa.Array, np.nda
             return nothing("code", "marks")
         s = Spans(column(_ordered(texts, id_col, text_col), text_col), p)
         answers = answers.sort_by("shard")
-        w = Windows(s, _joined(answers, "code"), p)
+        code = _lead_codes(s, _joined(answers, "content_code"), _joined(answers, "gram_code"))
+        w = Windows(s, code, p)
         cuts = _cuts(w.mark, 40, shards)
         marks = [pack_sorted(w.mark[a:b]) for a, b in zip(cuts, cuts[1:])]
-        return pa.table({"shard": answers.column("shard"), "_block": answers.column("_block"), "code": answers.column("code"), "marks": pa.array(marks, pa.binary())})
+        codes = [pack(code) if k == 0 else b"" for k in range(shards)]
+        return pa.table({"shard": answers.column("shard"), "_block": answers.column("_block"), "code": pa.array(codes, pa.binary()), "marks": pa.array(marks, pa.binary())})
 
     def compare(table: pa.Table) -> pa.Table:
         marks = [unpack_sorted(x) for x in column(table, "marks").to_pylist()]
@@ -415,8 +503,8 @@ def remove_repeats(docs: DataFrame, output: Callable[[pa.Table, pa.Array, np.nda
         gone = removed_bytes(s, flags, shards, p)
         return output(texts.select(names), body, s.at, gone)
 
-    proposed = dealt.groupBy("_block").applyInArrow(propose, "shard int, _block int, grams binary, contents binary")
-    judged = proposed.groupBy("shard").applyInArrow(judge, "_block int, shard int, code binary")
+    proposed = dealt.groupBy("_block").applyInArrow(propose, "shard int, _block int, contents binary, grams binary, lows binary, severals binary")
+    judged = proposed.groupBy("shard").applyInArrow(judge, "_block int, shard int, content_code binary, gram_code binary")
     suspected = dealt.groupBy("_block").cogroup(judged.groupBy("_block")).applyInArrow(suspect, "shard int, _block int, code binary, marks binary")
     compared = suspected.groupBy("shard").applyInArrow(compare, "_block int, shard int, code binary, window_code binary")
     sent = dealt.groupBy("_block").cogroup(compared.groupBy("_block")).applyInArrow(send, "shard int, _block int, code binary, window_code binary, spans binary, windows binary")

@@ -137,7 +137,7 @@ def brute_removed(texts: dict) -> dict:
 
 @pytest.mark.parametrize("size", [1500, 1 << 20])
 def test_suffix_dedup(docs, empty, size):
-    p = suffix_dedup.RepeatParams(block_bytes=size, shard_bytes=2 * size)
+    p = suffix_dedup.RepeatParams(block_bytes=size, most_block_bytes=size, shard_blocks=2)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.digests(docs, p).collect()}
     assert got == brute_removed(texts_of(docs))
     cut = suffix_dedup.cut_repeats(docs, p)
@@ -145,6 +145,31 @@ def test_suffix_dedup(docs, empty, size):
     assert suffix_dedup.digests(empty, p).count() == 0
 
 
+@pytest.mark.parametrize("size", [700, 20000])
+def test_suffix_dedup_with_repeated_and_null_ids(spark, size):
+    r = random.Random(size)
+    line = " ".join(r.choices(WORDS, k=30))
+    texts = [" ".join(r.choices(WORDS, k=20)) + r.choice([line, line[:110], "", line]) + " ".join(r.choices(WORDS, k=r.choice([3, 40]))) for _ in range(150)]
+    texts += [texts[3], texts[3], None, "", "x" * 3000, "\u00e9" * 400]
+    ids = [None if k % 5 == 0 else 7 if k % 3 == 0 else r.choice([k, 2**60 + k, -k]) for k in range(len(texts))]
+    table = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    p = suffix_dedup.RepeatParams(block_bytes=size, most_block_bytes=size, shard_blocks=2)
+    got = sorted((str(x.doc_id), x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.digests(table, p).collect())
+    top = lambda t: xxhash.xxh64_intdigest((t or "").encode(), 42) >> 33 if t is not None else 42 >> 33
+    order = sorted(zip(ids, texts), key=lambda x: (x[0] is not None, x[0] or 0, top(x[1]), x[1] is not None, x[1] or ""))
+    want = brute_removed({k: t or "" for k, (_, t) in enumerate(order)})
+    assert got == sorted((str(i), *want[k]) for k, (i, _) in enumerate(order))
+
+
+def test_suffix_dedup_of_very_long_texts(spark):
+    r = random.Random(1)
+    stock = ["".join(r.choices("abcdefghij ", k=400)) for _ in range(900)]
+    rows = [(1, "".join(r.choices(stock, k=3200))), (2, "y" + "".join(r.choices(stock, k=30))), (3, "z" * 1_300_000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.digests(table, suffix_dedup.RepeatParams(block_bytes=1 << 20, most_block_bytes=1 << 20)).collect()}
+    assert got == brute_removed(dict(rows))
+
+
 def test_merge_runs():
     r = random.Random(5)
     runs = [sorted({bytes(r.choices(b"ab", k=r.randint(1, 8))) for _ in range(r.randint(0, 40))}) for _ in range(9)]
