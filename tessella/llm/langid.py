@@ -9,7 +9,7 @@ cosines that all training rows of that length class have to their own language.
 rows takes its neighbours' in. Texts under ``LangParams.short_ngrams`` are too short to tell by distance and are not rejected for it.
 
 Document frequencies are counted over all training rows. Clustering uses a bounded sample for each language, chosen by
-hash of the id; the bound is ``LangParams.sample_rows``.
+hash of id and text; the bound is ``LangParams.sample_rows``.
 """
 
 from __future__ import annotations
@@ -58,8 +58,8 @@ class LangModel:
 
 
 def held_out(id_col: str) -> Column:
-    """Whether a row is kept from training: crc32 of the id as text leaves 2 when divided by 4."""
-    return F.crc32(F.col(id_col).cast("string")) % 4 == 2
+    """Whether a row is kept from training: crc32 of the id as text leaves 2 when divided by 4. A row without an id is not."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
 
 
 _LETTER = np.arange(256, dtype=np.uint8)
@@ -153,11 +153,12 @@ def fit(train: DataFrame, p: LangParams = LangParams(), id_col: str = "doc_id",
     def centroids(table: pa.Table) -> pa.Table:
         table = table.sort_by([(id_col, "ascending"), (text_col, "ascending")])
         x = np.concatenate([_vectors(m, idf) for _, m in _counts(column(table, text_col), p)])
-        out = _cluster(x, p).astype(np.float32)
+        x = x[(x != 0).any(axis=1)]  # texts without a letter point nowhere
+        out = _cluster(x, p).astype(np.float32) if len(x) else x
         return pa.table({"lang": pa.array([table.column(lang_col)[0].as_py()] * len(out), pa.string()), "k": pa.array(range(len(out)), pa.int64()), "centroid": pa.array([c.tobytes() for c in out], pa.binary())})
 
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int((1 << 30) * min(1.0, p.sample_rows / rows[lang])))])
-    sample = train.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share[F.col(lang_col)])
+    sample = train.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 30)) < share[F.col(lang_col)])
     parts = sorted(sample.groupBy(lang_col).applyInArrow(centroids, "lang string, k long, centroid binary").collect())
     lang_of = np.array([langs.index(r[0]) for r in parts], dtype=np.int64)
     centre = np.array([np.frombuffer(r[2], np.float32) for r in parts], dtype=np.float32).reshape(len(parts), p.buckets)

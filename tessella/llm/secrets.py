@@ -240,4 +240,4 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES, t
             yield part
 
     out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col else out
+    return out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col in docs.columns else out

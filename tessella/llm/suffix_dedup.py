@@ -544,4 +544,4 @@ def cut_repeats(docs: DataFrame, p: RepeatParams = RepeatParams(), id_col: str =
         return rows.filter(pa.array([not hit or bool(t) for hit, t in zip(touched, text)], pa.bool_()))
 
     out = remove_repeats(docs, output, docs.schema, p, id_col, text_col)
-    return out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col else out
+    return out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col in docs.columns else out
