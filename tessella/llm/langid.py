@@ -214,7 +214,7 @@ def classify(docs: DataFrame, model: LangModel, keep: list[str] | None = None, t
             )
 
     types = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keep)
-    return docs.select(text_col, *keep).mapInArrow(run, f"{types}lang_pred string, score double, rejected boolean")
+    return docs.select(*dict.fromkeys([text_col, *keep])).mapInArrow(run, f"{types}lang_pred string, score double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: LangModel, text_col: str = "text") -> DataFrame:
