@@ -6,7 +6,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-KEYS = ("series_id", "resolution", "label")
+#: What tells frames apart, as far as a table has these columns; ``format`` and ``bucket`` (its crop) keep other pictures of one moment apart.
+KEYS = ("series_id", "resolution", "format", "bucket", "label")
+#: Folders by hash of the series, so that a batch is compared with the folders of its own series alone.
+PARTS = 16
 
 
 def summary(frames: DataFrame, shown: int = 50) -> DataFrame:
@@ -45,8 +48,13 @@ def stored(frames: DataFrame, path: str) -> DataFrame:
 def insert_absent(frames: DataFrame, path: str, arrival: str = "arrival") -> None:
     """Append the frames whose key the folder lacks; of rows with one key the first by ``arrival`` is written.
 
-    Files lie by resolution. A run that is repeated after a failure finds its own rows and writes only what is missing.
+    Files lie by resolution and by a hash of the series; only the hashes that the batch holds are read. A run that is repeated after a failure
+    finds its own rows and writes only what is missing.
     """
-    first = Window.partitionBy(*KEYS).orderBy(arrival)
-    new = frames.join(stored(frames, path).select(*KEYS), list(KEYS), "left_anti").withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
-    new.write.mode("append").partitionBy("resolution").parquet(path)
+    keys = [k for k in KEYS if k in frames.columns]
+    parted = frames.withColumn("part", F.pmod(F.xxhash64("series_id"), F.lit(PARTS)).cast("int"))
+    touched = [r.part for r in parted.select("part").distinct().collect()]  # PARTS numbers at most
+    held = stored(parted, path).where(F.col("part").isin(touched)).select(*keys)
+    first = Window.partitionBy(*keys).orderBy(arrival)
+    new = parted.join(held, keys, "left_anti").withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
+    new.write.mode("append").partitionBy("resolution", "part").parquet(path)
