@@ -82,3 +82,37 @@ def clock_seconds(label: Column) -> Column:
     """Seconds of HH:MM:SS[.fff]; null where the label has another form."""
     part = lambda k: F.try_element_at(F.split(label, ":"), F.lit(k)).cast("double")
     return F.when(label.rlike(r"^\d{2}:\d{2}:\d{2}(\.\d+)?$"), part(1) * 3600 + part(2) * 60 + part(3))
+
+# What a level of detail (high, moderate, low) and one of motion mean together.
+PROFILE_MEANINGS = {
+    ("high", "high"): "busy action scenes",
+    ("high", "moderate"): "detailed moving shots",
+    ("high", "low"): "detailed static shots",
+    ("moderate", "high"): "action with mid-detail scenes",
+    ("moderate", "moderate"): "typical narrative content",
+    ("moderate", "low"): "static mid-detail shots",
+    ("low", "high"): "simple fast-moving scenes or animations",
+    ("low", "moderate"): "simple scenes with some movement",
+    ("low", "low"): "simple static shots, slides, or graphics",
+}
+
+
+def profile_text(si: Column, ti: Column) -> Column:
+    """The two levels in words, with their meaning where both are known."""
+    detail, motion = content_profile(si, ti)
+    meaning = F.coalesce(*(F.when((detail == d) & (motion == m), F.lit(f" ({text})")) for (d, m), text in PROFILE_MEANINGS.items()), F.lit(""))
+    told = F.concat(detail, F.lit(" visual complexity, "), motion, F.lit(" motion"), meaning)
+    return F.when(si.isNull() & ti.isNull(), "unknown (no motion analysis data)").otherwise(told)
+
+
+def decimals(x: Column, digits: int = 2) -> Column:
+    """A number of no less than zero with so many decimals, rounded half up."""
+    scale = 10**digits
+    n = F.floor(x * scale + 0.5).cast("long")
+    return F.concat(F.floor(n / scale).cast("string"), F.lit("."), F.lpad((n % scale).cast("string"), digits, "0"))
+
+
+def noise(seed: Column) -> Column:
+    """A number from 0 to 1 that looks random and depends on the seed alone."""
+    x = F.sin(seed * 99.13 + 4.7) * 43758.5453
+    return x - F.floor(x)

@@ -235,6 +235,6 @@ def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.table(spark, sf_dir, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("PROTOCOL")).isin("http", "https").alias("is_web"))
 
 
-from tessella.plans import delivery_queries, document_queries, label_queries, log_queries, mask_queries, plan_queries, rule_queries, schema_queries, source_queries, stream_queries, subject_queries  # noqa: E402, F401
+from tessella.plans import delivery_queries, document_queries, label_queries, log_queries, mask_queries, plan_queries, report_queries, rule_queries, schema_queries, source_queries, stream_queries, subject_queries  # noqa: E402, F401
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
