@@ -1,11 +1,16 @@
 """Stages of the corpus pipeline against brute force."""
 
 import random
+import re
+import zlib
 
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessella.llm import near_copies
+from tessella.llm import langid, near_copies, secrets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -88,3 +93,65 @@ def test_one_row_of_each_group_stays(spark):
     by_text = {r.text: r for r in got}
     assert by_text[near].doc_id == 3 and by_text[other].doc_id is None and by_text[third].doc_id is None
     assert by_text[fourth].doc_id == 3 and by_text[""].doc_id == 7
+
+
+def removed(texts: dict) -> dict:
+    """Each text without the bytes covered by a string of 100 bytes that starts earlier too; ids in order. A character that a cut splits goes."""
+    seen, out = set(), {}
+    for k in sorted(texts):
+        b = texts[k].encode()
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 99):
+            if b[i : i + 100] in seen:
+                gone[i : i + 100] = True
+            seen.add(b[i : i + 100])
+        left = np.frombuffer(b, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
+        if left or not gone.any():
+            out[k] = left
+    return out
+
+
+def test_run_against_plain_stages(spark, tmp_path):
+    r = random.Random(31)
+    stock = {"aa": ["katu", "mira", "solen", "dova", "pelu", "rinka", "tavo"], "bb": ["grosz", "tchwik", "przad", "szklo", "wprad", "krzew", "zboz"]}
+    text = lambda lang, n: " ".join(w + r.choice("aeiou") * r.randint(0, 3) for w in r.choices(stock[lang], k=n))
+    passage = text("aa", 40)
+    rows = [(k, text(lang, r.choice([15, 60, 200])), lang) for k in range(160) for lang in [("aa", "bb")[k % 2]]]
+    rows += [(200 + k, f"{text('aa', 30)} {passage} {text('aa', 20)}", "aa") for k in range(4)]
+    rows += [(300, rows[5][1], "bb"), (300, rows[5][1], "bb"), (301, rows[6][1] + " katu", "aa"), (302, passage, "aa"), (303, text("bb", 30) + " password = abc123secret", "bb"), (304, None, None), (305, "12 34 56", "aa"), (306, " ".join("".join(r.choices("qxjvy", k=6)) for _ in range(200)), None)]
+    documents = spark.createDataFrame([(*x, "s", len(x[1] or "")) for x in rows], SCHEMA)
+    documents.repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {}
+    for x in corpus_pipeline.run(spark, str(tmp_path)).orderBy("doc_id", "start").collect():
+        got.setdefault(x.doc_id, []).append((x.start, x.length, x.ids_crc32, x.doc_tokens))
+
+    model = langid.fit(documents.where(~langid.held_out("doc_id")))
+    judged = langid.classify(documents, model, keep=["text"]).where("NOT rejected").select("doc_id", "text").distinct().collect()
+    kept = {}
+    for x in judged:
+        kept.setdefault(x.doc_id, x.text)
+    assert {304, 305, 306}.isdisjoint(kept) and len(kept) > 160  # no letters, and noise
+    ids = sorted(kept)
+    root = groups([kept[i] for i in ids])
+    firsts = {i: kept[i] for k, i in enumerate(ids) if root.index(root[k]) == k}
+    assert 300 not in firsts and 301 not in firsts
+    assign = re.compile(secrets.BASE_RULES[0].pattern, re.A | re.I)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {}
+    for i, t in removed(firsts).items():
+        for m in reversed(list(assign.finditer(t))):
+            if len(m[2]) >= 6:
+                t = t[: m.start(2)] + "[SECRET]" + t[m.end(2) :]
+        want[i] = [*library.encode(t, add_special_tokens=False).ids, 2]
+    assert set(got) == set(want) and 302 not in want
+    for i, tokens in want.items():
+        at = 0
+        for start, length, crc, size in got[i]:
+            assert (start, size) == (at, len(tokens)) and crc == zlib.crc32(np.array(tokens[start : start + length], "<u4").tobytes())
+            at += length
+        assert at == len(tokens)
+
+
+def test_run_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
