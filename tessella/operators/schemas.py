@@ -56,7 +56,7 @@ BEAT_SHEET = (
     ("continuity_notes[]", False, "string", None),
 )
 
-# The fields of a design document, as far as its timeline, stage and palette go; the other parts are open.
+# The fields of a design document.
 DESIGN_LOCK = (
     ("lockVersion", True, "integer", ("enum", (1,))),
     ("meta", True, "object", None),
@@ -82,10 +82,47 @@ DESIGN_LOCK = (
     ("palette.tokens[].use", True, "string", ("length", 1)),
     ("palette.shadow", False, "string", None),
     ("palette.bans", False, "array", None),
-    ("typography", True, "open", None),
+    ("palette.bans[]", False, "string", None),
+    ("typography", True, "object", None),
+    ("typography.roles", True, "array", ("items", 1)),
+    ("typography.roles[]", False, "object", None),
+    ("typography.roles[].role", True, "string", ("length", 1)),
+    ("typography.roles[].family", True, "string", ("length", 1)),
+    ("typography.roles[].weight", True, "string", ("length", 1)),
+    ("typography.roles[].tracking", False, "string", None),
+    ("typography.roles[].notes", False, "string", None),
+    ("typography.banned", False, "array", None),
+    ("typography.banned[]", False, "string", None),
+    ("typography.fonts", False, "array", None),
+    ("typography.fonts[]", False, "object", None),
+    ("typography.fonts[].family", True, "string", None),
+    ("typography.fonts[].source", True, "string", None),
     ("heroElements", False, "array", None),
-    ("texture", False, "open", None),
-    ("motion", True, "open", None),
+    ("heroElements[]", False, "object", None),
+    ("heroElements[].id", True, "string", ("pattern", _SLUG)),
+    ("heroElements[].kind", True, "string", ("enum", ("svg", "sprite", "dom", "image"))),
+    ("heroElements[].description", True, "string", None),
+    ("heroElements[].svgPath", False, "string", None),
+    ("heroElements[].viewBox", False, "string", None),
+    ("heroElements[].css", False, "string", None),
+    ("heroElements[].sizes", False, "array", None),
+    ("heroElements[].sizes[]", False, "object", None),
+    ("heroElements[].sizes[].context", True, "string", None),
+    ("heroElements[].sizes[].width", True, "number", None),
+    ("heroElements[].sizes[].height", True, "number", None),
+    ("heroElements[].sizes[].notes", False, "string", None),
+    ("texture", False, "object", None),
+    ("texture.description", False, "string", None),
+    ("texture.css", False, "string", None),
+    ("texture.svg", False, "string", None),
+    ("motion", True, "object", None),
+    ("motion.eases", True, "array", ("items", 1)),
+    ("motion.eases[]", False, "object", None),
+    ("motion.eases[].use", True, "string", ("length", 1)),
+    ("motion.eases[].ease", True, "string", ("length", 1)),
+    ("motion.principles", True, "array", ("items", 1)),
+    ("motion.principles[]", False, "string", ("length", 1)),
+    ("motion.breatheSeconds", False, "number", None),
     ("audio", False, "object", None),
     ("audio.tracks", True, "array", None),
     ("audio.tracks[]", False, "object", None),
@@ -112,8 +149,15 @@ DESIGN_LOCK = (
     ("scenes[].transitionOut", False, "string", None),
     ("scenes[].notes", False, "string", None),
     ("idioms", False, "array", None),
+    ("idioms[]", False, "string", None),
     ("outOfScope", False, "array", None),
+    ("outOfScope[]", False, "string", None),
     ("references", False, "array", None),
+    ("references[]", False, "object", None),
+    ("references[].label", True, "string", None),
+    ("references[].path", False, "string", None),
+    ("references[].url", False, "string", None),
+    ("references[].notes", False, "string", None),
 )
 #: Violations that do not make a document invalid.
 WARNINGS = ("tail_past_end", "late_first")

@@ -53,7 +53,7 @@ def document_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LOCKS = """SELECT o_orderkey AS doc_id, concat('{"lockVersion": ', CASE o_orderkey % 9 WHEN 0 THEN '2' ELSE '1' END, ', "meta": {"project": "', CASE o_orderkey % 8 WHEN 0 THEN 'Bad Name' ELSE 'good-name' END, '", "title": "t", "targetDurationSeconds": ', CAST(8 + o_orderkey % 5 AS STRING), ', "stage": {"width": 1920, "height": 1080}, "render": {"width": 1920, "height": 1080, "fps": ', CASE o_orderkey % 7 WHEN 0 THEN '31' ELSE '30' END,
-'}}, "palette": {"tokens": [{"token": "--a", "hex": "#fff", "use": "u"}]}, "typography": {"roles": []}, "motion": {}, "audio": {"tracks": [{"role": "r", "status": "tbd", "volume": ', CASE o_orderkey % 6 WHEN 0 THEN '1.5' ELSE '0.5' END, '}]}, "scenes": [{"id": "a", "start": ', CAST(o_orderkey % 3 AS STRING), ', "duration": 4, "storyboard": "x", "effects": [], "transitionOut": "', CASE o_orderkey % 2 WHEN 0 THEN 'cut' ELSE 'fade' END,
+'}}, "palette": {"tokens": [{"token": "--a", "hex": "#fff", "use": "u"}]}, "typography": {"roles": [{"role": "body", "family": "f", "weight": "400"}]}, "motion": {"eases": [{"use": "in", "ease": "e"}], "principles": ["p"]}, "audio": {"tracks": [{"role": "r", "status": "tbd", "volume": ', CASE o_orderkey % 6 WHEN 0 THEN '1.5' ELSE '0.5' END, '}]}, "scenes": [{"id": "a", "start": ', CAST(o_orderkey % 3 AS STRING), ', "duration": 4, "storyboard": "x", "effects": [], "transitionOut": "', CASE o_orderkey % 2 WHEN 0 THEN 'cut' ELSE 'fade' END,
 '"}, {"id": "', CASE o_orderkey % 10 WHEN 0 THEN 'a' ELSE 'b' END, '", "start": ', CAST(3 + o_orderkey % 4 AS STRING), ', "duration": 5', CASE o_orderkey % 11 WHEN 0 THEN '' ELSE ', "storyboard": "y"' END, ', "effects": [{"ref": "e", "vars": {"any": [1]}}]}]}') AS content FROM orders"""
 
 
