@@ -90,6 +90,15 @@ def test_first_writer_of_a_frame_wins(spark, tmp_path):
     assert sorted((r.resolution, r.label, r.file) for r in got) == [(384, "a", "early"), (384, "b", "new"), (512, "a", "other")]
 
 
+def test_format_and_crop_keep_frames_apart(spark, tmp_path):
+    path, schema = str(tmp_path / "cache"), "series_id INT, resolution INT, format STRING, bucket STRING, label STRING, file STRING, arrival INT"
+    one = spark.createDataFrame([(k, 384, f, b, "a", f"{f}{b}", 1) for k in range(40) for f in ("jpeg", "png") for b in ("", "roi=1,2,3x4")], schema)
+    frame_cache.insert_absent(one, path)
+    frame_cache.insert_absent(one.withColumn("file", F.lit("again")).unionByName(spark.createDataFrame([(7, 384, "webp", "", "a", "new", 2)], schema)), path)
+    got = frame_cache.stored(one, path).collect()
+    assert len(got) == 161 and {r.file for r in got} == {"jpeg", "png", "jpegroi=1,2,3x4", "pngroi=1,2,3x4", "new"}
+
+
 def test_streams(spark, tmp_path):
     at = "2024-01-01 00:00:"
     samples = [(1, f"{at}00", 3.0), (1, f"{at}01", 9.0), (1, f"{at}02", 9.0), (1, f"{at}20", 4.0), (2, f"{at}01", 1.0)]
