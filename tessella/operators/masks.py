@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators import intervals
+
 
 def union_mask(pixels: DataFrame, least_frames: int = 2) -> DataFrame:
     """(series_id, x, y, energy): each lit pixel and how many rows light it. Series with fewer than ``least_frames`` lit frames have no rows.
@@ -108,3 +110,16 @@ def subject_boxes(found: DataFrame, width: int, height: int, frame_w: int, frame
         (F.floor(F.col("share") * 10 + 0.5) / 10.0).alias("area_pct"),
         F.when(F.col("share").between(10, 70), 0.9).when(F.col("share") < 10, 0.4).otherwise(0.6).alias("confidence"),
     )
+
+
+def boxes_by_window(pixels: DataFrame, windows: DataFrame, width: int, height: int, frame_w: int, frame_h: int, slot: float = 10.0) -> DataFrame:
+    """(series_id, win_id, left, top, w, h, area_pct, confidence) for each window (series_id, win_id, start_s, end_s): the box of what the pixels
+    (series_id, frame, t, x, y) of its time light, ends included; nulls where there is none.
+
+    Pixels and windows meet by series and time slot.
+    """
+    named = windows.withColumn("key", F.concat_ws("/", F.col("series_id").cast("string"), F.col("win_id").cast("string")))
+    spread = named.where("end_s >= start_s").select("series_id", "key", "start_s", "end_s", intervals.slots(F.col("start_s"), F.col("end_s"), slot).alias("slot_"))
+    held = pixels.withColumn("slot_", F.floor(F.col("t") / slot)).join(spread, ["series_id", "slot_"]).where("t BETWEEN start_s AND end_s").select(F.col("key").alias("series_id"), "frame", "x", "y")
+    boxes = subject_boxes(blobs(dilate(union_mask(held), width, height)), width, height, frame_w, frame_h).withColumnRenamed("series_id", "key")
+    return named.select("series_id", "win_id", "key").join(boxes, "key", "left").drop("key")

@@ -43,18 +43,30 @@ def mask_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.blobs(_dilated(spark, sf_dir))
 
 
-@register(
-    f"""WITH RECURSIVE {_BLOBS}, top AS (SELECT series_id, max(area) AS top_area FROM sized GROUP BY 1 HAVING max(area) >= 28.8 AND max(area) <= 12240),
+_BOXES = f"""WITH RECURSIVE {_BLOBS}, top AS (SELECT series_id, max(area) AS top_area FROM sized GROUP BY 1 HAVING max(area) >= 28.8 AND max(area) <= 12240),
 around AS (SELECT series_id, min(min_x) * 8 AS x, min(min_y) * 8 AS y, (max(max_x) - min(min_x) + 1) * 8 AS w, (max(max_y) - min(min_y) + 1) * 8 AS h FROM sized JOIN top USING (series_id) WHERE area >= top_area * 0.5 GROUP BY 1),
 pads AS (SELECT *, CAST(floor(w * 6e-2) AS BIGINT) AS px, CAST(floor(h * 6e-2) AS BIGINT) AS py FROM around),
 grown AS (SELECT series_id, x - least(px, x) AS "left", y - least(py, y) AS top, least(1280 - (x - least(px, x)), w + least(px, x) + px) AS w, least(720 - (y - least(py, y)), h + least(py, y) + py) AS h FROM pads),
 even AS (SELECT series_id, "left", top, w - w % 2 AS w, h - h % 2 AS h, (w - w % 2) * (h - h % 2) / 921600e0 * 100 AS share FROM grown)
 SELECT series_id, CAST("left" AS BIGINT) AS "left", CAST(top AS BIGINT) AS top, CAST(w AS BIGINT) AS w, CAST(h AS BIGINT) AS h, floor(share * 10 + 0.5) / 10.0 AS area_pct, CASE WHEN share BETWEEN 10 AND 70 THEN 9e-1 WHEN share < 10 THEN 4e-1 ELSE 6e-1 END AS confidence FROM even WHERE w >= 20 AND h >= 20"""
-)
+
+
+@register(_BOXES)
 def subject_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.subject_boxes(mask_blobs(spark, sf_dir), **_GRID, frame_w=1280, frame_h=720)
 
 
+@register(
+    f"""WITH w AS (SELECT DISTINCT user_id AS series_id, k AS win_id FROM events, (SELECT unnest(range(3)) AS k)), b AS ({_BOXES.replace("user_id AS series_id", "user_id * 3 + event_id % 24 // 12 AS series_id")})
+SELECT w.series_id, CAST(win_id AS INT) AS win_id, "left", top, b.w, h, area_pct, confidence FROM w LEFT JOIN b ON b.series_id = w.series_id * 3 + win_id"""
+)
+def window_subject_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = sources.mask_pixels(spark, sf_dir).withColumn("t", F.col("frame").cast("double"))
+    users = sources.table(spark, sf_dir, "events").select(F.col("user_id").alias("series_id")).distinct()
+    windows = users.withColumn("win_id", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumns({"start_s": F.col("win_id") * 12.0, "end_s": F.col("win_id") * 12.0 + 11})
+    return masks.boxes_by_window(pixels, windows, **_GRID, frame_w=1280, frame_h=720)
+
+
 @register(
     """WITH f AS (SELECT user_id AS series_id, CASE event_type WHEN 'click' THEN 384 ELSE 512 END AS resolution, strftime(ts, '%d-%H:%M:%S') AS label FROM events)
 SELECT series_id, resolution, count(*) AS frame_count, CASE WHEN count(*) > 50 THEN min(label) END AS first_label, CASE WHEN count(*) > 50 THEN max(label) END AS last_label, CASE WHEN count(*) <= 50 THEN string_agg(label, ',' ORDER BY label) END AS labels FROM f GROUP BY 1, 2"""
