@@ -28,7 +28,8 @@ def robust_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register(
     f"""WITH {_SAMPLES}, {_STATS.format(floor="0.5")},
-smooth AS (SELECT *, row_number() OVER w AS rn, avg(x) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS sm, max(t) OVER (PARTITION BY series_id) AS dur FROM samples WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+wide AS (SELECT *, max(t) OVER s AS dur, CAST(greatest(2, floor(count(*) OVER s / greatest(1, max(t) OVER s) / 2 + 0.5)) AS BIGINT) AS half FROM samples WINDOW s AS (PARTITION BY series_id)),
+smooth AS (SELECT series_id, t, x, dur, row_number() OVER w AS rn, avg(x) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN half PRECEDING AND half FOLLOWING) AS sm FROM wide WINDOW w AS (PARTITION BY series_id ORDER BY t)),
 hot AS (SELECT s.* FROM smooth s JOIN stats USING (series_id) WHERE n >= 8 AND sm > med + 1.5 * mad),
 opened AS (SELECT *, CASE WHEN rn = lag(rn) OVER w + 1 OR t - lag(t) OVER w <= 1.0 THEN 0 ELSE 1 END AS opens FROM hot WINDOW w AS (PARTITION BY series_id ORDER BY t)),
 grouped AS (SELECT *, sum(opens) OVER (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM opened),
