@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,6 +107,17 @@ def sampling_gaps(segments: DataFrame) -> DataFrame:
     return rated.select("series_id", "n_frames", "max_gap", "budget_share", "time_share", F.when(concentrated, "concentrated").when(sparse, "sparse").alias("warning"))
 
 
+def warning_numbers(gaps: DataFrame) -> DataFrame:
+    """(series_id, warning, budget_pct, time_pct, rest_pct, gap_s, n_frames) of ``sampling_gaps`` with a warning, rounded as warnings tell them: shares
+    for concentrated plans, the gap in tenths for sparse ones."""
+    whole = lambda c: F.floor(F.col(c) * 100 + 0.5)
+    dense, sparse = F.col("warning") == "concentrated", F.col("warning") == "sparse"
+    return gaps.where("warning IS NOT NULL").select(
+        "series_id", "warning", F.when(dense, whole("budget_share")).alias("budget_pct"), F.when(dense, whole("time_share")).alias("time_pct"), F.when(dense, 100 - whole("time_share")).alias("rest_pct"),
+        F.when(sparse, F.floor(F.col("max_gap") * 10 + 0.5) / 10.0).alias("gap_s"), "n_frames",
+    )
+
+
 def chunk_plan(assets: DataFrame, strict: DataFrame, loose: DataFrame, size: float = 600.0, overlap: float = 0.0, tolerance: float = 30.0) -> DataFrame:
     """(series_id, chunk, total, start_s, actual_start_s, end_s, clean_cut, warning): cuts near every ``size`` of (series_id, duration_s).
 
@@ -126,6 +139,15 @@ def chunk_plan(assets: DataFrame, strict: DataFrame, loose: DataFrame, size: flo
     )
 
 
+# Level and length of silences that cuts are looked for in, the strict ones first.
+STRICT_SILENCE, LOOSE_SILENCE = (-40.0, 0.5), (-30.0, 0.2)
+
+
+def chunk_plan_by(assets: DataFrame, silences: Callable[[float, float], DataFrame], size: float = 600.0, overlap: float = 0.0, tolerance: float = 30.0) -> DataFrame:
+    """``chunk_plan`` with silences from any detector: ``silences(level, least seconds)`` gives (series_id, start_s, end_s)."""
+    return chunk_plan(assets, silences(*STRICT_SILENCE), silences(*LOOSE_SILENCE), size, overlap, tolerance)
+
+
 # Fixed values: (mode, rank, resolution, frames at a cap of 100,000 tokens, frames at 50,000, tokens of a frame, frames a second).
 TIERS = (("low", 0, 384, 25, 200, 2700, 1.5), ("mid", 1, 512, 17, 150, 3800, 3.0), ("high", 2, 1024, 4, 30, 11000, 6.0), ("max", 3, 1536, 2, 20, 21000, 12.5))
 STATIC_TOKENS, CONVERSATION_TOKENS, MARGIN, DIVISOR, COMPACTION = 8000, 3000, 1.25, 750, 813000

@@ -103,6 +103,15 @@ def top_outliers(samples: DataFrame, floor: float = 1.0, limit_score: float = 1.
     return scored.withColumn("place", place).where(F.col("place") <= most).select("series_id", "t", "x", "score", "place")
 
 
+def quiet_spans(samples: DataFrame, limit: float, least_s: float) -> DataFrame:
+    """(series_id, start_s, end_s): runs of samples (series_id, t, x) below ``limit`` that last ``least_s`` at least, from the first to the last of them."""
+    by_time = Window.partitionBy("series_id").orderBy("t")
+    marked = samples.withColumn("quiet", F.coalesce(F.col("x") < limit, F.lit(False)))
+    numbered = marked.withColumn("run", F.row_number().over(by_time) - F.row_number().over(Window.partitionBy("series_id", "quiet").orderBy("t")))
+    spans = numbered.where("quiet").groupBy("series_id", "run").agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"))
+    return spans.where(F.col("end_s") - F.col("start_s") >= least_s).select("series_id", "start_s", "end_s")
+
+
 def largest_gap(samples: DataFrame) -> DataFrame:
     """The longest stretch between two samples of each series, the first of equals."""
     by_time = Window.partitionBy("series_id").orderBy("t")

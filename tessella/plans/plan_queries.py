@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella import sources
-from tessella.operators import planning
-from tessella.plans.base import register
+from tessella.operators import planning, signals
+from tessella.plans.base import ORACLE_SQL, over, register
 
 _T = "(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 86400000000.0"
 _SEGMENTS = f"""windows AS (SELECT user_id AS series_id, {_T} AS start_s, {_T} + value / 1000.0 AS end_s, value AS intensity FROM events),
@@ -53,6 +53,14 @@ def sampling_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.sampling_gaps(_segments(spark, sf_dir))
 
 
+@register(
+    f"""SELECT series_id, warning, CASE warning WHEN 'concentrated' THEN CAST(floor(budget_share * 100 + 0.5) AS BIGINT) END AS budget_pct, CASE warning WHEN 'concentrated' THEN CAST(floor(time_share * 100 + 0.5) AS BIGINT) END AS time_pct,
+CASE warning WHEN 'concentrated' THEN 100 - CAST(floor(time_share * 100 + 0.5) AS BIGINT) END AS rest_pct, CASE warning WHEN 'sparse' THEN floor(max_gap * 10 + 0.5) / 10 END AS gap_s, n_frames FROM ({ORACLE_SQL["sampling_gaps"]}) WHERE warning IS NOT NULL"""
+)
+def sampling_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.warning_numbers(planning.sampling_gaps(_segments(spark, sf_dir)))
+
+
 @register(
     f"""WITH w AS (SELECT user_id AS series_id, {_T} AS start_s, {_T} + value / 1000.0 AS end_s, value FROM events), assets AS (SELECT DISTINCT series_id, CAST(series_id % 8 * 5 AS DOUBLE) AS d FROM w),
 sz AS (SELECT *, greatest(0, CAST(floor(d / 5.0) AS INT) - 1) AS n FROM assets), go AS (SELECT *, k * 5.0e0 AS goal FROM (SELECT *, unnest(range(1, n + 1)) AS k FROM sz)),
@@ -69,6 +77,30 @@ def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.chunk_plan(assets, silences.where("intensity > 150"), silences.where("intensity > 50"), 5.0, 0.25, 0.5)
 
 
+_LEVELS = "SELECT user_id AS series_id, event_id / 8.0e0 AS t, -60 + value / 2 AS x FROM events"
+_QUIET = """SELECT series_id, min(t) AS start_s, max(t) AS end_s FROM (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY t) - row_number() OVER (PARTITION BY series_id, x < {0} ORDER BY t) AS run FROM lv) WHERE x < {0} GROUP BY series_id, run HAVING max(t) - min(t) >= {1}"""
+
+
+@register(f"WITH lv AS ({_LEVELS}) SELECT *, 'strict' AS kind FROM ({_QUIET.format(-40, 0.5)}) UNION ALL SELECT *, 'loose' FROM ({_QUIET.format(-30, 0.2)})")
+def silence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = over(spark, sf_dir, _LEVELS, "events")
+    strict, loose = (signals.quiet_spans(levels, *x) for x in (planning.STRICT_SILENCE, planning.LOOSE_SILENCE))
+    return strict.withColumn("kind", F.lit("strict")).unionByName(loose.withColumn("kind", F.lit("loose")))
+
+
+@register(
+    f"""WITH lv AS ({_LEVELS}), st AS ({_QUIET.format(-40, 0.5)}), lo AS ({_QUIET.format(-30, 0.2)}), a AS (SELECT series_id, max(t) AS d FROM lv GROUP BY 1), n AS (SELECT *, greatest(0, CAST(floor(d / 20) AS INT) - 1) AS n FROM a), g AS (SELECT series_id, n, d, unnest(range(1, n + 1)) AS k FROM n), q AS (SELECT *, k * 20.0e0 AS goal FROM g),
+p AS (SELECT q.series_id, k, arg_min(m, (abs(m - goal), m)) AS m FROM q JOIN (SELECT series_id, (start_s + end_s) / 2 AS m FROM st) s ON q.series_id = s.series_id AND abs(m - goal) <= 4 GROUP BY 1, 2), r AS (SELECT q.series_id, k, arg_min(m, (abs(m - goal), m)) AS m FROM q JOIN (SELECT series_id, (start_s + end_s) / 2 AS m FROM lo) s ON q.series_id = s.series_id AND abs(m - goal) <= 4 GROUP BY 1, 2),
+e AS (SELECT q.series_id, k, coalesce(p.m, r.m, goal) AS end_s, CASE WHEN p.m IS NOT NULL THEN NULL WHEN r.m IS NOT NULL THEN 'loose_threshold' ELSE 'hard_cut' END AS warning FROM q LEFT JOIN p USING (series_id, k) LEFT JOIN r USING (series_id, k) UNION ALL SELECT series_id, n + 1, d, NULL FROM n)
+SELECT series_id, CAST(k - 1 AS INT) AS chunk, coalesce(lag(end_s) OVER (PARTITION BY series_id ORDER BY k), 0) AS start_s, end_s, warning FROM e"""
+)
+def detected_chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = over(spark, sf_dir, _LEVELS, "events")
+    assets = levels.groupBy("series_id").agg(F.max("t").alias("duration_s"))
+    plan = planning.chunk_plan_by(assets, lambda level, least: signals.quiet_spans(levels, level, least), 20.0, 0.0, 4.0)
+    return plan.select("series_id", "chunk", "start_s", "end_s", "warning")
+
+
 _ASSETS = "SELECT o_orderkey AS series_id, CAST(floor(o_totalprice / 1000) AS DOUBLE) AS duration_s, CASE o_orderkey % 3 WHEN 0 THEN 1920 WHEN 1 THEN 1080 END AS width, CASE o_orderkey % 3 WHEN 0 THEN 1080 WHEN 1 THEN 1920 END AS height FROM orders"
 _COSTS = f"""tiers AS (SELECT * FROM (VALUES {", ".join(f"('{m}', {k}, {r}, {b}, {t}, CAST({f} AS DOUBLE))" for m, k, r, _, b, t, f in planning.TIERS)}) AS v(mode, rank, resolution, view_cap, frame_tokens, fps)),
 a AS (SELECT *, greatest(1, CAST(floor(fps * duration_s + 0.5) AS BIGINT)) AS frames_drawn, CAST(ceil(resolution * coalesce(floor(resolution * (height / CAST(width AS DOUBLE)) + 0.5), floor(resolution * 9 / 16.0e0 + 0.5)) / 750.0e0) AS BIGINT) AS image_tokens, least(fps, 6.0e0) AS thorough_fps FROM ({_ASSETS}), tiers),
