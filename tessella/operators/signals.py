@@ -56,13 +56,15 @@ def _centred_means(samples: DataFrame, half: int) -> DataFrame:
     sums = {"rs": F.sum(F.when(finite, F.col("x")).otherwise(0.0)), "rc": F.count("x"), "rb": F.sum(F.when(finite | F.col("x").isNull(), 0).otherwise(1))}
     numbered = samples.withColumns({"rn": F.row_number().over(by_time), "dur": F.max("t").over(whole), "n_": F.count(F.lit(1)).over(whole), **{k: f.over(so_far) for k, f in sums.items()}})
     width = F.greatest(F.lit(half), F.floor(F.col("n_") / F.greatest(F.lit(1.0), F.col("dur")) / 2 + 0.5))
-    out = numbered.withColumns({"hi": F.least(F.col("rn") + width, F.col("n_")), "lo": F.col("rn") - width - 1})
+    near = F.avg("x").over(by_time.rowsBetween(-half, half))
+    out = numbered.withColumns({"near": near, "width": width, "hi": F.least(F.col("rn") + width, F.col("n_")), "lo": F.col("rn") - width - 1})
     for at, how in (("hi", "inner"), ("lo", "left")):
         ends = numbered.select("series_id", F.col("rn").cast("long").alias(at), *(F.col(k).alias(f"{at}_{k}") for k in sums))
         out = out.join(ends, ["series_id", at], how)
     part = {k: F.col(f"hi_{k}") - F.coalesce(F.col(f"lo_{k}"), F.lit(0)) for k in sums}
     mean = F.when(part["rb"] > 0, F.lit(float("nan"))).when(part["rc"] > 0, part["rs"] / part["rc"])
-    return out.select(*samples.columns, "rn", mean.alias("sm"), "dur")
+    # most series have the least width, whose frame is a literal: a mean of its own values, without the rounding of long sums
+    return out.select(*samples.columns, "rn", F.when(F.col("width") == half, F.col("near")).otherwise(mean).alias("sm"), "dur")
 
 
 def motion_windows(samples: DataFrame, min_rows: int = 8, k: float = 1.5, mad_floor: float = 0.5, half: int = 2, join_gap: float = 1.0, min_length: float = 0.4, pad: float = 0.1, tail: float = 0.5) -> DataFrame:
@@ -75,19 +77,18 @@ def motion_windows(samples: DataFrame, min_rows: int = 8, k: float = 1.5, mad_fl
     by_time = Window.partitionBy("series_id").orderBy("t")
     stats = robust_stats(samples, mad_floor).where(F.col("n") >= min_rows)
     smooth = _centred_means(samples, half)
-    finite = F.abs("sm") < float("inf")
-    so_far = by_time.rowsBetween(Window.unboundedPreceding, 0)
-    sums = {"cs": F.sum(F.when(finite, F.col("sm")).otherwise(0.0)), "cc": F.count("sm"), "cb": F.sum(F.when(finite | F.col("sm").isNull(), 0).otherwise(1))}
-    smooth = smooth.withColumns({k: f.over(so_far) for k, f in sums.items()})
-    marked = smooth.join(stats, "series_id").withColumn("hot", F.col("sm") > F.col("med") + k * F.col("mad"))
-    hot = marked.where("hot").withColumn("before", F.lag("t").over(by_time)).withColumn("rn_before", F.lag("rn").over(by_time))
-    joined = hot.withColumn("opens", F.when((F.col("rn") == F.col("rn_before") + 1) | (F.col("t") - F.col("before") <= join_gap), 0).otherwise(1))
-    grouped = joined.withColumn("g", F.sum("opens").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-    own = {"cs": F.when(finite, F.col("sm")).otherwise(0.0), "cc": F.when(F.col("sm").isNull(), 0).otherwise(1), "cb": F.when(finite | F.col("sm").isNull(), 0).otherwise(1)}
-    ends = [x for k in sums for x in (F.min_by(F.col(k) - own[k], "rn").alias(f"{k}0"), F.max_by(k, "rn").alias(f"{k}1"))]
-    spans = grouped.groupBy("series_id", "g").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.first("dur").alias("dur"), *ends).where(F.col("b") - F.col("a") >= min_length)
-    mean = F.when(F.col("cb1") > F.col("cb0"), F.lit(float("nan"))).when(F.col("cc1") > F.col("cc0"), (F.col("cs1") - F.col("cs0")) / (F.col("cc1") - F.col("cc0")))
-    means = spans.withColumn("mean", mean)
+    marked = smooth.join(stats, "series_id").withColumn("hot", F.coalesce(F.col("sm") > F.col("med") + k * F.col("mad"), F.lit(False)))
+    of_hot = lambda c: F.when(F.col("hot"), F.col(c))
+    earlier, so_far = by_time.rowsBetween(Window.unboundedPreceding, -1), by_time.rowsBetween(Window.unboundedPreceding, 0)
+    near = (F.col("rn") == F.last(of_hot("rn"), ignorenulls=True).over(earlier) + 1) | (F.col("t") - F.last(of_hot("t"), ignorenulls=True).over(earlier) <= join_gap)
+    opened = marked.withColumn("opens", (F.col("hot") & ~F.coalesce(near, F.lit(False))).cast("int"))
+    grouped = opened.withColumn("g", F.sum("opens").over(so_far)).where("g > 0").withColumn("rb", F.max(of_hot("rn")).over(Window.partitionBy("series_id", "g")))
+    means = (
+        grouped.where("rn <= rb")  # from a run's first row to its last one, the rows between joined runs included
+        .groupBy("series_id", "g")
+        .agg(F.min(of_hot("t")).alias("a"), F.max(of_hot("t")).alias("b"), F.first("dur").alias("dur"), F.avg("sm").alias("mean"))
+        .where(F.col("b") - F.col("a") >= min_length)
+    )
     start = F.greatest(F.lit(0.0), F.col("a") - pad)
     end = F.least(F.greatest(F.lit(0.0), F.col("dur") - tail), F.col("b") + pad)
     out = means.select("series_id", start.alias("s"), end.alias("e"), "mean").where(F.col("e") - F.col("s") >= min_length)
