@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, html_text, langid, lm_score, mtree, packing, quality, secrets, simhash, suffix_dedup
+from . import bpe, curriculum, html_text, langid, lm_score, mtree, packing, quality, secrets, simhash, suffix_dedup
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -60,6 +61,11 @@ def op10_langid_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(docs, model, keep=["held_out"]).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op12_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = curriculum.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("places", F.lit(0))["position"], 6).alias("position"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_llr": op1_quality_llr,
     "op2_mtree_topk": op2_mtree_topk,
@@ -71,7 +77,8 @@ QUERIES: dict[str, Query] = {
     "op8_bpe_trie": op8_bpe_trie,
     "op9_cross_entropy": op9_cross_entropy,
     "op10_langid_centroids": op10_langid_centroids,
+    "op12_curriculum_mix": op12_curriculum_mix,
 }
 
 #: DuckDB SQL for the same rows, where SQL can express them on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_curriculum_mix": curriculum.ORACLE_SQL}
