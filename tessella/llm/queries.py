@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, curriculum, html_text, langid, lm_score, mtree, packing, quality, secrets, simhash, suffix_dedup
+from . import bpe, curriculum, html_text, langid, lm_score, mtree, packing, quality, secrets, simhash, suffix_dedup, turn_trie
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -61,6 +61,10 @@ def op10_langid_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(docs, model, keep=["held_out"]).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op11_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.prefix_trie(_table(spark, sf_dir, "conversations")).drop("node")
+
+
 def op12_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("places", F.lit(0))["position"], 6).alias("position"))
@@ -77,8 +81,9 @@ QUERIES: dict[str, Query] = {
     "op8_bpe_trie": op8_bpe_trie,
     "op9_cross_entropy": op9_cross_entropy,
     "op10_langid_centroids": op10_langid_centroids,
+    "op11_turn_trie": op11_turn_trie,
     "op12_curriculum_mix": op12_curriculum_mix,
 }
 
 #: DuckDB SQL for the same rows, where SQL can express them on whole tables.
-ORACLE_SQL: dict[str, str] = {"op12_curriculum_mix": curriculum.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_turn_trie": turn_trie.ORACLE_SQL, "op12_curriculum_mix": curriculum.ORACLE_SQL}
