@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, curriculum, html_text, langid, lm_score, mtree, packing, quality, secrets, simhash, suffix_dedup, turn_trie
+from . import bpe, curriculum, html_text, langid, lexical, lm_score, mtree, packing, quality, secrets, simhash, suffix_dedup, turn_trie
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -70,6 +70,10 @@ def op12_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("places", F.lit(0))["position"], 6).alias("position"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_llr": op1_quality_llr,
     "op2_mtree_topk": op2_mtree_topk,
@@ -83,7 +87,8 @@ QUERIES: dict[str, Query] = {
     "op10_langid_centroids": op10_langid_centroids,
     "op11_turn_trie": op11_turn_trie,
     "op12_curriculum_mix": op12_curriculum_mix,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 #: DuckDB SQL for the same rows, where SQL can express them on whole tables.
-ORACLE_SQL: dict[str, str] = {"op11_turn_trie": turn_trie.ORACLE_SQL, "op12_curriculum_mix": curriculum.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_turn_trie": turn_trie.ORACLE_SQL, "op12_curriculum_mix": curriculum.ORACLE_SQL, "op13_ranked_search": lexical.ORACLE_SQL}
