@@ -42,11 +42,13 @@ class LexicalParams:
     wave_terms: int = 1 << 19
     wave_queries: int = 4096
     #: Counts (of a document and a term) in one shard, on average.
-    shard_counts: int = 1 << 22
+    shard_counts: int = 1 << 20
     block_docs: int = 48
     #: Most blocks of one list, and numbers of a document's sketch, by which a list is clustered.
     most_blocks: int = 192
     sketch: int = 16
+    #: Cells of summaries that a shard keeps; lists beyond are blocked again when a query opens them.
+    kept_cells: int = 1 << 23
 
 
 def terms_of(data: np.ndarray, offsets: np.ndarray, lo: int, hi: int) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray]:
@@ -149,9 +151,9 @@ class Shard:
     def __init__(self, doc: np.ndarray, term: np.ndarray, x: np.ndarray, docs: int, terms: int, p: LexicalParams):
         by_row = np.lexsort((term, doc))
         self.p, self.docs = p, docs
-        self.term, self.x = term[by_row], x[by_row]
+        self.term, self.x = term[by_row].astype(np.int32), x[by_row].astype(np.int32)  # x is below 1,000,000
         self.at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=docs))])
-        owner = doc[by_row]
+        owner = doc[by_row].astype(np.int32)
         by_list = np.argsort(self.term, kind="stable")
         self.list_docs = owner[by_list]
         self.list_at = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=terms))])
@@ -163,42 +165,53 @@ class Shard:
             self.sketches[:, k] = np.bincount(owner, self.x * way[self.term, k], docs)
         self.sketches /= np.maximum(np.sqrt((self.sketches**2).sum(axis=1, keepdims=True)), 1e-9)
         self._blocked: dict[int, tuple] = {}
+        self._cells = 0
         #: Documents scored, blocks met and blocks skipped so far.
         self.scored = self.met = self.skipped = 0
 
     def blocks(self, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(documents by block, first of each block, terms of the summary, block of each, maximum): the summary has t and commoner terms only."""
-        if t not in self._blocked:
-            docs = self.list_docs[self.list_at[t] : self.list_at[t + 1]]
-            many = min(self.p.most_blocks, -(-len(docs) // self.p.block_docs))
-            if many > 1:
-                seeds = docs[np.unique(np.linspace(0, len(docs) - 1, many).astype(np.int64))]
-                near = np.concatenate([np.argmax(self.sketches[docs[k : k + 4096]] @ self.sketches[seeds].T, axis=1) for k in range(0, len(docs), 4096)])
-                order = np.argsort(near, kind="stable")
-                docs, near = docs[order], near[order]
-                first = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
-                # copies of one document fill one cluster; it is cut, so that a block stays small
-                first = np.unique(np.concatenate([first, *(np.arange(a, b, 4 * self.p.block_docs) for a, b in zip(first, np.append(first[1:], len(docs))) if b - a > 4 * self.p.block_docs)]))
-            else:
-                first = np.zeros(1, np.int64)
-            block = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(docs))))
-            sizes = self.at[docs + 1] - self.at[docs]
-            at = _ragged(self.at[docs], sizes)
-            key = self.term[at] * len(first) + np.repeat(block, sizes)
-            later = self.term[at] >= t
-            key, x = key[later], self.x[at[later]]
-            span = int(key.max()) + 1 - t * len(first)
-            if span <= 1 << 23:
-                dense = np.zeros(span, np.int64)
-                np.maximum.at(dense, key - t * len(first), x)
-                cells = np.flatnonzero(dense)
-                values, cells = dense[cells], cells + t * len(first)
-            else:
-                order = np.argsort(key, kind="stable")
-                cells, begin = np.unique(key[order], return_index=True)
-                values = np.maximum.reduceat(x[order], begin)
-            self._blocked[t] = docs, first, cells // len(first), cells % len(first), values
-        return self._blocked[t]
+        made = self._blocked.pop(t, None)
+        if made is None:
+            made = self._block(t)
+            self._cells += len(made[2])
+            while self._cells > self.p.kept_cells and self._blocked:
+                self._cells -= len(self._blocked.pop(next(iter(self._blocked)))[2])
+        self._blocked[t] = made  # the list opened last goes last
+        return made
+
+    def _block(self, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        docs = self.list_docs[self.list_at[t] : self.list_at[t + 1]]
+        many = min(self.p.most_blocks, -(-len(docs) // self.p.block_docs))
+        first = np.zeros(1, np.int64)
+        if many > 1:
+            seeds = docs[np.unique(np.linspace(0, len(docs) - 1, many).astype(np.int64))]
+            near = np.concatenate([np.argmax(self.sketches[docs[k : k + 4096]] @ self.sketches[seeds].T, axis=1) for k in range(0, len(docs), 4096)])
+            order = np.argsort(near, kind="stable")
+            docs, near = docs[order], near[order]
+            first = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
+            # copies of one document fill one cluster; it is cut, so that a block stays small
+            most = 4 * self.p.block_docs
+            first = np.unique(np.concatenate([first, *(np.arange(a, b, most) for a, b in zip(first, np.append(first[1:], len(docs))) if b - a > most)]))
+        many = len(first)
+        block = np.repeat(np.arange(many), np.diff(np.append(first, len(docs))))
+        sizes = self.at[docs + 1] - self.at[docs]
+        at = _ragged(self.at[docs], sizes)
+        block = np.repeat(block, sizes)
+        later = self.term[at] >= t
+        at, block = at[later], block[later]
+        key = (self.term[at] - t).astype(np.int64) * many + block
+        span = int(key.max()) + 1
+        if span <= 1 << 22:
+            dense = np.zeros(span, np.int32)
+            np.maximum.at(dense, key, self.x[at])
+            cells = np.flatnonzero(dense)
+            values = dense[cells]
+        else:
+            order = np.argsort(key, kind="stable")
+            cells, begin = np.unique(key[order], return_index=True)
+            values = np.maximum.reduceat(self.x[at][order], begin)
+        return docs, first, (cells // many + t).astype(np.int32), (cells % many).astype(np.int32), values
 
     def score(self, docs: np.ndarray, dense: np.ndarray) -> np.ndarray:
         """Whole scores of documents, of which each has a term at least."""
@@ -224,7 +237,7 @@ class Shard:
             bound = np.zeros(len(first), np.int64)
             lo, hi = np.searchsorted(s_term, terms[i:]), np.searchsorted(s_term, terms[i:], side="right")
             at = _ragged(lo, hi - lo)
-            np.add.at(bound, s_block[at], s_max[at] * np.repeat(weights[i:], hi - lo))
+            np.add.at(bound, s_block[at], s_max[at].astype(np.int64) * np.repeat(weights[i:], hi - lo))
             order = np.argsort(-bound, kind="stable")
             self.met += len(order)
             ends = np.append(first[1:], len(docs))
