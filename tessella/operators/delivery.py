@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators import intervals
+
 # By resolution up to a limit (the last holds above it): frames at a cap of 100,000 tokens, at 50,000, tokens of a frame,
 # frames a second for thorough coverage, and frames a second that are drawn.
 BANDS = ((384, 25, 200, 2700, 1.5, 1.5), (512, 17, 150, 3800, 3.0, 3.0), (768, 8, 75, 7000, 6.0, 6.0), (1024, 4, 30, 11000, 6.0, 6.0), (1536, 2, 20, 21000, 6.0, 12.5))
@@ -81,14 +83,19 @@ def in_range(frames: DataFrame, slack: float = 0.1) -> DataFrame:
 def by_segments(frames: DataFrame, segments: DataFrame, slot: float = 10.0) -> DataFrame:
     """Frames (series_id, t, ...) with a column ``inside``: whether some segment (series_id, start_s, end_s) holds it, ends included.
 
-    Both sides meet by series and time slot, and a segment lies in each slot that it touches; no frame meets all segments of its series.
+    Both sides meet by series and time slot, on the level of a segment's length; no frame meets all segments of its series.
     """
-    slots = F.explode(F.sequence(F.floor(F.col("start_s") / slot), F.floor(F.col("end_s") / slot)))
-    spread = segments.where("end_s >= start_s").select(F.col("series_id").alias("s_"), "start_s", "end_s", slots.alias("slot_"))
-    keyed = frames.withColumn("_slot", F.floor(F.col("t") / slot))
-    hit = (F.col("series_id") == F.col("s_")) & (F.col("_slot") == F.col("slot_")) & F.col("t").between(F.col("start_s"), F.col("end_s"))
-    inside, outside = keyed.join(spread, hit, "left_semi"), keyed.join(spread, hit, "left_anti")
-    return inside.withColumn("inside", F.lit(True)).unionByName(outside.withColumn("inside", F.lit(False))).drop("_slot")
+    valid = segments.where("end_s >= start_s").select("series_id", "start_s", "end_s")
+    levels = intervals.levels_of(valid, slot=slot) or [0]
+    if len(levels) == 1:
+        spread = intervals.leveled(valid, "start_s", "end_s", levels, slot).select(F.col("series_id").alias("s_"), "start_s", "end_s", "slot_")
+        keyed = frames.withColumn("_slot", intervals.slot_of(F.col("t"), slot, F.lit(levels[0])))
+        hit = (F.col("series_id") == F.col("s_")) & (F.col("_slot") == F.col("slot_")) & F.col("t").between(F.col("start_s"), F.col("end_s"))
+        inside, outside = keyed.join(spread, hit, "left_semi").drop("_slot"), keyed.join(spread, hit, "left_anti").drop("_slot")
+    else:  # times are looked up once, as a frame meets segments of several levels
+        hits = intervals.within(frames.select("series_id", "t").distinct(), valid, slot).select("series_id", "t").distinct()
+        inside, outside = frames.join(hits, ["series_id", "t"], "left_semi"), frames.join(hits, ["series_id", "t"], "left_anti")
+    return inside.withColumn("inside", F.lit(True)).unionByName(outside.withColumn("inside", F.lit(False)))
 
 
 def dropped(before: DataFrame, kept: DataFrame) -> DataFrame:

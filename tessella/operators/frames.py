@@ -26,6 +26,15 @@ def structural_scan(frames: DataFrame, wanted: tuple[str, ...]) -> DataFrame | N
     return frames.select("series_id", "t", *columns) if columns else None
 
 
+def signal_rows(frames: DataFrame, wanted: tuple[str, ...]) -> DataFrame | None:
+    """(series_id, t, signal, value): a row for each wanted signal's column that a frame has, in one pass over just those columns; None where nothing is wanted."""
+    scanned = structural_scan(frames, wanted)
+    if scanned is None:
+        return None
+    cells = F.array(*(F.struct(F.lit(c).alias("signal"), F.col(c).cast("double").alias("value")) for c in scanned.columns if c not in ("series_id", "t")))
+    return scanned.select("series_id", "t", F.inline(cells)).where("value IS NOT NULL")
+
+
 def resampled(samples: DataFrame, rate: float = 10.0, box: Column | None = None) -> DataFrame:
     """(series_id, t, x): one sample for each 1/rate of time, the first of those in it; ``box`` keeps the samples where it holds."""
     kept = samples if box is None else samples.where(box)

@@ -24,19 +24,78 @@ def complement(merged: DataFrame, bounds: DataFrame, tolerance: float = 0.05) ->
 
 
 def slots(start: Column, end: Column, length: float) -> Column:
-    """The slots of a length that an interval touches, as rows."""
+    """The slots of a length that an interval touches, as rows; for intervals that are not much longer than ``length``."""
     return F.explode(F.sequence(F.floor(start / length), F.floor(end / length)))
 
 
-def first_overlap(segments: DataFrame, windows: DataFrame, slot: float = 10.0) -> DataFrame:
-    """For each segment (series_id, seg_id, start_s, end_s) the first window, by win_id, that overlaps it strictly; null where none does.
+#: The level of intervals without a finite length, which has one slot.
+_ENDLESS = 4096
+
+
+def _level(start: Column, end: Column, slot: float) -> Column:
+    """The least k for which the interval is no longer than slot * 2^k."""
+    span = (end - start) / F.lit(slot)
+    finite = (F.abs(start) < float("inf")) & (F.abs(end) < float("inf"))
+    return F.when(~finite, F.lit(_ENDLESS)).when(span <= 1, F.lit(0)).otherwise(F.ceil(F.log2(span)).cast("int"))
+
+
+def slot_of(at: Column, slot: float, level: Column | None = None) -> Column:
+    """The slot of a time on a level, that of the column ``level_`` unless given; times beyond what a slot number can tell share the outermost slots."""
+    level = F.col("level_") if level is None else level
+    number = F.when(level == _ENDLESS, F.lit(0.0)).otherwise(F.greatest(F.lit(-4e18), F.least(F.lit(4e18), at / (F.lit(float(slot)) * F.pow(F.lit(2.0), level)))))
+    return F.floor(number)
+
+
+def leveled(rows: DataFrame, start: str, end: str, levels: list[int], slot: float) -> DataFrame:
+    """Each interval on its own level and all coarser ones of ``levels``, in the slots that it touches there (three at most on its own level, two on
+    the others): columns level_, slot_ and home_, true on its own level."""
+    own = rows.withColumn("own_", _level(F.col(start), F.col(end), slot))
+    spread = own.withColumn("level_", F.explode(F.filter(F.array(*(F.lit(k) for k in levels)), lambda k: k >= F.col("own_"))))
+    placed = spread.withColumn("slot_", F.explode(F.sequence(slot_of(F.col(start), slot), slot_of(F.col(end), slot))))
+    return placed.withColumn("home_", F.col("own_") == F.col("level_")).drop("own_")
 
-    Both lie in each time slot that they touch and meet by series and slot, so that a long series costs no square of its rows.
+
+def levels_of(*sides: DataFrame, slot: float = 10.0) -> list[int]:
+    """The levels of the intervals (start_s, end_s): a few numbers, however many intervals there are (a double has 2,100 powers of two)."""
+    found: set[int] = set()
+    for side in sides:
+        found |= {r[0] for r in side.select(_level(F.col("start_s"), F.col("end_s"), slot)).distinct().collect()}
+    return sorted(found)
+
+
+def overlapping(a: DataFrame, b: DataFrame, slot: float = 10.0) -> DataFrame:
+    """The pairs of intervals of one series that overlap strictly: columns of ``a`` and ``b``, which share the names series_id, start_s and end_s only;
+    those of ``b`` are called other_start_s and other_end_s.
+
+    An interval lies on the level of its length, where slots are about as long as it is, and visits the coarser levels that are in use. Two intervals meet on the
+    coarser of their levels, so a long one costs a few rows, not one for each slot of its time. Intervals that end before they start meet none.
     """
     valid = "end_s >= start_s"
-    a = segments.where(valid).select("series_id", "seg_id", F.col("start_s").alias("a0"), F.col("end_s").alias("a1"), slots(F.col("start_s"), F.col("end_s"), slot).alias("slot_"))
-    b = windows.where(valid).select("series_id", F.col("win_id"), F.col("start_s").alias("b0"), F.col("end_s").alias("b1"), slots(F.col("start_s"), F.col("end_s"), slot).alias("slot_"))
-    hits = a.join(b, ["series_id", "slot_"]).where("a0 < b1 AND a1 > b0").groupBy("series_id", "seg_id").agg(F.min("win_id").alias("win_id"))
+    a, b = a.where(valid), b.where(valid)
+    levels = levels_of(a, b, slot=slot)
+    if not levels:
+        levels = [0]
+    one = leveled(a, "start_s", "end_s", levels, slot).withColumnRenamed("home_", "a_home_")
+    two = leveled(b, "start_s", "end_s", levels, slot).withColumnRenamed("home_", "b_home_").withColumnsRenamed({"start_s": "other_start_s", "end_s": "other_end_s"})
+    met = one.join(two, ["series_id", "level_", "slot_"]).where("(a_home_ OR b_home_) AND start_s < other_end_s AND end_s > other_start_s")
+    # intervals that share several slots meet in the first of them only
+    first = F.col("slot_") == F.greatest(slot_of(F.col("start_s"), slot), slot_of(F.col("other_start_s"), slot))
+    return met.where(first).drop("level_", "slot_", "a_home_", "b_home_")
+
+
+def within(points: DataFrame, windows: DataFrame, slot: float = 10.0) -> DataFrame:
+    """The pairs of a point (series_id, t, ...) and a window (series_id, start_s, end_s, ...) of its series that holds it, ends included."""
+    held = windows.where("end_s >= start_s")
+    levels = levels_of(held, slot=slot) or [0]
+    homes = leveled(held, "start_s", "end_s", levels, slot).where("home_").drop("home_")
+    at = points.withColumn("level_", F.explode(F.array(*(F.lit(k) for k in levels))))
+    return at.withColumn("slot_", slot_of(F.col("t"), slot)).join(homes, ["series_id", "level_", "slot_"]).where("t BETWEEN start_s AND end_s").drop("level_", "slot_")
+
+
+def first_overlap(segments: DataFrame, windows: DataFrame, slot: float = 10.0) -> DataFrame:
+    """For each segment (series_id, seg_id, start_s, end_s) the first window, by win_id, that overlaps it strictly; null where none does."""
+    pairs = overlapping(segments.select("series_id", "seg_id", "start_s", "end_s"), windows.select("series_id", "win_id", "start_s", "end_s"), slot)
+    hits = pairs.groupBy("series_id", "seg_id").agg(F.min("win_id").alias("win_id"))
     return segments.select("series_id", "seg_id").distinct().join(hits, ["series_id", "seg_id"], "left")
 
 

@@ -112,14 +112,13 @@ def subject_boxes(found: DataFrame, width: int, height: int, frame_w: int, frame
     )
 
 
-def boxes_by_window(pixels: DataFrame, windows: DataFrame, width: int, height: int, frame_w: int, frame_h: int, slot: float = 10.0) -> DataFrame:
+def boxes_by_window(pixels: DataFrame, windows: DataFrame, width: int, height: int, frame_w: int, frame_h: int, slot: float = 10.0, least_s: float = 1.0) -> DataFrame:
     """(series_id, win_id, left, top, w, h, area_pct, confidence) for each window (series_id, win_id, start_s, end_s): the box of what the pixels
-    (series_id, frame, t, x, y) of its time light, ends included; nulls where there is none.
+    (series_id, frame, t, x, y) of its time light, ends included; nulls where there is none, and for windows shorter than ``least_s``.
 
     Pixels and windows meet by series and time slot.
     """
     named = windows.withColumn("key", F.concat_ws("/", F.col("series_id").cast("string"), F.col("win_id").cast("string")))
-    spread = named.where("end_s >= start_s").select("series_id", "key", "start_s", "end_s", intervals.slots(F.col("start_s"), F.col("end_s"), slot).alias("slot_"))
-    held = pixels.withColumn("slot_", F.floor(F.col("t") / slot)).join(spread, ["series_id", "slot_"]).where("t BETWEEN start_s AND end_s").select(F.col("key").alias("series_id"), "frame", "x", "y")
+    held = intervals.within(pixels, named.where(F.col("end_s") - F.col("start_s") >= least_s).select("series_id", "key", "start_s", "end_s"), slot).select(F.col("key").alias("series_id"), "frame", "x", "y")
     boxes = subject_boxes(blobs(dilate(union_mask(held), width, height)), width, height, frame_w, frame_h).withColumnRenamed("series_id", "key")
     return named.select("series_id", "win_id", "key").join(boxes, "key", "left").drop("key")

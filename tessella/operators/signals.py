@@ -96,6 +96,25 @@ def motion_windows(samples: DataFrame, min_rows: int = 8, k: float = 1.5, mad_fl
     return out.select("series_id", number.alias("win_id"), rounded(F.col("s")).alias("start_s"), rounded(F.col("e")).alias("end_s"), rounded(F.col("mean"), 1).alias("intensity"))
 
 
+def hot_runs(samples: DataFrame, join_s: float = 1.0, idle_s: float = 60.0, least_s: float = 0.4) -> DataFrame:
+    """(series_id, start_us, end_us, n_hot, peak): runs of hot samples (series_id, at timestamp, hot boolean, value).
+
+    Hot samples with none but hot ones between them are one run if no more than ``idle_s`` apart, with others between them if no more than ``join_s``
+    apart. Runs shorter than ``least_s`` go; samples with a null time, flag or value are passed over. ``streaming.stateful.hot_runs`` tells the same
+    of a stream.
+    """
+    rows = samples.where("at IS NOT NULL AND hot IS NOT NULL AND value IS NOT NULL").select("series_id", F.unix_micros("at").alias("us"), "hot", F.col("value").cast("double").alias("value"))
+    by_time = Window.partitionBy("series_id").orderBy("us", F.desc("hot"), "value")
+    earlier = by_time.rowsBetween(Window.unboundedPreceding, -1)
+    last_hot = F.last(F.when(F.col("hot"), F.col("us")), ignorenulls=True).over(earlier)
+    between = F.coalesce(~F.lag("hot").over(by_time), F.lit(False))
+    limit = F.when(between, F.lit(round(join_s * 1e6))).otherwise(F.lit(round(idle_s * 1e6)))
+    opened = rows.withColumns({"gap": F.col("us") - last_hot, "limit": limit}).where("hot").withColumn("opens", F.when(F.col("gap") <= F.col("limit"), 0).otherwise(1))
+    grouped = opened.withColumn("run", F.sum("opens").over(Window.partitionBy("series_id").orderBy("us", "value").rowsBetween(Window.unboundedPreceding, 0)))
+    runs = grouped.groupBy("series_id", "run").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count(F.lit(1)).alias("n_hot"), F.max("value").alias("peak"))
+    return runs.where(F.col("end_us") - F.col("start_us") >= round(least_s * 1e6)).drop("run")
+
+
 def top_outliers(samples: DataFrame, floor: float = 1.0, limit_score: float = 1.8, most: int = 50) -> DataFrame:
     """Samples whose distance from the median is more than ``limit_score`` MADs; the ``most`` farthest of each series, earliest of equals."""
     stats = robust_stats(samples, floor)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import rules, text
+from tessella.operators import intervals
 
 
 def covers_middle(windows: DataFrame) -> DataFrame:
@@ -60,10 +61,12 @@ def subject_box(blob: Column, crop: Column, frame_w: Column, frame_h: Column, lo
     )
 
 
-def window_boxes(windows: DataFrame, found: DataFrame) -> DataFrame:
-    """(series_id, win_id, box): each window with what a detector (series_id, win_id, box, error) says of it; null where it failed or said nothing."""
-    said = found.where("error IS NULL").groupBy("series_id", "win_id").agg(F.first("box", ignorenulls=True).alias("box"))
-    return windows.select("series_id", "win_id").join(said, ["series_id", "win_id"], "left")
+def window_boxes(windows: DataFrame, found: DataFrame, least_s: float = 1.0) -> DataFrame:
+    """(series_id, win_id, box): each window (series_id, win_id, start_s, end_s) with what a detector (series_id, win_id, box, error) says of it; null where it failed
+    or said nothing, and for windows shorter than ``least_s``, which are too short to be looked at."""
+    said = found.where("error IS NULL").groupBy("series_id", "win_id").agg(F.first("box", ignorenulls=True).alias("said"))
+    box = F.when(F.col("end_s") - F.col("start_s") >= least_s, F.col("said"))
+    return windows.select("series_id", "win_id", "start_s", "end_s").join(said, ["series_id", "win_id"], "left").select("series_id", "win_id", box.alias("box"))
 
 
 def segment_crops(segments: DataFrame, windows: DataFrame, boxes: DataFrame, slot: float = 10.0) -> DataFrame:
@@ -73,10 +76,8 @@ def segment_crops(segments: DataFrame, windows: DataFrame, boxes: DataFrame, slo
     segments: (series_id, seg_id, start_s, end_s, kind); windows: (series_id, win_id, start_s, end_s, box); boxes: (series_id, box).
     Segments and windows meet by series and time slot, so none meets all others of its series.
     """
-    slots = F.explode(F.sequence(F.floor(F.col("start_s") / slot), F.floor(F.col("end_s") / slot)))
-    a = segments.where("kind = 'motion' AND end_s >= start_s").select("series_id", "seg_id", F.col("start_s").alias("a0"), F.col("end_s").alias("a1"), slots.alias("slot_"))
-    b = windows.where("box IS NOT NULL AND end_s >= start_s").select("series_id", "win_id", "box", F.col("start_s").alias("b0"), F.col("end_s").alias("b1"), slots.alias("slot_"))
-    hits = a.join(b, ["series_id", "slot_"]).where("a0 < b1 AND a1 > b0").groupBy("series_id", "seg_id").agg(F.min_by("box", "win_id").alias("own"))
+    pairs = intervals.overlapping(segments.where("kind = 'motion'").select("series_id", "seg_id", "start_s", "end_s"), windows.where("box IS NOT NULL").select("series_id", "win_id", "box", "start_s", "end_s"), slot)
+    hits = pairs.groupBy("series_id", "seg_id").agg(F.min_by("box", "win_id").alias("own"))
     rows = segments.select("series_id", "seg_id").join(hits, ["series_id", "seg_id"], "left").join(boxes.select("series_id", F.col("box").alias("common")), "series_id", "left")
     return rows.select("series_id", "seg_id", F.coalesce("own", "common").alias("box"))
 

@@ -68,6 +68,26 @@ def motion_resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.withColumn("place", F.row_number().over(Window.partitionBy("series_id").orderBy("t")))
 
 
+_SIGNAL_FRAMES = """SELECT user_id AS series_id, event_id / 7.0e0 AS t, value AS scene_score, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS black, CASE WHEN event_id % 7 = 0 THEN event_id % 2 END AS frozen, value * 2 AS si, value / 2 AS ti, CASE WHEN event_id % 3 > 0 THEN value + 1 END AS blur,
+value + 2 AS brightness, value - 100 AS u, 50 - value AS v, event_id % 4 AS silence, -value AS lufs, event_type AS other FROM events"""
+
+
+def _signal_query(name: str) -> None:
+    """A query that scans for one signal alone."""
+    columns = frames.SIGNALS[name]
+    union = " UNION ALL ".join(f"SELECT series_id, t, '{c}' AS signal, CAST({c} AS DOUBLE) AS value FROM f WHERE {c} IS NOT NULL" for c in columns)
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return frames.signal_rows(over(spark, sf_dir, _SIGNAL_FRAMES, "events"), (name,))
+
+    query.__name__ = f"scan_{name}"
+    register(f"WITH f AS ({_SIGNAL_FRAMES}) {union}")(query)
+
+
+for _name in frames.SIGNALS:
+    _signal_query(_name)
+
+
 _ASKED = """SELECT event_id AS series_id, CASE event_id % 6 WHEN 0 THEN 384 WHEN 1 THEN 512 WHEN 2 THEN 700 WHEN 3 THEN 1024 WHEN 4 THEN 1536 END AS resolution, CASE WHEN event_id % 7 = 0 THEN 2.5e0 END AS fps, CASE WHEN event_id % 4 > 0 THEN event_id % 40 END AS view_n,
 value * (event_id % 5) * 4 AS duration_s, CASE WHEN event_id % 3 = 0 THEN 2.0e0 END AS start_s, CASE WHEN event_id % 2 = 0 THEN 9.5e0 END AS end_s, event_id % 5 = 0 AS segmented, CASE event_id % 3 WHEN 0 THEN 50000 WHEN 1 THEN 120000 ELSE 20000 END AS cap, CAST(floor(value * 900) * (event_id % 8) AS BIGINT) AS chars FROM events"""
 _BY = lambda values: "CASE " + " ".join(f"WHEN resolution <= {b[0]} THEN {v}" for b, v in zip(delivery.BANDS[:-1], values)) + f" ELSE {values[-1]} END"

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella import sources
-from tessella.operators import frame_cache, masks
-from tessella.plans.base import register
+from tessella.operators import frame_cache, masks, motion_masks
+from tessella.plans.base import over, register
+from tessella.sources import pgm
 
 _GRID = {"width": 160, "height": 90}
 _UNION = """pixels AS (SELECT DISTINCT user_id AS series_id, CAST(event_id % 24 AS INT) AS frame, CAST(floor(value / 8) AS INT) + 40 AS x, CAST(event_id % 30 AS INT) + 20 AS y FROM events),
@@ -80,3 +81,60 @@ def cache_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT event_id AS series_id FROM events WHERE event_id % 13 <> 0 AND (event_id % 11 = 0 OR date_trunc('second', ts) < TIMESTAMP '2024-01-31' - INTERVAL 7 DAY)")
 def expired_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame_cache.expired(sources.manifests(spark, sf_dir), "2024-01-31 00:00:00").select("series_id")
+
+
+_SIDE_W, _SIDE_H = 24, 16
+_LIT = "({x} BETWEEN {e} % 17 AND {e} % 17 + 6 AND {y} BETWEEN {v} AND {v} + 5)"
+_IMAGES = """SELECT user_id AS series_id, event_id AS frame, event_id / 7.0e0 AS t, CAST(floor(value) AS BIGINT) % 10 AS v FROM events"""
+_VALUE = lambda e, v: f"CASE WHEN {_LIT.format(x='k % 24', y='k // 24', e=e, v=v)} THEN 200 ELSE ({e} * k) % 8 END"
+_MOVED = f"""images AS ({_IMAGES}), pairs AS (SELECT *, lag(frame) OVER w AS before, lag(t) OVER w AS before_t, lag(v) OVER w AS before_v FROM images WINDOW w AS (PARTITION BY series_id ORDER BY frame)),
+moved AS (SELECT series_id, frame, t, before_t, CAST(k % 24 AS INT) AS x, CAST(k // 24 AS INT) AS y FROM pairs, (SELECT unnest(range(384)) AS k) WHERE before IS NOT NULL AND abs({_VALUE("frame", "v")} - ({_VALUE("before", "before_v")})) > 10)"""
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(series_id, frame, t, content): each event as an image of 24 x 16 with a bright block, whose place the event's number and value tell, on noise."""
+    lit = _LIT.format(x="k % 24", y="k div 24", e="frame", v="v")
+    values = F.expr(f"array_join(transform(sequence(0L, 383L), k -> CASE WHEN {lit} THEN 'C8' ELSE lpad(hex((frame * k) % 8), 2, '0') END), '')")
+    return over(spark, sf_dir, _IMAGES, "events").withColumn("content", F.concat(F.lit(b"P5 24 16\n255\n"), F.unhex(values))).select("series_id", "frame", "t", "content")
+
+
+@register(f"WITH {_MOVED} SELECT series_id, frame, x, y FROM moved")
+def image_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pgm.lit_pixels(motion_masks.differences(_images(spark, sf_dir)))
+
+
+@register(
+    f"""WITH {_MOVED}, across AS (SELECT series_id, frame, min(x) AS x0, max(x) AS x1 FROM (SELECT series_id, frame, x FROM moved GROUP BY ALL HAVING count(*) * 255 > 20 * 16) GROUP BY 1, 2), down AS (SELECT series_id, frame, min(y) AS y0, max(y) AS y1 FROM (SELECT series_id, frame, y FROM moved GROUP BY ALL HAVING count(*) * 255 > 20 * 24) GROUP BY 1, 2),
+grown AS (SELECT p.series_id, p.frame, min(x0) OVER w AS x0, max(x1) OVER w AS x1, min(y0) OVER w AS y0, max(y1) OVER w AS y1 FROM pairs p LEFT JOIN (SELECT * FROM across JOIN down USING (series_id, frame)) b ON b.series_id = p.series_id AND b.frame = p.frame WHERE before IS NOT NULL WINDOW w AS (PARTITION BY p.series_id ORDER BY p.frame)),
+even AS (SELECT series_id, frame, x0 + x0 % 2 AS x, y0 + y0 % 2 AS y, x1 - x0 - x0 % 2 + 1 AS w, y1 - y0 - y0 % 2 + 1 AS h FROM grown WHERE x0 IS NOT NULL)
+SELECT series_id, frame, CAST(x AS INT) AS x, CAST(y AS INT) AS y, CAST(w - w % 2 AS INT) AS w, CAST(h - h % 2 AS INT) AS h FROM even WHERE w - w % 2 > 0 AND h - h % 2 > 0"""
+)
+def image_crop_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motion_masks.crop_boxes(motion_masks.differences(_images(spark, sf_dir)))
+
+
+_SPANS = "SELECT DISTINCT user_id AS series_id, k.k AS win_id, k.k * 400.0e0 AS start_s, CASE WHEN k.k = 3 THEN 1200.5e0 ELSE k.k * 400.0e0 + 399.5 END AS end_s FROM events CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) k"
+_SCANNED = f"""{_MOVED}, spans AS ({_SPANS}), held AS (SELECT DISTINCT s.series_id, win_id, frame, t, floor((t - start_s) * 2) AS tick FROM spans s JOIN pairs p ON p.series_id = s.series_id AND t BETWEEN start_s AND end_s AND before_t >= start_s WHERE end_s - start_s >= 1),
+firsts AS (SELECT series_id, win_id, tick, arg_min(frame, t) AS frame FROM held GROUP BY ALL), taken AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY series_id, win_id ORDER BY tick) AS place FROM firsts) WHERE place <= 24),
+pixels AS (SELECT DISTINCT m.series_id * 4 + win_id AS series_id, m.frame, x, y FROM taken JOIN moved m USING (series_id, frame)),
+lit AS (SELECT series_id, x, y, count(*) AS energy FROM pixels WHERE series_id IN (SELECT series_id FROM pixels GROUP BY 1 HAVING count(DISTINCT frame) >= 2) GROUP BY 1, 2, 3)"""
+_SMALL = lambda sql: sql.replace(_UNION, _SCANNED).replace("AND 159", "AND 23").replace("AND 89", "AND 15").replace("y * 160 + x", "y * 24 + x").replace(">= 28.8 AND max(area) <= 12240", ">= 20 AND max(area) <= 326.4").replace(" * 8 AS ", " * 10 AS ").replace("1280 -", "240 -").replace("720 -", "160 -").replace("921600e0", "38400e0")
+
+
+@register(f"WITH {_SCANNED} SELECT series_id // 4 AS series_id, CAST(series_id % 4 AS INT) AS win_id, frame, count(*) AS n_lit FROM pixels GROUP BY ALL")
+def image_mask_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = over(spark, sf_dir, _SPANS, "events").where("end_s - start_s >= 1")
+    scanned = motion_masks.mask_scan(motion_masks.differences(_images(spark, sf_dir)), spans)
+    lit = pgm.lit_pixels(motion_masks.smaller(scanned.withColumn("series_id", F.col("series_id") * 4 + F.col("win_id")), 160, 90))
+    return lit.groupBy(F.floor(F.col("series_id") / 4).alias("series_id"), (F.col("series_id") % 4).cast("int").alias("win_id"), "frame").agg(F.count(F.lit(1)).alias("n_lit"))
+
+
+@register(
+    f"""WITH w AS (SELECT series_id, win_id FROM ({_SPANS})), b AS ({_SMALL(_BOXES)})
+SELECT w.series_id, CAST(win_id AS INT) AS win_id, "left", top, b.w, h, area_pct, confidence FROM w LEFT JOIN b ON b.series_id = w.series_id * 4 + win_id"""
+)
+def image_window_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # frames are said to be ten times as large as the images, so that a box can be large enough to be used
+    images, spans = _images(spark, sf_dir), over(spark, sf_dir, _SPANS, "events")
+    moving = motion_masks.differences(images)
+    return motion_masks.boxes_of(moving, spans, grid=(_SIDE_W, _SIDE_H), frame=(240, 160))

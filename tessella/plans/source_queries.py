@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.operators import contracts
 from tessella.plans.base import over, register
-from tessella.sources import json_texts
+from tessella.plans.shared import new_folder
+from tessella.sources import json_texts, tails
 
 _ID = "CAST(event_id AS STRING)"
 
@@ -140,3 +142,33 @@ def configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = over(spark, sf_dir, "SELECT o_orderkey AS series_id, o_orderstatus AS status, o_custkey AS customer, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS priority FROM orders", "orders")
     return json_texts.as_documents(rows)
+
+
+_CONTRACTS = """SELECT DISTINCT event_type AS effect_id, v.name, CASE WHEN v.name = 'hue' THEN 'text' WHEN v.name = 'speed' THEN 'rate' WHEN v.name = 'parts' THEN 'list' END AS kind, v.name = 'hue' AND event_type <> 'click' AS required FROM events CROSS JOIN (SELECT 'hue' AS name UNION ALL SELECT 'speed' UNION ALL SELECT 'parts' UNION ALL SELECT 'note') v WHERE user_id % 2 = 0"""
+_USES = f"""SELECT event_id AS series_id, CASE WHEN event_id % 17 = 0 THEN 'nowhere' ELSE event_type END AS effect_id, CASE event_id % 9 WHEN 0 THEN NULL WHEN 1 THEN '[1, 2]' WHEN 2 THEN '{{"hue": "red", "speed": 2.5, "parts": []}}' WHEN 3 THEN '{{"hue": 5, "speed": "fast"}}' WHEN 4 THEN concat('{{"hue": "', event_type, '", "speed": ', CAST(event_id % 3 - 1 AS STRING), '}}') WHEN 5 THEN '{{"size": 1, "note": null, "hue": "x"}}' WHEN 6 THEN '{{broken' WHEN 7 THEN concat('{{"v', {_ID}, '": true, "parts": {{}}}}') ELSE '{{}}' END AS variables FROM events"""
+
+
+@register(
+    f"""WITH c AS ({_CONTRACTS}), u AS ({_USES}), j AS (SELECT u.*, TRY_CAST(variables AS JSON) AS j, effect_id IN (SELECT effect_id FROM c) AS known FROM u), ok AS (SELECT * FROM j WHERE known AND (variables IS NULL OR json_type(j) = 'OBJECT')),
+g AS (SELECT series_id, effect_id, unnest(json_keys(j)) AS name, j FROM ok WHERE j IS NOT NULL), t AS (SELECT g.*, json_type(j, '$."' || name || '"') AS kind_of, TRY_CAST(j ->> ('$."' || name || '"') AS DOUBLE) AS amount FROM g),
+m AS (SELECT t.*, c.name AS own, c.kind FROM t LEFT JOIN c ON c.effect_id = t.effect_id AND c.name = t.name)
+SELECT series_id, effect_id, NULL AS name, 'unknown effect' AS problem FROM j WHERE NOT known UNION ALL SELECT series_id, effect_id, NULL, 'not an object' FROM j WHERE known AND variables IS NOT NULL AND coalesce(json_type(j), '') <> 'OBJECT'
+UNION ALL SELECT series_id, effect_id, name, CASE WHEN own IS NULL THEN 'unknown' WHEN kind = 'text' AND kind_of <> 'VARCHAR' OR kind = 'list' AND kind_of <> 'ARRAY' OR kind = 'rate' AND kind_of NOT IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN 'wrong kind' WHEN kind = 'rate' AND amount <= 0 THEN 'not above zero' END AS problem FROM m WHERE problem IS NOT NULL
+UNION ALL SELECT ok.series_id, ok.effect_id, c.name, 'missing' FROM ok JOIN c USING (effect_id) WHERE required AND NOT coalesce(json_exists(j, '$.' || c.name), false)"""
+)
+def effect_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contracts.violations(over(spark, sf_dir, _USES, "events"), over(spark, sf_dir, _CONTRACTS, "events"))
+
+
+_TALK = f"""SELECT user_id AS series_id, event_id, CASE event_id % 5 WHEN 0 THEN concat('{{"message": {{"model": "m', {_ID}, '"}}}}') WHEN 1 THEN '{{"message": {{"model": ""}}}}' WHEN 2 THEN '{{"message": {{"model": "cut' WHEN 3 THEN '{{"other": "model"}}' ELSE concat('{{"message": {{"model": ', {_ID}, '}}}}') END AS line FROM events WHERE user_id % 11 > 0 OR event_id % 5 > 0"""
+
+
+@register(f"SELECT series_id, arg_max(TRY_CAST(line AS JSON) ->> '$.message.model', event_id) AS model FROM ({_TALK}) WHERE event_id % 5 = 0 GROUP BY 1 UNION ALL SELECT series_id, NULL FROM ({_TALK}) GROUP BY 1 HAVING count_if(event_id % 5 = 0) = 0")
+def tail_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's lines become a log in a shared folder, which is then read from its end."""
+    folder = new_folder(spark, "talk")
+    rows = over(spark, sf_dir, _TALK, "events").repartition("series_id").sortWithinPartitions("series_id", "event_id")
+    rows.select("series_id", "line").write.partitionBy("series_id").text(folder)
+    spark.dataSource.register(tails.TailModels)
+    found = spark.read.format("tail_models").load(folder)
+    return found.select(F.regexp_extract("file", r"series_id=(-?\d+)/", 1).cast("long").alias("series_id"), "model")

@@ -59,13 +59,13 @@ def _boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.window_boxes(*(over(spark, sf_dir, x, "events") for x in (_WINDOWS, _FOUND)))
 
 
-@register(f"WITH w AS ({_WINDOWS}), f AS ({_FOUND}) SELECT w.series_id, win_id, CASE WHEN error IS NULL THEN box END AS box FROM w LEFT JOIN f USING (series_id, win_id)")
+@register(f"WITH w AS ({_WINDOWS}), f AS ({_FOUND}) SELECT w.series_id, win_id, CASE WHEN error IS NULL AND end_s - start_s >= 1 THEN box END AS box FROM w LEFT JOIN f USING (series_id, win_id)")
 def window_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boxed(spark, sf_dir)
 
 
 @register(
-    f"""WITH s AS ({_SEGMENTS}), w AS (SELECT w.*, box FROM ({_WINDOWS}) w JOIN ({_FOUND}) f USING (series_id, win_id) WHERE error IS NULL AND box IS NOT NULL), h AS (SELECT s.series_id, seg_id, arg_min(box, win_id) AS own FROM s JOIN w ON s.series_id = w.series_id AND s.start_s < w.end_s AND s.end_s > w.start_s WHERE kind = 'motion' GROUP BY 1, 2)
+    f"""WITH s AS ({_SEGMENTS}), w AS (SELECT w.*, box FROM ({_WINDOWS}) w JOIN ({_FOUND}) f USING (series_id, win_id) WHERE error IS NULL AND box IS NOT NULL AND end_s - start_s >= 1), h AS (SELECT s.series_id, seg_id, arg_min(box, win_id) AS own FROM s JOIN w ON s.series_id = w.series_id AND s.start_s < w.end_s AND s.end_s > w.start_s WHERE kind = 'motion' GROUP BY 1, 2)
 SELECT s.series_id, s.seg_id, coalesce(own, g.box) AS box FROM s LEFT JOIN h USING (series_id, seg_id) LEFT JOIN ({_WHOLE}) g USING (series_id)"""
 )
 def segment_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
