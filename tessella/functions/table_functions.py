@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
-from pyspark.sql.types import DataType, DoubleType, IntegerType, LongType, NumericType, StringType, StructField, StructType
+from pyspark.sql.types import DataType, DoubleType, IntegerType, LongType, NumericType, StructField, StructType
 
 
 class Param:
@@ -150,9 +150,9 @@ class MotionWindows(_Tool):
     }
     RESULT = (("win_id", IntegerType()), ("start_s", DoubleType()), ("end_s", DoubleType()), ("intensity", DoubleType()))
 
-    @classmethod
-    def analyze(cls, table: AnalyzeArgument, **given: AnalyzeArgument) -> AnalyzeResult:
-        return cls.checked(table, given)
+    @staticmethod
+    def analyze(table: AnalyzeArgument, **given: AnalyzeArgument) -> AnalyzeResult:
+        return MotionWindows.checked(table, given)
 
     def finish(self, min_rows, k, mad_floor, half, join_gap, min_length, pad, tail):
         t, x = self.sorted()
@@ -183,9 +183,9 @@ class RobustStats(_Tool):
     PARAMS = {"floor": Param(float, 1.0, least=0)}
     RESULT = (("n", LongType()), ("med", DoubleType()), ("mad", DoubleType()))
 
-    @classmethod
-    def analyze(cls, table: AnalyzeArgument, **given: AnalyzeArgument) -> AnalyzeResult:
-        return cls.checked(table, given)
+    @staticmethod
+    def analyze(table: AnalyzeArgument, **given: AnalyzeArgument) -> AnalyzeResult:
+        return RobustStats.checked(table, given)
 
     def take(self, x):
         self.x.append(math.nan if x is None else x)
@@ -205,9 +205,9 @@ class SessionClusters(_Tool):
     PARAMS = {"gap": Param(float, 0.5, least=0)}
     RESULT = (("cluster", LongType()), ("t", DoubleType()), ("score", DoubleType()), ("n_rows", LongType()))
 
-    @classmethod
-    def analyze(cls, table: AnalyzeArgument, **given: AnalyzeArgument) -> AnalyzeResult:
-        return cls.checked(table, given)
+    @staticmethod
+    def analyze(table: AnalyzeArgument, **given: AnalyzeArgument) -> AnalyzeResult:
+        return SessionClusters.checked(table, given)
 
     def begin(self):
         self.number, self.last, self.best, self.size = 0, None, None, 0
@@ -235,9 +235,9 @@ class EvenSample(_Tool):
     PARAMS = {"count": Param(int, 20, least=1), "stride": Param(str, "round", choices=("round", "floor"))}
     RESULT = (("pos", IntegerType()), ("t", DoubleType()), ("x", DoubleType()))
 
-    @classmethod
-    def analyze(cls, table: AnalyzeArgument, **given: AnalyzeArgument) -> AnalyzeResult:
-        return cls.checked(table, given)
+    @staticmethod
+    def analyze(table: AnalyzeArgument, **given: AnalyzeArgument) -> AnalyzeResult:
+        return EvenSample.checked(table, given)
 
     def finish(self, count, stride):
         t, x = self.sorted()

@@ -5,6 +5,7 @@ A text that is no JSON, or a field of another type than expected, gives nulls or
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,7 +151,48 @@ def as_documents(rows: DataFrame, key: str = "series_id") -> DataFrame:
     return rows.select(key, F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("document"))
 
 
+def _write(frames: DataFrame, path: str) -> None:
+    """A folder for each series; those of other series stay as they are."""
+    rows = frames.repartition("series_id").sortWithinPartitions("series_id", "resolution", "label")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("series_id").parquet(path)
+
+
+def _first_of_label(frames: DataFrame, *order: Column) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("series_id", "resolution", "label").orderBy(*order))
+    return frames.withColumn("_place", place).where("_place = 1").drop("_place")
+
+
 def write_manifests(frames: DataFrame, path: str) -> None:
-    """Keep the newest manifest of each series, (series_id, resolution, label, file, arrival), as Parquet by resolution; what lay there goes."""
-    last = F.row_number().over(Window.partitionBy("series_id", "resolution", "label").orderBy(F.desc("arrival")))
-    frames.withColumn("_place", last).where("_place = 1").drop("_place").write.mode("overwrite").partitionBy("resolution").parquet(path)
+    """Replace the manifest of each series that ``frames`` (series_id, resolution, label, file, arrival) has; of rows with one label the last to arrive counts.
+
+    Manifests of other series stay. Rows without a series are left out. Two writers at once must not have a series in common.
+    """
+    _write(_first_of_label(frames.where("series_id IS NOT NULL"), F.desc("arrival"), F.col("file")), path)
+
+
+def read_manifests(like: DataFrame, path: str) -> DataFrame:
+    """The manifests of a folder, in the shape of ``like``; no rows where it does not exist yet."""
+    try:
+        return like.sparkSession.read.schema(like.schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return like.limit(0)
+
+
+def _held_of(new: DataFrame, path: str, most: int = 1000) -> DataFrame:
+    """The manifests of the series that ``new`` has. Up to ``most`` of them are named in the scan, which then lists and reads their folders only."""
+    held, series = read_manifests(new, path), new.select("series_id").distinct()
+    named = [r.series_id for r in series.limit(most + 1).collect()]
+    return held.where(F.col("series_id").isin(named)) if len(named) <= most else held.join(series, "series_id", "left_semi").select(*new.columns)
+
+
+def merge_manifests(frames: DataFrame, path: str) -> None:
+    """Add frames (series_id, resolution, label, file, arrival) to the manifests of a folder: a label that a manifest has at a resolution keeps its frame, of new rows
+    with one label the first to arrive is taken.
+
+    Only the manifests of the batch's series are read and written again, so the work follows the batch. Repeating a batch changes nothing. Rows without a series are left out.
+    """
+    new = frames.where("series_id IS NOT NULL")
+    both = _held_of(new, path).withColumn("_old", F.lit(0)).unionByName(new.withColumn("_old", F.lit(1)))
+    _write(_first_of_label(both, F.col("_old"), F.col("arrival"), F.col("file")).drop("_old"), path)

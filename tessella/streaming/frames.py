@@ -55,6 +55,12 @@ def within_assets(frames: DataFrame, slack: float = 0.1) -> DataFrame:
     return frames.where(F.col("t") <= F.col("duration_s") + slack)
 
 
+def timely_frames(frames: DataFrame, lateness: str, slack: float = 0.1) -> DataFrame:
+    """Frames (series_id, label, at timestamp, t, duration_s, ...) that lie in their asset and arrive in time: one whose time is more than ``lateness`` before the
+    latest seen, when its batch begins, is dropped, and so is a repeat of a series' label while the first is remembered."""
+    return within_assets(frames, slack).withWatermark("at", lateness).dropDuplicatesWithinWatermark(["series_id", "label"])
+
+
 def live_sessions(frames: DataFrame, lateness: str, lifetime_s: int) -> DataFrame:
     """(series_id, n_frames, last_at, expired) from a stream (series_id, at timestamp): each batch tells the sessions that it touches, and those
     whose last frame is over ``lifetime_s`` before the watermark once more as expired; their state is then gone."""

@@ -121,6 +121,8 @@ class _Kept(StatefulProcessor):
         self.last = handle.getValueState("last", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if self.quiet is not None and self.last.exists() and self.last.get()[0] // 1000 + self.quiet <= timerValues.getCurrentWatermarkInMs():
+            self._forget()  # rows of a batch come before the timers that are due
         part = pd.concat(list(rows), ignore_index=True)
         part = part.sort_values("arrival", kind="stable")
         name = part[self.names].astype(object).where(part[self.names].notna(), None).apply(lambda r: repr(tuple(r)), axis=1) if len(part) else pd.Series(dtype=object)
@@ -139,9 +141,12 @@ class _Kept(StatefulProcessor):
             yield part.loc[new, self.columns]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._forget()
+        return iter(())
+
+    def _forget(self) -> None:
         self.held.clear()
         self.last.clear()
-        return iter(())
 
     def close(self) -> None:
         pass
