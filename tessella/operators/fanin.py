@@ -27,6 +27,53 @@ def chunk_results(chunks: DataFrame, results: DataFrame) -> DataFrame:
     return read.unionByName(lost)
 
 
+# What a plan's warnings say.
+PLAN_DETAILS = {"loose_threshold": "matched silence using loose threshold", "hard_cut": "no silence within ±30s of target boundary"}
+
+
+def long_audio(assets: DataFrame, plan: DataFrame, answers: DataFrame) -> DataFrame:
+    """(series_id, route, kind, chunk, total, start_s, end_s, value, event): all that is known of the sound of assets (series_id, duration_s, start_s, end_s), from route to rows.
+
+    ``plan`` has the chunks (series_id, chunk, total, start_s, end_s, warning) of assets that are cut. ``answers`` (series_id, chunk, attempt, error, lines
+    array<struct<start_s, end_s, text>>, tags array<struct<start_s, end_s, tag>>) has a row for each try, 0 first, with times from the begin of what was sent; what is
+    sent at once, a slice or a whole asset, is chunk 0.
+
+    kind is 'text', 'tag' or 'warning'. Lines and tags of chunks are moved to their chunk and cut to it, empty ones go. A first try that failed is a warning 'retry' with
+    its error; a chunk whose second try failed too, or that has no answer, is a warning 'failed' and a text in place of its words. The plan's warnings are told
+    too. What is sent at once is not tried again: its error is a warning 'failed', without a text. A series without an answer to what is sent at once has no row.
+    """
+    routed = assets.select("series_id", sliced_route(F.col("start_s"), F.col("end_s"), F.col("duration_s")).alias("route"))
+    nothing = F.lit(None)
+    whole = routed.where("route <> 'chunks'").select("series_id", "route", F.lit(0).alias("chunk"), nothing.cast("int").alias("total"), F.lit(0.0).alias("c0"), F.lit(float("inf")).alias("c1"), nothing.cast("string").alias("planned"))
+    cut = routed.where("route = 'chunks'").join(plan, "series_id").select("series_id", "route", F.col("chunk").cast("int"), F.col("total").cast("int"), F.col("start_s").alias("c0"), F.col("end_s").alias("c1"), F.col("warning").alias("planned"))
+    tries = answers.groupBy("series_id", F.col("chunk").cast("int").alias("chunk")).agg(*(F.max_by(F.struct("error", "lines", "tags"), F.when(F.col("attempt") == k, F.lit(1))).alias(f"try{k}") for k in (0, 1)))
+    both = whole.join(tries, ["series_id", "chunk"]).unionByName(cut.join(tries, ["series_id", "chunk"], "left"))
+    in_chunks = F.col("route") == "chunks"
+    fine = lambda k: F.col(f"try{k}").isNotNull() & F.col(f"try{k}.error").isNull()
+    best = F.when(fine(0), F.col("try0")).when(in_chunks & fine(1), F.col("try1"))
+    row = lambda kind, start, end, value, event=nothing: F.struct(F.lit(kind).alias("kind"), start.cast("double").alias("start_s"), end.cast("double").alias("end_s"), value.cast("string").alias("value"), event.cast("string").alias("event"))
+    empty = F.array().cast("array<struct<kind: string, start_s: double, end_s: double, value: string, event: string>>")
+
+    def read(name: str, kind: str, said: str) -> Column:
+        moved = F.transform(best[name], lambda x: row(kind, F.greatest(x["start_s"] + F.col("c0"), F.col("c0")), F.least(x["end_s"] + F.col("c0"), F.col("c1")), x[said]))
+        return F.coalesce(F.filter(moved, lambda x: ~in_chunks | (x["end_s"] > x["start_s"])), empty)
+
+    span = (F.col("c0"), F.when(in_chunks, F.col("c1")))
+    warn = lambda event, detail: row("warning", *span, detail, event)
+    lost = best.isNull()
+    last_error = F.coalesce(F.when(in_chunks, F.col("try1.error")), F.when(~in_chunks | F.col("try1").isNull(), F.col("try0.error")), F.lit("no answer"))
+    told = F.array_compact(
+        F.array(
+            F.when(F.col("planned").isNotNull(), warn(F.lit(None), F.coalesce(*(F.when(F.col("planned") == k, F.lit(v)) for k, v in PLAN_DETAILS.items()))).withField("event", F.col("planned"))),
+            F.when(in_chunks & F.col("try0.error").isNotNull(), warn(F.lit("retry"), F.col("try0.error"))),
+            F.when(lost, warn(F.lit("failed"), last_error)),
+            F.when(lost & in_chunks, row("text", *span, F.lit(FAILED_CHUNK))),
+        )
+    )
+    rows = both.select("series_id", "route", "chunk", "total", F.inline(F.concat(read("lines", "text", "text"), read("tags", "tag", "tag"), told)))
+    return rows.select("series_id", "route", "kind", F.when(F.col("route") == "chunks", F.col("chunk")).alias("chunk"), "total", "start_s", "end_s", "value", "event")
+
+
 def audio_route(asked: Column, has_audio: Column, refusal: Column, has_captions: Column, backend: Column, doubtful: Column) -> Column:
     """How the words of an asset are found: 'none', 'captions', the backend's name, or 'suppressed' where a local reading was doubted before."""
     local = F.when(F.coalesce(doubtful, F.lit(False)), "suppressed").otherwise("local")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella import sources
-from tessella.functions import text
+from tessella.functions import table_functions, text
 from tessella.operators import intervals, planning, signals
 from tessella.plans.base import ORACLE_SQL, QUERIES
 from tessella.plans.base import register as _register
@@ -236,6 +236,27 @@ def url_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.table(spark, sf_dir, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("PROTOCOL")).isin("http", "https").alias("is_web"))
 
 
+def _told(spark: SparkSession, rows: DataFrame, call: str) -> DataFrame:
+    """A table function on the rows, called in SQL."""
+    table_functions.register(spark)
+    return spark.sql(f"SELECT * FROM {call.format('TABLE(SELECT * FROM {rows})')}", rows=rows)
+
+
+@_register(ORACLE_SQL["motion_windows"])
+def sql_motion_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(spark, sources.samples(spark, sf_dir), "motion_windows({} PARTITION BY series_id)")
+
+
+@_register(ORACLE_SQL["session_clusters"])
+def sql_session_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(spark, sources.samples(spark, sf_dir).withColumnRenamed("x", "score"), "session_clusters({} PARTITION BY series_id ORDER BY t, gap => 0.25)")
+
+
+@_register(ORACLE_SQL["robust_stats"])
+def sql_robust_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(spark, sources.samples(spark, sf_dir), "robust_stats({} PARTITION BY series_id, floor => 1.0)")
+
+
 from tessella.plans import delivery_queries, document_queries, label_queries, log_queries, mask_queries, plan_queries, report_queries, rule_queries, schema_queries, source_queries, stream_queries, subject_queries  # noqa: E402, F401
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import rules, text
-from tessella.operators import reports
+from tessella.operators import fanin, planning, reports, requests
 from tessella.plans.base import over, register
 from tessella.plans.delivery_queries import _PRECISE
 from tessella.sources import pgm
@@ -88,3 +88,52 @@ def image_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = "CASE event_id % 11 WHEN 0 THEN 'P6 4 3 255 ' WHEN 1 THEN 'P5 4 9 255 ' WHEN 2 THEN 'P5\n# note\n4 3 # more\n255\n' ELSE 'P5 4 3\n255 ' END"
     images = over(spark, sf_dir, f"SELECT event_id AS series_id, user_id AS frame, concat(CAST({head} AS BINARY), {body}) AS content FROM events", "events")
     return pgm.lit_pixels(images)
+
+
+_CALLS = """SELECT event_id AS series_id, CASE event_id % 7 WHEN 0 THEN 'inspect' WHEN 1 THEN 'analyze' WHEN 2 THEN 'watch' WHEN 3 THEN 'measure' WHEN 4 THEN 'configure' WHEN 5 THEN 'watch' ELSE 'paint' END AS tool, CASE WHEN event_id % 23 = 0 THEN '[]' ELSE concat('{', CASE WHEN event_id % 5 > 0 THEN '"path": "a", ' ELSE '' END, CASE event_id % 11 WHEN 0 THEN '"mode": "best", ' WHEN 1 THEN '"mode": 5, ' WHEN 2 THEN '"mode": "low", ' ELSE '' END, CASE event_id % 6 WHEN 0 THEN concat('"resolution": "', CAST(event_id % 300 AS STRING), '", ') WHEN 1 THEN '"resolution": [1], ' ELSE '' END,
+CASE event_id % 4 WHEN 0 THEN concat('"fps": ', CAST(event_id % 3 - 1 AS STRING), ', ') WHEN 1 THEN '"fps": "auto", ' WHEN 2 THEN '"fps": "fast", ' ELSE '' END, CASE event_id % 9 WHEN 0 THEN '"roi": "1,2,3", ' WHEN 1 THEN '"roi": "per-window", ' ELSE '' END, CASE event_id % 8 WHEN 0 THEN '"filters": {"motion": true, "blur": "yes"}, ' WHEN 1 THEN '"filters": 1, ' WHEN 2 THEN '"filters": {}, ' ELSE '' END, CASE event_id % 10 WHEN 0 THEN '"backend": "cloud", ' WHEN 1 THEN '"default_narrative_mode": "maybe", ' WHEN 2 THEN '"default_narrative_mode": "auto", "clear_sessions": 1, ' ELSE '' END, '"x": 1}') END AS params FROM events"""
+
+
+@register(
+    f"""WITH c AS (SELECT *, TRY_CAST(params AS JSON) AS j FROM ({_CALLS})), k AS (SELECT *, json_type(j) = 'OBJECT' AS fits FROM c), o AS (SELECT * FROM k WHERE fits), w AS (SELECT * FROM o WHERE tool IN ('watch', 'measure'))
+SELECT series_id, tool, NULL AS parameter, 'unknown tool' AS problem FROM k WHERE tool = 'paint' UNION ALL SELECT series_id, tool, NULL, 'not an object' FROM k WHERE tool <> 'paint' AND NOT fits
+UNION ALL SELECT series_id, tool, 'path', 'missing' FROM o WHERE tool NOT IN ('paint', 'configure') AND NOT json_exists(j, '$.path')
+UNION ALL SELECT series_id, tool, 'mode', CASE WHEN json_type(j, '$.mode') = 'VARCHAR' THEN 'out of range' ELSE 'wrong type' END FROM w WHERE json_exists(j, '$.mode') AND j ->> '$.mode' <> 'low'
+UNION ALL SELECT series_id, tool, 'resolution', CASE WHEN json_type(j, '$.resolution') = 'ARRAY' THEN 'wrong type' ELSE 'out of range' END FROM w WHERE json_exists(j, '$.resolution') AND coalesce(TRY_CAST(j ->> '$.resolution' AS INT), 0) < 128
+UNION ALL SELECT series_id, tool, 'fps', 'out of range' AS problem FROM o WHERE tool = 'watch' AND j ->> '$.fps' = 'fast' UNION ALL SELECT series_id, tool, 'fps', 'wrong type' FROM o WHERE tool = 'watch' AND TRY_CAST(j ->> '$.fps' AS INT) <= 0
+UNION ALL SELECT series_id, tool, 'roi', 'out of range' FROM w WHERE j ->> '$.roi' = '1,2,3' UNION ALL SELECT series_id, tool, 'filters', CASE WHEN json_exists(j, '$.filters') THEN 'wrong type' ELSE 'missing' END FROM o WHERE tool = 'analyze' AND coalesce(json_type(j, '$.filters'), '') <> 'OBJECT'
+UNION ALL SELECT series_id, tool, 'filters.blur', 'wrong type' FROM o WHERE tool = 'analyze' AND json_exists(j, '$.filters.blur') UNION ALL SELECT series_id, tool, 'backend', 'out of range' FROM o WHERE tool = 'configure' AND json_exists(j, '$.backend')
+UNION ALL SELECT series_id, tool, 'default_narrative_mode', 'out of range' FROM o WHERE tool = 'configure' AND j ->> '$.default_narrative_mode' = 'maybe' UNION ALL SELECT series_id, tool, 'clear_sessions', 'wrong type' FROM o WHERE tool = 'configure' AND json_exists(j, '$.clear_sessions')"""
+)
+def tool_request_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return requests.problems(over(spark, sf_dir, _CALLS, "events"))
+
+
+_SOUND = "SELECT user_id AS series_id, (user_id * 37 % 50) * 100.0e0 AS duration_s, CASE WHEN user_id % 9 = 0 THEN 5.0e0 END AS start_s, CAST(NULL AS DOUBLE) AS end_s FROM events GROUP BY user_id"
+_TRIES = "SELECT user_id AS series_id, CAST(event_id % 9 AS INT) AS chunk, CAST(event_id % 2 AS INT) AS attempt, min(event_id) AS e FROM events GROUP BY user_id, event_id % 9, event_id % 2"
+
+
+@register(
+    f"""WITH a AS (SELECT *, CASE WHEN start_s IS NOT NULL THEN 'slice' WHEN duration_s <= 1200 THEN 'whole' ELSE 'chunks' END AS route, CAST(floor(duration_s / 600) AS INT) AS total FROM ({_SOUND})), t AS (SELECT *, e % 4 = 0 AS bad FROM ({_TRIES})),
+p AS (SELECT series_id, route, chunk, total, chunk * 600.0e0 AS c0, CASE WHEN chunk = total - 1 THEN duration_s ELSE chunk * 600.0e0 + 600 END AS c1 FROM a, (SELECT CAST(unnest(range(9)) AS INT) AS chunk) WHERE route = 'chunks' AND chunk < total
+UNION ALL SELECT series_id, route, 0, NULL, 0, 'Infinity'::DOUBLE FROM a JOIN (SELECT DISTINCT series_id FROM t WHERE chunk = 0) USING (series_id) WHERE route <> 'chunks'),
+b AS (SELECT p.*, one.e AS e0, one.bad AS bad0, two.e AS e1, two.bad AS bad1, CASE WHEN NOT one.bad THEN one.e WHEN route = 'chunks' AND NOT two.bad THEN two.e END AS e FROM p LEFT JOIN t one ON one.series_id = p.series_id AND one.chunk = p.chunk AND one.attempt = 0 LEFT JOIN t two ON two.series_id = p.series_id AND two.chunk = p.chunk AND two.attempt = 1),
+b2 AS (SELECT * REPLACE (CASE WHEN e0 IS NOT NULL AND NOT bad0 THEN e0 WHEN route = 'chunks' AND e1 IS NOT NULL AND NOT bad1 THEN e1 END AS e) FROM b),
+l AS (SELECT *, 'text' AS kind, e % 700 * 1.0e0 AS s, e % 700 + e % 170 * 1.0e0 AS f, concat('line ', e) AS value FROM b2 WHERE e IS NOT NULL UNION ALL SELECT *, 'text', -20.0e0, 5.5e0, 'early' FROM b2 WHERE e IS NOT NULL UNION ALL SELECT *, 'tag', e % 650 * 1.0e0, e % 650 + 30.0e0, 'music' FROM b2 WHERE e % 3 > 0),
+r AS (SELECT series_id, route, kind, chunk, total, greatest(s + c0, c0) AS start_s, least(f + c0, c1) AS end_s, value, NULL AS event FROM l WHERE route <> 'chunks' OR least(f + c0, c1) > greatest(s + c0, c0)
+UNION ALL SELECT series_id, route, 'warning', chunk, total, c0, c1, 'no silence within ±30s of target boundary', 'hard_cut' FROM b2 WHERE route = 'chunks' AND chunk < total - 1
+UNION ALL SELECT series_id, route, 'warning', chunk, total, c0, c1, concat('broken ', e0), 'retry' FROM b2 WHERE route = 'chunks' AND bad0
+UNION ALL SELECT series_id, route, 'warning', chunk, total, c0, CASE WHEN route = 'chunks' THEN c1 END, CASE WHEN route = 'chunks' AND bad1 THEN concat('broken ', e1) WHEN bad0 THEN concat('broken ', e0) ELSE 'no answer' END, 'failed' FROM b2 WHERE e IS NULL
+UNION ALL SELECT series_id, route, 'text', chunk, total, c0, c1, '[transcription failed for this segment after retry]', NULL FROM b2 WHERE e IS NULL AND route = 'chunks')
+SELECT series_id, route, kind, CASE WHEN route = 'chunks' THEN chunk END AS chunk, total, start_s, end_s, value, event FROM r"""
+)
+def long_audio_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assets = over(spark, sf_dir, _SOUND, "events")
+    none = assets.select("series_id", F.lit(0.0).alias("start_s"), F.lit(0.0).alias("end_s")).where("false")
+    plan = planning.chunk_plan(assets, none, none)
+    tries = over(spark, sf_dir, _TRIES, "events")
+    line = lambda start, end, value, name: f"named_struct('start_s', CAST({start} AS DOUBLE), 'end_s', CAST({end} AS DOUBLE), '{name}', {value})"
+    lines = F.expr(f"array({line('e % 700', 'e % 700 + e % 170', 'concat(\"line \", e)', 'text')}, {line(-20, 5.5, '\"early\"', 'text')})")
+    tags = F.expr(f"CASE WHEN e % 3 > 0 THEN array({line('e % 650', 'e % 650 + 30', '\"music\"', 'tag')}) END")
+    answers = tries.select("series_id", "chunk", "attempt", F.when(F.col("e") % 4 == 0, F.concat(F.lit("broken "), F.col("e"))).alias("error"), lines.alias("lines"), tags.alias("tags"))
+    return fanin.long_audio(assets, plan, answers)

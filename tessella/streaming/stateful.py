@@ -130,7 +130,7 @@ class _Kept(StatefulProcessor):
         part, name = part[first], name[first]
         new = [not self.held.containsKey((n,)) for n in name]
         for n, arrival in zip(name[new], part.loc[new, "arrival"]):
-            self.held.updateValue((n,), (int(arrival),))
+            self.held.updateValue((n,), (0 if pd.isna(arrival) else int(arrival),))
         if self.quiet is not None:
             last = max([int(part["us"].max()), *([self.last.get()[0]] if self.last.exists() else [])])
             self.last.update((last,))
@@ -158,13 +158,13 @@ def absent_frames(frames: DataFrame, lifetime_s: float | None = None, quiet_s: f
     The names of a series are its own entries of the state, so the work of a batch follows the batch, whatever is kept already. With
     ``lifetime_s`` a name is forgotten so long after it was written, by the clock; with ``quiet_s`` all names of a series are forgotten when its last
     frame (``at`` timestamp) lies so long before the watermark. Only one of the two can be given; with neither, names are kept for good.
-    A null series or label is a value like any other.
+    A null series or label is a value like any other, a null arrival is the last; with ``quiet_s`` frames without a time are passed over.
     """
     if lifetime_s is not None and quiet_s is not None:
         raise ValueError("names expire by the clock or by event time, not by both")
     use_state_store(frames.sparkSession)
     columns = frames.columns
-    rows = frames.withColumn("us", F.unix_micros("at")).withWatermark("at", lateness) if quiet_s is not None else frames
+    rows = frames.where("at IS NOT NULL").withColumn("us", F.unix_micros("at")).withWatermark("at", lateness) if quiet_s is not None else frames
     processor = _Kept([c for c in names if c in columns], columns, None if lifetime_s is None else round(lifetime_s * 1000), None if quiet_s is None else round(quiet_s * 1000))
     mode = "EventTime" if quiet_s is not None else "ProcessingTime" if lifetime_s is not None else "None"
     return rows.groupBy("series_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=StructType(frames.schema.fields), outputMode="Append", timeMode=mode)

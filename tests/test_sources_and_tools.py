@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import table_functions
-from tessella.operators import contracts, delivery, intervals, motion_masks, signals, subjects
+from tessella.operators import contracts, delivery, fanin, intervals, motion_masks, requests, signals, subjects
 from tessella.sources import json_texts, pgm, tails
 
 # --- logs read from their ends
@@ -229,3 +229,53 @@ def test_short_windows_have_no_box(spark):
     windows = spark.createDataFrame([(1, 1, 0.0, 1.0), (1, 2, 0.0, 0.99), (1, 3, 0.0, 5.0), (1, 4, 0.0, 5.0)], "series_id int, win_id int, start_s double, end_s double")
     found = spark.createDataFrame([(1, 1, "a", None), (1, 2, "b", None), (1, 3, "c", "failed")], "series_id int, win_id int, box string, error string")
     assert {r.win_id: r.box for r in subjects.window_boxes(windows, found).collect()} == {1: "a", 2: None, 3: None, 4: None}
+
+
+# --- requests and long audio
+
+
+def test_request_problems(spark):
+    rows = [
+        (1, "watch", '{"path":"a","fps":"2.5","resolution":"512","roi":"1,2,3,4","view":["00:00:01","bad"],"segments":[{"start":"00:00:01","end":"00:00:02","fps":1}]}'),
+        (2, "watch", '{"fps":"NaN","resolution":"","mode":"best","segments":[{"start":"x","end":"00:00:02","fps":1}],"view":5,"skip_audio":"yes","view_sample":"4"}'),
+        (3, "analyze", '{"path":"a"}'),
+        (4, "analyze", '{"path":"a","filters":{"motion":true,"blur":1}}'),
+        (5, "configure", '{"backend":"x","default_narrative_mode":"auto","default_adaptive_sampling":"on","clear_sessions":null}'),
+        (6, "other", "{}"),
+        (7, "inspect", "[]"),
+        (8, "inspect", None),
+        (9, "measure", '{"path":"x","resolution":true,"model":5}'),
+        (10, "watch", '{"path":"p","fps":"Infinity","resolution":700,"segments":[{"start":"00:00:01","fps":2}]}'),
+        (11, "watch", '{"path":"p","fps":"auto","segments":[],"view":[],"resolution":1e3,"start_time":"00:00:01.5"}'),
+        (12, "inspect", "{broken"),
+        (13, None, "{}"),
+    ]
+    frame = spark.createDataFrame(rows, "series_id int, tool string, params string")
+    want = {(1, "view", "out of range"), (2, "path", "missing"), (2, "mode", "out of range"), (2, "fps", "out of range"), (2, "resolution", "out of range"), (2, "skip_audio", "wrong type"), (2, "segments", "out of range"), (2, "view_sample", "wrong type"), (2, "view", "wrong type")}
+    want |= {(3, "filters", "missing"), (4, "filters.blur", "wrong type"), (5, "backend", "out of range"), (5, "default_adaptive_sampling", "out of range"), (5, "clear_sessions", "wrong type"), (6, None, "unknown tool"), (7, None, "not an object"), (8, "path", "missing")}
+    want |= {(9, "resolution", "out of range"), (9, "model", "wrong type"), (10, "fps", "out of range"), (10, "segments", "missing"), (12, None, "not an object"), (13, None, "unknown tool")}
+    assert {(r.series_id, r.parameter, r.problem) for r in requests.problems(frame).collect()} == want
+    assert [r.series_id for r in requests.accepted(frame).collect()] == [11]
+
+
+def test_long_audio(spark):
+    assets = spark.createDataFrame([(1, 1500.0, None, None), (2, 900.0, None, None), (3, 5000.0, 10.0, None), (4, 900.0, None, None)], "series_id int, duration_s double, start_s double, end_s double")
+    plan = spark.createDataFrame([(1, 0, 3, 0.0, 500.0, "loose_threshold"), (1, 1, 3, 500.0, 1000.0, None), (1, 2, 3, 1000.0, 1500.0, None)], "series_id int, chunk int, total int, start_s double, end_s double, warning string")
+    line, tag = "array<struct<start_s: double, end_s: double, text: string>>", "array<struct<start_s: double, end_s: double, tag: string>>"
+    answers = [
+        (1, 0, 0, None, [(-5.0, 20.0, "a"), (490.0, 600.0, "b"), (700.0, 800.0, "outside")], [(1.0, 2.0, "bell"), (499.0, 999.0, "horn"), (600.0, 601.0, "outside")]),
+        (1, 1, 0, "busy", None, None),
+        (1, 1, 1, None, [(1.0, 2.0, "c")], None),
+        (1, 2, 0, "down", None, None),
+        (1, 2, 1, "gone", None, None),
+        (2, 0, 0, None, [(5.0, 5.0, "kept as it is")], None),
+        (3, 0, 0, "refused", None, None),
+    ]
+    got = fanin.long_audio(assets, plan, spark.createDataFrame(answers, f"series_id int, chunk int, attempt int, error string, lines {line}, tags {tag}"))
+    rows = {(r.series_id, r.kind, r.chunk, r.total, r.start_s, r.end_s, r.value, r.event) for r in got.collect()}
+    assert rows == {
+        (1, "text", 0, 3, 0.0, 20.0, "a", None), (1, "text", 0, 3, 490.0, 500.0, "b", None), (1, "tag", 0, 3, 1.0, 2.0, "bell", None), (1, "tag", 0, 3, 499.0, 500.0, "horn", None),
+        (1, "warning", 0, 3, 0.0, 500.0, "matched silence using loose threshold", "loose_threshold"), (1, "warning", 1, 3, 500.0, 1000.0, "busy", "retry"), (1, "text", 1, 3, 501.0, 502.0, "c", None),
+        (1, "warning", 2, 3, 1000.0, 1500.0, "down", "retry"), (1, "warning", 2, 3, 1000.0, 1500.0, "gone", "failed"), (1, "text", 2, 3, 1000.0, 1500.0, fanin.FAILED_CHUNK, None),
+        (2, "text", None, None, 5.0, 5.0, "kept as it is", None), (3, "warning", None, None, 0.0, None, "refused", "failed"),
+    }
