@@ -1,9 +1,10 @@
 """Main text of web pages from flat text blocks.
 
 A page becomes a flat list of text blocks. Each has its word count and link density, those of the blocks before and after
-it, and where it stands: within a landmark of the page's frame, under a name that advertisements, menus or comments have, inside or outside
-of the element that holds the page's text. A decision tree, trained on the blocks of the labelled layouts in ``html_layouts``, tells text
-from boilerplate; no single feature decides but as the tree says.
+it, its size against the page's largest plain block, and where it stands: within a landmark of the page's frame, under a name that
+advertisements, menus or comments have, in the article with the most text or another one, in the box that holds most of the text, and whether its words are
+those of notices. Landmarks that were never closed and names of wrappers count for nothing where they would hold the page's text. A decision
+tree, trained on the blocks of the labelled layouts in ``html_layouts``, tells text from boilerplate; no single feature decides but as the tree says.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .arrowtext import column
-from .html_layouts import LAYOUTS, SCALES
+from .html_layouts import LAYOUTS
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>|<[!?][^>]*+(?:>|\Z)|[^<]++|<", re.S)
 _RAW = frozenset("script style noscript template svg math iframe object textarea select title".split())
@@ -35,57 +36,116 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: Names of boxes: as a whole class or id, as its first part, as its last part.
 _NAMED = frozenset(
     "ad ads advert advertisement banner promo sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe sidebar menu nav navbar navigation footer header masthead topbar "
-    "breadcrumb breadcrumbs share sharing social related recommended comment comments commentlist respond replies reply widget login signup pagination pager toc skip".split()
+    "breadcrumb breadcrumbs share sharing social related recommended comment comments commentlist respond replies reply widget login signup pagination pager toc skip thread discussion reactions teaser teasers".split()
 )
-_FIRST = frozenset("ad ads advert sponsored cookie cookies consent gdpr comment comments commentlist disqus newsletter sidebar nav navbar menu breadcrumb breadcrumbs popup modal related share".split())
+_FIRST = frozenset("ad ads advert sponsor sponsored cookie cookies consent gdpr comment comments commentlist disqus newsletter sidebar nav navbar menu breadcrumb breadcrumbs popup modal related share".split())
 _LAST = frozenset("ad ads advert footer nav navbar menu comment comments newsletter breadcrumbs banner".split())
+#: Names that mark a paragraph, a heading or an item by itself; others are names of the text's own parts there.
+_OF_LINES = frozenset("ad ads advert advertisement sponsored promo cookie cookies consent gdpr newsletter breadcrumb breadcrumbs skip copyright".split())
+_LINES = frozenset("p li h1 h2 h3 h4 h5 h6 td th dt dd blockquote pre figcaption figure caption".split())
+#: Names of readers' words, which may be longer than the page's own.
+_READERS = frozenset("comment comments commentlist respond replies reply disqus thread discussion reactions".split())
 _HEADINGS = frozenset("h2 h3 h4 h5 h6".split())
-#: Headings of reader comments.
-_COMMENTS = re.compile(r"\W*\d*\s*(?:reader |user )?(?:comments?|replies|responses|kommentare?|antworten|commentaires?|réponses|comentarios?|respuestas|comentários?|commenti)\s*(?:\(?\d+\)?)?\W*", re.I)
+#: Headings of reader comments; those that tell a number are no titles of sections.
+_COMMENTS = re.compile(r"\W*(\d*)\s*(?:reader |user )?(?:comments?|replies|responses|kommentare?|antworten|commentaires?|réponses|comentarios?|respuestas|comentários?|commenti)\s*(?:\(?(\d+)\)?)?\W*", re.I)
+#: Words of notices.
+_NOTICE = re.compile(r"\bcookies?\b|\bsubscribe|\bsign up\b|\bnewsletter|\ball rights reserved|©|\bcopyright\b|\bprivacy policy|\bterms of (?:use|service)", re.I)
+_BOXES = frozenset("div section article main form aside".split())
 
-#: (text, words, link density, frame, named, level); frame is 1 in a form, 2 in other landmarks; level 1 within a main, 2 within an article.
-Block = tuple[str, int, float, int, bool, int]
 Tree = tuple | int
 
 
-def _named(value: str) -> bool:
-    for name in value.lower().split():
-        parts = name.replace("_", "-").split("-")
-        if name in _NAMED or len(parts) > 1 and (parts[0] in _FIRST or parts[-1] in _LAST):
-            return True
-    return False
+class Block:
+    """A run of text between tags: its words, the share of them in links, and what it stands in.
+
+    ``marks`` are the numbers of the landmarks and named boxes around it, ``article`` that of the innermost article and ``box`` that of the innermost box (0: none).
+    """
+
+    __slots__ = ("text", "words", "density", "marks", "article", "in_main", "box", "notice")
+
+    def __init__(self, text: str, words: int, density: float, marks: tuple, article: int, in_main: bool, box: int):
+        self.text, self.words, self.density, self.marks, self.article, self.in_main, self.box = text, words, density, marks, article, in_main, box
+        self.notice = words < 60 and _NOTICE.search(text) is not None
+
+
+class Mark:
+    """What a landmark or a name says of its element: frame is 2 in landmarks, 1 in forms, 0 for a name; ``share`` of the page's plain words from which on it is not believed."""
+
+    __slots__ = ("frame", "share", "plain", "closed", "void")
+
+    def __init__(self, frame: int, share: float):
+        self.frame, self.share, self.plain, self.closed, self.void = frame, share, 0.0, False, False
+
 
+class Page:
+    """The blocks of a page in order, its marks, and for each article the one around it."""
 
-def _place(tag: str, attributes: str, level: int) -> tuple[int, bool]:
-    """(frame, named) that an element gives to what it encloses."""
-    frame, named = 2 if tag in _FRAME or tag == "header" and not level else int(tag == "form"), False
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.marks: list[Mark] = []
+        self.around: list[int] = [0]
+
+
+def _name_of(value: str, line: bool) -> str | None:
+    """The part of a class or id that names a box of the frame, if one does."""
+    for name in value.lower().split():
+        parts = name.replace("_", "-").split("-")
+        if line:
+            if name in _OF_LINES or len(parts) > 1 and (parts[0] in _OF_LINES or parts[-1] in _OF_LINES):
+                return name
+        elif name in _NAMED:
+            return name
+        elif len(parts) > 1 and parts[0] in _FIRST:
+            return parts[0]
+        elif len(parts) > 1 and parts[-1] in _LAST:
+            return parts[-1]
+    return None
+
+
+def _marks_of(tag: str, attributes: str, in_text: bool) -> list[Mark]:
+    """The marks that an element gives to what it encloses."""
+    out = []
+    if tag in _FRAME or tag == "header" and not in_text:
+        out.append(Mark(2, 2.0))
+    elif tag == "form":
+        out.append(Mark(1, 2.0))
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            named = named or _named(value)
+            found = _name_of(value, tag in _LINES)
+            if found:
+                out.append(Mark(0, 0.9 if found in _READERS else 0.6))
         elif name == "role" and value.lower() in _ROLES or name == "style" and _HIDDEN.search(value) or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            frame = 2
-    return frame, named
+            out.append(Mark(2, 0.9))
+    return out
 
 
-def blocks(html: str) -> list[Block]:
-    """The page's text blocks in order."""
-    out: list[Block] = []
+def parse(html: str) -> Page:
+    """The page's text blocks in order, with what they stand in."""
+    page = Page()
     text: list[str] = []
     linked: list[str] = []
-    # tag, frame, named, level
-    stack: list[list] = [["", 0, False, 0]]
+    # tag, marks, own marks, article, in main, box, blocks before it
+    stack: list[list] = [["", (), (), 0, False, 0, 0]]
     link = 0  # depth of the stack where the open link began
+    boxes = 0
     unclosed: set[str] = set()
 
+    def mark(found: list[Mark]) -> tuple:
+        page.marks.extend(found)
+        return tuple(range(len(page.marks) - len(found), len(page.marks)))
+
     def close() -> None:
         body = " ".join(unescape("".join(text)).split()) if text else ""
         if body:
-            tag, frame, named, level = stack[-1]
+            tag, marks, _, article, in_main, box, _ = stack[-1]
             words = body.count(" ") + 1
-            if tag in _HEADINGS and _COMMENTS.fullmatch(body):  # what follows in the element around it are comments
-                stack[-1][2] = stack[-2][2] = named = True
-            out.append((body, words, min(1.0, len(unescape("".join(linked)).split()) / words), frame, named, level))
+            title = _COMMENTS.fullmatch(body) if tag in _HEADINGS else None
+            # what follows in the element around such a heading are comments, if it tells their number or begins an element outside of the text
+            if title and len(stack) > 1 and (title[1] or title[2] or not article and not in_main and stack[-2][0] and stack[-2][6] == len(page.blocks)):
+                own = mark([Mark(0, 0.9)])
+                stack[-1][1] = stack[-2][1] = marks = stack[-2][1] + own
+            page.blocks.append(Block(body, words, min(1.0, len(unescape("".join(linked)).split()) / words), marks, article, in_main, box))
         text.clear()
         linked.clear()
 
@@ -117,13 +177,15 @@ def blocks(html: str) -> list[Block]:
                 link = 0 if closes else len(stack)
             elif tag == "br":
                 text.append(" ")
-            if not closes and tag in ("span", "label", "a") and any(_place(tag, m[3], stack[-1][3])):
-                frame, named = _place(tag, m[3], stack[-1][3])
+            own = _marks_of(tag, m[3], True) if not closes and m[3] and tag in ("span", "label", "a") else ()
+            if own:
                 close()
-                stack.append([tag, max(frame, stack[-1][1]), named or stack[-1][2], stack[-1][3]])
+                own = mark(own)
+                stack.append([tag, stack[-1][1] + own, own, *stack[-1][3:6], len(page.blocks)])
             elif closes and stack[-1][0] == tag and len(stack) > 1:
                 close()
-                stack.pop()
+                for k in stack.pop()[2]:
+                    page.marks[k].closed = True
             continue
         close()
         if tag in _VOID:
@@ -131,59 +193,121 @@ def blocks(html: str) -> list[Block]:
         if closes:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
+                    for n in stack[k][2]:
+                        page.marks[n].closed = True
                     del stack[k:]
                     break
         else:
             while len(stack) > 1 and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in _SIBLINGS or stack[-1][0] in ("td", "th") and tag in ("td", "th", "tr")):
                 stack.pop()
-            if tag == "h1" and not stack[-1][3]:
-                for x in stack:  # what holds the page's heading is no box
-                    x[2] = False
-            _, frame, named, level = stack[-1]
-            if tag in ("article", "main"):
-                frame, named, level = (2 if frame == 2 else 0), False, max(level, 2 if tag == "article" else 1)
-            own_frame, own_named = _place(tag, m[3], level)
-            stack.append([tag, max(frame, own_frame), named or own_named, level])
+            _, marks, _, article, in_main, box, _ = stack[-1]
+            if tag == "h1" and not article and not in_main:  # what holds the page's heading is no box
+                for n in marks:
+                    page.marks[n].void |= not page.marks[n].frame
+            if tag == "article":
+                page.around.append(article)
+                article = len(page.around) - 1
+            in_main = in_main or tag == "main"
+            if tag in ("article", "main"):  # forms and names of boxes around it are wrappers
+                marks = tuple(n for n in marks if page.marks[n].frame == 2 or page.marks[n].share > 0.6)
+            if tag in _BOXES:
+                boxes += 1
+                box = boxes
+            own = mark(_marks_of(tag, m[3], bool(article) or in_main))
+            stack.append([tag, marks + own, own, article, in_main, box, len(page.blocks)])
         if link > len(stack):
             link = 0
     close()
-    return out
-
-
-def features(found: list[Block]) -> np.ndarray:
-    """For each block: words and link density of its own, of the one before and of the one after (-1: none), frame, named, and place: 1 in
-    the articles, or else the main element, that hold three tenths of the page's plain words; -1 outside of them; 0 where neither does."""
-    n = len(found)
-    out = np.full((n, 9), -1.0)
+    return page
+
+
+def _believed(page: Page) -> tuple[np.ndarray, np.ndarray]:
+    """(frame, named) of each block, by the marks that can be believed: not those that were never closed, or name a wrapper, and hold most of the page's plain words."""
+    plain = [b.words * (1 - b.density) for b in page.blocks]
+    for b, w in zip(page.blocks, plain):
+        for n in b.marks:
+            page.marks[n].plain += w
+    whole = sum(plain)
+    for m in page.marks:
+        if m.frame == 2:
+            m.void |= m.plain >= (m.share if m.closed or m.share < 1 else 0.5) * whole > 0
+    open_words = sum(w for b, w in zip(page.blocks, plain) if not any(page.marks[n].frame == 2 and not page.marks[n].void for n in b.marks))
+    inside = dict.fromkeys(range(len(page.marks)), 0.0)
+    for b, w in zip(page.blocks, plain):
+        if not any(page.marks[n].frame == 2 and not page.marks[n].void for n in b.marks):
+            for n in b.marks:
+                inside[n] += w
+    for n, m in enumerate(page.marks):
+        if m.frame == 0:
+            m.void |= inside[n] >= m.share * open_words > 0
+    frame = [max((page.marks[n].frame for n in b.marks if not page.marks[n].void), default=0) for b in page.blocks]
+    named = [any(page.marks[n].frame == 0 and not page.marks[n].void for n in b.marks) for b in page.blocks]
+    return np.array(frame, float), np.array(named, float)
+
+
+def _place(page: Page, plain: np.ndarray) -> np.ndarray:
+    """Where each block stands by articles: 1 in one that has a third of the largest one's plain words at least and is not nested in a larger one, -1 in others and,
+    if the largest is no less than half of any other box, around them; 0 where no article counts. Without articles the main element takes their place."""
+    n = len(page.blocks)
+    article = np.array([b.article for b in page.blocks])
+    box = np.array([b.box for b in page.blocks])
+    own = np.bincount(article, plain, len(page.around))
+    outside = np.bincount(box[article == 0], plain[article == 0], 1).max(initial=0.0)
+    if (article > 0).any():
+        own[0] = 0
+        top = own.max()
+        good = own * 3 >= top
+        for k in range(1, len(page.around)):
+            up = page.around[k]
+            while up and good[k]:
+                good[k], up = own[up] < own[k], page.around[up]
+        good[0] = False
+        if 2 * top >= outside:
+            return np.where(good[article], 1, -1)
+        return np.where(article > 0, -1, 0)
+    in_main = np.array([b.in_main for b in page.blocks])
+    if in_main.any() and 2 * plain[in_main].sum() >= plain[~in_main].sum():
+        return np.where(in_main, 1, -1)
+    return np.zeros(n)
+
+
+def features(page: Page) -> np.ndarray:
+    """For each block: words and link density of its own, of the one before and of the one after (-1: none), frame, named, place by articles, whether its box
+    holds half of the words of the box with the most plain words, its words in tenths of the largest plain block's, and whether it has words of notices."""
+    n = len(page.blocks)
+    out = np.full((n, 12), -1.0)
     if n:
-        out[:, 0], out[:, 1] = [b[1] for b in found], [b[2] for b in found]
+        out[:, 0], out[:, 1] = [b.words for b in page.blocks], [b.density for b in page.blocks]
         out[1:, 2:4], out[:-1, 4:6] = out[:-1, :2], out[1:, :2]
-        out[:, 6], out[:, 7] = [b[3] for b in found], [b[4] for b in found]
-        level = np.array([b[5] for b in found])
+        out[:, 6], out[:, 7] = _believed(page)
         plain = out[:, 0] * (1 - out[:, 1]) * (out[:, 6] < 2) * (out[:, 7] == 0)
-        held = [level >= k for k in (2, 1) if (level >= k).any() and 10 * plain[level >= k].sum() >= 3 * plain.sum()]
-        out[:, 8] = np.where(held[0], 1, -1) if held else 0
+        out[:, 8] = _place(page, plain)
+        box = np.array([b.box for b in page.blocks])
+        held = np.bincount(box, plain * (out[:, 8] >= 0))
+        out[:, 9] = held[box] * 2 >= max(held.max(), 1e-9)
+        out[:, 10] = np.ceil(10 * out[:, 0] / max(1.0, plain.max()))
+        out[:, 11] = [b.notice for b in page.blocks]
     return out
 
 
-def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
-    """(features, 1 for text) of the blocks of all layouts."""
+def labelled_blocks(layouts: tuple[str, ...] = LAYOUTS) -> tuple[np.ndarray, np.ndarray]:
+    """(features, 1 for text) of the blocks of layouts. Marks ``n`` and ``u`` stand for boilerplate and text with words of notices."""
     rows, labels = [], []
-    for long, short in SCALES:
-        for layout in LAYOUTS:
+    for layout in layouts:
 
-            def words(m: re.Match) -> str:
-                return " ".join([f"{m[1]}word"] * max(1, round(int(m[2]) * (long if m[1] == "t" else short))))
+        def words(m: re.Match) -> str:
+            notice = m[1] in "nu"
+            return " ".join(["tword" if m[1] in "tu" else "bword"] * max(1, int(m[2]) - notice) + ["newsletter"] * notice)
 
-            found = blocks(re.sub(r"\b([tb])(\d+)\b", words, layout))
-            rows.append(features(found))
-            labels += [int(b[0].startswith("tword")) for b in found]
+        found = parse(re.sub(r"\b([tbnu])(\d+)\b", words, layout))
+        rows.append(features(found))
+        labels += [int(b.text.startswith("tword")) for b in found.blocks]
     return np.concatenate(rows), np.array(labels)
 
 
-def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Tree:
+def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 12) -> Tree:
     """A decision tree by Gini impurity: (feature, limit, tree for values up to the limit, tree above) or a class. Of equally good
-    splits the last feature's least limit is taken."""
+    splits the last feature's least limit is taken. Each side of a split has ``least`` rows or more, so that no sliver between two values is learned by heart."""
     ones = int(y.sum())
     if depth == 0 or ones in (0, len(y)):
         return int(2 * ones >= len(y))
@@ -192,6 +316,7 @@ def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Tree:
         order = np.argsort(x[:, f], kind="stable")
         v, hit = x[order, f], np.cumsum(y[order])
         cut = np.flatnonzero(v[1:] > v[:-1])
+        cut = cut[(cut + 1 >= least) & (len(y) - cut - 1 >= least)]
         if not len(cut):
             continue
         n, left = cut + 1.0, hit[cut].astype(float)
@@ -203,7 +328,7 @@ def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 8) -> Tree:
         return int(2 * ones >= len(y))
     _, f, limit = best
     low = x[:, f] <= limit
-    return f, limit, train_tree(x[low], y[low], depth - 1), train_tree(x[~low], y[~low], depth - 1)
+    return f, limit, train_tree(x[low], y[low], depth - 1, least), train_tree(x[~low], y[~low], depth - 1, least)
 
 
 @cache
@@ -219,8 +344,8 @@ def is_text(tree: Tree, x: np.ndarray) -> bool:
 
 def main_text(html: str, tree: Tree) -> str:
     """The blocks that the tree takes for text, joined by newlines."""
-    found = blocks(html)
-    return "\n".join(b[0] for b, x in zip(found, features(found).tolist()) if is_text(tree, x))
+    page = parse(html)
+    return "\n".join(b.text for b, x in zip(page.blocks, features(page).tolist()) if is_text(tree, x))
 
 
 def extract(pages: DataFrame, tree: Tree | None = None, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
