@@ -10,7 +10,6 @@ powers of two, which need no padding.
 
 from __future__ import annotations
 
-import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +31,8 @@ class PackParams:
     #: Tokens in one step of the length histogram.
     unit: int = 16
     end_id: int = 2
-    max_columns: int = 4000
+    #: How far above a proven bound, as a share of it, the linear program may end.
+    gap: float = 5e-4
     #: Tokens that a task packs at a time.
     group_tokens: int = 16 << 20
 
@@ -41,8 +41,8 @@ class PackParams:
 Pattern = tuple[tuple[tuple[int, int], ...], float]
 
 
-def _knapsack(value: np.ndarray, classes: np.ndarray, room: int) -> tuple[float, dict[int, int]]:
-    """The most valuable multiset of classes of total size up to ``room``: its value, and pieces by position in ``classes``."""
+def _knapsack(value: np.ndarray, classes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each size up to ``room`` the value of the most valuable multiset of classes that fits, and the class that it takes last (-1: one unit stays empty)."""
     best = np.zeros(room + 1)
     taken = np.full(room + 1, -1, dtype=np.int64)
     ends = np.searchsorted(classes, np.arange(room + 1), side="right")
@@ -53,8 +53,12 @@ def _knapsack(value: np.ndarray, classes: np.ndarray, room: int) -> tuple[float,
             k = int(np.argmax(gain))
             if gain[k] > best[w] + 1e-12:
                 best[w], taken[w] = gain[k], k
-    pieces: dict[int, int] = {}
-    w = room
+    return best, taken
+
+
+def _pieces(taken: np.ndarray, classes: np.ndarray, w: int, first: int) -> dict[int, int]:
+    """The multiset that fills ``w``, and one piece of class ``first`` besides."""
+    pieces = {first: 1}
     while w > 0:
         k = int(taken[w])
         if k < 0:
@@ -62,46 +66,101 @@ def _knapsack(value: np.ndarray, classes: np.ndarray, room: int) -> tuple[float,
         else:
             pieces[k] = pieces.get(k, 0) + 1
             w -= int(classes[k])
-    return float(best[room]), pieces
+    return pieces
 
 
-def solve_patterns(demand: dict[int, int], p: PackParams = PackParams()) -> list[Pattern]:
-    """Patterns that use the fewest sequences for the pieces of each class, fractions allowed, the most used first.
+def _first_fit(classes: np.ndarray, need: np.ndarray, room: int) -> tuple[list[dict[int, int]], np.ndarray]:
+    """As many patterns as classes, and how often each is used: the largest classes that are left fill a pattern, which is used until a class is exhausted.
 
-    The basis stays feasible in each step, so stopping after ``max_columns`` still gives a valid, less tight, plan; a warning tells of it.
+    A pattern's exhausted class is in no later pattern, so the patterns are a basis.
+    """
+    left, columns, x = need.copy(), [], []
+    open_ = list(range(len(classes) - 1, -1, -1))
+    while open_:
+        space, pieces = room, {}
+        for k in open_:
+            n = min(space // int(classes[k]), max(1, int(left[k])))
+            if n:
+                pieces[k] = n
+                space -= n * int(classes[k])
+        out = min(pieces, key=lambda k: left[k] / pieces[k])
+        times = left[out] / pieces[out]
+        for k, n in pieces.items():
+            left[k] = max(0.0, left[k] - times * n)
+        columns.append(pieces)
+        x.append(times)
+        open_.remove(out)
+    return columns, np.array(x)
+
+
+def _matrix(columns: list[dict[int, int]]) -> np.ndarray:
+    out = np.zeros((len(columns), len(columns)))
+    for j, pieces in enumerate(columns):
+        out[list(pieces), j] = list(pieces.values())
+    return out
+
+
+def solve(demand: dict[int, int], p: PackParams = PackParams()) -> tuple[list[Pattern], np.ndarray]:
+    """(patterns that use the fewest sequences for the pieces of each class, fractions allowed, the most used first; duals by class in order, which prove how few
+    there can be: no pattern's pieces are worth more than 1).
+
+    It ends at the optimum, or within ``gap`` of a proven bound: duals over the best pattern's worth are duals that no pattern beats. Columns are priced
+    at a mean of the basis's duals and those of the best bound so far, which begin as the sizes themselves, and each pricing gives a
+    column for every class; that keeps dense histograms from many small steps. There is no other end.
     """
     room = p.sequence // p.unit
     classes = np.array(sorted(c for c, n in demand.items() if n > 0), dtype=np.int64)
     if not len(classes):
-        return []
+        return [], np.zeros(0)
     need = np.array([demand[int(c)] for c in classes], dtype=np.float64)
-    per = room // classes
-    columns = [{k: int(n)} for k, n in enumerate(per)]
-    inverse = np.diag(1.0 / per)
-    x = need / per
-    for _ in range(p.max_columns):
+    need *= 1 + 1e-9 * np.random.default_rng(1).random(len(need))  # no two ratios are the same, so no step is empty
+    columns, x = _first_fit(classes, need, room)
+    inverse = np.linalg.inv(_matrix(columns))
+    centre = classes / room
+    bound, lean, steps = float(centre @ need), 0.8, 0
+    while x.sum() > bound * (1 + p.gap):
         dual = inverse.sum(axis=0)  # every pattern costs one sequence
-        worth, pieces = _knapsack(dual, classes, room)
-        if worth <= 1 + 1e-7:
+        price = lean * centre + (1 - lean) * dual
+        best, taken = _knapsack(price, classes, room)
+        proven = float(price @ need) / max(1e-12, best[room])
+        if proven > bound:
+            bound, centre = proven, price / best[room]
+        worth = price + best[room - classes]
+        moved = False
+        for k in np.argsort(-worth, kind="stable").tolist():
+            pieces = _pieces(taken, classes, room - int(classes[k]), k)
+            at, many = list(pieces), np.array(list(pieces.values()), dtype=np.float64)
+            if float(dual[at] @ many) <= 1 + 1e-9:
+                continue
+            step = inverse[:, at] @ many
+            up = np.flatnonzero(step > 1e-9)
+            ratio = x[up] / step[up]
+            out = int(up[np.argmin(ratio)])
+            t = float(ratio.min())
+            x = np.maximum(x - t * step, 0)
+            x[out] = t
+            row = inverse[out] / step[out]
+            inverse -= np.outer(step, row)
+            inverse[out] = row
+            columns[out] = pieces
+            dual = inverse.sum(axis=0)
+            moved, steps = True, steps + 1
+            if steps % 400 == 0:
+                inverse = np.linalg.inv(_matrix(columns))
+                x = np.maximum(inverse @ need, 0)
+                dual = inverse.sum(axis=0)
+        if moved:
+            lean = 0.8
+        elif lean > 0:  # nothing is worth its place at the mean: nearer to the basis's own duals
+            lean = lean / 2 if lean > 0.05 else 0.0
+        else:
             break
-        entering = np.zeros(len(classes))
-        entering[list(pieces)] = list(pieces.values())
-        step = inverse @ entering
-        up = step > 1e-10
-        ratio = np.full(len(step), np.inf)
-        ratio[up] = x[up] / step[up]
-        out = int(np.argmin(ratio))
-        t = ratio[out]
-        x = np.maximum(x - t * step, 0)
-        x[out] = t
-        row = inverse[out] / step[out]
-        inverse -= np.outer(step, row)
-        inverse[out] = row
-        columns[out] = pieces
-    else:
-        warnings.warn(f"no optimum after {p.max_columns} columns: the plan is valid but may leave more padding", stacklevel=2)
     plans = [(tuple((int(classes[k]), n) for k, n in sorted(c.items())), float(v)) for c, v in zip(columns, x) if v > 1e-9]
-    return sorted(plans, key=lambda plan: (-plan[1], plan[0]))
+    return sorted(plans, key=lambda plan: (-plan[1], plan[0])), centre
+
+
+def solve_patterns(demand: dict[int, int], p: PackParams = PackParams()) -> list[Pattern]:
+    return solve(demand, p)[0]
 
 
 def _powers(n: int) -> list[int]:
