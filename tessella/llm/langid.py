@@ -201,19 +201,21 @@ def _judge(texts: pa.Array, model: LangModel) -> tuple[np.ndarray, np.ndarray, n
 def classify(docs: DataFrame, model: LangModel, keep: list[str] | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The id and ``keep`` columns with lang_pred, score (the best cosine) and rejected, for each row.
 
-    Null texts and texts without a letter are ``und`` with score 0, and rejected. Ties go to the language first in order.
+    Null texts and texts without a letter are ``und`` with score 0, and rejected. Ties go to the language first in order. A kept column named like a
+    result is called ``<name>_kept``.
     """
-    keep = [id_col, *(keep or [])]
+    keep = list(dict.fromkeys([id_col, *(keep or [])]))
+    called = [f"{k}_kept" if k in ("lang_pred", "score", "rejected") else k for k in keep]
 
     def run(batches):
         for batch in batches:
             pred, score, rejected = _judge(column(batch, text_col), model)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in keep), pa.array([UNKNOWN if k < 0 else model.langs[k] for k in pred.tolist()], pa.string()), pa.array(score), pa.array(rejected)],
-                [*keep, "lang_pred", "score", "rejected"],
+                [*called, "lang_pred", "score", "rejected"],
             )
 
-    types = "".join(f"`{k}` {docs.schema[k].dataType.simpleString()}, " for k in keep)
+    types = "".join(f"`{c}` {docs.schema[k].dataType.simpleString()}, " for c, k in zip(called, keep))
     return docs.select(*dict.fromkeys([text_col, *keep])).mapInArrow(run, f"{types}lang_pred string, score double, rejected boolean")
 
 

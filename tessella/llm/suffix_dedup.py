@@ -529,7 +529,15 @@ def digests(docs: DataFrame, p: RepeatParams = RepeatParams(), id_col: str = "do
 
 
 def cut_repeats(docs: DataFrame, p: RepeatParams = RepeatParams(), id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """The same columns with repeated passages cut from the text. Rows of which nothing is left go; a character that a cut splits goes whole."""
+    """The same columns with repeated passages cut from the text. Rows of which nothing is left go; a character that a cut splits goes whole.
+
+    Null and empty texts stay as they are, equal rows are cut like any others (the first stays whole), an empty table has no rows, and columns may have any
+    names. A text is held whole in one task, with some 40 bytes for each of its own; the length column, if there is one, is counted anew.
+    """
+    names = docs.columns
+    docs = docs.toDF(*(f"in{k}" for k in range(len(names))))  # no name of the input meets one that is used here
+    id_col, text_col = f"in{names.index(id_col)}", f"in{names.index(text_col)}"
+    length_col = f"in{names.index(length_col)}" if length_col in names else None
 
     def output(rows: pa.Table, texts: pa.Array, at: np.ndarray, gone: np.ndarray) -> pa.Table:
         body = raw(texts)[0]
@@ -544,4 +552,4 @@ def cut_repeats(docs: DataFrame, p: RepeatParams = RepeatParams(), id_col: str =
         return rows.filter(pa.array([not hit or bool(t) for hit, t in zip(touched, text)], pa.bool_()))
 
     out = remove_repeats(docs, output, docs.schema, p, id_col, text_col)
-    return out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col in docs.columns else out
+    return (out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType)) if length_col else out).toDF(*names)
