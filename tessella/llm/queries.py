@@ -52,7 +52,8 @@ def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels")
-    return lm_score.cross_entropy_difference(_table(spark, sf_dir, "documents"), labels.where("quality = 1").select("doc_id"))
+    good, bad = (labels.where(F.col("quality") == k).select("doc_id") for k in (1, 0))
+    return lm_score.cross_entropy_difference(_table(spark, sf_dir, "documents"), good, rejected=bad)
 
 
 def op10_langid_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:

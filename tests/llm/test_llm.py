@@ -292,7 +292,7 @@ def test_bpe_matches_library(docs, empty):
 @pytest.mark.parametrize("size", [2000, 1 << 20])
 def test_cross_entropy(spark, docs, empty, size):
     target = spark.createDataFrame([(6,), (7,), (6,), (12,), (-1,), (None,)], "doc_id long")
-    p = lm_score.LmParams(block_bytes=size, most_block_bytes=size, spread=3)
+    p = lm_score.LmParams(block_bytes=size, most_block_bytes=size)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     rows += [(7, rows[7][1]), (7, "gamma again and again"), (None, "alpha beta gamma"), (None, None), (2**60 + 1, "beta"), (2**60, "beta")]
     table = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, score int")
@@ -306,15 +306,16 @@ def test_cross_entropy(spark, docs, empty, size):
             pair[m].update(zip(["^", *w], w))
     vocabulary, want = len(set(uni[0]) - {"^"}), []
     for (i, _), w, a in zip(rows, own, aimed):
-        losses = []
-        for m in (0, 1):
-            less = m == 0 or a
-            u, v = Counter(w + ["^"] * bool(w)), Counter(zip(["^", *w], w))
-            tokens, loss = sum(c for x, c in uni[m].items() if x != "^") - less * len(w), 0.0
-            for x, y in zip(["^", *w], w):
-                one, c = (uni[m][y] - less * u[y] + 1) / (tokens + vocabulary), uni[m][x] - less * u[x]
-                loss -= math.log(0.6 * (pair[m][x, y] - less * v[x, y]) / c + 0.4 * one if c else one)
-            losses.append(loss / max(1, len(w)))
+        u, v = Counter(w + ["^"] * bool(w)), Counter(zip(["^", *w], w))
+        less = (True, a)
+        tokens = [sum(c for x, c in uni[m].items() if x != "^") - less[m] * len(w) for m in (0, 1)]
+        losses = [0.0, 0.0]
+        for x, y in zip(["^", *w], w):
+            seen = all(uni[m][x] > less[m] * u[x] for m in (0, 1))
+            for m in (0, 1):
+                floor = p.unseen * max(1, tokens[m]) / vocabulary
+                one, c = (uni[m][y] - less[m] * u[y] + floor) / (tokens[m] + floor * vocabulary), uni[m][x] - less[m] * u[x]
+                losses[m] -= math.log(0.6 * (pair[m][x, y] - less[m] * v[x, y]) / c + 0.4 * one if seen else one) / len(w)
         want.append((i, len(w), losses[1], losses[0], a))
     want.sort(key=lambda r: (str(r[0]), r[3], r[2]))
     means = [np.mean([r[2] - r[3] for r in want if r[1] and r[4] == hit]) for hit in (True, False)]
@@ -324,6 +325,12 @@ def test_cross_entropy(spark, docs, empty, size):
         assert math.isclose(r.target_loss, aim, rel_tol=1e-9, abs_tol=1e-12) and math.isclose(r.background_loss, rest, rel_tol=1e-9, abs_tol=1e-12)
         assert r.selected == (n > 0 and aim - rest <= sum(means) / 2)
     assert any(r.selected for r in got) and not all(r.selected for r in got)
+    bad = [r for r in got if r.doc_id in (3, 8, 9, 14) and r.n_tokens]
+    fitted = lm_score.cross_entropy_difference(table, target, p, rejected=spark.createDataFrame([(3,), (8,), (9,), (14,), (6,), (None,), (8,)], "doc_id long")).collect()
+    good = [r.score for r in got if r.in_target and r.n_tokens]
+    gain = {x: sum(g <= x for g in good) / len(good) - sum(r.score <= x for r in bad) / len(bad) for x in [*good, *(r.score for r in bad)]}
+    limit = min(x for x, g in gain.items() if math.isclose(g, max(gain.values())))
+    assert sorted((str(r.doc_id), r.n_tokens, r.selected) for r in fitted) == sorted((str(r.doc_id), r.n_tokens, r.n_tokens > 0 and r.score <= limit + 1e-9) for r in got)
     assert lm_score.cross_entropy_difference(empty, target).count() == 0
     assert not any(r.selected for r in lm_score.cross_entropy_difference(table, target.where("false"), p).collect())
 
