@@ -15,37 +15,26 @@ def distribute_budget(weights: DataFrame, budget: int | str, floor: int = 1, key
 
     Each row gets ``floor`` units, its share of the rest rounded down, and leftovers go to the largest fractions, ties to the smaller
     idx. Where the floors exceed the budget, the heaviest rows get one unit each. Weights that are all zero count as equal.
+
+    Three passes: sums of each group; counts by slots of scores, partial before the shuffle, which tell the slot where the leftovers end; and the rows, ranked
+    within their slot. A group's rows never meet in one task unless their scores are alike.
     """
-    key = list(keys)
+    key, slots = list(keys), 1024
     sums = weights.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("total"), F.max("w").alias("top"), (F.max(budget) if isinstance(budget, str) else F.max(F.lit(budget))).alias("budget"))
     rest = F.col("budget") - floor * F.col("n")
     share = F.when(F.col("total") > 0, F.col("w") / F.col("total")).otherwise(1.0 / F.col("n")) * rest
     sized = weights.select(*key, "idx", "w").join(sums, key).withColumns({"tight": rest < 0, "whole": F.floor(share), "fraction": share - F.floor(share)})
-    used = sized.groupBy(*key).agg(F.sum("whole").alias("used"))
-    more = F.when(F.col("tight"), F.col("budget")).otherwise(rest - F.col("used"))
     score = F.when(~F.col("tight"), F.col("fraction")).when(F.col("top") > 0, F.col("w") / F.col("top")).otherwise(0.0)
-    rated = sized.join(used, key).withColumns({"more": more, "score": score})
+    rated = sized.withColumn("score", score).withColumn("slot_", F.floor(F.col("score") * (slots - 1)))
+    counts = rated.groupBy(*key, "slot_").agg(F.count(F.lit(1)).alias("c_"), F.sum("whole").alias("whole_"), F.first("tight").alias("tight_"), F.first("budget").alias("budget_"), F.first(rest).alias("rest_"))
+    group = Window.partitionBy(*key)
+    above = F.coalesce(F.sum("c_").over(group.orderBy(F.desc("slot_")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    more = F.when(F.col("budget_") <= 0, 0).when(F.col("tight_"), F.col("budget_")).otherwise(F.col("rest_") - F.sum("whole_").over(group))
+    left = counts.select(*key, "slot_", (more - above).alias("left_"))
+    rank = F.row_number().over(Window.partitionBy(*key, "slot_").orderBy(F.desc("score"), "idx"))
     least = F.when((F.col("budget") <= 0) | F.col("tight"), 0).otherwise(floor + F.col("whole"))
-    chosen = _largest(rated.withColumn("more", F.when(F.col("budget") > 0, F.col("more")).otherwise(0)).withColumn("least", least), key)
-    return chosen.select(*key, "idx", (F.col("least") + F.col("chosen").cast("long")).cast("long").alias("units"))
-
-
-def _largest(rows: DataFrame, key: list[str], slots: int = 1024) -> DataFrame:
-    """The rows with a column ``chosen``: whether they are among the ``more`` rows of their group with the largest ``score``, from 0 to 1, ties to the
-    smaller idx.
-
-    Counts by slots of scores, with partial counts before the shuffle, decide all rows but those of the slot where ``more`` is reached; only
-    these are ranked, so that a group's rows never meet in one task unless their scores are alike.
-    """
-    slotted = rows.withColumn("slot_", F.floor(F.col("score") * (slots - 1)))
-    counts = slotted.groupBy(*key, "slot_").agg(F.count(F.lit(1)).alias("c_"))
-    above = F.coalesce(F.sum("c_").over(Window.partitionBy(*key).orderBy(F.desc("slot_")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = slotted.join(counts.withColumn("above_", above), [*key, "slot_"])
-    left = F.col("more") - F.col("above_")
-    sure = placed.where((left <= 0) | (left >= F.col("c_"))).withColumn("chosen", left > 0)
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "idx"))
-    border = placed.where((left > 0) & (left < F.col("c_"))).withColumn("chosen", rank <= left)
-    return sure.unionByName(border)
+    placed = rated.select(*key, "idx", "slot_", "score", least.alias("least")).withColumn("rank_", rank).join(left, [*key, "slot_"])
+    return placed.select(*key, "idx", (F.col("least") + (F.col("rank_") <= F.col("left_")).cast("long")).cast("long").alias("units"))
 
 
 def near_equal_groups(rows: DataFrame, most: int = 12, per: int = 4) -> DataFrame:

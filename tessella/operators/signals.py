@@ -32,10 +32,19 @@ def upper_medians(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def robust_stats(samples: DataFrame, floor: float) -> DataFrame:
-    """(series_id, n, med, mad): upper median and upper median of absolute deviations, at least ``floor``."""
-    med = samples.groupBy("series_id").agg(F.count(F.lit(1)).alias("n")).join(upper_medians(samples, "x").withColumnRenamed("x", "med"), "series_id")
-    spread = upper_medians(samples.join(med, "series_id").select("series_id", F.abs(F.col("x") - F.col("med")).alias("raw_mad")), "raw_mad")
-    return med.join(spread, "series_id").select("series_id", "n", "med", F.greatest("raw_mad", F.lit(floor)).alias("mad"))
+    """(series_id, n, med, mad): upper median and upper median of absolute deviations, at least ``floor``.
+
+    One pass over the samples: distinct values are counted, with partial counts before the shuffle; both medians come from the counts of a series, which
+    stream, sorted by value and then by distance, through one task.
+    """
+    whole = Window.partitionBy("series_id")
+    counted = samples.groupBy("series_id", F.col("x").cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    known = F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0)
+    upto = lambda by: F.sum("known").over(whole.orderBy(F.col(by).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumn("known", known).withColumns({"n": F.sum("c").over(whole), "middle": F.floor(F.sum("known").over(whole) / 2) + 1, "upto": upto("v")})
+    here = (F.col("upto") >= F.col("middle")) & (F.col("upto") - F.col("known") < F.col("middle"))
+    away = ranked.withColumn("med", F.max(F.when(here, F.col("v"))).over(whole)).withColumn("off", F.abs(F.col("v") - F.col("med")))
+    return away.withColumn("upto", upto("off")).where(here).select("series_id", "n", "med", F.greatest("off", F.lit(floor)).alias("mad"))
 
 
 def session_clusters(scenes: DataFrame, gap: float) -> DataFrame:
@@ -54,17 +63,25 @@ def _centred_means(samples: DataFrame, half: int) -> DataFrame:
     so_far = by_time.rowsBetween(Window.unboundedPreceding, 0)
     finite = F.abs("x") < float("inf")  # false for NaN, which is the largest
     sums = {"rs": F.sum(F.when(finite, F.col("x")).otherwise(0.0)), "rc": F.count("x"), "rb": F.sum(F.when(finite | F.col("x").isNull(), 0).otherwise(1))}
-    numbered = samples.withColumns({"rn": F.row_number().over(by_time), "dur": F.max("t").over(whole), "n_": F.count(F.lit(1)).over(whole), **{k: f.over(so_far) for k, f in sums.items()}})
+    # most series have the least width, whose frame is a literal: a mean of its own values, without the rounding of long sums
     width = F.greatest(F.lit(half), F.floor(F.col("n_") / F.greatest(F.lit(1.0), F.col("dur")) / 2 + 0.5))
     near = F.avg("x").over(by_time.rowsBetween(-half, half))
-    out = numbered.withColumns({"near": near, "width": width, "hi": F.least(F.col("rn") + width, F.col("n_")), "lo": F.col("rn") - width - 1})
-    for at, how in (("hi", "inner"), ("lo", "left")):
-        ends = numbered.select("series_id", F.col("rn").cast("long").alias(at), *(F.col(k).alias(f"{at}_{k}") for k in sums))
-        out = out.join(ends, ["series_id", at], how)
-    part = {k: F.col(f"hi_{k}") - F.coalesce(F.col(f"lo_{k}"), F.lit(0)) for k in sums}
+    numbered = samples.withColumns({"rn": F.row_number().over(by_time), "dur": F.max("t").over(whole), "n_": F.count(F.lit(1)).over(whole), "near": near, **{k: f.over(so_far) for k, f in sums.items()}, **{f"all_{k}": f.over(whole) for k, f in sums.items()}})
+    # a row of a wider series tells its running sums to the rows whose windows end or begin there, in the same part of the same shuffle
+    row = F.struct(*samples.columns, "rn", "dur", "n_", "width", "near", *(f"all_{k}" for k in sums))
+    told = F.struct(*sums).cast("struct<rs: double, rc: bigint, rb: bigint>")
+
+    def at(place: Column, what: str) -> Column:
+        return F.struct(place.cast("long").alias("at_"), *(F.when(F.lit(k == what), v).alias(k) for k, v in (("row", row), ("hi", told), ("lo", told))))
+
+    own = at(F.col("rn"), "row")
+    ends = F.array(own, at(F.col("rn") - F.col("width"), "hi"), at(F.col("rn") + F.col("width") + 1, "lo"))
+    spread = numbered.withColumn("width", width).select("series_id", F.explode(F.when(F.col("width") > half, ends).otherwise(F.array(own))).alias("p")).select("series_id", "p.*")
+    met = spread.groupBy("series_id", "at_").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("row", "hi", "lo"))).where("row IS NOT NULL")
+    last = F.col("row.rn") + F.col("row.width") >= F.col("row.n_")
+    part = {k: F.when(last, F.col(f"row.all_{k}")).otherwise(F.col(f"hi.{k}")) - F.coalesce(F.col(f"lo.{k}"), F.lit(0)) for k in sums}
     mean = F.when(part["rb"] > 0, F.lit(float("nan"))).when(part["rc"] > 0, part["rs"] / part["rc"])
-    # most series have the least width, whose frame is a literal: a mean of its own values, without the rounding of long sums
-    return out.select(*samples.columns, "rn", F.when(F.col("width") == half, F.col("near")).otherwise(mean).alias("sm"), "dur")
+    return met.select(*(F.col(f"row.{c}").alias(c) for c in samples.columns), F.col("row.rn").alias("rn"), F.when(F.col("row.width") == half, F.col("row.near")).otherwise(mean).alias("sm"), F.col("row.dur").alias("dur"))
 
 
 def motion_windows(samples: DataFrame, min_rows: int = 8, k: float = 1.5, mad_floor: float = 0.5, half: int = 2, join_gap: float = 1.0, min_length: float = 0.4, pad: float = 0.1, tail: float = 0.5) -> DataFrame:
