@@ -157,3 +157,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, p: QualityParams = Quality
 
     schema = f"{id_col} long, {', '.join(f'{n} long' for n in names)}, base_failed boolean, kept boolean, score double"
     return docs.select(id_col, text_col).mapInArrow(score, schema)
+
+
+#: DuckDB SQL for the base counts.
+BASE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT k, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+w AS (SELECT k, unnest(list_transform(range(1, len(words) - 1), lambda i: {'p': i, 'w': [words[i], words[i + 1], words[i + 2]]})) AS x FROM d WHERE len(words) > 2),
+m AS (SELECT k, x.p AS p FROM w QUALIFY count(*) OVER (PARTITION BY k, x.w) > 1),
+r AS (SELECT k, count(DISTINCT p + o.o) AS n FROM m, (SELECT unnest(range(3)) AS o) o GROUP BY k)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+       len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+       len(words) < 50 OR 100 * coalesce(r.n, 0) > 50 * len(words) AS base_failed
+FROM d JOIN l USING (k) LEFT JOIN r USING (k)
+"""

@@ -75,6 +75,16 @@ def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op1 SQL can express."""
+    return op1_quality_llr(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def secret_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op4 SQL can express."""
+    return op4_secret_trigrams(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_llr": op1_quality_llr,
     "op2_mtree_topk": op2_mtree_topk,
@@ -89,7 +99,15 @@ QUERIES: dict[str, Query] = {
     "op11_turn_trie": op11_turn_trie,
     "op12_curriculum_mix": op12_curriculum_mix,
     "op13_ranked_search": op13_ranked_search,
+    "quality_base_counts": quality_base_counts,
+    "secret_base_counts": secret_base_counts,
 }
 
 #: DuckDB SQL for the same rows, where SQL can express them on whole tables.
-ORACLE_SQL: dict[str, str] = {"op11_turn_trie": turn_trie.ORACLE_SQL, "op12_curriculum_mix": curriculum.ORACLE_SQL, "op13_ranked_search": lexical.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op11_turn_trie": turn_trie.ORACLE_SQL,
+    "op12_curriculum_mix": curriculum.ORACLE_SQL,
+    "op13_ranked_search": lexical.ORACLE_SQL,
+    "quality_base_counts": quality.BASE_SQL,
+    "secret_base_counts": secrets.BASE_SQL,
+}
