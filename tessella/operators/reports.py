@@ -68,9 +68,9 @@ def output_cap(raw: Column) -> Column:
 def request_problems(requests: DataFrame) -> DataFrame:
     """(series_id, problem): each parameter of (series_id, mode, fps, resolution, start_time, end_time, view, roi), all texts, that is out of its range.
 
-    Null means that a parameter is not given. fps is a number above zero or 'auto'; resolution lies in 128 to 2048; view is 1 at least.
+    Null means that a parameter is not given; 'NaN' and 'Infinity' are no numbers. fps is a number above zero or 'auto'; resolution lies in 128 to 2048; view is 1 at least.
     """
-    number = lambda c: F.col(c).try_cast("double")
+    number = lambda c: F.when(F.col(c).rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), F.col(c).try_cast("double"))
     tests = {
         "mode": ~F.col("mode").isin(*MODES),
         "fps": (F.col("fps") != "auto") & ~F.coalesce(number("fps") > 0, F.lit(False)),

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import table_functions
-from tessella.operators import contracts, delivery, fanin, intervals, motion_masks, requests, signals, subjects
+from tessella.operators import contracts, delivery, fanin, intervals, motion_masks, reports, requests, signals, subjects
 from tessella.sources import json_texts, pgm, tails
 
 # --- logs read from their ends
@@ -279,3 +279,9 @@ def test_long_audio(spark):
         (1, "warning", 2, 3, 1000.0, 1500.0, "down", "retry"), (1, "warning", 2, 3, 1000.0, 1500.0, "gone", "failed"), (1, "text", 2, 3, 1000.0, 1500.0, fanin.FAILED_CHUNK, None),
         (2, "text", None, None, 5.0, 5.0, "kept as it is", None), (3, "warning", None, None, 0.0, None, "refused", "failed"),
     }
+
+
+def test_words_for_numbers_are_no_numbers(spark):
+    rows = [(1, "NaN", "Infinity", "4"), (2, "-Infinity", "512", "NaN"), (3, " 2.5 ", "1e3", "1"), (4, "auto", None, None)]
+    frame = spark.createDataFrame(rows, "series_id int, fps string, resolution string, view string").withColumns({c: F.lit(None).cast("string") for c in ("mode", "start_time", "end_time", "roi")})
+    assert {tuple(r) for r in reports.request_problems(frame).collect()} == {(1, "fps"), (1, "resolution"), (2, "fps"), (2, "view")}
