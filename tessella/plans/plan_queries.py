@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella import sources
+from tessella import cost, sources
 from tessella.operators import planning, signals
 from tessella.plans.base import ORACLE_SQL, over, register
 
@@ -113,6 +113,11 @@ def _costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.cost_estimates(spark.sql(_ASSETS.replace("FROM orders", "FROM {orders}"), orders=sources.table(spark, sf_dir, "orders")))
 
 
+@register(f"WITH {_COSTS} SELECT mode, count(*) AS n_assets, count_if(exceeds_cap) AS n_over_cap, CAST(floor(avg(tokens_per_call) + 0.5) AS BIGINT) AS tokens_per_call, CAST(sum(tokens_thorough) AS BIGINT) AS tokens_thorough, count_if(compacts) AS n_compacting FROM costs GROUP BY mode")
+def cost_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cost.totals(_costs(spark, sf_dir))
+
+
 @register(f"WITH {_COSTS} SELECT * FROM costs")
 def cost_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _costs(spark, sf_dir)

@@ -109,6 +109,13 @@ def hot_runs(samples: DataFrame, lateness: str, join_s: float = 1.0, idle_s: flo
     )
 
 
+def motion_runs(samples: DataFrame, stats: DataFrame, lateness: str, k: float = 1.5, **given: float) -> DataFrame:
+    """``hot_runs`` of a stream (series_id, at timestamp, value) whose samples count as hot above median + k * MAD of their series, as a table (series_id, med, mad) has them
+    from earlier samples; series that the table lacks have no runs."""
+    hot = F.col("value") > F.col("med") + k * F.col("mad")
+    return hot_runs(samples.join(stats.select("series_id", "med", "mad"), "series_id").select("series_id", "at", hot.alias("hot"), "value"), lateness, **given)
+
+
 class _Kept(StatefulProcessor):
     """A map of a series' frames by name; only frames that it lacks go on. Names are forgotten by processing time or with their series."""
 

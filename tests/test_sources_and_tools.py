@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessella import cost
 from tessella.functions import table_functions
-from tessella.operators import contracts, delivery, fanin, intervals, motion_masks, reports, requests, signals, subjects
+from tessella.operators import contracts, delivery, fanin, intervals, motion_masks, planning, reports, requests, signals, subjects
 from tessella.sources import json_texts, pgm, tails
 
 # --- logs read from their ends
@@ -285,3 +286,26 @@ def test_words_for_numbers_are_no_numbers(spark):
     rows = [(1, "NaN", "Infinity", "4"), (2, "-Infinity", "512", "NaN"), (3, " 2.5 ", "1e3", "1"), (4, "auto", None, None)]
     frame = spark.createDataFrame(rows, "series_id int, fps string, resolution string, view string").withColumns({c: F.lit(None).cast("string") for c in ("mode", "start_time", "end_time", "roi")})
     assert {tuple(r) for r in reports.request_problems(frame).collect()} == {(1, "fps"), (1, "resolution"), (2, "fps"), (2, "view")}
+
+
+# --- the command line
+
+
+def test_cost_command(spark, tmp_path, capsys):
+    assets = spark.createDataFrame([(1, 24.0, 1920, 1080), (2, 4000.0, 1080, 1920), (3, 5.0, None, None), (4, None, 640, 360)], "series_id int, duration_s double, width int, height int")
+    assets.write.parquet(str(tmp_path / "a"))
+    assert cost.main([str(tmp_path / "a"), "--json", "--out", str(tmp_path / "out")], spark) == 0
+    rows = json.loads(capsys.readouterr().out)
+    whole = planning.cost_estimates(assets.where("duration_s > 0")).collect()
+    assert [r["mode"] for r in rows] == ["low", "mid", "high", "max"] and spark.read.parquet(str(tmp_path / "out")).count() == 12
+    for r in rows:
+        own = [c for c in whole if c["mode"] == r["mode"]]
+        assert (r["n_assets"], r["n_over_cap"], r["tokens_thorough"], r["n_compacting"]) == (3, sum(c.exceeds_cap for c in own), sum(c.tokens_thorough for c in own), sum(c.compacts for c in own))
+    assert cost.main([str(tmp_path / "a"), "--mode", "high", "--start", "00:00:10", "--end", "00:00:20", "--cap", "100000"], spark) == 0
+    said = capsys.readouterr().out
+    assert said.startswith(" high: 2 assets") and "cap of 100000" in said and said.count("\n") == 1
+    assets.drop("width").write.json(str(tmp_path / "b.json"))
+    assert cost.main([str(tmp_path / "b.json")], spark) == 1 and "no width" in capsys.readouterr().err
+    for bad in (["x", "--mode", "best"], ["x", "--start", "5"], ["x", "--cap", "0"], []):
+        with pytest.raises(SystemExit):
+            cost.main(bad, spark)

@@ -59,6 +59,15 @@ def test_replayed_runs_equal_the_batch(spark, tmp_path):
     assert max(held) >= 6 and held[-1] <= 3  # what is left is the list of the last sample and its timer
 
 
+def test_motion_runs_by_earlier_statistics(spark, tmp_path):
+    second = 1_000_000
+    rows = [(s, 1_700_000_000 * second + k * second, None, float(10 * s + (50 if 5 <= k < 9 else 0))) for s in (1, 2, 3) for k in range(20)] + [(1, 1_700_009_000 * second, None, 0.0)]
+    stats = spark.createDataFrame([(1, 10.0, 2.0), (2, 20.0, 40.0)], "series_id int, med double, mad double")
+    stream = stateful.motion_runs(stream_of(spark, tmp_path, [rows], SAMPLES), stats, "1 second", join_s=1.0, idle_s=5.0, least_s=0.5)
+    ran(stream, "by_statistics", tmp_path)
+    assert [tuple(r) for r in spark.table("by_statistics").collect()] == [(1, rows[5][1], rows[8][1], 4, 60.0)]
+
+
 def kept_files(n, start=0):
     return [(k % 3, 384, f"l{start + k}", f"f{start + k}", start + k, 1_700_000_000_000_000 + (start + k) * 1_000_000) for k in range(n)]
 
