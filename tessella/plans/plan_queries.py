@@ -113,6 +113,24 @@ def _costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.cost_estimates(spark.sql(_ASSETS.replace("FROM orders", "FROM {orders}"), orders=sources.table(spark, sf_dir, "orders")))
 
 
+def _costs_at(cap: int) -> str:
+    """The same at another cap of tokens: frames of the table for 100,000, or a share of those for 50,000."""
+    frames = {m: a if cap >= 100000 else max(1, b * cap // 50000) for m, _, _, a, b, _, _ in planning.TIERS}
+    tiers = ", ".join(f"('{m}', {k}, {r}, {frames[m]}, {t}, CAST({f} AS DOUBLE))" for m, k, r, _, _, t, f in planning.TIERS)
+    start, end = _COSTS.index("(VALUES ") + 8, _COSTS.index(") AS v(mode")
+    return _COSTS[:start] + tiers + _COSTS[end:].replace("tokens_per_call > 50000", f"tokens_per_call > {cap}")
+
+
+_CAPS = (20000, 64000, 120000)
+
+
+@register(" UNION ALL ".join(f"SELECT {cap} AS cap, * FROM (WITH {_costs_at(cap)} SELECT series_id, mode, view_cap, frames_returned, tokens_per_call, exceeds_cap, chunks FROM costs)" for cap in _CAPS))
+def cost_estimates_by_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assets = spark.sql(_ASSETS.replace("FROM orders", "FROM {orders}"), orders=sources.table(spark, sf_dir, "orders"))
+    parts = [planning.cost_estimates(assets, cap).select(F.lit(cap).alias("cap"), "series_id", "mode", "view_cap", "frames_returned", "tokens_per_call", "exceeds_cap", "chunks") for cap in _CAPS]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @register(f"WITH {_COSTS} SELECT mode, count(*) AS n_assets, count_if(exceeds_cap) AS n_over_cap, CAST(floor(avg(tokens_per_call) + 0.5) AS BIGINT) AS tokens_per_call, CAST(sum(tokens_thorough) AS BIGINT) AS tokens_thorough, count_if(compacts) AS n_compacting FROM costs GROUP BY mode")
 def cost_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost.totals(_costs(spark, sf_dir))
