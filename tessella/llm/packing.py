@@ -100,6 +100,20 @@ def _matrix(columns: list[dict[int, int]]) -> np.ndarray:
     return out
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """By elimination, element by element: a threaded library that hangs in the driver would hang the job."""
+    n = len(matrix)
+    both = np.concatenate([matrix, np.eye(n)], axis=1)
+    for k in range(n):
+        top = k + int(np.argmax(np.abs(both[k:, k])))
+        both[[k, top]] = both[[top, k]]
+        both[k] /= both[k, k]
+        rest = np.flatnonzero(both[:, k])
+        rest = rest[rest != k]
+        both[rest] -= both[rest, k, None] * both[k]
+    return both[:, n:]
+
+
 def solve(demand: dict[int, int], p: PackParams = PackParams()) -> tuple[list[Pattern], np.ndarray]:
     """(patterns that use the fewest sequences for the pieces of each class, fractions allowed, the most used first; duals by class in order, which prove how few
     there can be: no pattern's pieces are worth more than 1).
@@ -115,14 +129,14 @@ def solve(demand: dict[int, int], p: PackParams = PackParams()) -> tuple[list[Pa
     need = np.array([demand[int(c)] for c in classes], dtype=np.float64)
     need *= 1 + 1e-9 * np.random.default_rng(1).random(len(need))  # no two ratios are the same, so no step is empty
     columns, x = _first_fit(classes, need, room)
-    inverse = np.linalg.inv(_matrix(columns))
+    inverse = _inverse(_matrix(columns))
     centre = classes / room
-    bound, lean, steps = float(centre @ need), 0.8, 0
+    bound, lean, steps = float((centre * need).sum()), 0.8, 0
     while x.sum() > bound * (1 + p.gap):
         dual = inverse.sum(axis=0)  # every pattern costs one sequence
         price = lean * centre + (1 - lean) * dual
         best, taken = _knapsack(price, classes, room)
-        proven = float(price @ need) / max(1e-12, best[room])
+        proven = float((price * need).sum()) / max(1e-12, best[room])
         if proven > bound:
             bound, centre = proven, price / best[room]
         worth = price + best[room - classes]
@@ -130,9 +144,9 @@ def solve(demand: dict[int, int], p: PackParams = PackParams()) -> tuple[list[Pa
         for k in np.argsort(-worth, kind="stable").tolist():
             pieces = _pieces(taken, classes, room - int(classes[k]), k)
             at, many = list(pieces), np.array(list(pieces.values()), dtype=np.float64)
-            if float(dual[at] @ many) <= 1 + 1e-9:
+            if float((dual[at] * many).sum()) <= 1 + 1e-9:
                 continue
-            step = inverse[:, at] @ many
+            step = (inverse[:, at] * many).sum(axis=1)
             up = np.flatnonzero(step > 1e-9)
             ratio = x[up] / step[up]
             out = int(up[np.argmin(ratio)])
@@ -146,8 +160,8 @@ def solve(demand: dict[int, int], p: PackParams = PackParams()) -> tuple[list[Pa
             dual = inverse.sum(axis=0)
             moved, steps = True, steps + 1
             if steps % 400 == 0:
-                inverse = np.linalg.inv(_matrix(columns))
-                x = np.maximum(inverse @ need, 0)
+                inverse = _inverse(_matrix(columns))
+                x = np.maximum((inverse * need).sum(axis=1), 0)
                 dual = inverse.sum(axis=0)
         if moved:
             lean = 0.8
