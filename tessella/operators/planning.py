@@ -123,6 +123,10 @@ def warning_numbers(gaps: DataFrame) -> DataFrame:
     )
 
 
+#: Chunks whose cuts meet in one row.
+_BLOCK = 256
+
+
 def chunk_plan(assets: DataFrame, strict: DataFrame, loose: DataFrame, size: float = 600.0, overlap: float = 0.0, tolerance: float = 30.0) -> DataFrame:
     """(series_id, chunk, total, start_s, actual_start_s, end_s, clean_cut, warning): cuts near every ``size`` of (series_id, duration_s).
 
@@ -131,17 +135,30 @@ def chunk_plan(assets: DataFrame, strict: DataFrame, loose: DataFrame, size: flo
     """
     n_cuts = F.greatest(F.lit(0), F.floor(F.col("duration_s") / size).cast("int") - 1)
     sized = assets.select("series_id", "duration_s", n_cuts.alias("n"))
-    goals = sized.where("n > 0").select("series_id", "duration_s", "n", F.explode(F.expr("sequence(1, n)")).alias("k")).withColumn("goal", F.col("k") * size)
-    middles = lambda rows: rows.select("series_id", ((F.col("start_s") + F.col("end_s")) / 2).alias("t"))
-    near = lambda rows, name: intervals.nearest_within(goals.select("series_id", "k", "goal"), middles(rows), tolerance).select("series_id", "k", F.col("t").alias(name))
-    cuts = goals.join(near(strict, "a"), ["series_id", "k"], "left").join(near(loose, "b"), ["series_id", "k"], "left")
-    warning = F.when(F.col("a").isNotNull(), None).when(F.col("b").isNotNull(), "loose_threshold").otherwise("hard_cut")
-    ends = cuts.select("series_id", "n", "k", F.coalesce("a", "b", "goal").alias("end_s"), F.coalesce("a", "b").isNotNull().alias("clean_cut"), warning.alias("warning"))
-    tails = sized.select("series_id", "n", (F.col("n") + 1).alias("k"), F.col("duration_s").alias("end_s"), F.lit(True).alias("clean_cut"), F.lit(None).cast("string").alias("warning"))
-    start = F.coalesce(F.lag("end_s").over(Window.partitionBy("series_id").orderBy("k")), F.lit(0.0))
-    return ends.unionByName(tails).withColumn("start_s", start).select(
-        "series_id", (F.col("k") - 1).alias("chunk"), (F.col("n") + 1).alias("total"), "start_s", F.greatest(F.lit(0.0), F.col("start_s") - overlap).alias("actual_start_s"), "end_s", "clean_cut", "warning"
-    )
+    k = F.col("k")
+    # a silence tells the few goals near it, so goals, which can be many more than silences, are neither joined nor sorted
+    found = strict.select("series_id", "start_s", "end_s", F.lit(True).alias("strict")).unionByName(loose.select("series_id", "start_s", "end_s", F.lit(False).alias("strict")))
+    middles = found.select("series_id", "strict", ((F.col("start_s") + F.col("end_s")) / 2).alias("t")).where("t IS NOT NULL")
+    around = F.sequence(F.floor((F.col("t") - tolerance) / size), F.ceil((F.col("t") + tolerance) / size))
+    off = F.abs(F.col("t") - k * size)
+    near = middles.withColumn("k", F.explode(around)).where((k >= 1) & (off <= tolerance))
+    best = lambda kind: F.min_by(F.when(kind, F.col("t")), F.when(kind, F.struct(off, "t")))
+    cuts = near.groupBy("series_id", "k").agg(best(F.col("strict")).alias("a"), best(~F.col("strict")).alias("b"))
+    # the cuts of _BLOCK chunks in turn, and the one before them, meet those chunks in one row
+    part = lambda x: F.floor(x / _BLOCK)
+    told = cuts.select("series_id", F.explode(F.array_distinct(F.array(part(k), part(k + 1)))).alias("part"), F.struct(k.cast("int").alias("k"), F.struct("a", "b").alias("cut")).alias("e"))
+    known = told.groupBy("series_id", "part").agg(F.map_from_entries(F.collect_list("e")).alias("cuts"))
+    parts = sized.select("series_id", "duration_s", "n", F.explode(F.sequence(F.lit(0).cast("long"), part(F.col("n") + 1))).alias("part")).join(known, ["series_id", "part"], "left")
+    first, last = F.greatest(F.lit(1), (F.col("part") * _BLOCK).cast("int")), F.least(F.col("n") + 1, (F.col("part") * _BLOCK + (_BLOCK - 1)).cast("int"))
+    rows = parts.select("series_id", "duration_s", "n", "cuts", F.explode(F.sequence(first, last)).alias("k"))
+    rows = rows.select("series_id", "duration_s", "n", "k", F.try_element_at("cuts", k).alias("own"), F.try_element_at("cuts", k - 1).alias("before"))
+    inner = k <= F.col("n")
+    end = F.when(inner, F.coalesce("own.a", "own.b", k * size)).otherwise(F.col("duration_s"))
+    start = F.when(k > 1, F.coalesce("before.a", "before.b", (k - 1) * size)).otherwise(0.0)
+    clean = ~inner | F.coalesce("own.a", "own.b").isNotNull()
+    warning = F.when(~inner | F.col("own.a").isNotNull(), None).when(F.col("own.b").isNotNull(), "loose_threshold").otherwise("hard_cut")
+    plan = rows.select("series_id", (k - 1).alias("chunk"), (F.col("n") + 1).alias("total"), start.alias("start_s"), end.alias("end_s"), clean.alias("clean_cut"), warning.alias("warning"))
+    return plan.select("series_id", "chunk", "total", "start_s", F.greatest(F.lit(0.0), F.col("start_s") - overlap).alias("actual_start_s"), "end_s", "clean_cut", "warning")
 
 
 # Level and length of silences that cuts are looked for in, the strict ones first.

@@ -113,3 +113,20 @@ def test_dense_motion_is_smoothed_over_one_unit_of_time(spark):
         assert len(mine) == len(want) and bool(want) == (s < 4), s
         for a, b in zip(mine, want):
             assert a == pytest.approx(b, abs=0.0501)
+
+
+def test_chunk_plan_neither_sorts_nor_joins_goals(spark):
+    """Goals can be far more than silences; before, each was joined twice and all of a series were sorted in one task."""
+    assets = spark.createDataFrame([(1, 10000.0), (2, 5.0), (None, 60.0)], "series_id INT, duration_s DOUBLE")
+    strict = spark.createDataFrame([(1, 2559.0, 2560.0), (1, 2561.0, 2562.0), (1, 31.0, 33.0)], "series_id INT, start_s DOUBLE, end_s DOUBLE")
+    loose = spark.createDataFrame([(1, 2569.0, 2572.0), (1, 28.0, 32.0)], "series_id INT, start_s DOUBLE, end_s DOUBLE")
+    plan = planning.chunk_plan(assets, strict, loose, 10.0, 0.0, 4.0)
+    assert "Window" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    rows = {(r.series_id, r.chunk): r for r in plan.collect()}
+    assert len(rows) == 1000 + 1 + 6
+    cuts = {256: 2559.5, 257: 2570.5, 3: 32.0}
+    for k in range(1, 1001):
+        row = rows[1, k - 1]
+        assert (row.start_s, row.end_s) == (0.0 if k == 1 else cuts.get(k - 1, (k - 1) * 10.0), 10000.0 if k == 1000 else cuts.get(k, k * 10.0))
+        assert row.warning == (None if k in (3, 256, 1000) else "loose_threshold" if k == 257 else "hard_cut")
+    assert rows[2, 0].end_s == 5.0 and rows[None, 5].warning is None
