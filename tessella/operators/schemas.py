@@ -7,7 +7,14 @@ table does not list are violations, but for objects of the type 'open'. Rules: (
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import re
+from decimal import Decimal
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators import documents
@@ -165,85 +172,142 @@ WARNINGS = ("tail_past_end", "late_first")
 Schema = tuple[tuple, ...]
 
 
-def _fits(v: Column, wanted: str) -> Column:
-    """Is the value of the wanted type?"""
-    name = F.schema_of_variant(v)
-    if wanted in ("array", "object", "open"):
-        return name.startswith("ARRAY" if wanted == "array" else "OBJECT")
-    if wanted in ("string", "boolean"):
-        return name == wanted.upper()
-    number = name.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
-    return number & (F.try_variant_get(v, "$", "double") % 1 == 0) if wanted == "integer" else number
+_LINE_END = "(?=(?:\\r\\n|[\\n\\r\\u0085\\u2028\\u2029])?\\Z)"
+
+
+class _Node(NamedTuple):
+    """A value's type and rule, the fields of an object and which it needs, and the items of an array."""
+
+    kind: str
+    rule: tuple | None
+    fields: dict[str, _Node]
+    needed: frozenset[str]
+    item: _Node | None
+
+
+def _node(schema: Schema, path: str, kind: str, rule: tuple | None) -> _Node:
+    """The schema below ``path``, which ends with a dot for objects, as a tree."""
+    if rule and rule[0] == "pattern":
+        rule = ("pattern", re.compile(rule[1].removesuffix("$") + (_LINE_END if rule[1].endswith("$") else ""), re.ASCII))
+    elif rule and rule[0] == "enum":
+        rule = ("enum", frozenset(map(str, rule[1])))
+    below = lambda name, k: f"{name}." if k == "object" else name
+    own = [f for f in schema if kind == "object" and f[0].startswith(path) and f[0] != path and not {".", "["} & set(f[0][len(path) :])]
+    item = next((f for f in schema if kind == "array" and f[0] == f"{path}[]"), None)
+    fields = {name[len(path) :]: _node(schema, below(name, k), k, r) for name, _, k, r in own}
+    needed = frozenset(name[len(path) :] for name, required, _, _ in own if required)
+    return _Node(kind, rule, fields, needed, item and _node(schema, below(item[0], item[2]), *item[2:]))
+
+
+def _pairs(pairs: list[tuple]) -> dict:
+    found = dict(pairs)
+    if len(found) < len(pairs):
+        raise ValueError("a key occurs twice")
+    return found
+
+
+def _refuse(name: str):
+    raise ValueError(name)
+
+
+def _decimal(text: str) -> Decimal | float:
+    return float(text) if "e" in text or "E" in text or sum(c.isdigit() for c in text) > 38 else Decimal(text)
+
+
+_JSON = json.JSONDecoder(object_pairs_hook=_pairs, parse_constant=_refuse, parse_float=_decimal)
 
 
-def _breaks(v: Column, rule: tuple) -> Column:
+_TYPES = {"array": {list}, "object": {dict}, "open": {dict}, "string": {str}, "boolean": {bool}, "number": {int, float, Decimal}, "integer": {int, float, Decimal}}
+
+
+def _breaks(v, rule: tuple) -> bool:
     name, *args = rule
-    if name == "items":
-        return F.size(F.try_variant_get(v, "$", "array<variant>")) < args[0]
-    if name in ("length", "enum", "pattern"):
-        text = F.try_variant_get(v, "$", "string")
-        return F.length(text) < args[0] if name == "length" else ~text.isin(*map(str, args[0])) if name == "enum" else ~text.rlike(args[0])
-    number = F.try_variant_get(v, "$", "double")
-    return number < args[0] if name == "least" else number <= args[0] if name == "above" else ~number.between(*args)
-
-
-_NONE = "array<struct<path:string,rule:string>>"
-
-
-def _told(path: Column, rule: str) -> Column:
-    return F.array(F.struct(path.alias("path"), F.lit(rule).alias("rule")))
-
-
-def _violations(root: Column, at: str, schema: Schema, path: str, shown: Column, wanted: str, rule: tuple | None) -> Column:
-    """An array of (path, rule) for the value at ``at`` below ``root``. ``path`` is its place in the schema, ``shown`` the one that is told."""
-    v, none = F.try_variant_get(root, at, "variant"), F.array().cast(_NONE)
-    below: list[Column] = [F.when(_breaks(v, rule), _told(shown, rule[0])).otherwise(none)] if rule else []
-    if wanted == "object":
-        fields = [f for f in schema if f[0].startswith(path) and f[0] != path and "." not in f[0][len(path) :] and "[" not in f[0][len(path) :]]
-        for name, required, kind, limits in fields:
-            last = name[len(path) :]
-            told = F.concat(shown, F.lit(f".{last}")) if path else F.lit(last)
-            inner = f"{at}.{last}"
-            missing = _told(told, "missing") if required else none
-            below.append(F.when(F.try_variant_get(root, inner, "variant").isNull(), missing).otherwise(_violations(root, inner, schema, f"{name}." if kind == "object" else name, told, kind, limits)))
-        unknown = F.array_except(F.json_object_keys(F.to_json(v)), F.array(*(F.lit(f[0][len(path) :]) for f in fields)))
-        below.append(F.transform(unknown, lambda k: F.struct((F.concat(shown, F.lit("."), k) if path else k).alias("path"), F.lit("unknown").alias("rule"))))
-    item = next((f for f in schema if f[0] == f"{path}[]"), None) if wanted == "array" else None
-    if item:
-        own = f"{item[0]}." if item[2] == "object" else item[0]
-        each = lambda x, k: _violations(x, "$", schema, own, F.concat(shown, F.lit("["), k.cast("string"), F.lit("]")), item[2], item[3])
-        below.append(F.flatten(F.transform(F.try_variant_get(root, at, "array<variant>"), each)))
-    return F.when(~_fits(v, wanted), _told(shown, "type")).otherwise(F.concat(*below) if below else none)
+    if name in ("items", "length"):
+        return len(v) < args[0]
+    if name == "enum":
+        return (format(v.normalize(), "f") if isinstance(v, Decimal) else str(v)) not in args[0]
+    if name == "pattern":
+        return not args[0].search(v)
+    number = float(v)
+    return number < args[0] if name == "least" else number <= args[0] if name == "above" else not args[0] <= number <= args[1]
+
+
+def _violations(v, node: _Node, shown: str, out: list[tuple[str, str]]) -> None:
+    """Add (path, rule) for a value; ``shown`` is the path that is told."""
+    kind, rule, fields, needed, item = node
+    if type(v) not in _TYPES[kind] or kind == "integer" and float(v) % 1 != 0:
+        out.append((shown, "type"))
+        return
+    if rule and _breaks(v, rule):
+        out.append((shown, rule[0]))
+    if kind == "object":
+        at = f"{shown}." if shown else ""
+        out.extend((at + name, "missing") for name in needed - v.keys())
+        for name, x in v.items():
+            if name in fields:
+                _violations(x, fields[name], at + name, out)
+            else:
+                out.append((at + name.encode(errors="replace").decode(), "unknown"))
+    elif item:
+        for k, x in enumerate(v):
+            _violations(x, item, f"{shown}[{k}]", out)
+
+
+def _found(content: str | None, root: _Node) -> list[tuple[str, str]]:
+    """(path, rule) for each violation of a text."""
+    out: list[tuple[str, str]] = []
+    try:
+        value = _JSON.raw_decode(content, len(content) - len(content.lstrip(" \t\r\n")))[0] if content is not None else _refuse("null")
+        _violations(value, root, "", out)
+    except (ValueError, OverflowError, RecursionError):
+        return [("", "unreadable")]
+    return out
+
+
+def _checked(docs: DataFrame, schema: Schema) -> DataFrame:
+    """The documents with ``found``, an array of (path, rule); each is read once."""
+    root, kept = _node(schema, "", "object", None), ["doc_id", "content"]
+
+    def run(batches):
+        for batch in batches:
+            told = [_found(text, root) for text in batch.column("content").to_pylist()]
+            ends = pa.array(np.cumsum([0, *map(len, told)]), pa.int32())
+            paths, rules = (pa.array([x[k] for out in told for x in out], pa.string()) for k in (0, 1))
+            found = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([paths, rules], ["path", "rule"]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), found], [*kept, "found"])
+
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept)
+    return docs.select(*kept).mapInArrow(run, f"{kinds}, found array<struct<path:string,rule:string>>")
+
+
+def _told(checked: DataFrame) -> DataFrame:
+    return checked.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.path", "f.rule")
 
 
 def conformance(docs: DataFrame, schema: Schema) -> DataFrame:
     """(doc_id, path, rule) for each violation of documents (doc_id, content); no JSON at all has the rule 'unreadable'. An object's keys that are
     null count as there, and of the wrong type."""
-    found = F.when(F.col("v").isNull(), _told(F.lit(""), "unreadable")).otherwise(_violations(F.col("v"), "$", schema, "", F.lit(""), "object", None))
-    return docs.select("doc_id", F.try_parse_json("content").alias("v")).select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.path", "f.rule")
+    return _told(_checked(docs, schema))
 
 
 def _with_severity(rows: DataFrame) -> DataFrame:
     return rows.withColumn("severity", F.when(F.col("rule").isin(*WARNINGS), "warning").otherwise("error"))
 
 
-def _valid(docs: DataFrame, broken: DataFrame) -> DataFrame:
-    return docs.join(broken.select("doc_id").distinct(), "doc_id", "left_anti")
-
-
 def beat_sheet_report(docs: DataFrame, catalog: DataFrame) -> DataFrame:
     """(doc_id, path, rule, severity) of beat sheets (doc_id, content): schema violations, and for sheets without any, those of coverage and beats.
 
     catalog: (effect_id). Only late first beats and ends past the asset are warnings.
     """
-    shape = conformance(docs, BEAT_SHEET)
+    checked = _checked(docs, BEAT_SHEET)
+    shape = _told(checked)
     doc = F.from_json(
         "content",
         "source STRUCT<duration_seconds: DOUBLE>, coverage STRUCT<chunk_count: BIGINT, segments_covered: BIGINT, subchunks_watched: BIGINT>, beats ARRAY<STRUCT<timestamp_seconds: DOUBLE, duration_seconds: DOUBLE, effect_ids: ARRAY<STRING>>>",
     )
-    read = _valid(docs, shape).select("doc_id", doc.alias("d"))
+    read = checked.where(F.size("found") == 0).select("doc_id", doc.alias("d"))
     sheets = read.select("doc_id", F.col("d.source.duration_seconds").alias("duration_s"), "d.coverage.*")
-    rows = read.select("doc_id", F.posexplode("d.beats").alias("pos", "b"))
+    rows = read.select("doc_id", F.posexplode_outer("d.beats").alias("pos", "b")).where("pos IS NOT NULL")  # a plain one would have texts read again by filters
     beats = rows.select("doc_id", "pos", F.col("b.timestamp_seconds").alias("at_s"), F.col("b.duration_seconds").alias("duration_s"), F.coalesce("b.effect_ids", F.array().cast("array<string>")).alias("effect_ids"))
     found = documents.beat_violations(beats, sheets, catalog)
     path = F.coalesce(F.concat(F.lit("beats["), F.col("pos").cast("string"), F.lit("]")), F.lit("coverage"))
@@ -255,7 +319,7 @@ def lock_report(docs: DataFrame) -> DataFrame:
     looked for in every readable document."""
     shape = conformance(docs, DESIGN_LOCK)
     doc = F.from_json("content", "meta STRUCT<targetDurationSeconds: DOUBLE>, scenes ARRAY<STRUCT<id: STRING, start: DOUBLE, duration: DOUBLE, transitionOut: STRING>>")
-    rows = docs.select("doc_id", doc.alias("d")).select("doc_id", F.col("d.meta.targetDurationSeconds").alias("target_s"), F.posexplode("d.scenes").alias("pos", "s")).where("s IS NOT NULL")
+    rows = docs.select("doc_id", doc.alias("d")).select("doc_id", F.col("d.meta.targetDurationSeconds").alias("target_s"), F.posexplode_outer("d.scenes").alias("pos", "s")).where("s IS NOT NULL")
     scenes = rows.select("doc_id", "pos", "s.id", F.col("s.start").alias("start_s"), F.col("s.duration").alias("duration_s"), F.col("s.transitionOut").alias("transition_out"), "target_s")
     path = F.coalesce(F.concat(F.lit("scenes["), F.col("pos").cast("string"), F.lit("]")), F.lit("scenes"))
     found = documents.scene_violations(scenes).select("doc_id", path.alias("path"), F.col("violation").alias("rule"))

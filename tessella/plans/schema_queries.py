@@ -26,7 +26,7 @@ UNION ALL SELECT doc_id, 'beats', 'items' FROM j WHERE json_array_length(j, '$.b
 
 @register(f"WITH {_SHAPE} SELECT doc_id, path, rule FROM shape")
 def sheet_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schemas.conformance(over(spark, sf_dir, _SHEETS, "orders"), schemas.BEAT_SHEET)
+    return schemas.conformance(over(spark, sf_dir, _SHEETS, "orders", spread=True), schemas.BEAT_SHEET)
 
 
 _REPORT = f"""{_SHAPE}, g AS (SELECT doc_id, j FROM j WHERE doc_id NOT IN (SELECT doc_id FROM shape)), s AS (SELECT doc_id, CAST(j ->> '$.source.duration_seconds' AS DOUBLE) AS d, CAST(j ->> '$.coverage.chunk_count' AS INT) AS n, CAST(j ->> '$.coverage.segments_covered' AS INT) AS m, CAST(j ->> '$.coverage.subchunks_watched' AS INT) AS w FROM g),
@@ -37,7 +37,7 @@ UNION ALL SELECT doc_id, path, 'unknown_effect', 'error' FROM (SELECT doc_id, pa
 
 
 def _report(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = over(spark, sf_dir, _SHEETS, "orders")
+    docs = over(spark, sf_dir, _SHEETS, "orders", spread=True)
     catalog = sources.table(spark, sf_dir, "part").select(F.concat(F.lit("e"), (F.col("p_partkey") % 6).cast("string")).alias("effect_id")).distinct()
     return docs, schemas.beat_sheet_report(docs, catalog)
 
@@ -65,4 +65,4 @@ UNION ALL SELECT doc_id, 'audio.tracks[0].volume', 'between', 'error' FROM j WHE
 UNION ALL SELECT doc_id, path, 'overlap', 'error' FROM r WHERE k > 0 AND a < greatest(0, reach) - 1e-9 AND coalesce(before, '') IN ('', 'cut') UNION ALL SELECT doc_id, path, 'gap', 'error' FROM r WHERE k > 0 AND a > greatest(0, reach) + 1e-9 UNION ALL SELECT doc_id, 'scenes', 'drift', 'error' FROM (SELECT doc_id, max(a + l) AS e FROM t GROUP BY 1) JOIN j USING (doc_id) WHERE abs(e - CAST(j ->> '$.meta.targetDurationSeconds' AS DOUBLE)) > 0.25"""
 )
 def lock_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schemas.lock_report(over(spark, sf_dir, _LOCKS, "orders"))
+    return schemas.lock_report(over(spark, sf_dir, _LOCKS, "orders", spread=True))

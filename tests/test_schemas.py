@@ -71,3 +71,12 @@ def test_reports_and_statuses(spark):
     assert {r.doc_id: (r.status, r.n_errors, r.n_warnings) for r in schemas.statuses(docs, report).collect()} == {0: (0, 0, 0), 1: (0, 0, 1), 2: (1, 1, 0), 3: (2, 1, 0), 4: (1, 1, 0)}
     none = schemas.beat_sheet_report(docs, catalog.where("false")).where("rule = 'unknown_effect'").collect()
     assert [r.doc_id for r in none] == [0, 1, 2]
+
+
+def test_texts_are_read_once(spark):
+    """Before, a filter that Spark infers from the explosion read a text again for each field of the schema."""
+    docs = spark.createDataFrame([(0, json.dumps(SHEET)), (1, json.dumps(SHEET) + " x"), (2, json.dumps(SHEET).replace('"spine"', '"spine": "a", "spine"'))], "doc_id INT, content STRING")
+    rows = schemas.conformance(docs, schemas.DESIGN_LOCK)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("MapInArrow") == 1
+    assert [tuple(r) for r in schemas.conformance(docs, schemas.BEAT_SHEET).collect()] == [(2, "", "unreadable")]
