@@ -124,13 +124,21 @@ def _robust(x: np.ndarray, floor: float) -> tuple[float, float] | None:
     return middle, max(floor, _upper_median(np.abs(x - middle)))
 
 
-def _window_means(x: np.ndarray, half: int) -> np.ndarray:
-    """Means over each row and ``half`` rows on either side, of the values that are there; values that are not finite make the means around them NaN."""
+def _window_means(x: np.ndarray, half: int, narrow: bool = False) -> np.ndarray:
+    """Means over each row and ``half`` rows on either side, of the values that are there; values that are not finite make the means around them NaN.
+
+    ``narrow`` windows add up their own values in turn, without the rounding of long sums."""
     bad = ~np.isfinite(x)
     total, many, broken = (np.concatenate([[0], np.cumsum(c)]) for c in (np.where(bad, 0.0, x), ~bad, bad & ~np.isnan(x)))
     lo, hi = np.maximum(np.arange(len(x)) - half, 0), np.minimum(np.arange(len(x)) + half + 1, len(x))
     with np.errstate(invalid="ignore"):
-        mean = (total[hi] - total[lo]) / (many[hi] - many[lo])
+        sums = total[hi] - total[lo]
+        if narrow:
+            near = np.concatenate([np.zeros(half), np.where(bad, 0.0, x), np.zeros(half)])
+            sums = np.zeros(len(x))
+            for k in range(2 * half + 1):
+                sums += near[k : k + len(x)]
+        mean = sums / (many[hi] - many[lo])
     return np.where(broken[hi] > broken[lo], math.nan, mean)
 
 
@@ -160,7 +168,8 @@ class MotionWindows(_Tool):
         if len(t) < min_rows or stats is None:
             return
         duration = float(t[-1])
-        smooth = _window_means(x, max(half, math.floor(len(t) / max(1.0, duration) / 2 + 0.5)))
+        width = max(half, math.floor(len(t) / max(1.0, duration) / 2 + 0.5))
+        smooth = _window_means(x, width, narrow=width == half)
         hot = np.flatnonzero(smooth > stats[0] + k * stats[1])
         if not len(hot):
             return
@@ -173,7 +182,9 @@ class MotionWindows(_Tool):
             start, end = max(0.0, a - pad), min(max(0.0, duration - tail), b + pad)
             if end - start >= min_length:
                 number += 1
-                yield number, _rounded(start), _rounded(end), _rounded(float(np.nanmean(smooth[run[0] : run[-1] + 1])), 1)
+                means = smooth[run[0] : run[-1] + 1]
+                means = means[~np.isnan(means)]
+                yield number, _rounded(start), _rounded(end), _rounded(float(np.cumsum(means)[-1]) / len(means), 1)  # added up in order, as SQL does
 
 
 class RobustStats(_Tool):

@@ -309,3 +309,9 @@ def test_cost_command(spark, tmp_path, capsys):
     for bad in (["x", "--mode", "best"], ["x", "--start", "5"], ["x", "--cap", "0"], []):
         with pytest.raises(SystemExit):
             cost.main(bad, spark)
+
+
+def test_narrow_window_means_have_no_rounding_of_long_sums():
+    x = np.array([1e15 + 0.5, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6])
+    got = table_functions._window_means(x, 1, narrow=True)
+    assert got[2:].tolist() == [(0.1 + 0.2 + 0.3) / 3, (0.2 + 0.3 + 0.4) / 3, (0.3 + 0.4 + 0.5) / 3, (0.4 + 0.5 + 0.6) / 3, (0.5 + 0.6) / 2]
