@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrowtext import Chunk, chunks, column, mix, raw
@@ -37,8 +37,6 @@ class LmParams:
     shard_blocks: int = 4
     #: The ids whose texts have more than a block's bytes over this are spread over all blocks.
     hot_share: int = 4
-    #: Labelled rows of either kind, at most, that the limit of ``selected`` is fitted on (the first by hash).
-    labelled_rows: int = 20_000
     #: What all unseen words together have, as a share of all seen ones, in either model: so an unseen word tells nothing for or against a text.
     unseen: float = 0.1
     #: Weight of the bigram estimate against the unigram one.
@@ -124,16 +122,26 @@ def _own(row: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
-def _limit(scored: DataFrame, rejected: DataFrame | None, p: LmParams, id_col: str) -> float | None:
-    """The score up to which rows are selected."""
+def _limit(scored: DataFrame, rejected: DataFrame | None, id_col: str) -> float | None:
+    """The score up to which rows are selected: with rejected rows the least one where the shares of target rows and of rejected rows up to it are furthest
+    apart. All labelled rows count: scores are counted, and running counts go by thousandths of a score, of which there are no more than scores
+    in nats have, and then by score within each.
+    """
     exact, some = F.col("score").cast("decimal(28,9)"), F.col("n_tokens") > 0
     if rejected is not None:
-        bad = scored.where(some & ~F.col("in_target")).join(rejected.select(F.col(id_col).cast("long").alias(id_col)).distinct(), id_col, "left_semi")
-        good, bad = (np.sort(np.array([float(r[0]) for r in part.orderBy(F.xxhash64(id_col), id_col, exact).limit(p.labelled_rows).select(exact).collect()])) for part in (scored.where(some & F.col("in_target")), bad))
-        if len(good) and len(bad):
-            at = np.unique(np.concatenate([good, bad]))
-            gain = np.searchsorted(good, at, side="right") / len(good) - np.searchsorted(bad, at, side="right") / len(bad)
-            return float(at[int(np.argmax(gain))])
+        bad = rejected.select(F.col(id_col).cast("long").alias(id_col)).distinct().withColumn("bad_", F.lit(True))
+        kinds = scored.where(some).join(bad, id_col, "left").select(exact.alias("s"), F.col("in_target").cast("long").alias("g"), (~F.col("in_target") & F.coalesce("bad_", F.lit(False))).cast("long").alias("b"))
+        counts = kinds.where("g + b > 0").groupBy("s").agg(F.sum("g").alias("g"), F.sum("b").alias("b")).withColumn("slot", F.floor(F.col("s") * 1000))
+        sums = lambda window: (F.sum(c).over(window) for c in ("g", "b"))
+        g0, b0 = sums(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+        slots = counts.groupBy("slot").agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
+        n_good, n_bad = slots.agg(F.sum("g"), F.sum("b")).first()
+        if n_good and n_bad:
+            g1, b1 = sums(Window.partitionBy("slot").orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
+            upto = counts.select("slot", "s", g1.alias("g1"), b1.alias("b1")).join(slots.select("slot", g0.alias("g0"), b0.alias("b0")), "slot")
+            of = lambda c, n: (F.coalesce(F.col(f"{c}0"), F.lit(0)) + F.col(f"{c}1")).cast("decimal(19,0)") * F.lit(n).cast("decimal(18,0)")
+            gain = of("g", n_bad) - of("b", n_good)
+            return float(upto.agg(F.max_by("s", F.struct(gain, -F.col("s")))).first()[0])
     aim, rest = scored.agg(*(F.avg(F.when(some & hit, exact)) for hit in (F.col("in_target"), ~F.col("in_target")))).first()
     return None if aim is None or rest is None else float(aim + rest) / 2
 
@@ -142,8 +150,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, p: LmParams = L
     """(id, n_tokens, target_loss, background_loss, score, in_target, selected) for each row; target has the ids of the target texts.
 
     Losses are nats per token; score is target_loss - background_loss, so lower is more like the target. A row is selected if its score is
-    at most the limit that tells target rows and rows of ``rejected`` (ids of texts known to be bad) apart best, by the difference of the shares it selects, on a bounded sample of
-    either. Without such rows the limit is the mean of the target rows' mean score and the other rows' one (over rows with words, in billionths); none is
+    at most the limit that tells target rows and rows of ``rejected`` (ids of texts known to be bad) apart best, by the difference of the shares it selects, over all of
+    them. Without such rows the limit is the mean of the target rows' mean score and the other rows' one (over rows with words, in billionths); none is
     selected where either has no rows. A text without words has zeros and is not selected. Null text is empty, repeated rows count each time and only a row
     itself is taken off, a null id is in no target, and without target texts the target model is uniform. A block is held in one task, with some 60 times its bytes; so is
     a text that is longer than a block, and rows that repeat both id and text.
@@ -233,5 +241,5 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, p: LmParams = L
     sent = dealt.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(send, _SENT)
     answers = sent.groupBy("shard").applyInArrow(answer, _ANSWER)
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, _SCORES.format(id_col)).checkpoint()
-    limit = _limit(scored, rejected, p, id_col)
+    limit = _limit(scored, rejected, id_col)
     return scored.withColumn("selected", F.lit(False) if limit is None else (F.col("n_tokens") > 0) & (F.col("score").cast("decimal(28,9)") <= F.lit(limit).cast("decimal(28,9)")))

@@ -133,3 +133,19 @@ def test_centroids_recomputed(spark):
         best = int(np.argmax(cosine))
         assert r.lang_pred == model.langs[model.lang_of[best]] and abs(r.score - cosine[best]) < 1e-4
         assert r.lang_pred == ("aa" if r.text.split()[0] in stock["aa"] else "bb") and isinstance(r.held_out, bool)
+
+
+def test_limit_counts_every_labelled_row(spark):
+    """Before, 20,000 rows of either kind were taken at most."""
+    import numpy as np
+    from pyspark.sql import functions as F
+    from tessella.llm import lm_score
+
+    n = 60_000
+    scored = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(5).cast("long").alias("n_tokens"), (F.pmod(F.col("id") * 7919, F.lit(10007)) / 500.0 - F.when(F.col("id") % 2 == 0, 3.0).otherwise(0.0)).alias("score"), (F.col("id") % 2 == 0).alias("in_target"))
+    bad = spark.range(n).where("id % 2 = 1 AND id % 3 > 0").withColumnRenamed("id", "doc_id")
+    rows = np.array(sorted({(round(r.score, 9), r.in_target, r.doc_id) for r in scored.collect() if r.in_target or r.doc_id % 3}))
+    at = np.unique(rows[:, 0])
+    good, rest = np.sort(rows[rows[:, 1] == 1, 0]), np.sort(rows[rows[:, 1] == 0, 0])
+    gain = np.searchsorted(good, at, "right").astype(int) * len(rest) - np.searchsorted(rest, at, "right").astype(int) * len(good)
+    assert len(good) > 20_000 and lm_score._limit(scored, bad, "doc_id") == at[int(np.argmax(gain))]
