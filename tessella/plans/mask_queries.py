@@ -93,9 +93,15 @@ moved AS (SELECT series_id, frame, t, before_t, CAST(k % 24 AS INT) AS x, CAST(k
 
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series_id, frame, t, content): each event as an image of 24 x 16 with a bright block, whose place the event's number and value tell, on noise."""
-    lit = _LIT.format(x="k % 24", y="k div 24", e="frame", v="v")
-    values = F.expr(f"array_join(transform(sequence(0L, 383L), k -> CASE WHEN {lit} THEN 'C8' ELSE lpad(hex((frame * k) % 8), 2, '0') END), '')")
-    return over(spark, sf_dir, _IMAGES, "events").withColumn("content", F.concat(F.lit(b"P5 24 16\n255\n"), F.unhex(values))).select("series_id", "frame", "t", "content")
+    # a row of noise has one of 15 texts, by the remainder of the frame's number, as 24 is three times 8; the block covers 7 columns of up to 6 rows
+    noise = lambda r: "".join("FF" if r < 0 and r * k % 8 else f"{r * k % 8:02d}" for k in range(24))
+    row = f"element_at(array({', '.join(repr(noise(r)) for r in range(-7, 8))}), CAST(frame % 8 AS INT) + 8)"
+    first, end = "greatest(0, CAST(frame % 17 AS INT))", "greatest(0, CAST(frame % 17 AS INT) + 7)"
+    lit = f"concat(left(noise, 2 * {first}), repeat('C8', {end} - {first}), substring(noise, 2 * ({end}) + 1))"
+    above, below = (f"CAST(least(16, greatest(0, {x})) AS INT)" for x in ("v", "v + 6"))
+    values = F.expr(f"CASE WHEN v IS NULL THEN repeat(noise, 16) ELSE concat(repeat(noise, {above}), repeat({lit}, {below} - {above}), repeat(noise, 16 - {below})) END")
+    images = over(spark, sf_dir, _IMAGES, "events", spread=True).withColumn("noise", F.expr(row))
+    return images.withColumn("content", F.concat(F.lit(b"P5 24 16\n255\n"), F.unhex(values))).select("series_id", "frame", "t", "content")
 
 
 @register(f"WITH {_MOVED} SELECT series_id, frame, x, y FROM moved")

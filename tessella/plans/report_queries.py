@@ -86,7 +86,7 @@ def image_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     byte = lambda k: f"CASE WHEN {k} % 5 = event_id % 5 OR {k} % 3 = event_id % 3 THEN 'FF' ELSE '00' END"
     body = f"unhex(concat({', '.join(byte(k) for k in range(12))}))"
     head = "CASE event_id % 11 WHEN 0 THEN 'P6 4 3 255 ' WHEN 1 THEN 'P5 4 9 255 ' WHEN 2 THEN 'P5\n# note\n4 3 # more\n255\n' ELSE 'P5 4 3\n255 ' END"
-    images = over(spark, sf_dir, f"SELECT event_id AS series_id, user_id AS frame, concat(CAST({head} AS BINARY), {body}) AS content FROM events", "events")
+    images = over(spark, sf_dir, f"SELECT event_id AS series_id, user_id AS frame, concat(CAST({head} AS BINARY), {body}) AS content FROM events", "events", spread=True)
     return pgm.lit_pixels(images)
 
 

@@ -27,13 +27,19 @@ def lit_pixels(images: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for k, body in enumerate(batch.column("content").to_pylist()):
-                found = pixels(body)
-                if found and found[0]:
-                    at = np.flatnonzero(found[2])
-                    row = batch.select(["series_id", "frame"]).slice(k, 1)
-                    take = pa.array(np.zeros(len(at), np.int64))
-                    yield pa.RecordBatch.from_arrays([row.column(0).take(take), row.column(1).take(take), pa.array((at % found[0]).astype(np.int32)), pa.array((at // found[0]).astype(np.int32))], ["series_id", "frame", "x", "y"])
+            found = [(k, image) for k, image in enumerate(map(pixels, batch.column("content").to_pylist())) if image and image[0]]
+            while found:
+                # as many images at once as have some four million pixels
+                size = np.cumsum([len(image[2]) for _, image in found])
+                now, found = found[: max(1, int(np.searchsorted(size, 1 << 22)))], found[max(1, int(np.searchsorted(size, 1 << 22))) :]
+                values = np.concatenate([image[2] for _, image in now])
+                length, width = (np.array(x, np.int64) for x in zip(*((len(image[2]), image[0]) for _, image in now)))
+                at = np.flatnonzero(values)
+                which = np.searchsorted(np.cumsum(length), at, side="right")
+                place = at - (np.cumsum(length) - length)[which]
+                take = pa.array(np.array([k for k, _ in now], np.int64)[which])
+                x, y = place % width[which], place // width[which]
+                yield pa.RecordBatch.from_arrays([batch.column("series_id").take(take), batch.column("frame").take(take), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32))], ["series_id", "frame", "x", "y"])
 
     kinds = ", ".join(f"{c} {images.schema[c].dataType.simpleString()}" for c in ("series_id", "frame"))
     return images.select("series_id", "frame", "content").mapInArrow(run, f"{kinds}, x int, y int")

@@ -117,3 +117,19 @@ def test_streams(spark, tmp_path):
     for _ in range(2):
         streams.cache_writer(incoming, str(tmp_path / "kept"), str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination(120)
     assert [r.file for r in frame_cache.stored(spark.createDataFrame([], CACHED), str(tmp_path / "kept")).collect()] == ["x"]
+
+
+def test_images_of_any_event(spark, tmp_path):
+    """Made of repeated rows instead of pixel by pixel; lit pixels of images of several sizes come out together."""
+    from tessella.plans import mask_queries
+    from tessella.sources import pgm
+
+    spark.sql("SELECT id AS event_id, 1L AS user_id, CASE WHEN id % 7 > 0 THEN CAST(id % 31 - 12 AS DOUBLE) END AS value FROM range(-40, 200)").write.parquet(f"{tmp_path}/events.parquet")
+    images = mask_queries._images(spark, str(tmp_path))
+    assert "lambda" not in images._jdf.queryExecution().optimizedPlan().toString()
+    want = "array_join(transform(sequence(0L, 383L), k -> CASE WHEN {} THEN 'C8' ELSE lpad(hex((frame * k) % 8), 2, '0') END), '')".format(mask_queries._LIT.format(x="k % 24", y="k div 24", e="frame", v="v"))
+    told = {r.frame: r.c for r in mask_queries.over(spark, str(tmp_path), mask_queries._IMAGES, "events").selectExpr("frame", f"unhex({want}) AS c").collect()}
+    assert {r.frame: r.content[13:] for r in images.collect()} == told and len(told) == 240
+    bodies = [b"P5 2 1 255\n\x00\x01", b"P6 1 1 255\n\x01", b"P5 1 3 255\n\x05\x00\x06", None, b"P5 2 2 255\n\x00\x00\x00\x00", b"P5 3 1 255\n\x00\x00\x01"]
+    rows = pgm.lit_pixels(spark.createDataFrame([(k, 10 + k, b) for k, b in enumerate(bodies)], "series_id INT, frame INT, content BINARY"))
+    assert sorted(map(tuple, rows.collect())) == [(0, 10, 1, 0), (2, 12, 0, 0), (2, 12, 0, 2), (5, 15, 2, 0)]
