@@ -1,18 +1,23 @@
 """Motion masks as rows (series_id, frame, x, y), one for each lit pixel, on a grid of fixed size.
 
-Everything but the labelling of blobs is plain DataFrame work. A labelled mask is one group of at most ``width * height`` rows, however
-many frames a series has, as its frames are united first.
+Masks are united and boxed by plain DataFrame work, dilated and labelled by NumPy in tasks that hold a batch of series each. A series' mask has
+at most ``width * height`` rows, however many frames it has, as its frames are united first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import partial
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.operators import intervals
 
+#: Cells of grids that are dilated at once.
+CELLS = 1 << 22
 
 def union_mask(pixels: DataFrame, least_frames: int = 2) -> DataFrame:
     """(series_id, x, y, energy): each lit pixel and how many rows light it. Series with fewer than ``least_frames`` lit frames have no rows.
@@ -24,52 +29,123 @@ def union_mask(pixels: DataFrame, least_frames: int = 2) -> DataFrame:
     return energy.join(usable.select("series_id"), "series_id", "left_semi")
 
 
+def _whole_series(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of batches sorted by their first column, cut between series only."""
+    held: list[pa.RecordBatch] = []
+    for batch in (b for b in batches if len(b)):
+        keys = batch.column(0).dictionary_encode("encode").indices.to_numpy()
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        if not len(cuts) and held and held[-1].column(0)[-1].as_py() != batch.column(0)[0].as_py():
+            cuts = np.array([0])
+        if len(cuts):
+            yield pa.Table.from_batches([*held, batch.slice(0, int(cuts[-1]))])
+            held = []
+        held.append(batch.slice(int(cuts[-1]) if len(cuts) else 0))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _by_series(mask: DataFrame, work: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, ...]]], columns: str) -> DataFrame:
+    """(series_id, ``columns``): what ``work`` tells of the pixels of whole series, many series at once, so that none costs a call of its own.
+
+    It takes the numbers of the series, ascending from 0, x and y, and gives the numbers of its rows' series and the columns. A task holds a batch and one series.
+    """
+    # dealt by a hash of the series: where the rows lie by series already, a shuffle by series itself is left out, and a join before it that turns into a broadcast then splits them
+    pixels = mask.select("series_id", "x", "y").where("x IS NOT NULL AND y IS NOT NULL").repartition(F.xxhash64("series_id")).sortWithinPartitions("series_id")
+    names = ["series_id", *(c.split()[0] for c in columns.split(", "))]
+    kinds = [{"int": pa.int32(), "bigint": pa.int64()}[c.split()[1]] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_series(batches):
+            keys = table.column(0).combine_chunks()
+            code = keys.dictionary_encode("encode").indices.to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+            series = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(code))))
+            for number, *values in work(series, *(table.column(c).to_numpy().astype(np.int64) for c in ("x", "y"))):
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(starts[number])), *(pa.array(v).cast(k) for v, k in zip(values, kinds))], names)
+
+    return pixels.mapInArrow(run, f"series_id {mask.schema['series_id'].dataType.simpleString()}, {columns}")
+
+
+def _dilated(series: np.ndarray, x: np.ndarray, y: np.ndarray, width: int, height: int, times: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(series, x, y) of the pixels within ``times`` steps, in row order; series by series on grids with a margin of ``times``, ``CELLS`` cells at once."""
+    wide, high = width + 2 * times, height + 2 * times
+    inside = (x >= -times) & (x < width + times) & (y >= -times) & (y < height + times)
+    series, x, y = series[inside], x[inside], y[inside]
+    step = max(1, CELLS // (wide * high))
+    for first in range(0, int(series.max(initial=-1)) + 1, step):
+        lo, hi = np.searchsorted(series, [first, first + step])
+        lit = np.zeros((min(step, int(series[-1]) + 1 - first), high, wide), bool)
+        lit[series[lo:hi] - first, y[lo:hi] + times, x[lo:hi] + times] = True
+        across = np.logical_or.reduce([lit[:, :, d : d + width] for d in range(2 * times + 1)])
+        number, row, column = np.nonzero(np.logical_or.reduce([across[:, d : d + height] for d in range(2 * times + 1)]))
+        yield number + first, column, row
+
+
 def dilate(mask: DataFrame, width: int, height: int, times: int = 2) -> DataFrame:
     """(series_id, x, y) of all pixels on the grid within ``times`` steps, diagonal ones included, of a pixel of the mask.
 
-    Repeated dilation by a 3 x 3 square is one dilation by a larger square, so there is one shuffle.
+    Repeated dilation by a 3 x 3 square is one dilation by a larger square. Pixels are shuffled before they are dilated, each once.
     """
-    moves = F.sequence(F.lit(-times), F.lit(times))
-    near = mask.select("series_id", "x", "y").withColumn("dx", F.explode(moves)).withColumn("dy", F.explode(moves))
-    moved = near.select("series_id", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
-    return moved.where((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height)).distinct()
-
-
-def _first_pixels(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """For distinct pixels in row order, the place of the first pixel that each is connected with by horizontal and vertical steps."""
-    wide = int(x.max(initial=0)) + 2  # the last column has no right neighbour
-    code = y * wide + x
-    steps = []
-    for move in (1, wide):
-        at = np.searchsorted(code, code + move)
-        found = np.flatnonzero((at < len(code)) & (code[np.minimum(at, len(code) - 1)] == code + move))
-        steps.append((found, at[found]))
-    a, b = (np.concatenate(s) for s in zip(*steps))
-    first = np.arange(len(code))
+    kind = "bigint" if "bigint" in (mask.schema[c].dataType.simpleString() for c in ("x", "y")) else "int"
+    return _by_series(mask, partial(_dilated, width=width, height=height, times=times), f"x {kind}, y {kind}")
+
+
+def _labelled(series: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(series, blob, area, min_x, max_x, min_y, max_y) of the 4-connected parts of each series' pixels, by runs of neighbours in a row."""
+    if not len(x):
+        return
+    left, top = int(x.min()), int(y.min())
+    wide, high = int(x.max()) - left + 2, int(y.max()) - top + 2  # the last column has no right neighbour, the last row none below
+    step = max(1, 2**62 // (wide * high))
+    if step <= series[-1]:  # pixels too far apart to be told by one number
+        for k in np.unique(series):
+            one = series == k
+            yield from ((found + k, *rest) for found, *rest in _labelled(series[one] - k, x[one], y[one]))
+        return
+    code = np.unique((series * high + y - top) * wide + x - left)
+    begins = np.concatenate([[True], code[1:] != code[:-1] + 1])
+    start, run = np.flatnonzero(begins), np.cumsum(begins) - 1
+    size = np.diff(np.append(start, len(code)))
+    at = np.minimum(np.searchsorted(code, code + wide), len(code) - 1)
+    met = np.flatnonzero(code[at] == code + wide)
+    a, b = run[met], run[at[met]]
+    first = np.arange(len(start))
     while True:
-        low, high = np.minimum(first[a], first[b]), np.maximum(first[a], first[b])
-        apart = low != high
+        low, high_end = np.minimum(first[a], first[b]), np.maximum(first[a], first[b])
+        apart = low != high_end
         if not apart.any():
-            return first
-        np.minimum.at(first, high[apart], low[apart])
+            break
+        a, b = a[apart], b[apart]
+        np.minimum.at(first, high_end[apart], low[apart])
         while (first[first] != first).any():
             first = first[first]
+    order = np.argsort(first, kind="stable")
+    roots, cut = np.unique(first[order], return_index=True)
+    row, from_x = np.divmod(code[start][order], wide)
+    over = lambda f, v: f.reduceat(v, cut)
+    number = row[cut] // high
+    blob = np.arange(1, len(roots) + 1) - np.searchsorted(number, number)
+    row = row % high + top
+    yield number, blob, over(np.add, size[order]), over(np.minimum, from_x) + left, over(np.maximum, from_x + size[order] - 1) + left, over(np.minimum, row), over(np.maximum, row)
+
+
+_BLOB = "blob int, area bigint, min_x int, max_x int, min_y int, max_y int"
 
 
 def blobs(mask: DataFrame) -> DataFrame:
     """(series_id, blob, area, min_x, max_x, min_y, max_y): the 4-connected parts of each series' distinct pixels, numbered from 1 in row order."""
+    return _by_series(mask, _labelled, _BLOB)
+
+
+def dilated_blobs(mask: DataFrame, width: int, height: int, times: int = 2) -> DataFrame:
+    """The blobs of the dilated mask, without a row for each pixel of it: both are told where a series' pixels are."""
 
-    def label(pixels: pd.DataFrame) -> pd.DataFrame:
-        pixels = pixels.sort_values(["y", "x"])
-        x, y = pixels["x"].to_numpy(np.int64), pixels["y"].to_numpy(np.int64)
-        first = _first_pixels(x, y)
-        found = pd.DataFrame({"series_id": pixels["series_id"].to_numpy(), "first": first, "x": x, "y": y}).groupby("first", sort=True)
-        out = found.agg(series_id=("series_id", "first"), area=("x", "size"), min_x=("x", "min"), max_x=("x", "max"), min_y=("y", "min"), max_y=("y", "max")).reset_index(drop=True)
-        out.insert(1, "blob", np.arange(1, len(out) + 1))
-        return out
+    def work(series: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        for number, near_x, near_y in _dilated(series, x, y, width, height, times):
+            yield from _labelled(number, near_x, near_y)
 
-    kind = mask.schema["series_id"].dataType.simpleString()
-    return mask.select("series_id", "x", "y").groupBy("series_id").applyInPandas(label, f"series_id {kind}, blob int, area long, min_x int, max_x int, min_y int, max_y int")
+    return _by_series(mask, work, _BLOB)
 
 
 def subject_boxes(found: DataFrame, width: int, height: int, frame_w: int, frame_h: int) -> DataFrame:
@@ -78,11 +154,10 @@ def subject_boxes(found: DataFrame, width: int, height: int, frame_w: int, frame
     Series whose largest blob is smaller than 20 pixels or 0.2 % of the grid, or larger than 85 % of it, have no box, nor have those
     whose box would be narrower or lower than 20 frame pixels.
     """
-    largest = found.groupBy("series_id").agg(F.max("area").alias("top_area"))
+    largest = found.where("series_id IS NOT NULL").withColumn("top_area", F.max("area").over(Window.partitionBy("series_id")))
     sized = largest.where((F.col("top_area") >= max(20, width * height * 0.002)) & (F.col("top_area") <= width * height * 0.85))
     around = (
-        found.join(sized, "series_id")
-        .where(F.col("area") >= F.col("top_area") * 0.5)
+        sized.where(F.col("area") >= F.col("top_area") * 0.5)
         .groupBy("series_id")
         .agg(F.min("min_x").alias("x0"), F.max("max_x").alias("x1"), F.min("min_y").alias("y0"), F.max("max_y").alias("y1"))
     )
@@ -120,5 +195,5 @@ def boxes_by_window(pixels: DataFrame, windows: DataFrame, width: int, height: i
     """
     named = windows.withColumn("key", F.concat_ws("/", F.col("series_id").cast("string"), F.col("win_id").cast("string")))
     held = intervals.within(pixels, named.where(F.col("end_s") - F.col("start_s") >= least_s).select("series_id", "key", "start_s", "end_s"), slot).select(F.col("key").alias("series_id"), "frame", "x", "y")
-    boxes = subject_boxes(blobs(dilate(union_mask(held), width, height)), width, height, frame_w, frame_h).withColumnRenamed("series_id", "key")
+    boxes = subject_boxes(dilated_blobs(union_mask(held), width, height), width, height, frame_w, frame_h).withColumnRenamed("series_id", "key")
     return named.select("series_id", "win_id", "key").join(boxes, "key", "left").drop("key")

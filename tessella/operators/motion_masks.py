@@ -126,7 +126,7 @@ def boxes_of(moving: DataFrame, windows: DataFrame, grid: tuple[int, int], frame
     key = F.concat_ws("/", F.col("series_id").cast("string"), F.col("win_id").cast("string")).alias("key")
     scanned = smaller(mask_scan(moving, windows.where(F.col("end_s") - F.col("start_s") >= least_s)), *grid)
     pixels = pgm.lit_pixels(scanned.select(key, "frame", "content").withColumnRenamed("key", "series_id"))
-    boxes = masks.subject_boxes(masks.blobs(masks.dilate(masks.union_mask(pixels), *grid)), *grid, *frame).withColumnRenamed("series_id", "key")
+    boxes = masks.subject_boxes(masks.dilated_blobs(masks.union_mask(pixels), *grid), *grid, *frame).withColumnRenamed("series_id", "key")
     return windows.select("series_id", "win_id", key).join(boxes, "key", "left").drop("key")
 
 

@@ -30,18 +30,14 @@ def union_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.union_mask(sources.mask_pixels(spark, sf_dir))
 
 
-def _dilated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masks.dilate(union_masks(spark, sf_dir), **_GRID)
-
-
 @register(f"WITH {_DILATED} SELECT * FROM dilated")
 def dilated_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dilated(spark, sf_dir)
+    return masks.dilate(union_masks(spark, sf_dir), **_GRID)
 
 
 @register(f"WITH RECURSIVE {_BLOBS} SELECT * FROM sized")
 def mask_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return masks.blobs(_dilated(spark, sf_dir))
+    return masks.dilated_blobs(union_masks(spark, sf_dir), **_GRID)
 
 
 _BOXES = f"""WITH RECURSIVE {_BLOBS}, top AS (SELECT series_id, max(area) AS top_area FROM sized GROUP BY 1 HAVING max(area) >= 28.8 AND max(area) <= 12240),

@@ -133,3 +133,41 @@ def test_images_of_any_event(spark, tmp_path):
     bodies = [b"P5 2 1 255\n\x00\x01", b"P6 1 1 255\n\x01", b"P5 1 3 255\n\x05\x00\x06", None, b"P5 2 2 255\n\x00\x00\x00\x00", b"P5 3 1 255\n\x00\x00\x01"]
     rows = pgm.lit_pixels(spark.createDataFrame([(k, 10 + k, b) for k, b in enumerate(bodies)], "series_id INT, frame INT, content BINARY"))
     assert sorted(map(tuple, rows.collect())) == [(0, 10, 1, 0), (2, 12, 0, 0), (2, 12, 0, 2), (5, 15, 2, 0)]
+
+
+def test_masks_are_cut_between_series_only(spark, monkeypatch):
+    """Many series meet in one call and one series spans several batches; both ways to the blobs agree, by plain sets."""
+    monkeypatch.setattr(masks, "CELLS", 700)  # a few grids at once
+    r = random.Random(12)
+    lit = {f"s{k}" if k else None: {(r.randrange(-3, 18), r.randrange(-3, 12)) for _ in range(1 + 3 * (k % 40))} for k in range(130)}
+    mask = spark.createDataFrame([(s, x, y) for s, p in lit.items() for x, y in p] + [("gone", None, 4)], "series_id STRING, x INT, y INT").repartition(3)
+    near = {(s, x + i, y + j) for s, p in lit.items() for x, y in p for i in range(-2, 3) for j in range(-2, 3) if 0 <= x + i < 15 and 0 <= y + j < 9}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for rows in ("17", "100000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            dilated = masks.dilate(mask, 15, 9)
+            got = [tuple(x) for x in dilated.collect()]
+            assert set(got) == near and len(got) == len(near)
+            parts = {tuple(x) for x in masks.dilated_blobs(mask, 15, 9).collect()}
+            assert parts == {tuple(x) for x in masks.blobs(dilated).collect()}
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {(s, sum(p[2] for p in parts if p[0] == s)) for s in lit if any(n[0] == s for n in near)} == {(s, sum(n[0] == s for n in near)) for s in lit if any(n[0] == s for n in near)}
+    far = spark.createDataFrame([(s, x, y) for s in (1, 2) for x, y in ((0, 0), (2**31 - 2, 2**31 - 2), (2**31 - 2, 2**31 - 3), (0, 2**31 - 2))], "series_id INT, x INT, y INT")
+    assert sorted((b.series_id, b.blob, b.area) for b in masks.blobs(far).collect()) == [(s, *b) for s in (1, 2) for b in ((1, 1), (2, 2), (3, 1))]
+
+
+def test_blobs_of_a_mask_are_made_once(spark):
+    """Dilated pixels are neither rows nor shuffled, and boxes read the blobs once."""
+    mask = spark.createDataFrame([(1, 5, 5)], "series_id INT, x INT, y INT")
+    plan = masks.subject_boxes(masks.dilated_blobs(mask, 160, 90), 160, 90, 1280, 720)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "FlatMapGroups" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_series_stay_whole_behind_a_join(spark):
+    """The join of a united mask may become a broadcast while the query runs; the shuffle by series has to stay."""
+    pixels = spark.range(4000).selectExpr("id % 7 AS series_id", "CAST(id % 3 AS INT) AS frame", "CAST(id % 40 AS INT) AS x", "CAST(id % 30 AS INT) AS y")
+    found = masks.dilated_blobs(masks.union_mask(pixels), 40, 30)
+    assert [(b.area, b.blob) for b in found.collect()] == [(1200, 1)] * 7
+    assert "REPARTITION_BY_COL" in found._jdf.queryExecution().executedPlan().toString()
