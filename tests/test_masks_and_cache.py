@@ -167,7 +167,7 @@ def test_blobs_of_a_mask_are_made_once(spark):
 
 def test_series_stay_whole_behind_a_join(spark):
     """The join of a united mask may become a broadcast while the query runs; the shuffle by series has to stay."""
-    pixels = spark.range(4000).selectExpr("id % 7 AS series_id", "CAST(id % 3 AS INT) AS frame", "CAST(id % 40 AS INT) AS x", "CAST(id % 30 AS INT) AS y")
+    pixels = spark.range(8400).selectExpr("id % 7 AS series_id", "CAST(id % 3 AS INT) AS frame", "CAST(id div 7 % 40 AS INT) AS x", "CAST(id div 280 AS INT) AS y")
     found = masks.dilated_blobs(masks.union_mask(pixels), 40, 30)
     assert [(b.area, b.blob) for b in found.collect()] == [(1200, 1)] * 7
     assert "REPARTITION_BY_COL" in found._jdf.queryExecution().executedPlan().toString()
