@@ -167,8 +167,7 @@ _TALK = f"""SELECT user_id AS series_id, event_id, CASE event_id % 5 WHEN 0 THEN
 def tail_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's lines become a log in a shared folder, which is then read from its end."""
     folder = new_folder(spark, "talk")
-    rows = over(spark, sf_dir, _TALK, "events").repartition("series_id").sortWithinPartitions("series_id", "event_id")
-    rows.select("series_id", "line").write.partitionBy("series_id").text(folder)
+    tails.write_logs(over(spark, sf_dir, _TALK, "events"), folder, "event_id")
     spark.dataSource.register(tails.TailModels)
     found = spark.read.format("tail_models").load(folder)
-    return found.select(F.regexp_extract("file", r"series_id=(-?\d+)/", 1).cast("long").alias("series_id"), "model")
+    return found.select(F.nullif(F.regexp_extract("file", r"series_id=(-?\d+)\.txt", 1), F.lit("")).cast("long").alias("series_id"), "model")

@@ -50,6 +50,18 @@ def test_a_long_log_costs_one_block(spark, tmp_path):
     assert spark.read.format("tail_models").load(str(long)).count() == 1
 
 
+def test_logs_of_series_are_written_whole_and_in_order(spark, tmp_path):
+    rows = [(s, k, f"{s} {k} ü") for s in (None, -3, 0, 5) for k in range(40)] + [(9, 1, None)]
+    random.Random(2).shuffle(rows)
+    lines = spark.createDataFrame(rows, "series_id long, k long, line string").repartition(5)
+    folder = tmp_path / "deep" / "logs"
+    for _ in range(2):  # again over what is there
+        tails.write_logs(lines, str(folder), "k")
+        got = {f.name: f.read_text() for f in folder.iterdir()}
+        assert got.pop("series_id=9.txt") == "\n"
+        assert got == {f"series_id={'none' if s is None else s}.txt": "".join(f"{s} {k} ü\n" for k in range(40)) for s in (None, -3, 0, 5)}
+
+
 def test_a_line_over_many_blocks_is_found():
     body = (line("early") + "\n" + json.dumps({"pad": "x" * 5000, "message": {"model": "wide"}}) + "\n{}\n").encode()
     assert tails.last_of(len(body), lambda at, n: body[at : at + n], block=100)[0] == "wide"
