@@ -1,14 +1,21 @@
-"""Near copies by Jaccard similarity of word shingles: sets of five words that overlap by at least 0.8.
-
-Equal sets are collapsed first. MinHash bands propose pairs of distinct sets: ``BANDS`` bands of ``ROWS`` hashes miss a pair of
-similarity 0.8 with a chance of 3e-5 and a more similar one less often. Every proposed pair is decided by the exact similarity
-of its two texts. Groups are the connected components of the pairs found.
-
-A bucket can hold a third of all sets, so its pairs are not all formed. First neighbours in the order (band, next band)
-are compared, which are the most alike; they join nearly all of a large group. Then each set outside its bucket's largest
-component meets the bucket's sets of other components: both sides are cut into blocks of bounded size, each pair of blocks is
-compared in a task from sketches and then from the shingles themselves, and only links leave the task. What is not compared is
-joined already, so the components are those of all proposed pairs. Only a bucket of many sets that are not near copies
+"""Near copies by SimHash and anchors: sets of five words whose Jaccard similarity is at least 0.8.
+
+Equal sets are collapsed first. A set's fingerprint is a SimHash of ``SEGMENTS`` segments of 31 bits: a bit is 1 if set in over half the
+hashes of its shingles and of one constant, which is in every set and steadies sets of a few shingles. Two sets of similarity 0.8
+differ in 15 or 16 of 100 bits, too many for one radius over all bits, so every segment has the anchors of op6 to itself (``simhash.anchors_of``,
+the Hamming code over 31 bits): sets that differ in two bits at most of any segment meet at one of its anchors. At similarity 0.8 that
+misses a pair with a chance of 3e-5 at most, a more similar one less often. Every pair that meets is decided by the exact similarity of its two texts.
+Groups are the connected components of the pairs found.
+
+A segment has up to 16 anchors, so sets that cannot have a near copy are not sent to anchors: a near copy shares at least four fifths of a set's
+shingles, and a set stays if two fifths of some ``SAMPLE`` of its shingles, those of least hash, are in another set too. At similarity
+0.8 that fails with a chance below 4e-6, and never for sets of up to ``SAMPLE`` shingles, which are looked at whole.
+
+A third of all sets can meet at an anchor, so its pairs are not all formed. First neighbours in the order (nearest anchor, next
+segment) are compared, which are the most alike; they join nearly all of a large group. Then each set outside its anchor's largest
+component meets the anchor's sets of other components: both sides are cut into blocks of bounded size, each pair of blocks is
+compared from fingerprints and then from the shingles themselves. Pairs leave the task only where few sets meet (``SMALL``), else only links. What is not compared is
+joined already, so the components are those of all pairs that meet. Only an anchor of many sets that are not near copies
 costs the square of its size in comparisons.
 """
 
@@ -21,22 +28,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .arrowtext import Chunk, chunks, column, mix, raw, release, whole_groups
 from .graph import connected_components, ensure_checkpoint_dir
 
 SHINGLE = 5
 #: Least similarity, as a fraction.
 LEAST = (4, 5)
-BANDS, ROWS = 20, 4
-#: Pairs with fewer equal bytes of their sketches (one for each hash) are dropped unread: at similarity 0.8 a chance below 1e-5.
-LEAST_EQUAL = 46
+#: Segments of a fingerprint, and the bits of each that the code covers.
+SEGMENTS, BITS = 84, 31
+#: Segments whose nearest anchors give neighbours.
+NEIGHBOURS = 20
+#: Pairs with more differing bits of all 2,604 are dropped unread: at similarity 0.8 a chance below 1e-6.
+MOST_DIFFER = 500
+#: Segments looked at first, and most differing bits of them.
+HEAD, MOST_DIFFER_HEAD = 8, 73
+#: Shingles of a set that are looked for in others, and the most of them, as a fraction, that no other set has.
+SAMPLE, MOST_ALONE = 32, (3, 5)
+#: Rows (anchor, set) of a bucket, but that those of one anchor stay together.
+BUCKET = 1 << 19
+#: Rows of a group whose pairs leave the task that finds them; larger groups are compared inside tasks.
+SMALL = 64
 #: Sets, and shingles, in a block of those outside their bucket's largest component, and in one of the others.
 BLOCK_OUT, BLOCK_IN = (512, 1 << 17), (4096, 1 << 20)
 
 _RNG = np.random.default_rng(20250501)
-_TIMES = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
-_PLACE = _RNG.integers(1, 2**63, max(SHINGLE, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_TIMES = _RNG.integers(1, 2**63, SEGMENTS // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RNG.integers(1, 2**63, SEGMENTS // 2, dtype=np.uint64)
+_PLACE = _RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: In every set when its fingerprint is made.
+_CONSTANT = _RNG.integers(1, 2**63, 1, dtype=np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -63,46 +84,116 @@ def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         yield lo, np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=c.rows))]), h[new]
 
 
+def fingerprint(h: np.ndarray) -> np.ndarray:
+    """The segments of a set's SimHash, 31 bits of a uint32 each."""
+    h = np.concatenate([h, _CONSTANT])
+    ones = np.zeros(SEGMENTS * 32, np.int64)
+    for k in range(0, len(h), 255):
+        words = mix(h[k : k + 255, None] * _TIMES + _PLUS)
+        ones += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(h), bitorder="little").view("<u4") & np.uint32((1 << BITS) - 1)
+
+
 def _signatures(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     for lo, at, h in shingle_sets(column(batch, "text")):
         size = np.diff(at)
         some = np.flatnonzero(size)
-        sid, sig = np.zeros(len(size), np.uint64), np.zeros((len(size), BANDS * ROWS), np.uint64)
+        sid = np.zeros(len(size), np.uint64)
         if len(some):
             sid[some] = mix(np.add.reduceat(mix(h ^ _PLUS[0]), at[some]) + size[some].astype(np.uint64))
-            for k in range(BANDS * ROWS):
-                sig[some, k] = np.minimum.reduceat(h * _TIMES[k] + _PLUS[k], at[some])
-        sketch = (mix(sig) >> np.uint64(56)).astype(np.uint8)
-        bands = mix((sig.reshape(len(size), BANDS, ROWS) * _PLACE[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+        least = [x[: np.searchsorted(x, np.uint64(SAMPLE * 2**64 // len(x)))] if len(x) > SAMPLE else x for x in (h[a:b] for a, b in zip(at[:-1], at[1:]))]
         rest = batch.slice(lo, len(size))
         yield pa.RecordBatch.from_arrays(
-            [rest.column("id"), rest.column("text_hash"), rest.column("row"), pa.array(sid.view(np.int64)), pa.array(size, pa.int64()), pa.array([x.tobytes() for x in sketch], pa.binary()), pa.array([x.tobytes() for x in bands], pa.binary())],
-            ["id", "text_hash", "row", "sid", "n", "sketch", "bands"],
+            [rest.column("id"), rest.column("text_hash"), rest.column("row"), pa.array(sid.view(np.int64)), pa.array(size, pa.int64()), pa.array([x.tobytes() for x in least], pa.binary())],
+            ["id", "text_hash", "row", "sid", "n", "least"],
         )
 
 
-def _in_bands(batches):
+def _sampled(batches):
     for batch in batches:
-        sid = column(batch, "sid").to_numpy(zero_copy_only=False)
-        bands = np.frombuffer(b"".join(column(batch, "bands").to_pylist()), np.int64).reshape(-1, BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(bands.ravel()), pa.array(np.roll(bands, -1, axis=1).ravel()), pa.array(np.repeat(sid, BANDS))], ["band", "next", "sid"])
+        least = [np.frombuffer(x, np.int64) for x in column(batch, "least").to_pylist()]
+        sid = np.repeat(column(batch, "sid").to_numpy(zero_copy_only=False), [len(x) for x in least])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*least, np.zeros(0, np.int64)])), pa.array(sid)], ["h", "sid"])
+
+
+def _fingerprints(batches):
+    for batch in batches:
+        for lo, at, h in shingle_sets(column(batch, "text")):
+            prints = [fingerprint(h[a:b]).tobytes() for a, b in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([column(batch, "sid").slice(lo, len(prints)), pa.array(np.diff(at), pa.int64()), pa.array(prints, pa.binary())], ["sid", "n", "print"])
+    release()
+
+
+def segments(values: pa.Array, n: int = SEGMENTS) -> np.ndarray:
+    """A row of segments for each fingerprint, or for its first ``n`` segments."""
+    return np.frombuffer(b"".join(values.to_pylist()), "<u4").reshape(-1, n)
+
+
+def _nearest(batches):
+    for batch in batches:
+        prints = segments(column(batch, "print"))
+        some, follow = (np.ascontiguousarray(x).ravel().astype(np.uint64) for x in (prints[:, :NEIGHBOURS], prints[:, 1 : NEIGHBOURS + 1]))
+        place = np.tile(np.arange(NEIGHBOURS, dtype=np.uint64), len(prints)) << np.uint64(BITS)
+        sid = np.repeat(column(batch, "sid").to_numpy(zero_copy_only=False), NEIGHBOURS)
+        yield pa.RecordBatch.from_arrays([pa.array((simhash.nearest_anchor(some, BITS) | place).view(np.int64)), pa.array(follow.view(np.int64)), pa.array(sid)], ["anchor", "next", "sid"])
+
+
+def anchors(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, row) for the anchors of every segment of each row, in order of rows; an anchor begins with its segment's number."""
+    anchor, index = simhash.anchors_of(prints.ravel().astype(np.uint64), BITS)
+    row, segment = np.divmod(index, prints.shape[1])
+    order = np.argsort(row, kind="stable")
+    return (anchor.view(np.int64) | segment << BITS)[order], row[order]
+
+
+def _anchored(batches, buckets: int):
+    """A set's anchors, dealt to buckets by a hash: a row for each set and bucket, with its anchors there, five bytes each."""
+    for batch in batches:
+        for lo in range(0, len(batch), 100):
+            some = batch.slice(lo, 100)
+            anchor, row = anchors(segments(column(some, "print")))
+            bucket = (mix(anchor.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((bucket, row))
+            anchor, row, bucket = anchor[order], row[order], bucket[order]
+            first = np.concatenate([[0], np.flatnonzero((row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])) + 1])
+            at = np.append(first, len(row)).astype(np.int32) * 5
+            held = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at), pa.py_buffer(anchor.view(np.uint8).reshape(-1, 8)[:, :5].tobytes())])
+            sid, c = (column(some, k).to_numpy(zero_copy_only=False)[row[first]] for k in ("sid", "c"))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(sid), pa.array(c), held], ["bucket", "sid", "c", "anchors"])
+
+
+def _mixed(batches):
+    """(anchor, sid, c) where sets of several components meet."""
+    for table in whole_groups(batches, "bucket"):
+        data, at = raw(column(table, "anchors"))
+        wide = np.zeros((len(data) // 5, 8), np.uint8)
+        wide[:, :5] = data.reshape(-1, 5)
+        anchor = wide.view(np.int64).ravel()
+        order = np.argsort(anchor, kind="stable")
+        row, anchor = np.repeat(np.arange(len(table)), np.diff(at) // 5)[order], anchor[order]
+        sid, c = (column(table, k).to_numpy(zero_copy_only=False)[row] for k in ("sid", "c"))
+        first = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1])
+        several = np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
+        keep = np.repeat(several, np.diff(np.append(first, len(anchor))))
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (anchor, sid, c)], ["anchor", "sid", "c"])
+    release()
 
 
 def _neighbours(batches):
-    parts = [[column(b, k).to_numpy(zero_copy_only=False) for k in ("band", "next", "sid")] for b in batches]
+    parts = [[column(b, k).to_numpy(zero_copy_only=False) for k in ("anchor", "next", "sid")] for b in batches]
     if parts:
-        band, follow, sid = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((sid, follow, band))
-        band, sid = band[order], sid[order]
-        pair = np.flatnonzero((band[1:] == band[:-1]) & (sid[1:] != sid[:-1]))
+        anchor, follow, sid = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((sid, follow, anchor))
+        anchor, sid = anchor[order], sid[order]
+        pair = np.flatnonzero((anchor[1:] == anchor[:-1]) & (sid[1:] != sid[:-1]))
         u, v = np.maximum(sid[pair], sid[pair + 1]), np.minimum(sid[pair], sid[pair + 1])
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
 def _alike(batches):
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(column(batch, k).to_pylist()), np.uint8).reshape(-1, BANDS * ROWS) for k in ("sketch_u", "sketch_v"))
-        yield batch.select(["u", "v"]).filter(pa.array((a == b).sum(axis=1) >= LEAST_EQUAL))
+        a, b = (segments(column(batch, k)) for k in ("print_u", "print_v"))
+        yield batch.select(["u", "v"]).filter(pa.array(np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= MOST_DIFFER))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -120,12 +211,12 @@ def _verified(batches):
     release()
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, prints: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) of sets that have the least similarity."""
     for k in ("u", "v"):
-        pairs = pairs.join(sets.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}")), k)
+        pairs = pairs.join(prints.select(F.col("sid").alias(k), F.col("n").alias(f"n_{k}"), F.col("print").alias(f"print_{k}")), k)
     near = LEAST[1] * F.least("n_u", "n_v") >= LEAST[0] * F.greatest("n_u", "n_v")
-    pairs = pairs.where(near).select("u", "v", "sketch_u", "sketch_v").mapInArrow(_alike, "u long, v long")
+    pairs = pairs.where(near).select("u", "v", "print_u", "print_v").mapInArrow(_alike, "u long, v long")
     for k in ("u", "v"):
         pairs = pairs.join(texts.select(F.col("sid").alias(k), F.col("text").alias(f"text_{k}")), k)
     return pairs.select("u", "v", "text_u", "text_v").mapInArrow(_verified, "u long, v long").checkpoint()
@@ -139,17 +230,54 @@ def _shingles(batches):
     release()
 
 
-def links_in_group(band: np.ndarray, sid: np.ndarray, c: np.ndarray, out: np.ndarray, sketch: np.ndarray, bands: np.ndarray, shingles: list[np.ndarray]) -> list[tuple[int, int]]:
+def _parts(table: pa.Table) -> Iterator[pa.Table]:
+    group = column(table, "group").to_numpy(zero_copy_only=False)
+    cut = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+    yield from (table.slice(a, b - a) for a, b in zip(cut, cut[1:]))
+
+
+def _promising(batches, small: int):
+    """Where sets of two components, at least one of them outside, are near by their first segments: pairs (sid, other) from groups
+    of up to ``small`` rows, all rows of such sets, without ``other``, from larger ones."""
+    for table in whole_groups(batches, "group"):
+        group, sid, c, out = (column(table, k).to_numpy(zero_copy_only=False) for k in ("group", "sid", "c", "out"))
+        head = segments(column(table, "head"), HEAD)
+        first = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1])
+        size = np.diff(np.append(first, len(group)))
+        place, step, pairs = np.flatnonzero(np.repeat(size, size) <= small), 1, []
+        while len(place):
+            place = place[place < len(group) - step]
+            place = place[group[place] == group[place + step]]
+            x, y = place, place + step
+            near = (c[x] != c[y]) & (out[x] | out[y]) & (np.bitwise_count(head[x] ^ head[y]).sum(axis=1, dtype=np.int64) <= MOST_DIFFER_HEAD)
+            pairs.append(np.stack([np.maximum(sid[x], sid[y])[near], np.minimum(sid[x], sid[y])[near]]))
+            step += 1
+        if pairs:
+            u, v = np.unique(np.concatenate(pairs, axis=1), axis=1)
+            none = pa.nulls(len(u), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(u), none, pa.nulls(len(u), pa.bool_()), none, pa.array(v)], ["anchor", "sid", "c", "out", "group", "other"])
+        for a, n in zip(first[size > small], size[size > small]):
+            part, keep = slice(a, a + n), np.zeros(n, bool)
+            for o in np.flatnonzero(out[part]):
+                near = (c[part] != c[a + o]) & (np.bitwise_count(head[part] ^ head[a + o]).sum(axis=1, dtype=np.int64) <= MOST_DIFFER_HEAD)
+                keep |= near
+                keep[o] |= near.any()
+            k, names = a + np.flatnonzero(keep), ["anchor", "sid", "c", "out", "group"]
+            yield pa.RecordBatch.from_arrays([*(column(table, x).take(pa.array(k)) for x in names), pa.nulls(len(k), pa.int64())], [*names, "other"])
+
+
+def links_in_group(anchor: np.ndarray, sid: np.ndarray, c: np.ndarray, out: np.ndarray, prints: np.ndarray, shingles: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links between sets of different components, from the comparison of each set with ``out`` to the others.
 
-    A pair that shares several bands is compared in the first of them. One link is enough for two components.
+    A pair that meets in several segments is compared in the first of them that differs in two bits at most. One link is enough for two components.
     """
     n, links = np.array([len(x) for x in shingles]), []
     for o in np.flatnonzero(out):
         far = (c != c[o]) & (~out | (sid > sid[o])) & (LEAST[1] * np.minimum(n, n[o]) >= LEAST[0] * np.maximum(n, n[o]))
         rows = np.flatnonzero(far)
-        rows = rows[bands[rows, (bands[rows] == bands[o]).argmax(axis=1)] == band[o]]
-        rows = rows[(sketch[rows] == sketch[o]).sum(axis=1) >= LEAST_EQUAL]
+        differ = np.bitwise_count(prints[rows] ^ prints[o])
+        first = (differ <= simhash.DIFFER).argmax(axis=1) == anchor[o] >> BITS
+        rows = rows[first & (differ.sum(axis=1, dtype=np.int64) <= MOST_DIFFER)]
         if not len(rows):
             continue
         own, h = shingles[o], np.concatenate([shingles[k] for k in rows])
@@ -163,54 +291,67 @@ def links_in_group(band: np.ndarray, sid: np.ndarray, c: np.ndarray, out: np.nda
 
 def _compared(batches):
     for table in whole_groups(batches, "group"):
-        group, band, sid, c = (column(table, k).to_numpy(zero_copy_only=False) for k in ("group", "band", "sid", "c"))
-        out = column(table, "out").to_numpy(zero_copy_only=False)
-        sketch = np.frombuffer(b"".join(column(table, "sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-        bands = np.frombuffer(b"".join(column(table, "bands").to_pylist()), np.int64).reshape(-1, BANDS)
-        shingles = [np.frombuffer(x, np.uint64) for x in column(table, "shingles").to_pylist()]
-        cut = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
-        links = [x for a, b in zip(cut, cut[1:]) for x in links_in_group(band[a:b], sid[a:b], c[a:b], out[a:b], sketch[a:b], bands[a:b], shingles[a:b])]
+        links = []
+        for part in _parts(table):
+            anchor, sid, c, out = (column(part, k).to_numpy(zero_copy_only=False) for k in ("anchor", "sid", "c", "out"))
+            links += links_in_group(anchor, sid, c, out, segments(column(part, "print")), [np.frombuffer(x, np.uint64) for x in column(part, "shingles").to_pylist()])
         u, v = zip(*links) if links else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
     release()
 
 
-def _across(bands: DataFrame, members: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (u, v) between sets of one bucket that are in different components so far."""
-    placed = bands.join(members, bands["sid"] == members["node"], "left").select("band", "sid", F.coalesce("component", "sid").alias("c"))
-    placed = placed.join(sets.select("sid", "n"), "sid").checkpoint()
-    by_part = placed.groupBy("band", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
-    tops = by_part.groupBy("band").agg(F.max(F.struct("k", "c", "n")).alias("top"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+def _across(prints: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (u, v) between sets of one anchor that are in different components so far."""
+    placed = prints.join(members, prints["sid"] == members["node"], "left").select("sid", "print", F.coalesce("component", "sid").alias("c")).checkpoint()
+    buckets = max(1, placed.count() * 16 * SEGMENTS // BUCKET)
+    dealt = placed.mapInArrow(lambda batches: _anchored(batches, buckets), "bucket long, sid long, c long, anchors binary")
+    placed = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_mixed, "anchor long, sid long, c long")
+    placed = placed.join(prints.select("sid", "n"), "sid").checkpoint()
+    by_part = placed.groupBy("anchor", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    tops = by_part.groupBy("anchor").agg(F.max(F.struct("k", "c", "n")).alias("top"), F.sum("k").alias("k"), F.sum("n").alias("n"))
 
     def blocks(k, n, most):
         return F.greatest(F.ceil(k / most[0]), F.ceil(n / most[1])).cast("long")
 
-    shape = tops.select("band", F.col("top.c").alias("top"), blocks(F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n"), BLOCK_OUT).alias("outs"), blocks(F.col("top.k"), F.col("top.n"), BLOCK_IN).alias("ins"))
+    shape = tops.select("anchor", F.col("top.c").alias("top"), blocks(F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n"), BLOCK_OUT).alias("outs"), blocks(F.col("top.k"), F.col("top.n"), BLOCK_IN).alias("ins"))
     out = F.col("c") != F.col("top")
-    rows = placed.join(shape, "band").withColumn("out", out).withColumn("block", F.pmod(F.xxhash64("sid"), F.when(out, F.col("outs")).otherwise(F.col("ins"))))
-    pair = lambda kind, x, y: F.xxhash64("band", F.lit(kind), x, y)
+    rows = placed.join(shape, "anchor").withColumn("out", out).withColumn("block", F.pmod(F.xxhash64("sid"), F.when(out, F.col("outs")).otherwise(F.col("ins"))))
+    pair = lambda kind, x, y: F.xxhash64("anchor", F.lit(kind), x, y)
     with_in = F.transform(F.sequence(F.lit(0).cast("long"), F.col("ins") - 1), lambda y: pair(0, F.col("block"), y))
     with_out = F.transform(F.sequence(F.lit(0).cast("long"), F.col("outs") - 1), lambda x: pair(1, F.least(x, F.col("block")), F.greatest(x, F.col("block"))))
     as_in = F.transform(F.sequence(F.lit(0).cast("long"), F.col("outs") - 1), lambda x: pair(0, x, F.col("block")))
-    rows = rows.select("band", "sid", "c", "out", F.explode(F.when(F.col("out"), F.concat(with_in, with_out)).otherwise(as_in)).alias("group"))
-    held = sets.select("sid", "sketch", "bands").join(texts.mapInArrow(_shingles, "sid long, shingles binary"), "sid")
-    return rows.join(held, "sid").repartition("group").sortWithinPartitions("group").mapInArrow(_compared, "u long, v long").distinct().checkpoint()
+    rows = rows.select("anchor", "sid", "c", "out", F.explode(F.when(F.col("out"), F.concat(with_in, with_out)).otherwise(as_in)).alias("group"))
+    rows = rows.join(prints.select("sid", F.substring("print", 1, 4 * HEAD).alias("head")), "sid").repartition("group").sortWithinPartitions("group")
+    small = SMALL
+    found = rows.mapInArrow(lambda batches: _promising(batches, small), "anchor long, sid long, c long, out boolean, group long, other long").checkpoint()
+    links = _confirm(found.where("other IS NOT NULL").select(F.col("sid").alias("u"), F.col("other").alias("v")).distinct(), prints, texts)
+    rows = found.where("other IS NULL").drop("other")
+    held = prints.select("sid", "print").join(texts.mapInArrow(_shingles, "sid long, shingles binary"), "sid")
+    compared = rows.join(held, "sid").repartition("group").sortWithinPartitions("group").mapInArrow(_compared, "u long, v long")
+    return links.union(compared).distinct().checkpoint()
+
+
+def _sharing(sets: DataFrame) -> DataFrame:
+    """The sets of which enough sampled shingles are in another set too. A shingle of one set alone names that set, so no set's rows meet at a frequent shingle."""
+    some = sets.where("n > 0")
+    held = some.select("sid", "least").mapInArrow(_sampled, "h long, sid long").groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("sid").alias("of"))
+    alone = held.where("k = 1").groupBy("of").agg(F.count(F.lit(1)).alias("alone"))
+    return some.join(alone, some["sid"] == alone["of"], "left").where(MOST_ALONE[1] * F.coalesce("alone", F.lit(0)) <= MOST_ALONE[0] * F.length("least") / 8).select("sid", "head")
 
 
 def _groups(keyed: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, component): components of near copies among distinct sets; sets without a near copy are left out."""
-    bands = sets.where("n > 0").select("sid", "bands").mapInArrow(_in_bands, "band long, next long, sid long")
-    shared = bands.groupBy("band").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a <> b").select("band")
-    bands = bands.join(shared, "band").checkpoint()
-    wanted = sets.join(bands.select("sid").distinct(), "sid").select("sid", F.col("head.id").alias("head_id"), F.col("head.row").alias("head_row"))
+    wanted = _sharing(sets).select("sid", F.col("head.id").alias("head_id"), F.col("head.row").alias("head_row"))
     found = keyed.join(wanted, keyed["id"].eqNullSafe(wanted["head_id"]) & (keyed["row"] == wanted["head_row"]))
     texts = found.select("sid", "text").dropDuplicates(["sid"]).checkpoint()
+    prints = texts.mapInArrow(_fingerprints, "sid long, n long, print binary").checkpoint()
 
-    first = bands.repartitionByRange("band", "next", "sid").mapInArrow(_neighbours, "u long, v long").distinct().checkpoint()
-    links = _confirm(first, sets, texts)
+    nearest = prints.select("sid", "print").mapInArrow(_nearest, "anchor long, next long, sid long")
+    first = nearest.repartitionByRange("anchor", "next", "sid").mapInArrow(_neighbours, "u long, v long").distinct().checkpoint()
+    links = _confirm(first, prints, texts)
     members = connected_components(links)
 
-    more = _across(bands, members, sets, texts)
+    more = _across(prints, members, texts)
     return members if more.isEmpty() else connected_components(links.union(more))
 
 
@@ -226,9 +367,9 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ensure_checkpoint_dir(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
     kind = keyed.schema["id"].dataType.simpleString()
-    rows = keyed.mapInArrow(lambda batches: (x for b in batches for x in _signatures(b)), f"id {kind}, text_hash long, row long, sid long, n long, sketch binary, bands binary").checkpoint()
+    rows = keyed.mapInArrow(lambda batches: (x for b in batches for x in _signatures(b)), f"id {kind}, text_hash long, row long, sid long, n long, least binary").checkpoint()
     head = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("head")
-    sets = rows.groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), head).checkpoint()
+    sets = rows.groupBy("sid").agg(F.first("n").alias("n"), F.first("least").alias("least"), head).checkpoint()
     groups = _groups(keyed, sets)
     return rows.join(groups, rows["sid"] == groups["node"], "left").select("id", "text_hash", "row", F.coalesce("component", "sid").alias("component"))
 

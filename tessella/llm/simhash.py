@@ -24,7 +24,7 @@ from .arrowtext import column, whole_groups
 from .graph import connected_components, ensure_checkpoint_dir
 
 _SEED = 42
-_DIFFER = 2
+DIFFER = 2
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -59,19 +59,32 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, fp long")
 
 
-def anchors_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(anchor, index of the fingerprint) for every anchor within two bits of each fingerprint."""
-    low = fps & np.uint64((1 << 63) - 1)
+def _syndrome(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the low bits, the place of the one bit to flip for a word of the code, from 1; 0 for a word of the code)."""
+    low = fps & np.uint64((1 << bits) - 1)
     syndrome = np.zeros(len(fps), dtype=np.uint64)
-    for bit in range(6):
-        mask = np.uint64(sum(1 << (place - 1) for place in range(1, 64) if place >> bit & 1))
+    for bit in range(bits.bit_length()):
+        mask = np.uint64(sum(1 << (place - 1) for place in range(1, bits + 1) if place >> bit & 1))
         syndrome |= (np.bitwise_count(low & mask).astype(np.uint64) & np.uint64(1)) << np.uint64(bit)
+    return low, syndrome
+
+
+def nearest_anchor(fps: np.ndarray, bits: int = 63) -> np.ndarray:
+    """The anchor within one bit of each fingerprint, by the Hamming code over the low ``bits`` bits (63, 31, ...)."""
+    low, syndrome = _syndrome(fps, bits)
+    one = np.uint64(1)
+    return np.where(syndrome == 0, low, low ^ (one << (np.maximum(syndrome, one) - one)))
+
+
+def anchors_of(fps: np.ndarray, bits: int = 63) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, index of the fingerprint) for every anchor within two bits of each fingerprint, by the Hamming code over the low ``bits`` bits."""
+    low, syndrome = _syndrome(fps, bits)
     own = np.flatnonzero(syndrome == 0)
     far = np.flatnonzero(syndrome != 0)
     s = syndrome[far]
     one = np.uint64(1)
     out, index = [low[own], low[far] ^ (one << (s - one))], [own, far]
-    for place in range(1, 64):
+    for place in range(1, bits + 1):
         i = np.uint64(place)
         j = s ^ i
         use = j > i  # each pair of places once; s == i is the flip of one bit above
@@ -101,7 +114,7 @@ def links_at_anchors(anchor: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np
         place = place[a[place] == a[place + step]]
         if not len(place):
             break
-        near = place[np.bitwise_count(f[place] ^ f[place + step]) <= _DIFFER]
+        near = place[np.bitwise_count(f[place] ^ f[place + step]) <= DIFFER]
         x, y = v[near], v[near + step]
         while len(x):
             parent = _roots(parent)

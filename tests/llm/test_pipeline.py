@@ -155,3 +155,29 @@ def test_run_against_plain_stages(spark, tmp_path):
 def test_run_on_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_meet_at_anchors_of_their_fingerprints():
+    r = np.random.default_rng(5)
+    some = lambda n: r.integers(0, 2**64, n, dtype=np.uint64)
+    for n, m, both in [(4, 5, 4), (5, 6, 5), (9, 9, 8), (40, 50, 40), (90, 90, 80), (450, 450, 400)]:  # similarity 0.8, or the next above
+        for _ in range(40):
+            shared = some(both)
+            prints = np.stack([near_copies.fingerprint(np.concatenate([shared, some(k - both)])) for k in (n, m)])
+            anchor, row = near_copies.anchors(prints)
+            differ = np.bitwise_count(prints[0] ^ prints[1])
+            met = {int(a) >> 31 for a in np.intersect1d(anchor[row == 0], anchor[row == 1])}
+            assert met >= set(np.flatnonzero(differ <= 2).tolist()) and met and differ.sum() <= near_copies.MOST_DIFFER
+    unlike = np.stack([near_copies.fingerprint(some(300)) for _ in range(30)])
+    anchor, row = near_copies.anchors(unlike)
+    assert len(np.unique(anchor)) == len(anchor) and np.bitwise_count(unlike[0] ^ unlike[1]).sum() > 1000
+
+
+def test_near_copies_of_large_groups_are_compared_in_tasks(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SMALL", 1)
+    monkeypatch.setattr(near_copies, "BLOCK_OUT", (3, 500))
+    monkeypatch.setattr(near_copies, "BLOCK_IN", (5, 900))
+    texts = near_texts()
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], SCHEMA)
+    got = {x.id: x.component for x in near_copies.labelled(docs).collect()}
+    assert same_parts([got[k] for k in range(len(texts))], groups(texts))
