@@ -8,15 +8,18 @@ misses a pair with a chance of 3e-5 at most, a more similar one less often. Ever
 Groups are the connected components of the pairs found.
 
 A segment has up to 16 anchors, so sets that cannot have a near copy are not sent to anchors: a near copy shares at least four fifths of a set's
-shingles, and a set stays if two fifths of some ``SAMPLE`` of its shingles, those of least hash, are in another set too. At similarity
-0.8 that fails with a chance below 4e-6, and never for sets of up to ``SAMPLE`` shingles, which are looked at whole.
-
-A third of all sets can meet at an anchor, so its pairs are not all formed. First neighbours in the order (nearest anchor, next
-segment) are compared, which are the most alike; they join nearly all of a large group. Then each set outside its anchor's largest
-component meets the anchor's sets of other components: both sides are cut into blocks of bounded size, each pair of blocks is
-compared from fingerprints and then from the shingles themselves. Pairs leave the task only where few sets meet (``SMALL``), else only links. What is not compared is
-joined already, so the components are those of all pairs that meet. Only an anchor of many sets that are not near copies
-costs the square of its size in comparisons.
+shingles. First a set stays if two fifths of some ``SAMPLE`` of its shingles, those of least hash, are in another set too (at similarity
+0.8 that fails with a chance below 4e-6, and never for sets of up to ``SAMPLE`` shingles, which are looked at whole); then
+if four fifths of all its shingles are in other sets that stayed, which loses nothing.
+
+A third of all sets can meet at an anchor, and sets just below the limit meet there as well, so its pairs are never formed as rows. First neighbours
+in the order (nearest anchor, next segment) are compared, which are the most alike; they join nearly all of a large group. Then components that
+meet at anchors are joined to families, by a forest of links for each bucket of anchors: two sets count if they differ little in their first
+segments, or whatever they are where an anchor has over ``SMALL`` sets. In a family each set outside its largest component meets
+the sets of other components: both sides are cut into blocks of bounded size, and each pair of blocks is compared in a task, from fingerprints and then from the
+shingles themselves. Only links leave the task, fewer than its components. What is not compared is joined already, so the
+components are at least those of all pairs that meet. A set has one row for each pair of blocks that it is in, however many anchors it
+shares; only a family of more sets than a block holds costs rows, and any family comparisons, by the square of its size.
 """
 
 from __future__ import annotations
@@ -41,16 +44,16 @@ SEGMENTS, BITS = 84, 31
 NEIGHBOURS = 20
 #: Pairs with more differing bits of all 2,604 are dropped unread: at similarity 0.8 a chance below 1e-6.
 MOST_DIFFER = 500
-#: Segments looked at first, and most differing bits of them.
-HEAD, MOST_DIFFER_HEAD = 8, 73
+#: Segments looked at first, and most differing bits of their 496 (at similarity 0.8 a chance below 1e-8 to differ in more).
+HEAD, MOST_DIFFER_HEAD = 16, 128
 #: Shingles of a set that are looked for in others, and the most of them, as a fraction, that no other set has.
 SAMPLE, MOST_ALONE = 32, (3, 5)
-#: Rows (anchor, set) of a bucket, but that those of one anchor stay together.
-BUCKET = 1 << 19
-#: Rows of a group whose pairs leave the task that finds them; larger groups are compared inside tasks.
+#: Segments whose anchors are dealt together, and rows (anchor, set) that are looked at together, but that those of one anchor stay together.
+TOGETHER, BUCKET = 4, 1 << 21
+#: Sets of an anchor that are looked at pair by pair; those of larger ones are one family.
 SMALL = 64
-#: Sets, and shingles, in a block of those outside their bucket's largest component, and in one of the others.
-BLOCK_OUT, BLOCK_IN = (512, 1 << 17), (4096, 1 << 20)
+#: Sets, and shingles, in a block of those outside their family's largest component, and in one of the others.
+BLOCK_OUT, BLOCK_IN = (1024, 1 << 19), (4096, 1 << 20)
 
 _RNG = np.random.default_rng(20250501)
 _TIMES = _RNG.integers(1, 2**63, SEGMENTS // 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -146,36 +149,55 @@ def anchors(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (anchor.view(np.int64) | segment << BITS)[order], row[order]
 
 
-def _anchored(batches, buckets: int):
-    """A set's anchors, dealt to buckets by a hash: a row for each set and bucket, with its anchors there, five bytes each."""
+def _binary(values: np.ndarray) -> pa.Array:
+    """A row of bytes for each row of a matrix."""
+    values = np.ascontiguousarray(values)
+    at = np.arange(len(values) + 1, dtype=np.int32) * np.int32(values.itemsize * values.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(at), pa.py_buffer(values)])
+
+
+def _dealt(batches, parts: int):
+    """Each set's segments, ``TOGETHER`` in a row, for every bucket that has anchors of them; a bucket is one of ``parts`` by a hash of the anchor."""
+    kinds = SEGMENTS // TOGETHER
     for batch in batches:
         for lo in range(0, len(batch), 100):
             some = batch.slice(lo, 100)
-            anchor, row = anchors(segments(column(some, "print")))
-            bucket = (mix(anchor.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((bucket, row))
-            anchor, row, bucket = anchor[order], row[order], bucket[order]
-            first = np.concatenate([[0], np.flatnonzero((row[1:] != row[:-1]) | (bucket[1:] != bucket[:-1])) + 1])
-            at = np.append(first, len(row)).astype(np.int32) * 5
-            held = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at), pa.py_buffer(anchor.view(np.uint8).reshape(-1, 8)[:, :5].tobytes())])
-            sid, c = (column(some, k).to_numpy(zero_copy_only=False)[row[first]] for k in ("sid", "c"))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(sid), pa.array(c), held], ["bucket", "sid", "c", "anchors"])
-
-
-def _mixed(batches):
-    """(anchor, sid, c) where sets of several components meet."""
-    for table in whole_groups(batches, "bucket"):
-        data, at = raw(column(table, "anchors"))
-        wide = np.zeros((len(data) // 5, 8), np.uint8)
-        wide[:, :5] = data.reshape(-1, 5)
-        anchor = wide.view(np.int64).ravel()
-        order = np.argsort(anchor, kind="stable")
-        row, anchor = np.repeat(np.arange(len(table)), np.diff(at) // 5)[order], anchor[order]
-        sid, c = (column(table, k).to_numpy(zero_copy_only=False)[row] for k in ("sid", "c"))
-        first = np.concatenate([[0], np.flatnonzero(anchor[1:] != anchor[:-1]) + 1])
-        several = np.minimum.reduceat(c, first) != np.maximum.reduceat(c, first)
-        keep = np.repeat(several, np.diff(np.append(first, len(anchor))))
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (anchor, sid, c)], ["anchor", "sid", "c"])
+            prints, c = segments(column(some, "print")), column(some, "c").to_numpy(zero_copy_only=False)
+            anchor, row = anchors(prints)
+            bucket = (anchor >> BITS) // TOGETHER * parts + (mix(anchor.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            row, bucket = np.divmod(np.unique(row * (kinds * parts) + bucket), kinds * parts)
+            values = prints.reshape(-1, kinds, TOGETHER)[row, bucket // parts]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(c[row]), _binary(values), _binary(prints[row, :HEAD])], ["group", "c", "segments", "head"])
+
+
+def _loosely_linked(batches, parts: int, small: int):
+    """For each bucket a forest of links between components whose sets meet at its anchors."""
+    for table in whole_groups(batches, "group"):
+        for part in _parts(table):
+            bucket = part.column("group")[0].as_py()
+            nodes, c = np.unique(column(part, "c").to_numpy(zero_copy_only=False), return_inverse=True)
+            head = segments(column(part, "head"), HEAD).view("<u8")
+            anchor, row = anchors(segments(column(part, "segments"), TOGETHER))
+            whole = (anchor + (bucket // parts * TOGETHER << BITS)).view(np.uint64)
+            own = np.flatnonzero(mix(whole) % np.uint64(parts) == bucket % parts)
+            own = own[np.argsort(anchor[own], kind="stable")]
+            anchor, row = anchor[own], row[own]
+            size = np.diff(np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1], [True]])))
+            size = np.repeat(size, size)
+            place = np.flatnonzero((size[:-1] > small) & (anchor[1:] == anchor[:-1]))
+            parent = simhash.joined(np.arange(len(nodes)), c[row[place]], c[row[place + 1]])
+            place, step = np.flatnonzero(size <= small), 1
+            while len(place):
+                place = place[place < len(anchor) - step]
+                place = place[anchor[place] == anchor[place + step]]
+                x, y = row[place], row[place + step]
+                apart = parent[c[x]] != parent[c[y]]
+                x, y = x[apart], y[apart]
+                near = np.bitwise_count(head[x] ^ head[y]).sum(axis=1, dtype=np.int64) <= MOST_DIFFER_HEAD
+                parent = simhash.joined(parent, c[x[near]], c[y[near]])
+                step += 1
+            moved = np.flatnonzero(parent != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[moved]), pa.array(nodes[parent[moved]])], ["u", "v"])
     release()
 
 
@@ -236,56 +258,28 @@ def _parts(table: pa.Table) -> Iterator[pa.Table]:
     yield from (table.slice(a, b - a) for a, b in zip(cut, cut[1:]))
 
 
-def _promising(batches, small: int):
-    """Where sets of two components, at least one of them outside, are near by their first segments: pairs (sid, other) from groups
-    of up to ``small`` rows, all rows of such sets, without ``other``, from larger ones."""
-    for table in whole_groups(batches, "group"):
-        group, sid, c, out = (column(table, k).to_numpy(zero_copy_only=False) for k in ("group", "sid", "c", "out"))
-        head = segments(column(table, "head"), HEAD)
-        first = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1])
-        size = np.diff(np.append(first, len(group)))
-        place, step, pairs = np.flatnonzero(np.repeat(size, size) <= small), 1, []
-        while len(place):
-            place = place[place < len(group) - step]
-            place = place[group[place] == group[place + step]]
-            x, y = place, place + step
-            near = (c[x] != c[y]) & (out[x] | out[y]) & (np.bitwise_count(head[x] ^ head[y]).sum(axis=1, dtype=np.int64) <= MOST_DIFFER_HEAD)
-            pairs.append(np.stack([np.maximum(sid[x], sid[y])[near], np.minimum(sid[x], sid[y])[near]]))
-            step += 1
-        if pairs:
-            u, v = np.unique(np.concatenate(pairs, axis=1), axis=1)
-            none = pa.nulls(len(u), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(u), none, pa.nulls(len(u), pa.bool_()), none, pa.array(v)], ["anchor", "sid", "c", "out", "group", "other"])
-        for a, n in zip(first[size > small], size[size > small]):
-            part, keep = slice(a, a + n), np.zeros(n, bool)
-            for o in np.flatnonzero(out[part]):
-                near = (c[part] != c[a + o]) & (np.bitwise_count(head[part] ^ head[a + o]).sum(axis=1, dtype=np.int64) <= MOST_DIFFER_HEAD)
-                keep |= near
-                keep[o] |= near.any()
-            k, names = a + np.flatnonzero(keep), ["anchor", "sid", "c", "out", "group"]
-            yield pa.RecordBatch.from_arrays([*(column(table, x).take(pa.array(k)) for x in names), pa.nulls(len(k), pa.int64())], [*names, "other"])
-
-
-def links_in_group(anchor: np.ndarray, sid: np.ndarray, c: np.ndarray, out: np.ndarray, prints: np.ndarray, shingles: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links between sets of different components, from the comparison of each set with ``out`` to the others.
-
-    A pair that meets in several segments is compared in the first of them that differs in two bits at most. One link is enough for two components.
+def links_in_group(sid: np.ndarray, c: np.ndarray, block: np.ndarray, prints: np.ndarray, shingles: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links between sets of different components, as many as join all that a pair joins.
+
+    Sets outside their family's largest component are compared with those of the other block, or with each other where there is one block; the
+    largest component's have a block below 0.
     """
-    n, links = np.array([len(x) for x in shingles]), []
+    n, c, links = np.array([len(x) for x in shingles]), c.copy(), []
+    out, one = block >= 0, (block == block[0]).all()
+    prints = prints.view("<u8")
     for o in np.flatnonzero(out):
-        far = (c != c[o]) & (~out | (sid > sid[o])) & (LEAST[1] * np.minimum(n, n[o]) >= LEAST[0] * np.maximum(n, n[o]))
+        far = (c != c[o]) & (one | (block != block[o])) & (~out | (sid > sid[o])) & (LEAST[1] * np.minimum(n, n[o]) >= LEAST[0] * np.maximum(n, n[o]))
         rows = np.flatnonzero(far)
-        differ = np.bitwise_count(prints[rows] ^ prints[o])
-        first = (differ <= simhash.DIFFER).argmax(axis=1) == anchor[o] >> BITS
-        rows = rows[first & (differ.sum(axis=1, dtype=np.int64) <= MOST_DIFFER)]
+        rows = rows[np.bitwise_count(prints[rows] ^ prints[o]).sum(axis=1, dtype=np.int64) <= MOST_DIFFER]
         if not len(rows):
             continue
         own, h = shingles[o], np.concatenate([shingles[k] for k in rows])
         at = np.cumsum(n[rows]) - n[rows]
         common = np.add.reduceat(own[np.minimum(np.searchsorted(own, h), len(own) - 1)] == h, at, dtype=np.int64)
         near = rows[LEAST[1] * common >= LEAST[0] * (n[rows] + n[o] - common)]
-        _, first = np.unique(c[near], return_index=True)
+        parts, first = np.unique(c[near], return_index=True)
         links += [(int(max(sid[o], sid[k])), int(min(sid[o], sid[k]))) for k in near[first]]
+        c[np.isin(c, parts)] = c[o]
     return links
 
 
@@ -293,42 +287,37 @@ def _compared(batches):
     for table in whole_groups(batches, "group"):
         links = []
         for part in _parts(table):
-            anchor, sid, c, out = (column(part, k).to_numpy(zero_copy_only=False) for k in ("anchor", "sid", "c", "out"))
-            links += links_in_group(anchor, sid, c, out, segments(column(part, "print")), [np.frombuffer(x, np.uint64) for x in column(part, "shingles").to_pylist()])
+            sid, c, block = (column(part, k).to_numpy(zero_copy_only=False) for k in ("sid", "c", "block"))
+            links += links_in_group(sid, c, block, segments(column(part, "print")), [np.frombuffer(x, np.uint64) for x in column(part, "shingles").to_pylist()])
         u, v = zip(*links) if links else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
     release()
 
 
 def _across(prints: DataFrame, members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (u, v) between sets of one anchor that are in different components so far."""
-    placed = prints.join(members, prints["sid"] == members["node"], "left").select("sid", "print", F.coalesce("component", "sid").alias("c")).checkpoint()
-    buckets = max(1, placed.count() * 16 * SEGMENTS // BUCKET)
-    dealt = placed.mapInArrow(lambda batches: _anchored(batches, buckets), "bucket long, sid long, c long, anchors binary")
-    placed = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_mixed, "anchor long, sid long, c long")
-    placed = placed.join(prints.select("sid", "n"), "sid").checkpoint()
-    by_part = placed.groupBy("anchor", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
-    tops = by_part.groupBy("anchor").agg(F.max(F.struct("k", "c", "n")).alias("top"), F.sum("k").alias("k"), F.sum("n").alias("n"))
+    """Links (u, v) between sets of one family that are in different components so far."""
+    placed = prints.join(members, prints["sid"] == members["node"], "left").select("sid", "n", "print", F.coalesce("component", "sid").alias("c")).checkpoint()
+    parts, small = max(1, -(-placed.count() * 16 * TOGETHER // BUCKET)), SMALL
+    dealt = placed.select("print", "c").mapInArrow(lambda batches: _dealt(batches, parts), "group long, c long, segments binary, head binary")
+    loose = dealt.repartition("group").sortWithinPartitions("group").mapInArrow(lambda batches: _loosely_linked(batches, parts, small), "u long, v long")
+    families = connected_components(loose).select("node", F.col("component").alias("family"))
+    held = placed.join(families, placed["c"] == families["node"]).select("family", "sid", "c", "n", "print").checkpoint()
+    by_part = held.groupBy("family", "c").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    tops = by_part.groupBy("family").agg(F.max(F.struct("k", "c", "n")).alias("top"), F.sum("k").alias("k"), F.sum("n").alias("n"))
 
     def blocks(k, n, most):
         return F.greatest(F.ceil(k / most[0]), F.ceil(n / most[1])).cast("long")
 
-    shape = tops.select("anchor", F.col("top.c").alias("top"), blocks(F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n"), BLOCK_OUT).alias("outs"), blocks(F.col("top.k"), F.col("top.n"), BLOCK_IN).alias("ins"))
+    shape = tops.select("family", F.col("top.c").alias("top"), blocks(F.col("k") - F.col("top.k"), F.col("n") - F.col("top.n"), BLOCK_OUT).alias("outs"), blocks(F.col("top.k"), F.col("top.n"), BLOCK_IN).alias("ins"))
     out = F.col("c") != F.col("top")
-    rows = placed.join(shape, "anchor").withColumn("out", out).withColumn("block", F.pmod(F.xxhash64("sid"), F.when(out, F.col("outs")).otherwise(F.col("ins"))))
-    pair = lambda kind, x, y: F.xxhash64("anchor", F.lit(kind), x, y)
+    rows = held.join(shape, "family").withColumn("out", out).withColumn("block", F.pmod(F.xxhash64("sid"), F.when(out, F.col("outs")).otherwise(F.col("ins"))))
+    pair = lambda kind, x, y: F.xxhash64("family", F.lit(kind), x, y)
     with_in = F.transform(F.sequence(F.lit(0).cast("long"), F.col("ins") - 1), lambda y: pair(0, F.col("block"), y))
     with_out = F.transform(F.sequence(F.lit(0).cast("long"), F.col("outs") - 1), lambda x: pair(1, F.least(x, F.col("block")), F.greatest(x, F.col("block"))))
     as_in = F.transform(F.sequence(F.lit(0).cast("long"), F.col("outs") - 1), lambda x: pair(0, x, F.col("block")))
-    rows = rows.select("anchor", "sid", "c", "out", F.explode(F.when(F.col("out"), F.concat(with_in, with_out)).otherwise(as_in)).alias("group"))
-    rows = rows.join(prints.select("sid", F.substring("print", 1, 4 * HEAD).alias("head")), "sid").repartition("group").sortWithinPartitions("group")
-    small = SMALL
-    found = rows.mapInArrow(lambda batches: _promising(batches, small), "anchor long, sid long, c long, out boolean, group long, other long").checkpoint()
-    links = _confirm(found.where("other IS NOT NULL").select(F.col("sid").alias("u"), F.col("other").alias("v")).distinct(), prints, texts)
-    rows = found.where("other IS NULL").drop("other")
-    held = prints.select("sid", "print").join(texts.mapInArrow(_shingles, "sid long, shingles binary"), "sid")
-    compared = rows.join(held, "sid").repartition("group").sortWithinPartitions("group").mapInArrow(_compared, "u long, v long")
-    return links.union(compared).distinct().checkpoint()
+    rows = rows.withColumn("groups", F.when(F.col("out"), F.concat(with_in, with_out)).otherwise(as_in)).withColumn("block", F.when(F.col("out"), F.col("block")).otherwise(F.lit(-1)).cast("long"))
+    rows = rows.join(texts.mapInArrow(_shingles, "sid long, shingles binary"), "sid").select("sid", "c", "block", "print", "shingles", F.explode("groups").alias("group"))
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(_compared, "u long, v long").distinct().checkpoint()
 
 
 def _sharing(sets: DataFrame) -> DataFrame:
@@ -336,14 +325,30 @@ def _sharing(sets: DataFrame) -> DataFrame:
     some = sets.where("n > 0")
     held = some.select("sid", "least").mapInArrow(_sampled, "h long, sid long").groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("sid").alias("of"))
     alone = held.where("k = 1").groupBy("of").agg(F.count(F.lit(1)).alias("alone"))
-    return some.join(alone, some["sid"] == alone["of"], "left").where(MOST_ALONE[1] * F.coalesce("alone", F.lit(0)) <= MOST_ALONE[0] * F.length("least") / 8).select("sid", "head")
+    return some.join(alone, some["sid"] == alone["of"], "left").where(MOST_ALONE[1] * F.coalesce("alone", F.lit(0)) <= MOST_ALONE[0] * F.length("least") / 8).select("sid", "n", "head")
+
+
+def _whole(batches):
+    for batch in batches:
+        for lo, at, h in shingle_sets(column(batch, "text")):
+            sid = column(batch, "sid").to_numpy(zero_copy_only=False)[lo : lo + len(at) - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(sid, np.diff(at)))], ["h", "sid"])
+    release()
+
+
+def _nearly_shared(texts: DataFrame) -> DataFrame:
+    """The texts whose sets have no more shingles that no other one has than a near copy leaves."""
+    held = texts.select("sid", "text").mapInArrow(_whole, "h long, sid long").groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("sid").alias("of"))
+    alone = held.where("k = 1").groupBy("of").agg(F.count(F.lit(1)).alias("alone"))
+    left = texts.select("sid", "n").join(alone, texts["sid"] == alone["of"], "left").where(LEAST[1] * F.coalesce("alone", F.lit(0)) <= (LEAST[1] - LEAST[0]) * F.col("n"))
+    return texts.join(left.select("sid").checkpoint(), "sid", "left_semi")
 
 
 def _groups(keyed: DataFrame, sets: DataFrame) -> DataFrame:
     """(node, component): components of near copies among distinct sets; sets without a near copy are left out."""
-    wanted = _sharing(sets).select("sid", F.col("head.id").alias("head_id"), F.col("head.row").alias("head_row"))
+    wanted = _sharing(sets).select("sid", "n", F.col("head.id").alias("head_id"), F.col("head.row").alias("head_row"))
     found = keyed.join(wanted, keyed["id"].eqNullSafe(wanted["head_id"]) & (keyed["row"] == wanted["head_row"]))
-    texts = found.select("sid", "text").dropDuplicates(["sid"]).checkpoint()
+    texts = _nearly_shared(found.select("sid", "n", "text").dropDuplicates(["sid"]).checkpoint()).select("sid", "text")
     prints = texts.mapInArrow(_fingerprints, "sid long, n long, print binary").checkpoint()
 
     nearest = prints.select("sid", "print").mapInArrow(_nearest, "anchor long, next long, sid long")

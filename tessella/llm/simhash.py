@@ -101,6 +101,17 @@ def _roots(parent: np.ndarray) -> np.ndarray:
         parent = up
 
 
+def joined(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The roots of all nodes once each of ``x`` is joined with that of ``y`` at the same place."""
+    while len(x):
+        parent = _roots(parent)
+        x, y = parent[x], parent[y]
+        apart = x != y
+        x, y = x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+    return _roots(parent)
+
+
 def links_at_anchors(anchor: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (fingerprint, smallest fingerprint of its component among the given rows) that follow from comparing the rows of each anchor."""
     nodes, node = np.unique(fp, return_inverse=True)
@@ -115,15 +126,8 @@ def links_at_anchors(anchor: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np
         if not len(place):
             break
         near = place[np.bitwise_count(f[place] ^ f[place + step]) <= DIFFER]
-        x, y = v[near], v[near + step]
-        while len(x):
-            parent = _roots(parent)
-            x, y = parent[x], parent[y]
-            apart = x != y
-            x, y = x[apart], y[apart]
-            np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        parent = joined(parent, v[near], v[near + step])
         step += 1
-    parent = _roots(parent)
     moved = np.flatnonzero(parent != np.arange(len(nodes)))
     return nodes[moved], nodes[parent[moved]]
 

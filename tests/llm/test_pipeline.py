@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -181,3 +182,32 @@ def test_near_copies_of_large_groups_are_compared_in_tasks(spark, monkeypatch):
     docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], SCHEMA)
     got = {x.id: x.component for x in near_copies.labelled(docs).collect()}
     assert same_parts([got[k] for k in range(len(texts))], groups(texts))
+
+
+@pytest.mark.parametrize("parts, small", [(1, 64), (3, 64), (1, 2)])
+def test_a_group_of_texts_that_meet_makes_links_and_no_pairs(parts, small):
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**64, 120, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[r.random(120) > r.choice([0.01, 0.03, 0.2])], r.integers(0, 2**64, 6, dtype=np.uint64)])) for _ in range(150)]
+    prints = np.stack([near_copies.fingerprint(x) for x in sets])
+    c = np.arange(len(sets))
+    batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in prints]), pa.array(c)], ["print", "c"])
+    dealt = pa.Table.from_batches(near_copies._dealt([batch], parts)).sort_by("group").combine_chunks()
+    assert len(dealt) <= len(sets) * near_copies.SEGMENTS // near_copies.TOGETHER * parts
+    loose = [(u, v) for b in near_copies._loosely_linked(dealt.to_batches(), parts, small) for u, v in zip(*(b.column(k).to_pylist() for k in "uv"))]
+    assert len(loose) < len(sets) * near_copies.SEGMENTS // near_copies.TOGETHER * parts  # a forest for each bucket
+
+    def parted(links):
+        root = list(range(len(sets)))
+        for u, v in links:
+            root = [root[v] if x == root[u] else x for x in root]
+        return root
+
+    near = [(i, j) for i in range(len(sets)) for j in range(i) if near_copies.similar(sets[i], sets[j])]
+    family = parted(loose)
+    assert len(near) > 3 * len(sets) and all(family[i] == family[j] for i, j in near)
+    for block in (np.zeros(len(sets), np.int64), np.where(c < 5, -1, 0)):
+        links = near_copies.links_in_group(c, np.where(block < 0, 0, c), block, prints, sets)
+        assert len(links) < len(sets) and set(links) <= set(near)
+    links = near_copies.links_in_group(c, c, np.zeros(len(sets), np.int64), prints, sets)
+    assert same_parts(parted(links), parted(near))
