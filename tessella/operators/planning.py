@@ -123,8 +123,8 @@ def warning_numbers(gaps: DataFrame) -> DataFrame:
     )
 
 
-#: Chunks whose cuts meet in one row.
-_BLOCK = 256
+#: Chunks whose cuts meet in one row; series whose chunks are told in step.
+_BLOCK, _ABREAST = 256, 256
 
 
 def chunk_plan(assets: DataFrame, strict: DataFrame, loose: DataFrame, size: float = 600.0, overlap: float = 0.0, tolerance: float = 30.0) -> DataFrame:
@@ -132,6 +132,9 @@ def chunk_plan(assets: DataFrame, strict: DataFrame, loose: DataFrame, size: flo
 
     Each cut moves to the middle of the nearest strict silence (series_id, start_s, end_s) within ``tolerance``, else of a loose one
     ('loose_threshold'), else it stays ('hard_cut'). The last chunk may be nearly twice as long.
+
+    The plan has a row for each chunk of each series, so it can be far larger than its input. About ``_ABREAST`` series are told in step, all their first
+    chunks, then their second ones: most cuts stay at their goal, so neighbours are alike and column files of the plan small.
     """
     n_cuts = F.greatest(F.lit(0), F.floor(F.col("duration_s") / size).cast("int") - 1)
     sized = assets.select("series_id", "duration_s", n_cuts.alias("n"))
@@ -148,9 +151,17 @@ def chunk_plan(assets: DataFrame, strict: DataFrame, loose: DataFrame, size: flo
     part = lambda x: F.floor(x / _BLOCK)
     told = cuts.select("series_id", F.explode(F.array_distinct(F.array(part(k), part(k + 1)))).alias("part"), F.struct(k.cast("int").alias("k"), F.struct("a", "b").alias("cut")).alias("e"))
     known = told.groupBy("series_id", "part").agg(F.map_from_entries(F.collect_list("e")).alias("cuts"))
-    parts = sized.select("series_id", "duration_s", "n", F.explode(F.sequence(F.lit(0).cast("long"), part(F.col("n") + 1))).alias("part")).join(known, ["series_id", "part"], "left")
-    first, last = F.greatest(F.lit(1), (F.col("part") * _BLOCK).cast("int")), F.least(F.col("n") + 1, (F.col("part") * _BLOCK + (_BLOCK - 1)).cast("int"))
-    rows = parts.select("series_id", "duration_s", "n", "cuts", F.explode(F.sequence(first, last)).alias("k"))
+    # series are dealt by hash to rows of about _ABREAST of them, one for each block
+    rows_of = F.broadcast(sized.agg(F.ceil((F.count(F.lit(1)) + 1) / _ABREAST).alias("of")))
+    dealt = F.pmod(F.xxhash64("series_id"), F.col("of"))
+    together = sized.crossJoin(rows_of).groupBy(dealt.alias("dealt")).agg(F.sort_array(F.collect_list(F.struct("series_id", "duration_s", "n"))).alias("all"), (F.max("n") + 1).alias("most"))
+    blocks = together.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), part(F.col("most"))))).withColumn("all", F.filter("all", lambda x: x["n"] + 1 >= F.col("part") * _BLOCK))
+    # a few bytes of blocks make many rows, so their number of tasks is not left to their bytes
+    blocks = blocks.repartition(8 * assets.sparkSession.sparkContext.defaultParallelism, "dealt", "part")
+    theirs = known.where("series_id IS NOT NULL").crossJoin(rows_of).groupBy(dealt.alias("dealt"), "part").agg(F.map_from_entries(F.collect_list(F.struct("series_id", "cuts"))).alias("known"))
+    joined = blocks.join(theirs, ["dealt", "part"], "left").select("part", "most", F.transform("all", lambda x: F.struct(x["series_id"].alias("series_id"), x["duration_s"].alias("duration_s"), x["n"].alias("n"), F.try_element_at("known", x["series_id"]).alias("cuts"))).alias("all"))
+    first, last = F.greatest(F.lit(1), (F.col("part") * _BLOCK).cast("int")), F.least("most", (F.col("part") * _BLOCK + (_BLOCK - 1)).cast("int"))
+    rows = joined.select("all", F.explode(F.sequence(first, last)).alias("k")).select("k", F.explode("all").alias("of")).select("k", "of.*").where(k <= F.col("n") + 1)
     rows = rows.select("series_id", "duration_s", "n", "k", F.try_element_at("cuts", k).alias("own"), F.try_element_at("cuts", k - 1).alias("before"))
     inner = k <= F.col("n")
     end = F.when(inner, F.coalesce("own.a", "own.b", k * size)).otherwise(F.col("duration_s"))

@@ -130,3 +130,15 @@ def test_chunk_plan_neither_sorts_nor_joins_goals(spark):
         assert (row.start_s, row.end_s) == (0.0 if k == 1 else cuts.get(k - 1, (k - 1) * 10.0), 10000.0 if k == 1000 else cuts.get(k, k * 10.0))
         assert row.warning == (None if k in (3, 256, 1000) else "loose_threshold" if k == 257 else "hard_cut")
     assert rows[2, 0].end_s == 5.0 and rows[None, 5].warning is None
+
+
+def test_written_chunk_plan_is_small(spark, tmp_path):
+    """The plan can be far larger than its input; before, series followed one another, neighbours differed in three columns and a row took several bytes."""
+    assets = spark.range(600).select(F.col("id").alias("series_id"), (F.col("id") * 3 + 9000.0).alias("duration_s"))
+    strict = spark.range(600).select(F.col("id").alias("series_id"), (F.col("id") * 10 + 1001.0).alias("start_s"), (F.col("id") * 10 + 1002.0).alias("end_s"))
+    planning.chunk_plan(assets, strict, strict.limit(0), 10.0, 0.0, 4.0).coalesce(2).write.parquet(str(tmp_path / "plan"))
+    rows = spark.read.parquet(str(tmp_path / "plan"))
+    whole = [max(0, int((i * 3 + 9000.0) // 10) - 1) + 1 for i in range(600)]
+    assert rows.count() == sum(whole) == rows.select("series_id", "chunk").distinct().count()
+    assert rows.where("warning IS NULL").count() == 1200 - sum(i + 100 >= n for i, n in enumerate(whole))
+    assert sum(f.stat().st_size for f in (tmp_path / "plan").glob("*.parquet")) < sum(whole)
