@@ -58,18 +58,26 @@ def session_clusters(scenes: DataFrame, gap: float) -> DataFrame:
 
 
 def _centred_means(samples: DataFrame, half: int) -> DataFrame:
-    """The samples with rn, dur and sm, the mean over each row's window, as a difference of running sums; a window with a value that is not finite has NaN."""
-    whole, by_time = Window.partitionBy("series_id"), Window.partitionBy("series_id").orderBy("t")
+    """The samples with rn, dur and sm, the mean over each row's window, as a difference of running sums; a window with a value that is not finite has NaN.
+
+    Long running sums would round, and a mean that equals a limit would come out above or below it. So each value is split at a bit that its whole series
+    shares: running sums of the upper parts are exact, and the rests are 2^50 times smaller than the series' largest value.
+    """
+    whole, by_time = Window.partitionBy("series_id"), Window.partitionBy("series_id").orderBy("t", F.col("x").asc_nulls_last())
     so_far = by_time.rowsBetween(Window.unboundedPreceding, 0)
     finite = F.abs("x") < float("inf")  # false for NaN, which is the largest
-    sums = {"rs": F.sum(F.when(finite, F.col("x")).otherwise(0.0)), "rc": F.count("x"), "rb": F.sum(F.when(finite | F.col("x").isNull(), 0).otherwise(1))}
+    value, bits = F.when(finite, F.col("x").cast("double")).otherwise(0.0), F.pow(F.lit(2.0), F.ceil(F.log2(F.max(F.when(finite, F.abs("x"))).over(whole) * F.count(F.lit(1)).over(whole))) + 2)
+    upper = F.when(bits < float("inf"), (value + bits) - bits).otherwise(value)
+    columns = samples.columns
+    samples = samples.withColumn("upper_", upper).withColumn("rest_", value - F.col("upper_"))
+    sums = {"ru": F.sum("upper_"), "rr": F.sum("rest_"), "rc": F.count("x"), "rb": F.sum(F.when(finite | F.col("x").isNull(), 0).otherwise(1))}
     # most series have the least width, whose frame is a literal: a mean of its own values, without the rounding of long sums
     width = F.greatest(F.lit(half), F.floor(F.col("n_") / F.greatest(F.lit(1.0), F.col("dur")) / 2 + 0.5))
     near = F.avg("x").over(by_time.rowsBetween(-half, half))
     numbered = samples.withColumns({"rn": F.row_number().over(by_time), "dur": F.max("t").over(whole), "n_": F.count(F.lit(1)).over(whole), "near": near, **{k: f.over(so_far) for k, f in sums.items()}, **{f"all_{k}": f.over(whole) for k, f in sums.items()}})
     # a row of a wider series tells its running sums to the rows whose windows end or begin there, in the same part of the same shuffle
-    row = F.struct(*samples.columns, "rn", "dur", "n_", "width", "near", *(f"all_{k}" for k in sums))
-    told = F.struct(*sums).cast("struct<rs: double, rc: bigint, rb: bigint>")
+    row = F.struct(*columns, "rn", "dur", "n_", "width", "near", *(f"all_{k}" for k in sums))
+    told = F.struct(*sums).cast("struct<ru: double, rr: double, rc: bigint, rb: bigint>")
 
     def at(place: Column, what: str) -> Column:
         return F.struct(place.cast("long").alias("at_"), *(F.when(F.lit(k == what), v).alias(k) for k, v in (("row", row), ("hi", told), ("lo", told))))
@@ -80,8 +88,8 @@ def _centred_means(samples: DataFrame, half: int) -> DataFrame:
     met = spread.groupBy("series_id", "at_").agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("row", "hi", "lo"))).where("row IS NOT NULL")
     last = F.col("row.rn") + F.col("row.width") >= F.col("row.n_")
     part = {k: F.when(last, F.col(f"row.all_{k}")).otherwise(F.col(f"hi.{k}")) - F.coalesce(F.col(f"lo.{k}"), F.lit(0)) for k in sums}
-    mean = F.when(part["rb"] > 0, F.lit(float("nan"))).when(part["rc"] > 0, part["rs"] / part["rc"])
-    return met.select(*(F.col(f"row.{c}").alias(c) for c in samples.columns), F.col("row.rn").alias("rn"), F.when(F.col("row.width") == half, F.col("row.near")).otherwise(mean).alias("sm"), F.col("row.dur").alias("dur"))
+    mean = F.when(part["rb"] > 0, F.lit(float("nan"))).when(part["rc"] > 0, (part["ru"] + part["rr"]) / part["rc"])
+    return met.select(*(F.col(f"row.{c}").alias(c) for c in columns), F.col("row.rn").alias("rn"), F.when(F.col("row.width") == half, F.col("row.near")).otherwise(mean).alias("sm"), F.col("row.dur").alias("dur"))
 
 
 def motion_windows(samples: DataFrame, min_rows: int = 8, k: float = 1.5, mad_floor: float = 0.5, half: int = 2, join_gap: float = 1.0, min_length: float = 0.4, pad: float = 0.1, tail: float = 0.5) -> DataFrame:
@@ -91,7 +99,7 @@ def motion_windows(samples: DataFrame, min_rows: int = 8, k: float = 1.5, mad_fl
     ``min_length`` go, the others are padded and clamped to [0, duration - tail]. intensity is the mean of the smoothed values over
     all rows of the joined window.
     """
-    by_time = Window.partitionBy("series_id").orderBy("t")
+    by_time = Window.partitionBy("series_id").orderBy("rn")  # in order of t, and of equal times as they were numbered
     stats = robust_stats(samples, mad_floor).where(F.col("n") >= min_rows)
     smooth = _centred_means(samples, half)
     marked = smooth.join(stats, "series_id").withColumn("hot", F.coalesce(F.col("sm") > F.col("med") + k * F.col("mad"), F.lit(False)))

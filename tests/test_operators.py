@@ -1,5 +1,6 @@
 """Hand-computed cases of operators outside ``llm``."""
 
+import math
 import random
 
 import pytest
@@ -115,6 +116,19 @@ def test_dense_motion_is_smoothed_over_one_unit_of_time(spark):
             assert a == pytest.approx(b, abs=0.0501)
 
 
+def test_wide_windows_do_not_round_as_long_sums_do(spark):
+    """Windows of 21 rows: values that plain running sums lose behind larger ones, and means of exactly their limit, 0.75, that they take for more."""
+    large = [1e16 if k < 5 else 3.25 if 100 <= k < 140 else 1.0 for k in range(200)]
+    level = [k % 3 * 3 / 100 if k < 41 else 0.75 if 100 <= k < 150 else 0.0 for k in range(200)]
+    samples = spark.createDataFrame([(s, k / 20, x) for s, xs in ((1, large), (2, level)) for k, x in enumerate(xs)], "series_id INT, t DOUBLE, x DOUBLE")
+    around = [large[max(0, i - 10) : i + 11] for i in range(200)]
+    smooth = [math.fsum(xs) / len(xs) for xs in around]
+    hot = [i for i in range(50, 200) if smooth[i] > 1.75]
+    want = (1, hot[0] / 20 - 0.1, hot[-1] / 20 + 0.1, sum(smooth[i] for i in hot) / len(hot))
+    got = [(r.series_id, r.start_s, r.end_s, r.intensity) for r in signals.motion_windows(samples).where("start_s > 3 OR series_id = 2").collect()]
+    assert len(got) == 1 and got[0] == pytest.approx(want, abs=0.0501)
+
+
 def test_chunk_plan_neither_sorts_nor_joins_goals(spark):
     """Goals can be far more than silences; before, each was joined twice and all of a series were sorted in one task."""
     assets = spark.createDataFrame([(1, 10000.0), (2, 5.0), (None, 60.0)], "series_id INT, duration_s DOUBLE")
