@@ -127,14 +127,19 @@ def _robust(x: np.ndarray, floor: float) -> tuple[float, float] | None:
 def _window_means(x: np.ndarray, half: int, narrow: bool = False) -> np.ndarray:
     """Means over each row and ``half`` rows on either side, of the values that are there; values that are not finite make the means around them NaN.
 
-    ``narrow`` windows add up their own values in turn, without the rounding of long sums."""
+    ``narrow`` windows add up their own values in turn. For others values are split at a bit that all share, as ``signals.motion_windows`` does: running
+    sums of the upper parts are exact."""
     bad = ~np.isfinite(x)
-    total, many, broken = (np.concatenate([[0], np.cumsum(c)]) for c in (np.where(bad, 0.0, x), ~bad, bad & ~np.isnan(x)))
+    value = np.where(bad, 0.0, x)
+    most = float(np.abs(value).max(initial=0.0)) * len(x)
+    bits = 2.0 ** (math.ceil(math.log2(most)) + 2) if 0 < most <= 2.0**1021 else 0.0
+    upper = (value + bits) - bits
+    total, rest, many, broken = (np.concatenate([[0], np.cumsum(c)]) for c in (upper, value - upper, ~bad, bad & ~np.isnan(x)))
     lo, hi = np.maximum(np.arange(len(x)) - half, 0), np.minimum(np.arange(len(x)) + half + 1, len(x))
     with np.errstate(invalid="ignore"):
-        sums = total[hi] - total[lo]
+        sums = (total[hi] - total[lo]) + (rest[hi] - rest[lo])
         if narrow:
-            near = np.concatenate([np.zeros(half), np.where(bad, 0.0, x), np.zeros(half)])
+            near = np.concatenate([np.zeros(half), value, np.zeros(half)])
             sums = np.zeros(len(x))
             for k in range(2 * half + 1):
                 sums += near[k : k + len(x)]
@@ -163,7 +168,9 @@ class MotionWindows(_Tool):
         return MotionWindows.checked(table, given)
 
     def finish(self, min_rows, k, mad_floor, half, join_gap, min_length, pad, tail):
-        t, x = self.sorted()
+        t, x = np.frombuffer(self.t), np.frombuffer(self.x)
+        order = np.lexsort((x, t))  # of equal times the smaller value first, as the operator takes them
+        t, x = t[order], x[order]
         stats = _robust(x, mad_floor)
         if len(t) < min_rows or stats is None:
             return

@@ -89,6 +89,17 @@ def same(sql_rows, frame):
     assert got and key(got) == key(frame.select(sql_rows.columns).collect())
 
 
+def test_wide_windows_of_the_table_function_do_not_round_as_long_sums_do(spark, samples):
+    """Before, plain running sums lost values behind larger ones, and took means of exactly the limit for more."""
+    large = [1e16 if k < 5 else 3.25 if 100 <= k < 140 else 1.0 for k in range(200)]
+    level = [k % 3 * 3 / 100 if k < 41 else 0.75 if 100 <= k < 150 else 0.0 for k in range(200)]
+    wide = spark.createDataFrame([(s, k / 20, x) for s, xs in ((1, large), (2, level)) for k, x in enumerate(xs)], "series_id INT, t DOUBLE, x DOUBLE")
+    wide.createOrReplaceTempView("wide_samples")
+    told = spark.sql("SELECT * FROM motion_windows(TABLE(wide_samples) PARTITION BY series_id)")
+    assert [r.series_id for r in told.where("start_s > 3 OR series_id = 2").collect()] == [1]
+    same(told, signals.motion_windows(wide))
+
+
 def test_table_functions_equal_the_operators(spark, samples):
     same(spark.sql("SELECT * FROM motion_windows(TABLE(samples_of_tools) PARTITION BY series_id)"), signals.motion_windows(samples))
     same(spark.sql("SELECT * FROM motion_windows(TABLE(SELECT * FROM samples_of_tools WHERE series_id < 9) PARTITION BY series_id, k => 0.5, join_gap => 2, min_length => 0.1)"), signals.motion_windows(samples.where("series_id < 9"), k=0.5, join_gap=2.0, min_length=0.1))
